@@ -37,6 +37,8 @@ WITHIN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 #: Tags whose text is never the article's.
 ASIDE = frozenset("head nav footer aside form button select option datalist script style noscript template svg math canvas object audio video iframe map dialog menu title textarea search".split())
 ARTICLE = frozenset("article main".split())
+#: Blocks that belong to the text around them, however short.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split())
 #: Words in class, id and role names that mark other things than the article.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation "
@@ -170,6 +172,10 @@ def main_text(page: str) -> str:
         return ""
     threshold = max(some.max() * 0.1, min(some.mean(), some.std())) if (said > 0).sum() == 0 else np.inf
     content = (fused > 0) & (fused >= threshold) | (said > 0)
+    beside = {path[:-1] for (path, _), k in paths.items() if content[k]}  # headings and lists of the content are short
+    for (path, _), k in paths.items():
+        if fused[k] > 0 and path and path[-1] in PARTS and (path[:-1] in beside or path[:-2] in beside):
+            content[k] = True
     return "\n".join(t for (_, _, t, _), k in zip(found, at) if content[k])
 
 
