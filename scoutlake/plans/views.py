@@ -33,7 +33,13 @@ def founder_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("founder_id", "display_name", "city", "discovery_confidence", "signal_count", F.date_format("first_signal_at", "yyyy-MM-dd HH:mm:ss").alias("first_signal_at"))
 
 
-@query(D.with_views("founder", sql="SELECT founder_id, display_name, occupation, discovery_confidence FROM founder WHERE status = 'active' AND contains(lower(occupation), 'mach') ORDER BY discovery_confidence DESC NULLS LAST, founder_id LIMIT 10 OFFSET 20"))
+@query(
+    D.with_views(
+        "founder",
+        sql=""", f AS (SELECT founder_id, display_name, occupation, discovery_confidence FROM founder WHERE status = 'active' AND contains(lower(occupation), 'mach')),
+        r AS (SELECT *, row_number() OVER (ORDER BY discovery_confidence DESC NULLS LAST, founder_id) - 1 AS k, count(*) OVER () AS n FROM f) SELECT founder_id, display_name, occupation, discovery_confidence FROM r WHERE floor(k / 10) = least(2, ceil(n / 10) - 1)""",
+    )
+)
 def founder_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of active founders in an occupation, by confidence."""
     rows = V.filtered_founders(D.founders(spark, sf_dir), status="active", needle="mach").filter(F.lower("occupation").contains("mach"))
