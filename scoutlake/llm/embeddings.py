@@ -26,9 +26,9 @@ DIRECTIONS, WIDTH, TABLES, SEED = 14, 2.0, 40, 20
 BLOCK = 1024
 
 
-def unit(vectors: list) -> np.ndarray:
+def unit(vectors: np.ndarray) -> np.ndarray:
     """Finite vectors of one length, none zero, as unit vectors in double precision."""
-    x = np.array(vectors, float)
+    x = vectors.astype(float)
     x = x / np.abs(x).max(1, keepdims=True, initial=0)  # else squares of tiny or huge components leave the range
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -40,15 +40,17 @@ def codes(x: np.ndarray) -> np.ndarray:
     shift = rng.uniform(0, WIDTH, TABLES * DIRECTIONS)
     cells = np.floor((x @ directions + shift) / WIDTH).astype(np.int64).reshape(len(x), TABLES, DIRECTIONS)
     factors = rng.integers(1, 1 << 62, DIRECTIONS) * 2 + 1
-    return (cells * factors).sum(2)  # wraps around; clashes only add comparisons
+    return ((cells * factors).sum(2) >> 32).astype(np.int32)  # wraps around; clashes only add comparisons
 
 
-def _hashed(distinct: DataFrame) -> DataFrame:
+def _hashed(distinct: DataFrame, kind: str) -> DataFrame:
+    """(rep, v) -> (rep, x, codes): the vector's own numbers (`kind`, as they came) and its bucket codes, as bytes."""
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x = unit(batch.column("v").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in codes(x)], pa.binary())], ["rep", "x", "codes"])
+                v = np.array(batch.column("v").to_pylist(), kind)
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in codes(unit(v))], pa.binary())], ["rep", "x", "codes"])
 
     return distinct.mapInArrow(run, "rep long, x binary, codes binary")
 
@@ -78,7 +80,7 @@ def _compare(x: np.ndarray, c: np.ndarray, t: int, i0: int, i1: int, j0: int, j1
         out.append((rep[some], links[some].astype(np.int64), least[some]))
 
 
-def _linked(blocks: DataFrame) -> DataFrame:
+def _linked(blocks: DataFrame, kind: str) -> DataFrame:
     """(table, rows ARRAY<STRUCT<rep, copies, x, codes, block>>) -> (rep, links, least): the rows of a group's one block with
     each other, or those of its two blocks across."""
 
@@ -87,8 +89,8 @@ def _linked(blocks: DataFrame) -> DataFrame:
             out: list = []
             for t, rows in zip(batch.column("table").to_pylist(), batch.column("rows").to_pylist()):
                 rows.sort(key=lambda r: (r["block"], r["rep"]))
-                x = np.array([np.frombuffer(r["x"], "<f8") for r in rows])
-                c = np.array([np.frombuffer(r["codes"], "<i8") for r in rows])
+                x = unit(np.array([np.frombuffer(r["x"], kind) for r in rows]))
+                c = np.array([np.frombuffer(r["codes"], "<i4") for r in rows])
                 copies, rep = np.array([r["copies"] for r in rows], float), np.array([r["rep"] for r in rows], np.int64)
                 n = sum(r["block"] == rows[0]["block"] for r in rows)
                 if n == len(rows):
@@ -108,6 +110,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     vectors is dealt out as pairs of blocks, one task's worth each. A vector without a direction (null, zero, null or
     non-finite components, another length than most) links with nothing but its copies and is its own component. Rows with a null id
     keep a null component of their own. Repeated rows of one id count as copies of each other."""
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(T.ArrayType(T.DoubleType())).alias("v"))
     good = F.col("v").isNotNull() & F.exists("v", lambda e: e != 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     base = cut(base.withColumn("key", F.when(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull(), F.sha2(F.to_json("v"), 256))))
@@ -115,10 +118,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     distinct = cut(distinct)
     usual = distinct.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     distinct_usual = distinct.filter(F.size("v") == (usual["size"] if usual else 0))
-    hashed = cut(_hashed(distinct_usual.select("rep", "v")).join(distinct.select("rep", "copies"), "rep"))
-    # which buckets hold several vectors: from codes alone, eight bytes each
-    placed = hashed.select("rep", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(8 * TABLES), F.lit(8)), lambda at: F.substring(F.col("codes"), at, F.lit(8)))).alias("table", "code"))
-    shared = placed.groupBy("table", "code").agg(F.count("*").alias("n")).filter("n > 1")
+    hashed = cut(_hashed(distinct_usual.select("rep", "v"), kind).join(distinct.select("rep", "copies"), "rep"))
+    # which buckets hold several vectors: from codes alone, four bytes each
+    placed = hashed.select("rep", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(4 * TABLES), F.lit(4)), lambda at: F.substring(F.col("codes"), at, F.lit(4)))).alias("table", "code"))
+    members_of = [F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"), F.min("rep").alias("low"), F.max("rep").alias("high")]
+    buckets = placed.groupBy("table", "code").agg(F.count("*").alias("n"), *members_of).filter("n > 1")
+    # buckets of the same vectors in several tables: the first is enough, it is the first that any of their pairs shares
+    shared = buckets.groupBy("n", "h1", "h2", "low", "high").agg(F.min(F.struct("table", "code")).alias("b")).select("b.table", "b.code", "n")
     members = placed.join(shared, ["table", "code"])
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = members.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -127,7 +133,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     pairs = pairs.select("table", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     full = pairs.join(hashed, "rep")
     groups = full.groupBy("table", "code", "i", "j").agg(F.collect_list(F.struct("rep", "copies", "x", "codes", "block")).alias("rows"))
-    found = cut(_linked(groups.select("table", "rows")))
+    found = cut(_linked(groups.select("table", "rows"), kind))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups_of = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     per_key = distinct.select("key", "rep", "copies").join(counts, "rep", "left").join(groups_of.withColumnRenamed("node", "rep"), "rep", "left")
