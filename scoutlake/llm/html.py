@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)"
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*)(?:>|$)"  # a quote that never closes is a letter
+    r"|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)"
+    r"|<[!?/][^>]*(?:>|$)",
+    re.S,
+)
 _WORDS = re.compile(r"[a-z]+")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)

@@ -420,6 +420,7 @@ PAGES = [
     ("<html><body><nav><ul><li><a href=a>Home</a></ul></nav><article><h1>T &amp; U</h1><p><b>One  two<br>three.<p>Four&nbsp;five</p></article><footer>&copy; x</footer>", "T & U\nOne two three.\nFour five"),
     ("<body><div class='menu'><a href=x>Home</a> <a href=y>About us and more</a></div><div><h2>A title of some length</h2><p>First paragraph, with quite some text in it. It goes on.<p>Second one, also long enough; really.</div><div id=sidebar>Side, stuff. Long enough to count.</div>", "A title of some length\nFirst paragraph, with quite some text in it. It goes on.\nSecond one, also long enough; really."),
     ("<article><header><h1>T</h1></header><p>a <b>b</b><i>c</i> &am; e&#x41;<ul><li>one<li>two</ul><div class=comments><p>bad</div><form>no<input></form><table><tr><td>x<td>y</table><script>var a='<p>no</p>'</script></article>", "T\na bc &am; eA\none\ntwo\nx\ny"),
+    ("<article><p class=it's>kept<p title='a>b'>too<p title=\"never closed>and this</article>", "kept\ntoo\nand this"),
     (None, ""), ("", ""), ("   ", ""), ("<!-- only a comment", ""), ("<script>x", ""), ("plain text only", "plain text only"), ("<p>" * 3000 + "deep", "deep"),
 ]
 
