@@ -27,9 +27,25 @@ def _people(people: DataFrame, prefix: str) -> DataFrame:
         "id", K.compact_name(F.col("display_name")).alias("name"), K.city_key(F.col("city")).alias("city"), F.nullif(K.comparison_text(F.col("company")), F.lit("")).alias("company"),
         F.transform(F.coalesce("education", F.array().cast("array<string>")), lambda s: K.comparison_text(s)).alias("education"),
     )
+    keyed = keyed.withColumn("alike", F.sha2(F.to_json(F.struct("name", "city", "company", "education")), 256))
     return keyed.select(*(F.col(c).alias(f"{prefix}{c}") for c in keyed.columns))
 
 
+def _bare(people: DataFrame, prefix: str, handles: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """People without an identifying handle or an artifact: those of equal keys score alike against anyone."""
+    for other in (handles, artifacts):
+        people = people.join(other.select(F.col("id").alias(f"{prefix}id")), f"{prefix}id", "left_anti")
+    return people
+
+
+def _first_of_alike(people: DataFrame, prefix: str, handles: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """The people with one, the earliest, of each set of bare people that are alike. A common name then makes as many
+    pairs as it has different contexts, and not the square of its bearers."""
+    bare = _bare(people, prefix, handles, artifacts)
+    spare = bare.join(bare.groupBy(f"{prefix}alike").agg(F.min(f"{prefix}id").alias("_first")), f"{prefix}alike").filter(F.col(f"{prefix}id") != F.col("_first")).select(f"{prefix}id")
+    return people.join(spare, f"{prefix}id", "left_anti")
+
+
 def _by_kind(handles: DataFrame) -> DataFrame:
     """(id, kind, value) -> one row per id with a map from kind to its values."""
     per = handles.groupBy("id", "kind").agg(F.collect_set("value").alias("values"))
@@ -57,6 +73,7 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
     in_handles, ex_handles = (h.join(void, ["kind", "value"], "left_anti") for h in (in_handles, ex_handles))
     empty = in_handles.select("id", F.col("value").alias("url")).limit(0)
     in_artifacts, ex_artifacts = in_artifacts if in_artifacts is not None else empty, ex_artifacts if ex_artifacts is not None else empty
+    e = _first_of_alike(e, "e_", ex_handles, ex_artifacts)
     pairs = candidates(i, e, in_handles, ex_handles, in_artifacts, ex_artifacts)
     art = in_artifacts.select(F.col("id").alias("i_id"), "url").join(ex_artifacts.select(F.col("id").alias("e_id"), "url"), "url").groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
     rows = pairs.join(i, "i_id").join(e, "e_id").join(art, ["i_id", "e_id"], "left")
@@ -102,6 +119,18 @@ def decided(incoming: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select(F.col("i_id").alias("id"), "decision", score.alias("confidence"), matched.alias("matched_id"), method.alias("method"))
 
 
+def resolved(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None) -> DataFrame:
+    """The action for every mention. Mentions without handle or artifact that are alike are decided once."""
+    i = _people(incoming, "i_")
+    empty = in_handles.select("id").limit(0)
+    bare = _bare(i, "i_", in_handles, empty if in_artifacts is None else in_artifacts)
+    first = bare.groupBy("i_alike").agg(F.min("i_id").alias("rep"))
+    rep = i.select(F.col("i_id").alias("id"), "i_alike").join(bare.select(F.col("i_id").alias("id"), F.lit(True).alias("_bare")), "id", "left").join(first, "i_alike", "left").select("id", F.when(F.col("_bare"), F.col("rep")).otherwise(F.col("id")).alias("rep"))
+    asked = incoming.join(rep.filter("id = rep").select("id"), "id", "left_semi")
+    out = decided(asked, scored(asked, existing, in_handles, ex_handles, in_artifacts, ex_artifacts))
+    return rep.join(out.withColumnRenamed("id", "rep"), "rep").drop("rep")
+
+
 def merges(people: DataFrame, handles: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
     """(id, canonical) for people that are one: an identifying handle, or an artifact under the same name where no handle
     speaks against it, shared by several.

@@ -46,8 +46,7 @@ def resolved_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of the mentions resolved against the others as known people."""
     rows = D.mentions(spark, sf_dir)
     incoming, existing = rows.filter("mention_id % 5 = 0"), rows.filter("mention_id % 5 <> 0")
-    pairs = R.scored(_people(incoming), _people(existing), _handles(incoming), _handles(existing))
-    return R.decided(_people(incoming), pairs)
+    return R.resolved(_people(incoming), _people(existing), _handles(incoming), _handles(existing))
 
 
 @query(D.with_views("mention", sql=f"SELECT mention_id AS id, canonical FROM (SELECT mention_id, min(mention_id) OVER w AS canonical, count(*) OVER w AS n FROM mention WHERE github NOT IN ({_WITHDRAWN}) WINDOW w AS (PARTITION BY github)) WHERE n > 1"))

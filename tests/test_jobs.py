@@ -61,7 +61,16 @@ def handles(spark, *rows):
 def resolution(spark, mention, known, in_handles, ex_handles):
     i, e = people(spark, mention), people(spark, *known)
     h = [handles(spark, *x) if x else handles(spark, (0, "github", "nobody")).limit(0) for x in (in_handles, ex_handles)]
-    return resolve.decided(i, resolve.scored(i, e, *h)).first()
+    return resolve.resolved(i, e, *h).first()
+
+
+def test_alike_mentions_are_decided_alike(spark):
+    known = people(spark, (10, "Ada Lovelace", "Zürich", None), (11, "Ada Lovelace", "Zurich", None), (12, "Ada Lovelace", "Bern", None))
+    asked = people(spark, *((i, "Ada Lovelace", "zürich", None) for i in range(4)))
+    none = handles(spark, (0, "github", "nobody")).limit(0)
+    one_by_one = resolve.decided(asked, resolve.scored(asked, known, none, none))
+    assert sorted(map(tuple, resolve.resolved(asked, known, none, none).collect())) == sorted(map(tuple, one_by_one.collect()))
+    assert {r["matched_id"] for r in one_by_one.collect()} == {10}
 
 
 def test_resolution_rules(spark):
