@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .graph import groups
+from .graph import groups, saved
 
 # Similarity gates and confidences of the resolution rules.
 SAME_NAME, MERGE_NAME = 96, 90
@@ -67,14 +67,14 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
 
     People: id, display_name, city, company, education; handles: id, kind, value (canonical); artifacts: id, url. Handles
     that strangers share, over `population` (the existing people unless given), neither join nor conflict."""
-    i, e = _people(incoming, "i_"), _people(existing, "e_")
+    i, e = saved(_people(incoming, "i_")), saved(_people(existing, "e_"))  # each is read by several joins
     names = existing.select("id", K.compact_name(F.col("display_name")).alias("name")) if population is None else population
     void = shared_by_strangers(ex_handles, names)
     in_handles, ex_handles = (h.join(void, ["kind", "value"], "left_anti") for h in (in_handles, ex_handles))
     empty = in_handles.select("id", F.col("value").alias("url")).limit(0)
     in_artifacts, ex_artifacts = in_artifacts if in_artifacts is not None else empty, ex_artifacts if ex_artifacts is not None else empty
     e = _first_of_alike(e, "e_", ex_handles, ex_artifacts)
-    pairs = candidates(i, e, in_handles, ex_handles, in_artifacts, ex_artifacts)
+    pairs = saved(candidates(i, e, in_handles, ex_handles, in_artifacts, ex_artifacts))
     art = in_artifacts.select(F.col("id").alias("i_id"), "url").join(ex_artifacts.select(F.col("id").alias("e_id"), "url"), "url").groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
     rows = pairs.join(i, "i_id").join(e, "e_id").join(art, ["i_id", "e_id"], "left")
     rows = rows.join(_by_kind(in_handles).select(F.col("id").alias("i_id"), F.col("handles").alias("i_handles")), "i_id", "left").join(_by_kind(ex_handles).select(F.col("id").alias("e_id"), F.col("handles").alias("e_handles")), "e_id", "left")
