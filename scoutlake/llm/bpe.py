@@ -21,6 +21,8 @@ import regex
 
 #: Fragments whose ids a worker keeps; memory only, never results.
 CACHE_FRAGMENTS = 400_000
+#: Words that are sooner merged one by one than in a table.
+FEW = 100
 #: Characters of text that are cut and looked up at a time.
 WINDOW = 1 << 20
 NEVER = (1 << 31) - 1
@@ -218,12 +220,12 @@ class Bpe:
 
     def _merge_many(self, words: list[str]) -> list[bytes]:
         """Each word's ids. In every round each row of a table of words joins its pair of lowest rank, the leftmost of
-        equals; rows without a ranked pair are done. Long words go one by one."""
+        equals; rows without a ranked pair are done. Long words, and few, go one by one."""
         raws = [w.encode() for w in words]
         out: list[bytes] = [b""] * len(raws)
         by_width: dict[int, list[int]] = {}
         for i, raw in enumerate(raws):
-            if len(raw) > 64:
+            if len(raw) > 64 or len(raws) < FEW:
                 ids = self._merge([*map(self.first.__getitem__, raw[:-1]), self.last[raw[-1]]])
                 out[i] = np.array(ids, "<u4").tobytes()
             else:
