@@ -25,8 +25,10 @@ _TEXTS = "SELECT doc_id AS founder_id, substr(text, 1, 30) || ' see https://gith
 
 @query(f"SELECT founder_id, 'github' AS kind, 'dev' || founder_id AS value FROM ({_TEXTS}) UNION ALL SELECT founder_id, 'linkedin', 'in-' || (founder_id % 50) FROM ({_TEXTS}) UNION ALL SELECT founder_id, 'twitter', 'tw' || founder_id FROM ({_TEXTS})")
 def profiles_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile references mined from page text."""
-    return V.mined_profiles(_sql(spark, sf_dir, _TEXTS, "documents"))
+    """Profile references mined from each document's whole text, followed by planted ones."""
+    n = F.col("doc_id")
+    planted = F.concat(F.lit(" see https://github.com/Dev"), n, F.lit(", and https://www.linkedin.com/in/In-"), n % 50, F.lit("/ or x.com/i and https://x.com/Tw"), n)
+    return V.mined_profiles(D.table(spark, sf_dir, "documents").select(n.alias("founder_id"), F.concat(F.coalesce("text", F.lit("")), planted).alias("text")))
 
 
 @query(

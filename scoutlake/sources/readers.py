@@ -107,6 +107,6 @@ def deck_pages(pages: DataFrame) -> DataFrame:
 
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's web pages as landed artifacts: URL, title element and first 1,500 characters of html as summary."""
+    """The driver's web pages as landed artifacts: URL, title element, whole html as summary, and its first 1,500 characters to show."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", "url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.substring("html", 1, 1500).alias("summary"))
+    return pages.select("page_id", "url", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.col("html").alias("summary"), F.substring("html", 1, 1500).alias("excerpt"))
