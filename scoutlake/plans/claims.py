@@ -105,7 +105,7 @@ def minted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims minted from extractions that cite their founders' signals by position; key k3 is taken already."""
     from pyspark.sql import Window
 
-    orders = D.table(spark, sf_dir, "orders").join(D.claims(spark, sf_dir).select(F.col("claim_id").alias("o_orderkey"), "category"), "o_orderkey").filter("o_custkey % 10 < 7")
+    orders = D.table(spark, sf_dir, "orders").join(D.claims(spark, sf_dir).select(F.col("claim_id").alias("o_orderkey"), "category"), "o_orderkey")
     key = F.col("o_orderkey")
     extracted = orders.select(
         F.col("o_custkey").alias("founder_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("claim_no"), F.when(key % 19 == 0, "  ").otherwise(F.concat(F.lit("claim of "), "o_orderpriority")).alias("statement"),

@@ -39,7 +39,7 @@ def profiles_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def assembled_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = D.signals(spark, sf_dir).filter("signal_id % 500 < 120")
+    s = D.signals(spark, sf_dir)
     rows = s.select("founder_id", F.concat(F.lit("https://www.e.test/p"), (F.col("signal_id") % 40).cast("string"), F.lit("?utm_source=x")).alias("url"), "source", F.col("signal_id").alias("pos"))
     strong = s.filter("founder_id % 3 = 0").select("founder_id", F.lit("github").alias("kind"))
     return V.assembled(rows, strong)
@@ -183,7 +183,7 @@ def memo_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memos' citations held against the claims there are."""
     from ..operators.screening import memo_anchors as anchors
 
-    items = D.table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = l_suppkey % 50")
+    items = D.table(spark, sf_dir, "lineitem")
     section = F.when(F.col("l_linenumber") % 3 == 0, "team").when(F.col("l_linenumber") % 3 == 1, "market").otherwise("risks")
     sections = items.groupBy(F.col("l_suppkey").alias("memo_id"), section.alias("section")).agg(F.collect_list("l_orderkey").alias("cited"))
     evidence = items.filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("claim_id"))

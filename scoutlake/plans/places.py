@@ -35,6 +35,6 @@ def resolved_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 def founder_country_by_school(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The country all of a founder's known schools agree on."""
     orders = D.table(spark, sf_dir, "orders")
-    education = orders.filter("o_orderkey % 40 < 25").select(F.col("o_custkey").alias("founder_id"), F.concat(F.lit("The University of NATION "), (F.col("o_orderkey") % 25).cast("string"), F.lit(" (UN)")).alias("school"))
+    education = orders.select(F.col("o_custkey").alias("founder_id"), F.concat(F.lit("The University of NATION "), (F.col("o_orderkey") % 25).cast("string"), F.lit(" (UN)")).alias("school"))
     aliases = D.table(spark, sf_dir, "nation").select(F.concat(F.lit("university nation "), F.col("n_nationkey").cast("string")).alias("alias_key"), F.col("n_regionkey").alias("country_code"))
     return P.agreed_country(education, aliases)
