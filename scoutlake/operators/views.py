@@ -63,13 +63,22 @@ def highlights(claims: DataFrame, per_founder: int = 6) -> DataFrame:
     return top.groupBy("founder_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "label"))), lambda x: x["label"]), "; ").alias("highlights"), F.count("*").alias("n_highlights"))
 
 
-def founder_detail(founders: DataFrame, signals: DataFrame, claims: DataFrame, most: int = 50) -> DataFrame:
-    """Founders with their latest signals and best claims as nested arrays. `most` bounds what one row may hold."""
-    newest = Window.partitionBy("founder_id").orderBy(F.desc("ingested_at"), "signal_id")
-    best = Window.partitionBy("founder_id").orderBy(F.desc_nulls_last("trust"), "claim_id")
-    s = signals.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= most).groupBy("founder_id").agg(F.array_sort(F.collect_list(F.struct("_n", "signal_id", "source"))).alias("signals"))
-    c = claims.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most).groupBy("founder_id").agg(F.array_sort(F.collect_list(F.struct("_n", "claim_id", "trust", "status"))).alias("claims"))
-    return founders.join(s, "founder_id", "left").join(c, "founder_id", "left")
+def founder_detail(founders: DataFrame, signals: DataFrame, claims: DataFrame) -> DataFrame:
+    """Founders with the true numbers of their signals and claims, the latest signal and the best claim; the children
+    themselves are `founder_children`."""
+    s = signals.groupBy("founder_id").agg(F.count("*").alias("n_signals"), F.max_by("signal_id", F.struct("ingested_at", -F.col("signal_id"))).alias("latest_signal"))
+    best = F.max_by(F.struct("claim_id", "trust"), F.struct("trust", -F.col("claim_id"))).alias("_best")
+    c = claims.groupBy("founder_id").agg(F.count("*").alias("n_claims"), best).select("founder_id", "n_claims", F.col("_best.claim_id").alias("best_claim"), F.col("_best.trust").alias("best_trust"))
+    return founders.join(s, "founder_id", "left").join(c, "founder_id", "left").fillna(0, ["n_signals", "n_claims"])
+
+
+def founder_children(founders: DataFrame, signals: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All signals, latest first, and all claims, best first, of the founders, as rows in order within each founder. A
+    sort by ranges: a founder with many rows spreads over tasks."""
+    ids = founders.select("founder_id")
+    s = signals.join(ids, "founder_id", "left_semi").select("founder_id", "ingested_at", "signal_id", "source")
+    c = claims.join(ids, "founder_id", "left_semi").select("founder_id", "trust", "claim_id", "status")
+    return s.orderBy("founder_id", F.desc("ingested_at"), "signal_id"), c.orderBy("founder_id", F.desc_nulls_last("trust"), "claim_id")
 
 
 def opportunity_list(opportunities: DataFrame, founders: DataFrame, attributions: DataFrame) -> DataFrame:

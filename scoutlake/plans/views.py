@@ -85,8 +85,7 @@ def founder_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def founder_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.founder_detail(D.founders(spark, sf_dir), D.signals(spark, sf_dir), _trusted(spark, sf_dir))
-    best, latest = F.try_element_at("claims", F.lit(1)), F.try_element_at("signals", F.lit(1))
-    return rows.select("founder_id", "display_name", F.when(F.col("signals").isNull(), 0).otherwise(F.size("signals")).alias("n_signals"), latest["signal_id"].alias("latest_signal"), F.when(F.col("claims").isNull(), 0).otherwise(F.size("claims")).alias("n_claims"), best["claim_id"].alias("best_claim"), best["trust"].alias("best_trust"))
+    return rows.select("founder_id", "display_name", "n_signals", "latest_signal", "n_claims", "best_claim", "best_trust")
 
 
 @query(

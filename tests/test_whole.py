@@ -9,7 +9,7 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
-from scoutlake.operators import ingest
+from scoutlake.operators import ingest, views
 from scoutlake.sources import readers
 from test_oracles import normal
 
@@ -49,6 +49,7 @@ CUTS = {
     "assembled_founders": {" WHERE signal_id % 500 < 120": ""},
     "minted_claims": {" WHERE o_custkey % 10 < 7": ""},
     "founder_country_by_school": {" WHERE o_orderkey % 40 < 25": ""},
+    "founder_details": {"least(count(*), 50)": "count(*)", "least(max(m), 50)": "max(m)"},
     "audit_summary": {" WHERE o_orderkey % 10 = 0": ""},
 }
 
@@ -66,3 +67,15 @@ def test_query_matches_its_sql_without_the_cut(spark, name):
     got, want = entry.queries()[name](spark, sf), con.execute(sql)
     names = [d[0] for d in want.description]
     assert normal(got.columns, [tuple(r) for r in got.collect()]) == normal(names, want.fetchall())
+
+
+def test_founders_with_many_children_lose_none(spark):
+    founders = spark.createDataFrame([(1, "a"), (2, "b")], "founder_id long, display_name string")
+    signals = spark.range(170).selectExpr("1L as founder_id", "id as signal_id", "timestamp_seconds(id div 2) as ingested_at", "'web' as source")
+    claims = spark.range(120).selectExpr("1L as founder_id", "id as claim_id", "if(id % 3 = 0, null, (id % 7) / 10) as trust", "'x' as status")
+    got = {r["founder_id"]: r for r in views.founder_detail(founders, signals, claims).collect()}
+    assert (got[1]["n_signals"], got[1]["latest_signal"], got[1]["n_claims"], got[1]["best_claim"], got[1]["best_trust"]) == (170, 168, 120, 13, 0.6)
+    assert (got[2]["n_signals"], got[2]["latest_signal"], got[2]["n_claims"]) == (0, None, 0)
+    s, c = views.founder_children(founders, signals, claims)
+    assert [r["signal_id"] for r in s.collect()] == sorted(range(170), key=lambda i: (-(i // 2), i))
+    assert [r["claim_id"] for r in c.collect()] == sorted(range(120), key=lambda i: (i % 3 == 0, -(i % 7) if i % 3 else 0, i))
