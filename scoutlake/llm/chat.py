@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -175,10 +175,11 @@ def as_events(turns: DataFrame) -> DataFrame:
     def event(seq: int, kind: str, role: Column, part: Column) -> Column:
         return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), part.alias("text"))
 
-    # turns that repeat keep their own events together: their texts tell them apart in the order of the log
+    # turns that repeat keep their own events together: their texts, and a number among equal ones, tell them apart in the order of the log
     parts = F.array(event(0, "open", F.coalesce("role", F.lit("")), F.substring(text, 1, half)), event(1, "delta", F.lit(None).cast("string"), F.expr("substring(coalesce(text, ''), cast(ceil(length(coalesce(text, '')) / 2) as int) + 1)")))
     numbered = turns.select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("_which"))
-    return numbered.select("conv_id", "turn", "_which", F.explode(parts).alias("e")).select("conv_id", "turn", F.concat_ws("-", F.lpad(F.hex("_which"), 16, "0"), F.col("e.seq").cast("string")).alias("seq"), "e.kind", "e.role", "e.text")
+    numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("conv_id", "turn", "_which").orderBy("role", "text")))
+    return numbered.select("conv_id", "turn", "_which", "_copy", F.explode(parts).alias("e")).select("conv_id", "turn", F.concat_ws("-", F.lpad(F.hex("_which"), 16, "0"), F.lpad(F.col("_copy").cast("string"), 10, "0"), F.col("e.seq").cast("string")).alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
