@@ -2,7 +2,7 @@
 
 A page is read as blocks of text, each under its root-to-leaf path of block-level tags. Per path, text length and
 punctuation are summed and divided by the blocks there; the ratios are smoothed over neighbouring paths in page order,
-fused with each other and with what the path's tags say of their content, and paths above the page's threshold are
+fused with each other and with factors for what tags and names say of their content, and paths above the page's threshold are
 content. Their blocks, in page order, are the text.
 """
 
@@ -53,23 +53,34 @@ ASIDE_NAMES = frozenset(
 ARTICLE_NAMES = frozenset("article content entry main post story".split())
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> int:
-    """What a tag says of its content: -1 something else, 1 the article, 0 nothing."""
-    if tag in ASIDE or tag == "header" and not inside:
-        return -1
+#: Factors of the fusion: text that tags or names call the article's, text beside such, names with an aside word as a part.
+IN, OUT, DOUBT = 4.0, 0.5, 0.25
+
+
+def _factor(tag: str, attributes: str, around: float) -> float:
+    """The factor of text within a tag, given that of the text around it; 0 for what is never the article's."""
+    inside = around >= IN
+    if around == 0 or tag in ASIDE or tag == "header" and not inside:
+        return 0.0
+    named = tag in ARTICLE
     if attributes:
-        names = {w for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[1].lower())}
-        if tag not in ("html", "body", "article", "main") and names & ASIDE_NAMES or _HIDDEN.search(attributes):
-            return -1
-        if names & ARTICLE_NAMES and tag in ("div", "section", "td"):
-            return 1
-    return int(tag in ARTICLE)
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
-    """A page's blocks of text in order: path of block-level tags, what the path says, text, characters within links."""
-    out: list[tuple[tuple[str, ...], int, str, int]] = []
-    stack: list[tuple[str, int]] = []  # open tags, each with what it and those around it say
+        if _HIDDEN.search(attributes):
+            return 0.0
+        tokens = {t for m in _NAMES.finditer(attributes) for t in m[1].strip("\"'").lower().split()}
+        parts = {w for t in tokens for w in _WORDS.findall(t)}
+        if tag not in ("html", "body", "article", "main"):
+            if tokens & ASIDE_NAMES:
+                return 0.0
+            if parts & ASIDE_NAMES and not tokens & ARTICLE_NAMES:  # main-nav, but no-sidebar too
+                return around * DOUBT
+        named = named or bool(parts & ARTICLE_NAMES) and tag in ("div", "section", "td")
+    return max(around, IN) if named else around
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], float, str, int]]:
+    """A page's blocks of text in order: path of block-level tags, its factor, text, characters within links."""
+    out: list[tuple[tuple[str, ...], float, str, int]] = []
+    stack: list[tuple[str, float]] = []  # open tags, each with the factor of the text within
     path: list[str] = []
     held: list[str] = []
     linked = 0
@@ -79,7 +90,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if held:
             text = _SPACES.sub(" ", "".join(held)).strip()
             if text:
-                out.append((tuple(path), stack[-1][1] if stack else 0, text, linked))
+                out.append((tuple(path), stack[-1][1] if stack else 1.0, text, linked))
             held.clear()
         linked = 0
 
@@ -94,7 +105,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not (stack and stack[-1][1] < 0):
+        if text and not (stack and stack[-1][1] == 0):
             text = unescape(text) if "&" in text else text
             held.append(text)
             if stack and any(t == "a" for t, _ in stack[-3:]):
@@ -110,7 +121,6 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
                 elif tag == "br":
                     held.append("\n")
                 continue
-            said = stack[-1][1] if stack else 0
             if tag in BLOCK:
                 if tag == "p" or tag not in CLOSES:  # an open paragraph ends where a block begins
                     for i in range(len(stack) - 1, -1, -1):
@@ -127,14 +137,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
                             close(i)
                             break
                 end_block()
-                said = stack[-1][1] if stack else 0
-            own = _kind(tag, m[2], said > 0)
-            said = -1 if said < 0 or own < 0 else max(said, own)
+            factor = _factor(tag, m[2], stack[-1][1] if stack else 1.0)
             if tag not in RAW and m[2].endswith("/") and tag not in BLOCK:
                 continue
-            if own < 0:
+            if factor == 0:
                 end_block()
-            stack.append((tag, said))
+            stack.append((tag, factor))
             if tag in BLOCK:
                 path.append(tag)
             if tag in RAW:
@@ -164,23 +172,25 @@ def main_text(page: str) -> str:
     if not found:
         return ""
     paths: dict[tuple, int] = {}
-    for path, said, _, _ in found:
-        paths.setdefault((path, said), len(paths))
-    at = np.array([paths[path, said] for path, said, _, _ in found])
+    for path, factor, _, _ in found:
+        paths.setdefault((path, factor), len(paths))
+    at = np.array([paths[path, factor] for path, factor, _, _ in found])
     chars = np.array([len(t) - min(k, len(t)) for _, _, t, k in found], float)  # links count for nothing
     marks = np.array([len(_MARKS.findall(t)) for _, _, t, _ in found], float)
     n = np.bincount(at, minlength=len(paths))
     length, punctuation = _smooth(np.bincount(at, chars) / n), _smooth(np.bincount(at, marks) / n)
-    said = np.array([s for _, s in paths])
-    fused = length * np.log2(2 + punctuation) * np.where(said < 0, 0, 1)
-    some = fused[said >= 0]
-    if not len(some):
-        return ""
-    threshold = max(some.max() * 0.1, min(some.mean(), some.std())) if (said > 0).sum() == 0 else np.inf
-    content = (fused > 0) & (fused >= threshold) | (said > 0)
+    factors = np.array([f for _, f in paths])
+    if (factors >= IN).any():
+        factors = np.where(factors < IN, factors * OUT, factors)
+    ratio = length * np.log2(2 + punctuation)
+    fused = ratio * factors
+    # names must not raise the bar for what they say nothing of, nor doubt keep it out of reach
+    threshold = min(max(x.max() * 0.1, min(x.mean(), x.std())) for x in (ratio, fused))
+    content = (fused > 0) & (fused >= threshold)
     beside = {path[:-1] for (path, _), k in paths.items() if content[k]}  # headings and lists of the content are short
-    for (path, _), k in paths.items():
-        if fused[k] > 0 and path and path[-1] in PARTS and (path[:-1] in beside or path[:-2] in beside):
+    for (path, factor), k in paths.items():
+        around = range(1, len(path)) if factor >= IN else (len(path) - 1, len(path) - 2)  # all of a named article
+        if fused[k] > 0 and path and path[-1] in PARTS and any(path[: max(i, 0)] in beside for i in around):
             content[k] = True
     return "\n".join(t for (_, _, t, _), k in zip(found, at) if content[k])
 
@@ -188,8 +198,8 @@ def main_text(page: str) -> str:
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> (page_id, url, text, n_chars): the article's whole text of every page.
 
-    Null html is empty, and a page without an article, or without text, has an empty text. Where a page names its article
-    (article, main, a content class) that is what counts; elsewhere the paths' ratios decide. One narrow pass."""
+    Null html is empty, and a page without an article, or without text, has an empty text. The paths' ratios decide
+    on every page; what a page names as its article (article, main, a content class) weighs more. One narrow pass."""
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches):
