@@ -52,10 +52,42 @@ def _by_kind(handles: DataFrame) -> DataFrame:
     return per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "values"))).alias("handles"))
 
 
+def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Different compact names -> all pairs (i_name, e_name) of different ones whose ratio is SAME_NAME or more.
+
+    Names of together S letters may differ by k = S (100 - SAME_NAME) / 100 letters put in or left out. One letter is an
+    equi-join of names with names less a letter. For more, the right name falls into k + 1 parts, of which k changes
+    leave one as it is, at most k places away: an equi-join of parts, whose pairs name_ratio verifies."""
+    i, e = (x.select("name", F.length("name").alias("n")).filter("n >= 12").distinct() for x in (left, right))
+
+    def less_one(rows: DataFrame) -> DataFrame:
+        cut = F.transform(F.sequence(F.lit(1), "n"), lambda at: F.concat(F.substring("name", F.lit(1), at - 1), F.substring("name", at + 1, F.col("n"))))
+        return rows.filter("n >= 13").select("name", F.explode(F.array_distinct(cut)).alias("short"))
+
+    one = less_one(i).join(e.select(F.col("name").alias("short")), "short").select(F.col("name").alias("i_name"), F.col("short").alias("e_name"))
+    one = one.unionByName(less_one(e).join(i.select(F.col("name").alias("short")), "short").select(F.col("short").alias("i_name"), F.col("name").alias("e_name")))
+
+    def parts(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Each name with the lengths of names it can meet, and the bounds of the parts of the right one."""
+        out = rows.withColumnRenamed("n", own).withColumn(other, F.explode(F.sequence(F.expr(f"{own} - {own} div 11"), F.expr(f"{own} + {own} div 11"))))
+        out = out.withColumn("k", F.expr(f"cast((i_n + e_n) * {100 - SAME_NAME} div 100 as int)")).filter("k >= 2 and abs(i_n - e_n) <= k").withColumn("j", F.explode(F.sequence(F.lit(0), "k")))
+        return out.withColumn("at", F.expr("cast(e_n * j div (k + 1) as int)")).withColumn("size", F.expr("cast(e_n * (j + 1) div (k + 1) as int) - at"))
+
+    key = ["i_n", "e_n", "j", "part"]
+    whole = parts(e, "e_n", "i_n").withColumn("part", F.expr("substring(name, at + 1, size)")).select(F.col("name").alias("e_name"), *key)
+    moved = parts(i, "i_n", "e_n").withColumn("at", F.explode(F.sequence(F.expr("greatest(0, at - k)"), F.expr("at + k")))).filter("at + size <= i_n")
+    moved = moved.withColumn("part", F.expr("substring(name, at + 1, size)")).select(F.col("name").alias("i_name"), *key).distinct()
+    more = moved.join(whole, key).select("i_name", "e_name").filter("i_name <> e_name").distinct()
+    return one.unionByName(more.filter(K.name_ratio(F.col("i_name"), F.col("e_name")) >= SAME_NAME)).distinct()
+
+
 def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame, ex_artifacts: DataFrame) -> DataFrame:
-    """Pairs worth scoring: same compact name, or a shared handle or artifact. Three equi-joins in place of all pairs."""
+    """Pairs worth scoring: same or near compact name, or a shared handle or artifact. Equi-joins in place of all pairs."""
     by_name = incoming.select("i_id", F.col("i_name").alias("k")).filter("k <> ''").join(existing.select("e_id", F.col("e_name").alias("k")), "k").select("i_id", "e_id")
 
+    near = near_names(incoming.select(F.col("i_name").alias("name")), existing.select(F.col("e_name").alias("name")))
+    by_name = by_name.unionByName(incoming.select("i_id", "i_name").join(near, "i_name").join(existing.select("e_id", "e_name"), "e_name").select("i_id", "e_id"))
+
     def by(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
         return a.select(F.col("id").alias("i_id"), *key).join(b.select(F.col("id").alias("e_id"), *key), list(key)).select("i_id", "e_id")
 
