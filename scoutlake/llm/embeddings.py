@@ -48,9 +48,12 @@ def _hashed(distinct: DataFrame, kind: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                v = np.array(batch.column("v").to_pylist(), kind)
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in codes(unit(v))], pa.binary())], ["rep", "x", "codes"])
+            sizes: dict[int, list] = {}
+            for rep, v in zip(batch.column("rep").to_pylist(), batch.column("v").to_pylist()):
+                sizes.setdefault(len(v), []).append((rep, v))
+            for rows in sizes.values():  # directions are drawn for each size
+                v = np.array([v for _, v in rows], kind)
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in codes(unit(v))], pa.binary())], ["rep", "x", "codes"])
 
     return distinct.mapInArrow(run, "rep long, x binary, codes binary")
 
@@ -108,7 +111,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Equal vectors collapse into one row with a count before anything is compared. A bucket of more than BLOCK different
     vectors is dealt out as pairs of blocks, one task's worth each. A vector without a direction (null, zero, null or
-    non-finite components, another length than most) links with nothing but its copies and is its own component. Rows with a null id
+    non-finite components) links with nothing but its copies and is its own component. Vectors of different
+    lengths are never compared: the length is part of a bucket's key. Rows with a null id
     keep a null component of their own. Repeated rows of one id count as copies of each other."""
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(T.ArrayType(T.DoubleType())).alias("v"))
@@ -116,23 +120,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     base = cut(base.withColumn("key", F.when(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull(), F.sha2(F.to_json("v"), 256))))
     distinct = base.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     distinct = cut(distinct)
-    usual = distinct.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    distinct_usual = distinct.filter(F.size("v") == (usual["size"] if usual else 0))
-    hashed = cut(_hashed(distinct_usual.select("rep", "v"), kind).join(distinct.select("rep", "copies"), "rep"))
+    hashed = cut(_hashed(distinct.select("rep", "v"), kind).join(distinct.select("rep", "copies"), "rep"))
     # which buckets hold several vectors: from codes alone, four bytes each
-    placed = hashed.select("rep", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(4 * TABLES), F.lit(4)), lambda at: F.substring(F.col("codes"), at, F.lit(4)))).alias("table", "code"))
+    placed = hashed.select("rep", F.length("x").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(4 * TABLES), F.lit(4)), lambda at: F.substring(F.col("codes"), at, F.lit(4)))).alias("table", "code"))
     members_of = [F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("h2"), F.min("rep").alias("low"), F.max("rep").alias("high")]
-    buckets = placed.groupBy("table", "code").agg(F.count("*").alias("n"), *members_of).filter("n > 1")
+    buckets = placed.groupBy("size", "table", "code").agg(F.count("*").alias("n"), *members_of).filter("n > 1")
     # buckets of the same vectors in several tables: the first is enough, it is the first that any of their pairs shares
-    shared = buckets.groupBy("n", "h1", "h2", "low", "high").agg(F.min(F.struct("table", "code")).alias("b")).select("b.table", "b.code", "n")
-    members = placed.join(shared, ["table", "code"])
+    shared = buckets.groupBy("n", "h1", "h2", "low", "high").agg(F.min(F.struct("size", "table", "code")).alias("b")).select("b.size", "b.table", "b.code", "n")
+    members = placed.join(shared, ["size", "table", "code"])
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = members.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # block i meets every block j >= i: its rows go to the groups (i, j) and (j, i) in order
     pairs = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("table", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    pairs = pairs.select("size", "table", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     full = pairs.join(hashed, "rep")
-    groups = full.groupBy("table", "code", "i", "j").agg(F.collect_list(F.struct("rep", "copies", "x", "codes", "block")).alias("rows"))
+    groups = full.groupBy("size", "table", "code", "i", "j").agg(F.collect_list(F.struct("rep", "copies", "x", "codes", "block")).alias("rows"))
     found = cut(_linked(groups.select("table", "rows"), kind))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups_of = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
