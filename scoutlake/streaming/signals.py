@@ -1,4 +1,4 @@
-"""Structured Streaming forms of ingestion: idempotent polling, live feed, incremental claims."""
+"""Structured Streaming forms of ingestion: idempotent polling and live feed."""
 
 from __future__ import annotations
 
