@@ -1,9 +1,9 @@
 """Document fingerprints (operator 1): threshold-scaled sketches, in DataFrame functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so it grows with its document, sketches of
-unions are unions of sketches, and containment can be estimated between documents of very unequal length. A document
-none of whose shingles is that low keeps its lowest hash alone, so that short texts have a sketch too; merging drops
-such a hash where the other side has a kept one.
+A sketch keeps every shingle hash below a bound, a fixed fraction of the hash range, so that sketches of unions follow from
+sketches and containment can be estimated between documents of very unequal length. The bound is kept with the hashes: a
+document of at most WHOLE different shingles keeps them all (fraction 1), longer ones the lowest quarter of the range.
+Two sketches are compared below the smaller of their bounds, where both are complete.
 """
 
 from __future__ import annotations
@@ -14,16 +14,19 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, table
 
 SHINGLE = 5
-#: The fraction of all shingle hashes that is kept, and the bound on signed 64-bit hashes that it means.
+#: The fraction of all shingle hashes that long documents keep, and the bound on signed 64-bit hashes that it means.
 FRACTION = 1 / 4
 BOUND = int((2 * FRACTION - 1) * (1 << 63))
+#: Documents of up to so many different shingles keep all: the bound is the range's end.
+WHOLE = 256
+EVERY = (1 << 63) - 1
 #: Blocks of neighbouring documents for each shuffle partition.
 BLOCKS = 6
 
 
-def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, bound: int = BOUND) -> DataFrame:
-    """`df` with the sketch of column `text` as `name`, a sorted array of hashes: words between white space in lower case,
-    shingles of five (shorter texts whole). Null or blank text has an empty one.
+def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, bound: int = BOUND, whole: int = WHOLE) -> DataFrame:
+    """`df` with the sketch of column `text` as `name`, STRUCT<bound, hashes> with the hashes in order: words between white
+    space in lower case, shingles of five (shorter texts whole). Null or blank text has no hashes.
 
     Each step is a column of its own that the next one reads several times, so that it is computed once a row and not
     again within each step of a higher-order function."""
@@ -32,55 +35,91 @@ def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, bou
     df = df.withColumn(words, F.transform(split, lambda w: F.xxhash64(w)))  # each word is hashed once; a shingle hashes its words' hashes
     w = F.col(words)
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(shingle))))
-    df = df.withColumn(hashes, F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(shingles)).drop(words)
-    return _keep(df, hashes, name, bound).drop(hashes)
+    df = df.withColumn(hashes, F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(shingles))).drop(words)
+    return _keep(df, hashes, F.lit(EVERY), name, bound, whole).drop(hashes)
 
 
-def _keep(df: DataFrame, hashes: str, name: str, bound: int) -> DataFrame:
-    low = f"_{name}_low"
-    df = df.withColumn(low, F.array_sort(F.array_distinct(F.filter(F.col(hashes), lambda h: h < F.lit(bound)))))
-    return df.withColumn(name, F.when((F.size(low) > 0) | (F.size(hashes) == 0), F.col(low)).otherwise(F.array(F.array_min(hashes)))).drop(low)
+def _keep(df: DataFrame, hashes: str, complete_to: Column, name: str, bound: int, whole: int) -> DataFrame:
+    """The sketch of different `hashes` that are complete below `complete_to`."""
+    to = F.when(F.size(hashes) > whole, F.least(complete_to, F.lit(bound))).otherwise(complete_to)
+    df = df.withColumn(f"_{name}_bound", to)
+    kept = F.array_sort(_below(F.col(hashes), F.col(f"_{name}_bound")))
+    return df.withColumn(name, F.struct(F.col(f"_{name}_bound").alias("bound"), kept.alias("hashes"))).drop(f"_{name}_bound")
 
 
-def merged(df: DataFrame, a: str, b: str, name: str, bound: int = BOUND) -> DataFrame:
-    """`df` with the sketch of both documents' shingles together as `name`."""
-    return _keep(df.withColumn(f"_{name}_union", F.array_union(a, b)), f"_{name}_union", name, bound).drop(f"_{name}_union")
+def _below(hashes: Column, bound: Column) -> Column:
+    return F.when(bound == EVERY, hashes).otherwise(F.filter(hashes, lambda h: h < bound))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common shingles among all of two documents (Jaccard), 0 to 1; two empty sketches are alike."""
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).cast("double")
+def merged(df: DataFrame, a: str, b: str, name: str, bound: int = BOUND, whole: int = WHOLE) -> DataFrame:
+    """`df` with the sketch of both documents' shingles together as `name`, the same as if it were made from them."""
+    to = F.least(f"{a}.bound", f"{b}.bound")
+    df = df.withColumn(f"_{name}_union", F.array_union(_below(F.col(f"{a}.hashes"), to), _below(F.col(f"{b}.hashes"), to)))
+    return _keep(df, f"_{name}_union", to, name, bound, whole).drop(f"_{name}_union")
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1, however much longer b is; an empty a is contained."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a)).cast("double")
+def compared_by(df: DataFrame, a: str, b: str, like: str, inside: str | None = None) -> DataFrame:
+    """`df` with the estimated share of common shingles among all of two documents (Jaccard) as `like`, 0 to 1, and that of
+    a's shingles that b has, however much longer b is, as `inside`.
+
+    Two sketches without hashes are alike, and an empty text is contained in any. Where texts have hashes but none below
+    the common bound, nothing can be said of containment: null; likeness is then 0."""
+    to = F.least(f"{a}.bound", f"{b}.bound")
+    for side in (a, b):
+        df = df.withColumn(f"_{side}_low", _below(F.col(f"{side}.hashes"), to))
+    low_a, low_b = F.col(f"_{a}_low"), F.col(f"_{b}_low")
+    df = df.withColumn("_both", F.size(F.array_intersect(low_a, low_b)))
+    either = F.size(low_a) + F.size(low_b) - F.col("_both")  # hashes of a sketch differ
+    none = F.size(f"{a}.hashes") + F.size(f"{b}.hashes") == 0
+    df = df.withColumn(like, F.when(none, 1.0).when(either == 0, 0.0).otherwise(F.col("_both") / either).cast("double"))
+    if inside is not None:
+        df = df.withColumn(inside, F.when(F.size(f"{a}.hashes") == 0, 1.0).when(F.size(low_a) > 0, F.col("_both") / F.size(low_a)).cast("double"))
+    return df.drop(f"_{a}_low", f"_{b}_low", "_both")
 
 
 def digits(sketch: Column) -> Column:
-    """A sketch as text: its hashes in hex, in order."""
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    """A sketch as text: its bound and its hashes in hex, in order; an empty text has none."""
+    hexed = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    return F.when(F.size(sketch["hashes"]) == 0, "").otherwise(F.concat(hexed(sketch["bound"]), F.array_join(F.transform(sketch["hashes"], hexed), "")))
 
 
-def with_next(docs: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
-    """Each row with the `carried` columns of the row after it in ascending order (after the last: the first) as next_*.
+def _blocks(docs: DataFrame, key: str, tie: str) -> Column:
+    """A block number for each row, in the order of (key, tie), with about as many rows in each.
 
-    The key's quantiles deal rows into blocks of neighbours, many for each task; within a block the next row is a window's
-    lead, and a block's last row takes the first row of the block that follows, one row a block. No order over all
-    rows in one place. `order` names the key first, then columns that settle ties."""
-    spark, key = docs.sparkSession, order[0]
+    Edges are the key's approximate quantiles. A key that takes several edges (many rows of one key) is cut by its tie, a
+    64-bit hash, into as many blocks; so are rows without a key, which come first."""
+    spark = docs.sparkSession
     wanted = BLOCKS * shuffle_partitions(spark)
-    edges = sorted(set(docs.approxQuantile(key, [i / wanted for i in range(1, wanted)], 1 / (4 * wanted))))  # as many as blocks
+    edges = sorted(docs.approxQuantile(key, [i / wanted for i in range(1, wanted)], 1 / (4 * wanted)))  # as many as blocks
+    share = lambda n: F.least(F.floor((F.col(tie).cast("double") / 2.0**64 + 0.5) * n), n - 1).cast("int")
+    if not edges:
+        return share(F.lit(wanted))
     # numbers beyond 2^53 round as the quantiles did: neighbours still share a block or an edge
-    block = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: e <= F.col(key).cast("double"))) if edges else F.lit(0)
-    rows = docs.withColumn("_block", F.when(F.col(key).isNull(), -1).otherwise(block))
-    first = rows.groupBy("_block").agg(F.min_by(F.struct(*carried), F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in order))).alias("_first"))
+    at = F.col(key).cast("double")
+    bounds = F.lit(edges).cast("array<double>")
+    below, equal = F.size(F.filter(bounds, lambda e: e < at)), F.size(F.filter(bounds, lambda e: e == at))
+    within = F.when(equal > 1, share(equal) + 1).otherwise(equal)
+    return F.when(F.col(key).isNull(), share(F.lit(wanted)) - wanted).otherwise(below + within)
+
+
+def with_next(docs: DataFrame, key: str, tie: str, text: str, then) -> DataFrame:
+    """`then(rows)` for rows dealt into blocks of neighbours, each with the columns that `then` adds of the row after it in
+    the order of (key, tie, text), after the last those of the first, as the struct next.
+
+    Within a block the next row is a window's lead, and a block's last row takes the first row of the block that follows,
+    one row a block. No order over all rows in one place, and only the columns of `docs` are shuffled."""
+    order = [key, tie, text]
+    rows = docs.withColumn("_block", _blocks(docs, key, tie))
+    first = rows.groupBy("_block").agg(F.min_by(F.struct(text), F.struct(*(F.struct(F.col(c).isNotNull(), F.col(c)) for c in order))).alias("_first"))
     turn = Window.orderBy("_block")  # one row a block
-    heads = first.select("_block", F.coalesce(F.lead("_first").over(turn), F.first("_first").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_after"))
+    after = F.coalesce(F.lead("_first").over(turn), F.first("_first").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = then(first.select("_block", after.alias("_after")).select("_block", f"_after.{text}"))
+    carried = [c for c in heads.columns if c != "_block"]
+    heads = heads.select("_block", F.struct(*carried).alias("_after"))
     within = Window.partitionBy("_block").orderBy(*(F.asc_nulls_first(c) for c in order))
-    led = rows.withColumn("_next", F.lead(F.struct(*carried)).over(within))
-    out = led.join(heads, "_block").withColumn("_next", F.coalesce("_next", "_after"))
-    return out.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
+    led = then(rows.repartition("_block")).withColumn("_next", F.lead(F.struct(*carried)).over(within))
+    out = led.join(heads, "_block")  # few rows on the right
+    return out.withColumn("next", F.coalesce("_next", "_after")).drop("_block", "_next", "_after")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -88,21 +127,17 @@ def compared(docs: DataFrame) -> DataFrame:
     contained_in_edited): each text's sketch against that of its edited text, whose last quarter is the next document's
     beginning, and of the next document.
 
-    Null text is empty. Rows of equal or null id follow each other by text; null ids come first. One row has itself as the
-    next one. An empty table gives an empty one."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_sketch(rows, "text", "sketch")
-    rows = with_next(rows, ["doc_id", "text"], ["text", "sketch"])
+    Null text is empty. Rows of equal or null id follow each other by a hash of their text, then by text; null ids come
+    first; other columns are not read. One row has itself as the next one. An empty table gives an empty one."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    rows = with_next(rows, "doc_id", "_tie", "text", lambda df: with_sketch(df, "text", "sketch"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", 1, n - quarter), F.substring("next_text", 1, quarter)))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), "edited")
-    rows = with_sketch(rows.withColumnRenamed("edited", "_edited"), "_edited", "edited")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", digits(F.col("sketch")).alias("fingerprint"), digits(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("sketch"), F.col("edited")).alias("contained_in_edited"),
-    )
+    rows = rows.withColumn("_edited", F.concat(F.substring("text", 1, n - quarter), F.substring("next.text", 1, quarter)))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("after"), F.sha2("_edited", 256).alias("edited_sha256"), "_edited")
+    rows = with_sketch(rows, "_edited", "edited").drop("_edited")
+    rows = compared_by(compared_by(rows, "sketch", "edited", "near_edited", "contained_in_edited"), "sketch", "after", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", digits(F.col("sketch")).alias("fingerprint"), digits(F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next", "contained_in_edited")
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

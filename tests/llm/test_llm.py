@@ -175,10 +175,12 @@ def test_sketches_against_brute_force(spark):
         after = texts[(i + 1) % len(texts)]
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
-        r, a, b = rows[3 * i], shingles(t), shingles(edited)
+        r, a, b, c = rows[3 * i], shingles(t), shingles(edited), shingles(after)
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        if len(a) > 300:
-            assert abs(r["near_edited"] - len(a & b) / len(a | b)) < 0.15
+        for got, x, y in ((r["near_edited"], a, b), (r["near_next"], a, c)):
+            exact = len(x) <= fingerprints.WHOLE and len(y) <= fingerprints.WHOLE
+            assert abs(got - len(x & y) / len(x | y)) <= (1e-12 if exact else 0.1)
+        assert abs(r["contained_in_edited"] - len(a & b) / len(a)) <= (1e-12 if len(a) <= fingerprints.WHOLE and len(b) <= fingerprints.WHOLE else 0.1)
         assert len(r["fingerprint"]) > 0
     assert rows[18]["near_next"] == 1.0 and rows[18]["fingerprint"] == rows[21]["fingerprint"]
 
@@ -188,20 +190,47 @@ def test_sketches_of_odd_texts(spark):
     assert len(rows) == len(ODD) + 3
     same = {r["fingerprint"] for r in rows if r["doc_id"] in (5, 6)}
     assert len(same) == 1 and {r["fingerprint"] for r in rows if r["doc_id"] in (0, 1, 2)} == {""}
-    assert all(0 <= r[c] <= 1 for r in rows for c in ("near_edited", "near_next", "contained_in_edited"))
+    assert all(0 <= r[c] <= 1 for r in rows for c in ("near_edited", "near_next"))
+    assert all(r["contained_in_edited"] is None or 0 <= r["contained_in_edited"] <= 1 for r in rows)
     assert fingerprints.compared(empty_docs(spark)).count() == 0
     one = fingerprints.compared(spark.createDataFrame([(1, "only one document here today")], DOCS)).first()
     assert one["near_next"] == 1.0
 
 
+def test_repeated_and_missing_ids_are_dealt_out(spark):
+    rows = [(i, f"text {i}") for i in range(200)] + [(77, f"same id {i}") for i in range(300)] + [(None, f"no id {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_tie", F.xxhash64("text"))
+    placed = docs.withColumn("b", fingerprints._blocks(docs, "doc_id", "_tie")).collect()
+    blocks = defaultdict(set)
+    for r in placed:
+        blocks[r["doc_id"]].add(r["b"])
+    assert len(blocks[77]) > 3 and len(blocks[None]) > 10
+    order = sorted(placed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["_tie"], r["text"]))
+    assert [r["b"] for r in order] == sorted(r["b"] for r in order)
+    got = {hashlib.sha256(r["edited_sha256"].encode()).hexdigest() for r in fingerprints.compared(docs).collect()}
+    texts = [r["text"] for r in order]
+    want = {hashlib.sha256(hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest().encode()).hexdigest() for t, n in zip(texts, texts[1:] + texts[:1])}
+    assert got == want
+
+
 def test_sketches_merge_and_contain(spark):
-    a, b = "a b c d e f g h i j k l m n o p q r s t " * 3, " ".join(f"u{i}" for i in range(2000))
-    df = spark.createDataFrame([(a, b, f"{a.strip()} {b}")], "a string, b string, ab string")
+    rng = random.Random(8)
+    words = [f"u{i}" for i in range(3000)]
+    pairs = []
+    for n, m in ((2, 2000), (20, 2000), (150, 150), (200, 400), (1000, 3000)):
+        for _ in range(20):
+            long = [rng.choice(words) for _ in range(m)]
+            at = rng.randrange(m - n - 4) if m > n + 4 else 0
+            pairs.append((" ".join(long[at : at + n + 4]), " ".join(long)))
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("ab", F.concat_ws(" ", "a", "b"))
     for c in ("a", "b", "ab"):
         df = fingerprints.with_sketch(df, c, f"s{c}")
     df = fingerprints.merged(df, "sa", "sb", "m")
-    got = df.select(F.size(F.array_except("m", "sab")).alias("extra"), F.size(F.array_except("sab", "m")).alias("seam"), fingerprints.containment(F.col("sa"), F.col("sab")).alias("inside")).first()
-    assert got["extra"] == 0 and got["seam"] <= 4 and got["inside"] == 1.0
+    df = fingerprints.compared_by(df, "sa", "sb", "like", "inside")
+    got = df.select("inside", "like", F.size(F.array_except("m.hashes", "sab.hashes")).alias("extra"), F.size(F.array_except("sab.hashes", "m.hashes")).alias("seam"), F.size("sa.hashes").alias("n")).collect()
+    for r in got:  # each is wholly contained; nothing is said where no hash of the short one lies below the long one's bound
+        assert r["inside"] in (1.0, None) and r["extra"] == 0 and r["seam"] <= 4
+    assert all(r["n"] < 40 for r in got if r["inside"] is None) and sum(r["inside"] == 1.0 for r in got) >= 80
 
 
 # ---- operators 3 and 6: links and groups -----------------------------------------------------------------------------------
