@@ -4,34 +4,54 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, one machine
+    takes a temporary folder of its own; a cluster, whose executors could not see it, gets an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scoutlake-"))
+    return sc.getCheckpointDir()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` materialised in the session's shared checkpoint folder, which lost executors do not take with them."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scoutlake-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def groups(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(left, right) -> (id, canonical) for all linked ids.
+def _stars(edges: DataFrame) -> DataFrame:
+    """One round over links (a > b): every larger end of a link is hung on the least smaller neighbour of its smaller end,
+    then every node and its smaller neighbours on the least of these.
+
+    A node without smaller neighbours, the centre of a finished star, is no key of the first join's right side: its links
+    pass as they are. A centre of many links is a skewed key on the left side of a join, where adaptive execution splits it."""
+    low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+    large = edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def groups(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(left, right) -> (id, canonical) for all ids linked to another one.
 
-    Each round gives every id the least label among its neighbours and then the label of its label, so chains halve; the
-    driver sees one count a round."""
-    pairs = links.filter("left <> right")
-    both = saved(pairs.select(F.col("left").alias("id"), F.col("right").alias("to")).unionByName(pairs.select(F.col("right").alias("id"), F.col("left").alias("to"))).distinct())
-    labels = both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("canonical"))
-    labels = saved(labels)
+    Links may repeat, point either way or to the id itself; nulls are dropped. All rounds are joins and partial aggregates
+    over links; the driver sees one count and one checksum a round. Rounds grow with the logarithm of the longest chain."""
+    pairs = links.filter("left is not null and right is not null and left <> right")
+    edges = saved(pairs.select(F.greatest("left", "right").alias("a"), F.least("left", "right").alias("b")).distinct())
+    mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+    before = mark(edges)
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("id").alias("to"), F.col("canonical").alias("offer")), "to").groupBy("id").agg(F.min("offer").alias("offer"))
-        better = labels.join(near, "id").select("id", F.least("canonical", "offer").alias("canonical"))
-        jump = better.select(F.col("id").alias("canonical"), F.col("canonical").alias("further"))
-        after = saved(better.join(jump, "canonical", "left").select("id", F.least("canonical", "further").alias("canonical")))
-        moved = after.join(labels.withColumnRenamed("canonical", "was"), "id").filter("canonical <> was").limit(1).count()
-        labels = after
-        if not moved:
-            return labels
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
+        edges = saved(_stars(edges))
+        after = mark(edges)
+        if after == before:
+            return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("canonical")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("canonical")).distinct())
+        before = after
+    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
