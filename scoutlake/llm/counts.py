@@ -1,145 +1,248 @@
-"""Edit-aware token counts (operator 2): segment trees of pre-token counts, kept per document.
+"""Edit-aware token counts (operator 2): segment trees over pre-tokens, kept with each document.
 
-A document's text is cut into leaves that end at white space (a certain token boundary). The tree stores each leaf's
-length and token count and, above them, sums over pairs of neighbours. An edit re-encodes only the leaves it touches, plus
-the neighbour after them when the edit left no certain boundary there, and updates the sums on their paths to the root.
+A document's text is cut into leaves of up to PRETOKENS pre-tokens that end where every pre-tokeniser begins anew. Its tree
+holds each leaf's length and token count and, above them, sums over pairs of neighbours. Trees are kept as a column beside
+the text, so that a batch of edits starts from the trees that the batch before it left. An edit encodes the leaves that it
+touches, plus those whose boundary it may have removed, and changes the sums on their paths to the root: leaves take up what
+an edit adds and become empty where it removes all, and only a leaf grown beyond GROWN characters has its tree dealt anew.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import broadcast_vocabulary, load
-from .common import table, text_or_empty
+from .bpe import SPACE, broadcast_vocabulary, load
+from .common import shared_folder, table, text_or_empty
 
-#: Characters of a leaf, as far as white space allows.
-LEAF = 512
-_GAP = re.compile(r"\S(?=\s)")
+#: Pre-tokens of a leaf, and the characters beyond which a leaf is split where it can be.
+PRETOKENS, GROWN = 40, 4096
+# Boundaries to the pre-tokeniser whatever is around them: before white space after anything else, and between one of these
+# marks and a letter (texts without spaces).
+_LEAF = re.compile(rf"(?:[{SPACE}]*+[^{SPACE}]++){{{PRETOKENS}}}(?=[{SPACE}])")
+_GAP = re.compile(rf"[^{SPACE}](?=[{SPACE}])|[。，、！？；：](?=[^\W\d_])")
 
+EDIT = "struct<at: long, removed: long, added: string>"
 
-def leaves_of(text: str, leaf: int = LEAF) -> list[str]:
+
+def leaves_of(text: str) -> list[str]:
+    """The text in leaves of PRETOKENS pre-tokens, the last one with fewer; long ones split further where they can be."""
     out, begin = [], 0
-    while len(text) - begin > leaf and (m := _GAP.search(text, begin + leaf - 1)):
+    while m := _LEAF.match(text, begin):
         out.append(text[begin : m.end()])
         begin = m.end()
-    return [*out, text[begin:]]
+    if begin < len(text) or not out:
+        out.append(text[begin:])
+    if max(map(len, out)) > GROWN:
+        out = [part for leaf in out for part in _split(leaf)]
+    return out
 
 
-class Tree:
-    """Sums over a list of leaves: sums[0] the leaves' (characters, tokens), each further level pairs of the one below."""
+def _split(leaf: str) -> list[str]:
+    out, begin = [], 0
+    while len(leaf) - begin > GROWN and (m := _GAP.search(leaf, begin + GROWN // 4)):
+        out.append(leaf[begin : m.end()])
+        begin = m.end()
+    return [*out, leaf[begin:]]
 
-    def __init__(self, leaves: np.ndarray):
-        self.sums = [leaves]
-        self._grow()
 
-    def _grow(self) -> None:
-        while len(level := self.sums[-1]) > 1:
-            if len(level) % 2:
-                level = np.concatenate([level, np.zeros((1, 2), np.int64)])
-            self.sums.append(level[0::2] + level[1::2])
+class Tree:
+    """Sums over a list of leaves: chars[0] and tokens[0] the leaves', each further level pairs of the one below."""
+
+    def __init__(self, chars: list[int], tokens: list[int]):
+        self.chars, self.tokens = [chars], [tokens]
+        for levels in (self.chars, self.tokens):
+            while len(below := levels[-1]) > 1:
+                levels.append([a + b for a, b in zip(below[::2], [*below[1::2], 0])])
+
+    @classmethod
+    def load(cls, kept: bytes) -> Tree:
+        """A tree as `kept` gave it: the number of leaves, then the levels."""
+        numbers = array("i", kept).tolist()
+        tree, at, n = cls.__new__(cls), 1, numbers[0]
+        tree.chars, tree.tokens = [], []
+        while True:
+            tree.chars.append(numbers[at : at + n])
+            tree.tokens.append(numbers[at + n : at + 2 * n])
+            at += 2 * n
+            if n <= 1:
+                return tree
+            n = (n + 1) // 2
+
+    def kept(self) -> bytes:
+        out = array("i", [len(self.chars[0])])
+        for c, t in zip(self.chars, self.tokens):
+            out.extend(c)
+            out.extend(t)
+        return out.tobytes()
 
     @property
-    def total(self) -> np.ndarray:
-        return self.sums[-1][0]
+    def total(self) -> int:
+        return self.tokens[-1][0]
 
     def find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds character `at` (the last one for the text's end), and the characters before it."""
+        """The leaf that holds character `at` (the last one with any for the text's end), and the characters before it."""
         i, before = 0, 0
-        for level in self.sums[-2::-1]:
+        for level in self.chars[-2::-1]:
             i *= 2
-            if at >= before + level[i][0] and i + 1 < len(level):
-                before += int(level[i][0])
+            if at >= before + level[i] and i + 1 < len(level):
+                before += level[i]
                 i += 1
         return i, before
 
-    def replace(self, i: int, j: int, leaves: np.ndarray) -> None:
-        """Leaves i to j become these. As many as before: only the sums above them change; else those right of i too."""
-        level = self.sums[0]
-        if len(leaves) == j - i:
-            level[i:j] = leaves
-            for k in range(1, len(self.sums)):
-                below, i, j = self.sums[k - 1], i // 2, (j - 1) // 2 + 1
-                for n in range(i, j):
-                    self.sums[k][n] = below[2 * n : 2 * n + 2].sum(0)
-        else:
-            self.sums = [np.concatenate([level[:i], leaves, level[j:]])]
-            self._grow()
-
-
-def apply_edit(text: str, tree: Tree, at: int, removed: int, added: str, count) -> tuple[str, int]:
-    """The edited text and how many characters were encoded again; the tree follows. `count` gives texts' token counts."""
+    def replace(self, i: int, chars: list[int], tokens: list[int]) -> None:
+        """Leaves from i on become these; only the sums above them change."""
+        j = i + len(chars)
+        self.chars[0][i:j], self.tokens[0][i:j] = chars, tokens
+        for levels in (self.chars, self.tokens):
+            a, b = i, j
+            for k in range(1, len(levels)):
+                below = levels[k - 1]
+                a, b = a // 2, (b - 1) // 2 + 1
+                for n in range(a, b):
+                    levels[k][n] = below[2 * n] + (below[2 * n + 1] if 2 * n + 1 < len(below) else 0)
+
+
+def _shared_out(parts: list[str], n: int) -> list[str]:
+    """A region's new leaves as n: the last ones together where there are more, empty ones where there are fewer."""
+    if len(parts) > n:
+        return [*parts[: n - 1], "".join(parts[n - 1 :])]
+    return parts + [""] * (n - len(parts))
+
+
+def apply_edit(text: str, tree: Tree, at: int, removed: int, added: str, count) -> tuple[str, Tree, int]:
+    """The edited text, its tree (the same one, changed, unless it was dealt anew) and how many characters were encoded
+    again. `count` gives texts' token counts."""
     at = max(0, min(at, len(text)))
     stop = min(len(text), at + max(0, removed))
+    sizes = tree.chars[0]
     i, begin = tree.find(at)
     j, end = tree.find(max(at, stop - 1))
-    end += int(tree.sums[0][j][0])
+    end += sizes[j]
     j += 1
-    if end < len(text) and stop == end:  # the boundary after the edit may be gone: take in the next leaf
-        end += int(tree.sums[0][j][0])
+    while j < len(sizes) and (stop == end or not sizes[j - 1]):  # the boundary after the edit may be gone: take in the next leaf
+        end += sizes[j]
         j += 1
-    if i and at == begin:  # and so may the one before it
+        if sizes[j - 1]:
+            break
+    while i and at == begin:  # and so may the one before it
         i -= 1
-        begin -= int(tree.sums[0][i][0])
+        begin -= sizes[i]
+        if sizes[i]:
+            break
     region = text[begin:at] + added + text[stop:end]
-    parts = leaves_of(region)
-    tree.replace(i, j, np.array([[len(p), n] for p, n in zip(parts, count(parts))], np.int64).reshape(-1, 2))
-    return text[:at] + added + text[stop:], len(region)
+    text = text[:at] + added + text[stop:]
+    fresh = leaves_of(region)
+    parts = _shared_out(fresh, j - i)
+    if max(map(len, parts)) > GROWN and len(fresh) > j - i:
+        chars = [*sizes[:i], *map(len, fresh), *sizes[j:]]
+        tokens = [*tree.tokens[0][:i], *count(fresh), *tree.tokens[0][j:]]
+        some = [k for k, n in enumerate(chars) if n] or [0]
+        return text, Tree([chars[k] for k in some], [tokens[k] for k in some]), len(region)
+    tree.replace(i, [*map(len, parts)], count(parts))
+    return text, tree, len(region)
+
 
+def _counter(bpe):
+    return lambda texts: [len(x) // 4 for x in bpe.encode_many(texts)]
 
-def counted(docs: DataFrame, edits: DataFrame | None, path: str) -> DataFrame:
-    """(doc_id, text[, edits ARRAY<STRUCT<at, removed, added>>]) -> token counts before and after the edits.
 
-    Returns doc_id, n_tokens, n_edits, n_chars_after, n_tokens_after, reencoded_chars, leaves. Edits apply in array
-    order to the text as it is by then; positions are code points, beyond the end they mean the end, negative the start.
-    Null text is empty, null edits are none, a null piece of an edit counts as 0 or empty. One narrow pass."""
+def planted(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text) -> (doc_id, text, tree, n_tokens): every document with its tree, to be kept. Null text is empty (one
+    empty leaf); repeated rows have a tree each. One narrow pass."""
     spec = broadcast_vocabulary(docs.sparkSession, path)
-    rows = docs.select("doc_id", text_or_empty(), "edits" if edits is None else F.array().alias("edits"))
 
     def run(batches):
-        bpe = load(path, spec)
+        count = _counter(load(path, spec))
+        for batch in batches:
+            leaves = [leaves_of(t) for t in batch.column("text").to_pylist()]
+            counts = count([x for xs in leaves for x in xs])
+            trees, at = [], 0
+            for xs in leaves:
+                trees.append(Tree([*map(len, xs)], counts[at : at + len(xs)]))
+                at += len(xs)
+            columns = [batch.column("doc_id"), batch.column("text"), pa.array([t.kept() for t in trees], pa.binary()), pa.array([t.total for t in trees], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "tree", "n_tokens"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_or_empty()).mapInArrow(run, f"doc_id {kind}, text string, tree binary, n_tokens long")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """`trees` with the rows (doc_id, seq, at, removed, added) of `edits` as an array in the order of seq. Edits of
+    documents that are not there are left out; a null doc_id meets none. One document's edits follow one another and so
+    come together in one row."""
+    at = F.struct("seq", F.struct("at", "removed", "added").alias("e"))
+    per = edits.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["e"]).cast(f"array<{EDIT}>").alias("edits"))
+    return trees.join(per, "doc_id", "left")
 
-        def count(texts):
-            return [len(x) // 4 for x in bpe.encode_many(texts)]
 
+def edited(trees: DataFrame, path: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, tree, edits ARRAY<STRUCT<at, removed, added>>) -> (doc_id, text, tree, n_tokens, n_edits,
+    reencoded_chars, leaves, *extra): text, tree and count after the edits. `extra` names columns to carry along.
+
+    Edits apply in array order to the text as it is by then; positions are code points, beyond the end they mean the end,
+    negative ones the start. Null edits are none, a null piece of an edit counts as 0 or empty. One narrow pass."""
+    spec = broadcast_vocabulary(trees.sparkSession, path)
+    names = ["text", "tree", "n_tokens", "n_edits", "reencoded_chars", "leaves"]
+    own = ["doc_id", *extra]
+
+    def run(batches):
+        count = _counter(load(path, spec))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            leaves = [leaves_of(t) for t in texts]
-            counts = iter(count([x for xs in leaves for x in xs]))
-            out: list[list[int]] = [[] for _ in range(6)]
-            for text, xs, edits in zip(texts, leaves, batch.column("edits").to_pylist()):
-                tree, again, before = Tree(np.array([[len(x), next(counts)] for x in xs], np.int64)), 0, 0
-                before = int(tree.total[1])
+            out: list[list] = [[] for _ in names]
+            for text, kept, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits"))):
+                tree, again = Tree.load(kept), 0
                 for e in edits or ():
                     if e is not None:
-                        text, n = apply_edit(text, tree, e["at"] or 0, e["removed"] or 0, e["added"] or "", count)
+                        text, tree, n = apply_edit(text, tree, e["at"] or 0, e["removed"] or 0, e["added"] or "", count)
                         again += n
-                for column, x in zip(out, (before, len(edits or ()), len(text), int(tree.total[1]), again, len(tree.sums[0]))):
+                for column, x in zip(out, (text, tree.kept(), tree.total, len(edits or ()), again, len(tree.chars[0]))):
                     column.append(x)
-            names = ["n_tokens", "n_edits", "n_chars_after", "n_tokens_after", "reencoded_chars", "leaves"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", *names])
+            kinds = [pa.string(), pa.binary(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), *(pa.array(x, t) for x, t in zip(out, kinds))], [*own, *names])
+
+    schema = ", ".join(f"`{c}` {trees.schema[c].dataType.simpleString()}" for c in own)
+    return trees.select(*own, "text", "tree", "edits").mapInArrow(run, f"{schema}, text string, tree binary, n_tokens long, n_edits long, reencoded_chars long, leaves long")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_edits long, n_chars_after long, n_tokens_after long, reencoded_chars long, leaves long")
 
+def kept(trees: DataFrame) -> DataFrame:
+    """`trees` written to the shared folder and read back: what later batches of edits start from."""
+    path = f"{shared_folder(trees.sparkSession)}/trees-{uuid.uuid4().hex}"
+    trees.write.option("compression", "zstd").parquet(path)
+    return trees.sparkSession.read.schema(trees.schema).parquet(path)
 
-def scripted_edits(docs: DataFrame) -> DataFrame:
-    """The documents with three edits each, from their own text: a swap inside, a deletion near the end, an insertion at
-    the start."""
+
+def _edit(at: Column, removed: Column, added: Column) -> Column:
+    return F.struct(at.cast("long").alias("at"), removed.cast("long").alias("removed"), added.alias("added"))
+
+
+def first_edits() -> Column:
+    """Three edits of a document from its own text: a swap inside, a deletion near the end, an insertion at the start."""
     n = F.length("text")
-    third, most = F.floor(n / 3).cast("int"), F.floor(n * 9 / 10).cast("int")
-    edit = lambda at, removed, added: F.struct(at.cast("long").alias("at"), removed.cast("long").alias("removed"), added.alias("added"))
-    return docs.select("doc_id", text_or_empty()).withColumn(
-        "edits",
-        F.array(edit(third, F.lit(7), F.substring("text", 1, 24)), edit(most, F.lit(31), F.lit("")), edit(F.lit(0), F.lit(0), F.concat(F.substring("text", 5, 9), F.lit("'s")))),
-    )
+    third, most = F.floor(n / 3), F.floor(n * 9 / 10)
+    return F.array(_edit(third, F.lit(7), F.substring("text", 1, 24)), _edit(most, F.lit(31), F.lit("")), _edit(F.lit(0), F.lit(0), F.concat(F.substring("text", 5, 9), F.lit("'s"))))
+
+
+def later_edits() -> Column:
+    """An edit of the document as the first batch left it: its middle goes, its end is put there."""
+    half = F.floor(F.length("text") / 2)
+    return F.array(_edit(half, F.lit(12), F.substring(F.col("text"), F.greatest(F.length("text") - 15, F.lit(1)), F.lit(16))))
 
 
 def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's count, after three edits, and after a further batch on the trees that these left."""
     import public_tokenizers
 
-    return counted(scripted_edits(table(spark, sf_dir, "documents")), None, public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    trees = kept(planted(table(spark, sf_dir, "documents"), path)).withColumnRenamed("n_tokens", "n_tokens_before")
+    one = edited(trees.withColumn("edits", first_edits()), path, ("n_tokens_before",))
+    one = one.withColumnsRenamed({"n_tokens": "n_tokens_after", "n_edits": "n_edits_first", "reencoded_chars": "reencoded_first"})
+    two = edited(one.withColumn("edits", later_edits()), path, ("n_tokens_before", "n_tokens_after", "n_edits_first", "reencoded_first"))
+    n_edits, again = F.col("n_edits") + F.col("n_edits_first"), F.col("reencoded_chars") + F.col("reencoded_first")
+    return two.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_tokens_after", F.col("n_tokens").alias("n_tokens_later"), F.length("text").cast("long").alias("n_chars_later"), n_edits.alias("n_edits"), again.alias("reencoded_chars"), "leaves")
