@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -168,18 +168,23 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """Whole turns (conv_id, turn, role, text) as a log: opened with the first half of their text, the rest as a delta."""
-    text = F.coalesce("text", F.lit(""))
+    """Whole turns (conv_id, turn, role, text) as the log of a service that streams them: every message opens with a
+    placeholder, an assistant's is regenerated and another's edited to the first half of its text, and a delta brings the
+    rest. Turns that repeat stay apart: within a turn, messages come in the order of a hash of role and text, equal ones
+    each with a number of their own. Nulls are empty."""
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
     half = F.ceil(F.length(text) / 2).cast("int")
 
-    def event(seq: int, kind: str, role: Column, part: Column) -> Column:
-        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), part.alias("text"))
+    def event(seq: int, kind: Column, role: Column, part: Column) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), kind.alias("kind"), role.alias("role"), part.alias("text"))
 
-    # turns that repeat keep their own events together: their texts, and a number among equal ones, tell them apart in the order of the log
-    parts = F.array(event(0, "open", F.coalesce("role", F.lit("")), F.substring(text, 1, half)), event(1, "delta", F.lit(None).cast("string"), F.expr("substring(coalesce(text, ''), cast(ceil(length(coalesce(text, '')) / 2) as int) + 1)")))
-    numbered = turns.select("conv_id", "turn", "role", "text", F.xxhash64("role", "text").alias("_which"))
-    numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("conv_id", "turn", "_which").orderBy("role", "text")))
-    return numbered.select("conv_id", "turn", "_which", "_copy", F.explode(parts).alias("e")).select("conv_id", "turn", F.concat_ws("-", F.lpad(F.hex("_which"), 16, "0"), F.lpad(F.col("_copy").cast("string"), 10, "0"), F.col("e.seq").cast("string")).alias("seq"), "e.kind", "e.role", "e.text")
+    none = F.lit(None).cast("string")
+    again = F.when(role == LOSS_ROLE, "regenerate").otherwise("edit")
+    parts = F.array(event(0, F.lit("open"), role, F.lit("...")), event(1, again, none, F.substring(text, F.lit(1), half)), event(2, F.lit("delta"), none, F.substring(text, half + 1, F.length(text))))
+    # the number only tells equal messages apart, whichever of them has which: the events of one row leave one task together
+    which = F.concat_ws("-", F.lpad(F.hex(F.xxhash64(role, text)), 16, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    rows = turns.select("conv_id", "turn", which.alias("_which"), F.explode(parts).alias("e"))
+    return rows.select("conv_id", "turn", F.concat_ws("-", "_which", "e.seq").alias("seq"), "e.kind", "e.role", "e.text")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,3 +20,15 @@ def test_repeated_turns_stay_whole(spark):
         orders = permutations(f"{r or ''}\n{x or ''}\n" for k, _, r, x in turns if k == c)
         assert got[c]["turns_sha256"] in {sha("".join(o)) for o in orders}
     assert got[3]["loss_sha256"] == sha("b")
+
+
+def test_the_log_of_turns_has_every_kind_of_event(spark):
+    turns = [(1, 0, "user", "hello there"), (1, 1, "assistant", "an answer"), (1, 2, "user", None), (1, 3, "assistant", "x")]
+    log = chat.as_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["kind"] for r in log} == {"open", "edit", "regenerate", "delta"}
+    for c, t, role, text in turns:
+        own = sorted((r.asDict() for r in log if r["turn"] == t), key=lambda r: r["seq"])
+        plain_text = ""
+        for e in own:  # by the words of the contract, not by the operator's fold
+            plain_text = plain_text + (e["text"] or "") if e["kind"] == "delta" else e["text"] or ""
+        assert plain_text == (text or "") and chat.fold(own) == (role, text or "")
