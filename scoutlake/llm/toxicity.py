@@ -6,6 +6,7 @@ softmax tells toxic from clean. Unseen spellings share n-grams, and so vectors,
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 
@@ -19,6 +20,8 @@ from .common import held_out, labelled_sample, table, text_or_empty
 
 #: Labelled documents the vectors are trained on, at most; half of them of each label if there are as many.
 SAMPLE = 4_000
+#: Labelled documents of more characters are not learned from: with SAMPLE this bounds what the driver holds.
+LONGEST = 50_000
 BUCKETS = 1 << 17
 DIMENSIONS = 6
 SIZES = (3, 4, 5)
@@ -87,6 +90,16 @@ def telling(gram: np.ndarray, doc: np.ndarray, toxic: np.ndarray, least: float)
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, least: float = TELLING, seed: int = 7) -> Model:
     """Joint training of vectors and softmax on whole texts, full-batch with Adam. N-grams that do not tell them apart stay at zero. Without both labels the score is the smoothed share of toxic ones."""
+    return train_bags([bag(t) for t in texts], labels, rounds, rate, decay, least, seed)
+
+
+def bag(text: str) -> Counter:
+    """The words of a whole text, as their n-grams see them, and how often each comes."""
+    return Counter(map(plain, text.split()))
+
+
+def train_bags(bags: list[Counter], labels: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, least: float = TELLING, seed: int = 7) -> Model:
+    """`train` on documents' words."""
     rng = np.random.default_rng(seed)
     vectors = np.zeros((BUCKETS, DIMENSIONS), np.float32)
     weights = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
@@ -96,13 +109,12 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 120, rate: float =
         return Model(vectors, weights, bias)
     of_word: dict[str, np.ndarray] = {}
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in texts:
-        bag = Counter(map(plain, t.split()))
-        for w in bag:
+    for words in bags:
+        for w in words:
             if w not in of_word:
                 of_word[w] = np.array(grams(w), np.int32)
-        lists = [*map(of_word.__getitem__, bag)]
-        portion = np.fromiter(bag.values(), float) / (bag.total() + PADDING)
+        lists = [*map(of_word.__getitem__, words)]
+        portion = np.fromiter(words.values(), float) / (words.total() + PADDING)
         weight = np.repeat(portion / np.maximum(1, [*map(len, lists)]), [*map(len, lists)])
         ids, inverse = np.unique(np.concatenate([np.zeros(0, np.int32), *lists]), return_inverse=True)
         rows.append((ids, np.bincount(inverse, weight, len(ids))))
@@ -134,15 +146,31 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 120, rate: float =
     return Model(vectors, parts[1], parts[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most `sample` labelled documents outside the held-out third, whole texts; they come to the driver, so
-    the parameter bounds what it holds."""
-    rows = labelled_sample(docs, labels, "toxic", sample, even=True).collect()
-    rows = sorted((r["text"], r["label"]) for r in rows)  # the order rows arrive in changes nothing
-    return train([t for t, _ in rows], np.array([int(y > 0) for _, y in rows]))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Train on at most `sample` labelled documents outside the held-out third, whole texts of up to `longest` characters.
+    Their words are counted on the executors; the counts come to the driver, so the two parameters bound what it holds."""
+    rows = labelled_sample(docs.filter(F.length("text") <= longest), labels, "toxic", sample, even=True)
+
+    def run(batches):
+        for batch in batches:
+            bags = [sorted(bag(t).items()) for t in texts_of(batch)]
+            words, counts = ([[x[k] for x in b] for b in bags] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["label", "words", "counts"])
+
+    found = rows.mapInArrow(run, "label int, words array<string>, counts array<int>").collect()
+    found = sorted((r["words"], r["counts"], r["label"]) for r in found)  # the order rows arrive in changes nothing
+    return train_bags([Counter(dict(zip(w, n))) for w, n, _ in found], np.array([int(y > 0) for _, _, y in found]))
+
+
+_SEEN: dict[str, dict[str, float]] = {}
 
 
-_SEEN: dict[int, dict[str, float]] = {}
+def _seen(model: str) -> dict[str, float]:
+    """The worker's table of word scores of one model; another model's is dropped."""
+    if model not in _SEEN:
+        _SEEN.clear()
+        _SEEN[model] = {}
+    return _SEEN[model]
 
 
 def scored(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -150,13 +178,12 @@ def scored(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFr
     `extra` names columns of the documents to carry along. One narrow pass; repeated rows give repeated results."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS vectors, whatever the corpus
     fields = [docs.schema["doc_id"], *(docs.schema[c] for c in extra)]
-    source = "text" if "text" in extra else "_text"
+    source, name = "text" if "text" in extra else "_text", uuid.uuid4().hex
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            seen = _SEEN.setdefault(shared.id if hasattr(shared, "id") else id(model), {})
-            p = []
+            seen, p = _seen(name), []
             for t in texts_of(batch, source):
                 if len(seen) > CACHE_WORDS:
                     seen.clear()
