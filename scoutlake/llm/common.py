@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import saved, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where that is
-    unset (tests, one machine)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scoutlake-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the cluster's shared checkpoint folder, so that lost executors cost no recomputation of
     what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return saved(df)
+
+
+def joined(rows: DataFrame, lookup: DataFrame, key: list[str], hot: Column) -> DataFrame:
+    """Inner join of `rows` with one row of `lookup` per key. Keys for which `hot` holds, by their count more than a
+    thousandth of all rows and so fewer than a thousand, are broadcast: their rows stay where they are."""
+    few = F.broadcast(lookup.filter(hot))
+    rest = rows.join(few.select(*key), key, "left_anti").join(lookup.filter(~hot), key)
+    return rows.join(few, key).unionByName(rest)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

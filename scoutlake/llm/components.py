@@ -1,38 +1,15 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from ..operators.graph import groups
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over links (a > b). Every node's neighbours are hung on the smallest of them and the node: the larger
-    ones in a large star, the smaller ones and the node itself in a small star."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    hung = both.join(least, "a")
-    if large:
-        out = hung.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a != b").distinct()
-
-
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(a, b) -> (node, component): the smallest node reachable, for every node that has a link to another.
-
-    Links may repeat, point either way or to the node itself; nulls are dropped. All rounds are joins and partial
-    aggregates over links; the driver sees one count a round. Rounds grow with the logarithm of the longest chain."""
-    edges = cut(links.filter("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
-        after = cut(_star(_star(edges, True), False))
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
-        edges = after
-        if same:
-            break
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-    return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+def components(links: DataFrame) -> DataFrame:
+    """(a, b) -> (node, component): the smallest node reachable, for every node that has a link to another. Links may
+    repeat, point either way or to the node itself; nulls are dropped."""
+    found = groups(links.select(F.col("a").alias("left"), F.col("b").alias("right")))
+    return found.select(F.col("id").alias("node"), F.col("canonical").alias("component"))

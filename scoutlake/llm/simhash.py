@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
-from .common import cut, table, text_or_empty
+from .common import cut, joined, table, text_or_empty
 from .components import components
 
 SHINGLE = 3
@@ -154,12 +154,13 @@ def near_duplicates(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     text is empty and has fingerprint 0, null ids neither name a component nor are named by one of others; repeated
     rows stay as many. An empty table gives an empty one."""
     marked = cut(fingerprints(docs, extra=extra))
-    distinct = cut(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("least")))
+    distinct = cut(marked.groupBy(F.col("fingerprint").alias("f")).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     groups = components(links(distinct))
     named = distinct.join(groups.withColumnRenamed("node", "f"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(smallest, "component").select(F.col("f").alias("fingerprint"), "component_id")
-    return marked.join(ids, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", *extra)
+    ids = cut(named.join(smallest, "component").select(F.col("f").alias("fingerprint"), "component_id", "copies"))
+    return joined(marked, ids, ["fingerprint"], F.col("copies") > total // 1000).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id", *extra)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
