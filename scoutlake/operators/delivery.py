@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -81,15 +81,18 @@ def run_metrics(source: str, counts: dict[str, DataFrame], as_of: Column) -> Dat
     """One ledger row of a run: when, and how many rows each of its results has."""
     out = None
     for name, rows in counts.items():
-        one = rows.agg(F.count("*").alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out.select(F.lit(source).alias("source"), as_of.alias("finished_at"), *counts)
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out.agg(*(F.max(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in counts)).select(F.lit(source).alias("source"), as_of.alias("finished_at"), *counts)
 
 
-def trace_rows(edges: DataFrame, step: str) -> DataFrame:
-    """A ledger row per founder: what the step did and on which evidence (the first hundred ids, and how many)."""
-    per = edges.groupBy("founder_id").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("signal_id")), 1, 100).alias("evidence"))
-    return per.select("founder_id", F.lit(step).alias("step"), F.to_json(F.struct("n")).alias("summary"), "evidence")
+def trace_rows(edges: DataFrame, step: str, size: int = 1000) -> DataFrame:
+    """A ledger row per founder: what the step did and on which evidence. Every row's evidence is complete: a founder with
+    more ids than `size` has them in several numbered rows, so that none is unbounded."""
+    w = Window.partitionBy("founder_id").orderBy("signal_id")
+    numbered = edges.select("founder_id", "signal_id").distinct().withColumn("part", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    per = numbered.groupBy("founder_id", "part").agg(F.sort_array(F.collect_list("signal_id")).alias("evidence"), F.count("*").alias("n"))
+    return per.select("founder_id", "part", F.lit(step).alias("step"), F.to_json(F.struct("n")).alias("summary"), "evidence")
 
 
 def duplicate_groups(people: DataFrame) -> DataFrame:
@@ -113,3 +116,36 @@ def cached_institutions(strings: DataFrame, cache: DataFrame, registry: DataFram
     chosen = registry.filter("chosen").groupBy("alias_key").agg(F.min("ror_id").alias("ror_id"))
     fresh = unknown.join(chosen, "alias_key", "left").select("alias_key", "ror_id")
     return keyed.join(cache.select("alias_key", "ror_id").unionByName(fresh), "alias_key", "left"), fresh
+
+
+def institution_counts(education: DataFrame, aliases: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(founder_id, school) -> how often each affiliation string comes, and the `most` institutions with the most (the
+    report's length). `aliases`: alias_key, ror_id (null for a miss)."""
+    schools = education.select(F.trim(F.coalesce("school", F.lit(""))).alias("school")).filter("school <> ''")
+    strings = schools.groupBy("school").agg(F.count("*").alias("n"))
+    met = strings.withColumn("alias_key", K.institution_key(F.col("school"))).join(aliases.filter("ror_id is not null"), "alias_key")
+    return strings, met.groupBy("ror_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ror_id").limit(most)
+
+
+def cleanup(people: DataFrame, canonical: DataFrame, attributions: DataFrame, signals: DataFrame, cited: DataFrame, opportunities: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What a cleanup takes out, in its order, and the report of it as (metric, n): founders that are no persons; duplicates
+    merged into `canonical` (id, canonical); founders left without signals; founder signals that nothing uses; and deals
+    without a founder, which are only reported.
+
+    `people`: founder_id, display_name; `attributions`: founder_id, signal_id; `signals`: signal_id, kind."""
+    from .merge import rekeyed
+
+    odd = people.filter(~K.is_person(F.col("display_name"))).select("founder_id")
+    left = people.join(odd, "founder_id", "left_anti")
+    mapping = canonical.join(left.select(F.col("founder_id").alias("id")), "id", "left_semi").join(left.select(F.col("founder_id").alias("canonical")), "canonical", "left_semi")
+    gone = mapping.filter("id <> canonical").select(F.col("id").alias("founder_id"))
+    left = left.join(gone, "founder_id", "left_anti")
+    edges = rekeyed(attributions.join(odd, "founder_id", "left_anti"), mapping).distinct()
+    bare, loose = orphans(left, edges, signals, cited)
+    taken = {"non_persons": odd, "merged": gone, "without_signals": bare.select("founder_id"), "orphaned_signals": loose.select("signal_id"), "deals_without_founder": opportunities.filter("founder_id is null").select("opportunity_id")}
+    before = {"duplicate_groups_before": duplicate_groups(people.withColumnRenamed("founder_id", "id")), "remaining_founders": left.join(bare.select("founder_id"), "founder_id", "left_anti"), "duplicate_groups_left": duplicate_groups(left.join(bare.select("founder_id"), "founder_id", "left_anti").withColumnRenamed("founder_id", "id"))}
+    report = None
+    for name, rows in (taken | before).items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n")
+        report = one if report is None else report.unionByName(one)
+    return taken, report

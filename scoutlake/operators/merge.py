@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the order in which a deal's states outrank each other.
-STATUS_RANK = {"new": 0, "screened": 1, "diligence": 2, "passed": 3, "pursue": 4}
+#: Fixed value: the order in which a deal's states outrank each other; the two outcomes are equal.
+STATUS_RANK = {"screening": 0, "diligence": 1, "rejected": 2, "decided": 2}
 
 
 def rekeyed(child: DataFrame, mapping: DataFrame, column: str = "founder_id") -> DataFrame:
@@ -31,14 +31,14 @@ def fold_claims(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, Data
 
 
 def fold_deals(deals: DataFrame) -> DataFrame:
-    """One deal per (founder, company): the furthest status, the earliest times, and the first known value of the rest in
+    """One deal per (founder, company): the furthest status (the earliest deal's of equal ones), the earliest times, and the first known value of the rest in
     order of creation. Deals without a company stay apart."""
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in STATUS_RANK.items() for x in kv)), F.col("status")), F.lit(-1))
     at = F.struct("created_at", "opportunity_id")
     key = F.coalesce(F.col("company_id").cast("string"), F.concat(F.lit("deal-"), F.col("opportunity_id").cast("string")))
     first_known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
     return deals.groupBy("founder_id", key.alias("_key")).agg(
-        F.min_by("opportunity_id", at).alias("opportunity_id"), F.first("company_id").alias("company_id"), F.max_by("status", F.struct(rank, F.col("opportunity_id"))).alias("status"), F.min("created_at").alias("created_at"), F.min("decided_at").alias("decided_at"), first_known("sector"), F.count("*").alias("n_folded")
+        F.min_by("opportunity_id", at).alias("opportunity_id"), F.first("company_id").alias("company_id"), F.min_by("status", F.struct(-rank, "created_at", "opportunity_id")).alias("status"), F.min("created_at").alias("created_at"), F.min("decided_at").alias("decided_at"), first_known("sector"), F.count("*").alias("n_folded")
     ).drop("_key")
 
 
@@ -69,3 +69,44 @@ def resolved_companies(mentions: DataFrame, known: DataFrame) -> DataFrame:
     found = F.coalesce(F.col("_d").cast("string"), F.col("_n").cast("string"))
     how = F.when(F.col("_d").isNotNull(), "domain").when(F.col("_n").isNotNull(), "name").when(F.coalesce("name_key", "domain").isNotNull(), "new")
     return out.select("mention_id", F.coalesce(found, fresh).alias("company_id"), how.alias("matched_by"))
+
+
+def fold_company_links(links: DataFrame) -> DataFrame:
+    """(founder_id, company_id, role, linked_at) -> one link per pair, with the first role that is known."""
+    known = F.col("role").isNotNull() & (F.col("role") != "")
+    return links.groupBy("founder_id", "company_id").agg(F.min_by("role", F.when(known, F.struct("linked_at", "role"))).alias("role"), F.min("linked_at").alias("linked_at"))
+
+
+def linked_companies(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Founder-company links after new ones: a pair is linked once, and a role is filled in only where there was none."""
+    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    known = F.col("role").isNotNull() & (F.col("role") != "")
+    return both.groupBy("founder_id", "company_id").agg(F.min_by("role", F.when(known, F.struct("_new", "linked_at", "role"))).alias("role"), F.min("linked_at").alias("linked_at"))
+
+
+def fold_aliases(aliases: DataFrame, mapping: DataFrame, names: DataFrame) -> DataFrame:
+    """(founder_id, alias, normalized_name) of merged people under their canonical ids, once per name, with the duplicates'
+    own names (`names`: id, display_name) added."""
+    from ..functions import keys as K
+
+    gone = names.join(mapping.filter("id <> canonical"), "id").select(F.col("canonical").alias("founder_id"), F.col("display_name").alias("alias"), K.person_name(F.col("display_name")).alias("normalized_name"))
+    rows = rekeyed(aliases, mapping).unionByName(gone).filter("normalized_name <> ''")
+    return rows.groupBy("founder_id", "normalized_name").agg(F.min("alias").alias("alias"))
+
+
+def fold_axes(axes: DataFrame, deals: DataFrame) -> DataFrame:
+    """(opportunity_id, axis, score, verdict) of folded deals (opportunity_id, survivor, created_at) on the surviving deal:
+    its own rows stay, and axes it lacks come across from the earliest deal that has them."""
+    at = F.struct(F.when(F.col("opportunity_id") == F.col("survivor"), 0).otherwise(1), "created_at", "opportunity_id")
+    rows = axes.join(deals, "opportunity_id").groupBy("survivor", "axis").agg(F.min_by(F.struct("score", "verdict"), at).alias("a"))
+    return rows.select(F.col("survivor").alias("opportunity_id"), "axis", "a.score", "a.verdict")
+
+
+def enriched_companies(known: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(company_id, name_key, domain, website, sector, geo, description) filled from resolved mentions (company_id, mention_id
+    and the same fields): only what is empty, from the earliest mention that has it."""
+    fields = ["name_key", "domain", "website", "sector", "geo", "description"]
+    some = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
+    new = mentions.groupBy("company_id").agg(*(F.min_by(c, F.when(some(c), F.col("mention_id"))).alias(f"_{c}") for c in fields))
+    out = known.join(new, "company_id", "left")
+    return out.select("company_id", *(F.coalesce(F.nullif(c, F.lit("")), f"_{c}").alias(c) for c in fields))

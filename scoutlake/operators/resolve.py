@@ -94,7 +94,7 @@ def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame,
     return by_name.unionByName(by(in_handles, ex_handles, "kind", "value")).unionByName(by(in_artifacts, ex_artifacts, "url")).distinct()
 
 
-def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None) -> DataFrame:
+def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, all_existing: bool = False) -> DataFrame:
     """Every candidate pair with its score, reasons and conflicts.
 
     People: id, display_name, city, company, education; handles: id, kind, value (canonical); artifacts: id, url. Handles
@@ -105,7 +105,8 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
     in_handles, ex_handles = (h.join(void, ["kind", "value"], "left_anti") for h in (in_handles, ex_handles))
     empty = in_handles.select("id", F.col("value").alias("url")).limit(0)
     in_artifacts, ex_artifacts = in_artifacts if in_artifacts is not None else empty, ex_artifacts if ex_artifacts is not None else empty
-    e = _first_of_alike(e, "e_", ex_handles, ex_artifacts)
+    if not all_existing:  # one of those that score alike is enough to decide a mention
+        e = _first_of_alike(e, "e_", ex_handles, ex_artifacts)
     pairs = saved(candidates(i, e, in_handles, ex_handles, in_artifacts, ex_artifacts))
     art = in_artifacts.select(F.col("id").alias("i_id"), "url").join(ex_artifacts.select(F.col("id").alias("e_id"), "url"), "url").groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
     rows = pairs.join(i, "i_id").join(e, "e_id").join(art, ["i_id", "e_id"], "left")
@@ -139,7 +140,7 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
 def decided(incoming: DataFrame, pairs: DataFrame) -> DataFrame:
     """The action for each mention: merge, review or new; the best pair without conflict wins, ties go to the earliest
     person, and a conflict decides only where nothing reaches the review level."""
-    clear = pairs.filter(F.size("conflicts") == 0).groupBy("i_id").agg(F.max_by(F.struct("e_id", "score", "reasons", "named"), F.struct("score", -F.col("e_id"))).alias("best"))
+    clear = pairs.filter(F.size("conflicts") == 0).groupBy("i_id").agg(F.min_by(F.struct("e_id", "score", "reasons", "named"), F.struct(-F.col("score"), F.col("e_id"))).alias("best"))
     clash = pairs.filter(F.size("conflicts") > 0).groupBy("i_id").agg(F.min_by(F.struct("e_id", "conflicts"), F.col("e_id")).alias("clash"))
     rows = incoming.select(F.col("id").alias("i_id")).join(clear, "i_id", "left").join(clash, "i_id", "left")
     conflicted = (F.col("best").isNull() | (F.col("best.score") < REVIEW_AT)) & F.col("clash").isNotNull()
@@ -196,3 +197,18 @@ def first_claimant(handles: DataFrame, kind: str = "orcid") -> DataFrame:
     """Handles of a kind that only one person may hold: the earliest holder keeps it, later ones lose theirs."""
     w = Window.partitionBy("kind", F.lower("value")).orderBy("id")
     return handles.withColumn("_n", F.row_number().over(w)).filter((F.col("kind") != kind) | (F.col("_n") == 1)).drop("_n")
+
+
+def reconciled(people: DataFrame, handles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """People merged as far as it goes, and the pairs left for a human: (id, canonical) and (left_id, right_id, decision,
+    confidence, reasons, conflicts).
+
+    Merging is a fixpoint over groups, so one pass does what repeated merging of pairs would; afterwards every canonical
+    person is scored against those of the same name or a shared handle that come before them. `dry_run` is to ignore the
+    first result."""
+    merged = merges(people, handles)
+    keep = people.join(merged.filter("id <> canonical").select("id"), "id", "left_anti")
+    own = handles.join(merged, "id", "left").select(F.coalesce("canonical", "id").alias("id"), "kind", "value").distinct()
+    pairs = scored(keep, keep, own, own, all_existing=True).filter("i_id > e_id")
+    open_pairs = pairs.filter((F.size("conflicts") > 0) | ((F.col("score") >= REVIEW_AT) & (F.col("score") < MERGE_AT) & F.col("named")))
+    return merged, open_pairs.select(F.col("e_id").alias("left_id"), F.col("i_id").alias("right_id"), F.when(F.size("conflicts") > 0, "conflict").otherwise("review").alias("decision"), F.round("score", 3).alias("confidence"), F.array_join("reasons", ",").alias("reasons"), F.array_join("conflicts", ",").alias("conflicts"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Bands and limits of the axes.
 BULL_AT, BEAR_BELOW, COLD_START, CONFIDENCE_CAP, CONFIDENCE_SCALE, DEADBAND = 40.0, 15.0, 6, 0.95, 5.0, 1.0
 VERDICTS = {"survives_as_is": "bull", "pivot_needed": "neutral", "fails": "bear"}
-DECISION_STATUS = {"pursue": "pursue", "pass": "passed"}
+DECISION_STATUS = {"pursue": "decided", "track": "diligence", "pass": "rejected"}
+AXES = ["founder", "market", "idea"]
 
 
 def last_step(points: DataFrame) -> DataFrame:
@@ -85,3 +86,61 @@ def memo_anchors(sections: DataFrame, evidence: DataFrame, required: list[str])
     per = cited.groupBy("memo_id", "section").agg(F.count_if(F.col("_real")).alias("good"), F.count_if(F.col("claim_id").isNotNull() & F.col("_real").isNull()).alias("bad"))
     names = F.array(*map(F.lit, required))
     return per.groupBy("memo_id").agg(F.count_if(F.col("good") > 0).alias("anchored_sections"), F.sum("good").alias("citations"), F.sum("bad").alias("dropped"), F.array_join(F.array_except(names, F.collect_set(F.when(F.col("good") > 0, F.col("section")))), ",").alias("missing"))
+
+
+def evidence_for_idea(opportunities: DataFrame, claims: DataFrame, axes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the idea axis is judged on: claims of the deal's founder and of the deal itself as (opportunity_id, side, claim_id,
+    statement, category, trust), and per deal with an idea or a sector the counts and the market axis in one line.
+
+    `claims`: claim_id, founder_id, opportunity_id, statement, category, trust; `axes`: opportunity_id, axis, verdict, score,
+    rationale."""
+    deals = opportunities.filter("trim(coalesce(idea, '')) <> '' or trim(coalesce(sector, '')) <> ''")
+    fields = ["claim_id", "statement", "category", "trust"]
+    own = deals.select("opportunity_id", "founder_id").join(claims.filter("founder_id is not null").select("founder_id", *fields), "founder_id").select("opportunity_id", F.lit("founder").alias("side"), *fields)
+    market = deals.select("opportunity_id").join(claims.filter("opportunity_id is not null").select("opportunity_id", *fields), "opportunity_id").select("opportunity_id", F.lit("market").alias("side"), *fields)
+    rows = own.unionByName(market)
+    counts = rows.groupBy("opportunity_id").agg(F.count_if(F.col("side") == "founder").alias("n_founder_claims"), F.count_if(F.col("side") == "market").alias("n_market_claims"))
+    line = F.concat(F.lit("verdict="), "verdict", F.lit(", score="), F.col("score").cast("string"), F.lit(": "), F.coalesce("rationale", F.lit("")))
+    summary = axes.filter("axis = 'market'").select("opportunity_id", line.alias("market_summary"))
+    zero = {"n_founder_claims": 0, "n_market_claims": 0}
+    return rows, deals.select("opportunity_id").join(counts, "opportunity_id", "left").fillna(zero).join(summary, "opportunity_id", "left")
+
+
+def provenance(cited: DataFrame, evidence: DataFrame, signals: DataFrame, key: str, supports_only: bool = False) -> DataFrame:
+    """(key, claim_id) -> per key the different URLs of the cited claims' evidence, sorted, as one line."""
+    edges = evidence.filter("stance = 'supports'") if supports_only else evidence
+    urls = cited.select(key, "claim_id").distinct().join(edges.select("claim_id", "signal_id"), "claim_id").join(signals.filter("url is not null").select("signal_id", "url"), "signal_id").select(key, "url").distinct()
+    return urls.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("url")), " ").alias("urls"), F.count("*").alias("n_urls"))
+
+
+def screened(opportunities: DataFrame, existing: DataFrame, founder_axis: DataFrame, market_axis: DataFrame, idea_axis: DataFrame, refresh_market: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Deals after a screening: three axis rows each, side by side and never averaged, and the status `diligence`.
+
+    `founder_axis` is per founder, the others per deal; a market axis that is there already is kept unless refreshed.
+    Axis rows: opportunity_id, axis, score, verdict, confidence; trends compare with the rows before."""
+    fields = ["score", "verdict", "confidence"]
+    deals = opportunities.select("opportunity_id", "founder_id")
+    own = deals.join(founder_axis.select("founder_id", *fields), "founder_id").select("opportunity_id", F.lit("founder").alias("axis"), *fields)
+    market = market_axis.join(deals.select("opportunity_id"), "opportunity_id", "left_semi")
+    if not refresh_market:
+        market = market.join(existing.filter("axis = 'market'").select("opportunity_id"), "opportunity_id", "left_anti")
+    idea = idea_axis.join(deals.select("opportunity_id"), "opportunity_id", "left_semi")
+    new = own.unionByName(market.select("opportunity_id", F.lit("market").alias("axis"), *fields)).unionByName(idea.select("opportunity_id", F.lit("idea").alias("axis"), *fields))
+    return upserted_axes(existing, new), opportunities.withColumn("status", F.lit("diligence"))
+
+
+def claim_blocks(claims: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, claim_id, category, trust, statement) -> one text block per key for a reader, a line a claim in the order of ids."""
+    line = F.concat(F.lit("["), F.col("claim_id").cast("string"), F.lit("] ("), "category", F.lit(", trust="), F.coalesce(F.col("trust").cast("string"), F.lit("None")), F.lit(") "), "statement")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("claim_id", line.alias("line")))), lambda x: x["line"])
+    return claims.groupBy(key).agg(F.concat(F.lit(f"## {label}\n"), F.array_join(lines, "\n")).alias("block"), F.count("*").alias("n_claims"))
+
+
+def memo_view(memos: DataFrame) -> DataFrame:
+    """(opportunity_id, generated_at, memo_id, recommendation, confidence, gaps, sections) -> each deal's latest memo as it is
+    shown; no gaps are an empty list."""
+    at = F.struct("generated_at", "memo_id")
+    fields = [c for c in ("recommendation", "confidence", "gaps", "generated_at", "sections") if c in memos.columns]
+    last = memos.groupBy("opportunity_id").agg(F.max_by(F.struct("memo_id", *fields), at).alias("m"))
+    out = last.select("opportunity_id", "m.*")
+    return out.withColumn("gaps", F.coalesce("gaps", F.array().cast("array<string>")))

@@ -105,3 +105,49 @@ def chunked(rows: DataFrame, key: str, order: list[str], size: int = 12) -> Data
 def unseen(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
     """Rows of the later snapshot that the earlier one lacks."""
     return now.join(before.select(key), key, "left_anti")
+
+
+def founder_pages(founders: DataFrame, identities: DataFrame, signals: DataFrame, edges: DataFrame, claims: DataFrame, evidence: DataFrame, history: DataFrame) -> DataFrame:
+    """All that a founder's page shows, as ordered rows (founder_id, part, position, label, value, at): the identity (the
+    first row of a founder), signals in the order in which they happened (undated last) with the confidence and method of
+    their attribution, claims by trust (unknown last) with the numbers of their evidence, and the score history.
+
+    Rows rather than one nested value: no founder is too large. `position` counts from 1 within founder and part."""
+    none = F.lit(None).cast("double")
+    first = identities.groupBy("founder_id").agg(F.min_by(F.struct("identity_id", "github", "linkedin", "twitter", "website"), "identity_id").alias("i"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("position"), F.concat_ws(":", F.lit(k), F.col(f"i.{k}")).alias("label"), F.col(f"i.{k}").alias("given")) for n, k in enumerate(("github", "twitter", "linkedin", "website"), 1)))).alias("k")
+    own = first.select("founder_id", kinds).filter("k.given is not null").select("founder_id", F.lit("identity").alias("part"), "k.position", "k.label", none.alias("value"), F.lit(None).cast("timestamp").alias("at"))
+    shown = edges.join(signals.select("signal_id", "source", "occurred_at"), "signal_id")
+    w = Window.partitionBy("founder_id").orderBy(F.asc_nulls_last("occurred_at"), "signal_id")
+    timeline = shown.withColumn("position", F.row_number().over(w)).select("founder_id", F.lit("signal").alias("part"), "position", F.concat_ws(":", F.col("signal_id").cast("string"), "source", "method").alias("label"), F.col("confidence").alias("value"), F.col("occurred_at").alias("at"))
+    support = evidence.groupBy("claim_id").agg(F.count("*").alias("n"), F.count_if(F.col("stance") == "supports").alias("for"), F.count_if(F.col("stance") == "refutes").alias("against"))
+    w = Window.partitionBy("founder_id").orderBy(F.desc_nulls_last("trust"), "claim_id")
+    rated = claims.join(support, "claim_id", "left").withColumn("position", F.row_number().over(w))
+    numbers = [F.coalesce(c, F.lit(0)).cast("string") for c in ("n", "for", "against")]
+    believed = rated.select("founder_id", F.lit("claim").alias("part"), "position", F.concat_ws(":", F.col("claim_id").cast("string"), "status", *numbers).alias("label"), F.col("trust").alias("value"), "updated_at").withColumnRenamed("updated_at", "at")
+    w = Window.partitionBy("founder_id").orderBy("created_at", "point_id")
+    scores = history.withColumn("position", F.row_number().over(w)).select("founder_id", F.lit("score").alias("part"), "position", F.lit("").alias("label"), F.col("score").alias("value"), F.col("created_at").alias("at"))
+    return own.unionByName(timeline).unionByName(believed).unionByName(scores).join(founders.select("founder_id"), "founder_id", "left_semi")
+
+
+def search_lines(founders: DataFrame, claims: DataFrame, per_founder: int = 15) -> DataFrame:
+    """A line of text per founder for a search over all of them, with up to `per_founder` claims, the most trusted first: the
+    feature that bounds a line."""
+    w = Window.partitionBy("founder_id").orderBy(F.desc_nulls_last("trust"), "claim_id")
+    top = claims.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_founder)
+    said = top.groupBy("founder_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "statement"))), lambda x: x["statement"]), "; ").alias("_claims"))
+    some = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    line = F.concat(F.lit("["), F.col("founder_id").cast("string"), F.lit("] "), some("display_name", "None"), F.lit(" | "), some("occupation", "role?"), F.lit(" @ "), some("current_company", "no company"), F.lit(" | city="), some("city", "?"), F.lit(" | FounderScore="), F.coalesce(F.col("founder_score").cast("string"), F.lit("None")), F.lit(" | claims: "), some("_claims", "none"))
+    return founders.join(said, "founder_id", "left").select("founder_id", line.alias("line"))
+
+
+def search_matches(returned: DataFrame, founders: DataFrame) -> DataFrame:
+    """(founder_id, relevance, reason) that a search returned, held against the founders there are, most relevant first."""
+    return returned.join(founders.select("founder_id", "display_name", "founder_score", "city"), "founder_id").orderBy(F.desc("relevance"), "founder_id")
+
+
+def thesis_lines(theses: DataFrame) -> DataFrame:
+    """The default thesis as (field, value) rows; empty fields are left out."""
+    fields = [c for c in theses.columns if c not in ("thesis_id", "is_default")]
+    rows = theses.filter("is_default").orderBy("thesis_id").limit(1)
+    return rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))).alias("f")).select("f.*").filter("coalesce(value, '') <> ''")

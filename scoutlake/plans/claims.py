@@ -88,7 +88,7 @@ def founders_pending_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EXTRACTED = """SELECT founder_id, claim_no, statement, category, dedup_key, p1, p2 FROM (SELECT o_custkey AS founder_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS claim_no,
     CASE WHEN o_orderkey % 19 = 0 THEN '  ' ELSE 'claim of ' || o_orderpriority END AS statement, CASE WHEN o_orderkey % 23 = 0 THEN 'gossip' ELSE category END AS category, 'k' || (o_orderkey % 5) AS dedup_key,
-    CAST(o_orderkey % 9 AS INT) AS p1, CAST(o_orderkey % 31 AS INT) AS p2 FROM orders JOIN (SELECT claim_id, category FROM claim) ON claim_id = o_orderkey WHERE o_custkey % 10 < 7)"""
+    CAST(o_orderkey % 9 AS INT) AS p1, CAST(o_orderkey % 31 AS INT) AS p2 FROM orders JOIN (SELECT claim_id, category FROM claim) ON claim_id = o_orderkey)"""
 _CITED = "SELECT founder_id, CAST(row_number() OVER (PARTITION BY founder_id ORDER BY signal_id) AS INT) AS pos, signal_id FROM signal"
 
 
@@ -98,7 +98,7 @@ _CITED = "SELECT founder_id, CAST(row_number() OVER (PARTITION BY founder_id ORD
         sql=f""", extracted AS ({_EXTRACTED}), cited AS ({_CITED}), valid AS (SELECT * FROM extracted WHERE category <> 'gossip' AND trim(statement) <> ''),
         edges AS (SELECT DISTINCT founder_id, claim_no, signal_id FROM (SELECT founder_id, claim_no, p1 AS pos FROM valid UNION ALL SELECT founder_id, claim_no, p2 FROM valid) JOIN cited USING (founder_id, pos)),
         kept AS (SELECT v.*, row_number() OVER (PARTITION BY founder_id, dedup_key ORDER BY claim_no) AS n FROM valid v WHERE EXISTS (SELECT 1 FROM edges e WHERE e.founder_id = v.founder_id AND e.claim_no = v.claim_no))
-        SELECT k.founder_id, k.claim_no, k.category, CASE WHEN n = 1 AND k.dedup_key <> 'k3' THEN k.dedup_key END AS dedup_key, (SELECT count(*) FROM edges e WHERE e.founder_id = k.founder_id AND e.claim_no = k.claim_no) AS n_evidence FROM kept k""",
+        SELECT k.founder_id, k.claim_no, k.category, (SELECT strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') FROM edges e JOIN signal USING (signal_id) WHERE e.founder_id = k.founder_id AND e.claim_no = k.claim_no) AS occurred_at, CASE WHEN n = 1 AND k.dedup_key <> 'k3' THEN k.dedup_key END AS dedup_key, (SELECT count(*) FROM edges e WHERE e.founder_id = k.founder_id AND e.claim_no = k.claim_no) AS n_evidence FROM kept k""",
     )
 )
 def minted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +114,4 @@ def minted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = D.signals(spark, sf_dir).select("founder_id", F.row_number().over(Window.partitionBy("founder_id").orderBy("signal_id")).alias("pos"), "signal_id", F.lit(0.5).alias("weight"), "occurred_at")
     taken = extracted.select("founder_id", F.lit("k3").alias("dedup_key")).distinct()
     claims, _ = C.mint(extracted, cited, taken)
-    return claims.select("founder_id", "claim_no", "category", "dedup_key", "n_evidence")
+    return claims.select("founder_id", "claim_no", "category", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"), "dedup_key", "n_evidence")

@@ -20,10 +20,16 @@ def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(sql, **{t: D.table(spark, sf_dir, t) for t in tables})
 
 
-_TEXTS = "SELECT doc_id AS founder_id, substr(text, 1, 30) || ' see https://github.com/Dev' || doc_id || ', and https://www.linkedin.com/in/In-' || (doc_id % 50) || '/ or x.com/i and https://x.com/Tw' || doc_id AS text FROM documents"
+_TEXTS = "SELECT doc_id AS founder_id, coalesce(text, '') || ' see https://github.com/Dev' || doc_id || ', and https://www.linkedin.com/in/In-' || (doc_id % 50) || '/ or x.com/i and https://x.com/Tw' || doc_id AS text FROM documents"
 
 
-@query(f"SELECT founder_id, 'github' AS kind, 'dev' || founder_id AS value FROM ({_TEXTS}) UNION ALL SELECT founder_id, 'linkedin', 'in-' || (founder_id % 50) FROM ({_TEXTS}) UNION ALL SELECT founder_id, 'twitter', 'tw' || founder_id FROM ({_TEXTS})")
+_FOUND = rf"""SELECT founder_id, kind, arg_min(value, pos) AS value FROM (SELECT founder_id, pos, CASE WHEN contains(raw, 'github.com') THEN 'github' WHEN contains(raw, 'linkedin.') THEN 'linkedin' ELSE 'twitter' END AS kind,
+    CASE WHEN contains(raw, 'linkedin.') THEN regexp_extract(raw, 'linkedin\.[a-z]+/(?:in|pub)/([^/?#]{{3,100}})', 1) WHEN contains(raw, 'github.com') THEN regexp_extract(raw, '//(?:www\.)?github\.com/([a-z0-9-]+)', 1) ELSE regexp_extract(raw, '(?:^|//)(?:www\.)?(?:x|twitter)\.com/([a-z0-9_]+)', 1) END AS value
+    FROM (SELECT founder_id, lower(regexp_replace(unnest(refs), '[.,;:]+$', '')) AS raw, unnest(range(len(refs))) AS pos FROM (SELECT founder_id, regexp_extract_all(text, '(?i)https?://[^\s"''<>)\]}}]+|(?:www\.)?(?:github|linkedin|twitter|x)\.com/[^\s"''<>)\]}}]+') AS refs FROM ({_TEXTS})))
+    WHERE contains(raw, 'github.com') OR contains(raw, 'linkedin.') OR regexp_matches(raw, '(^|[/.])(twitter|x)\.com')) WHERE value NOT IN ('', 'i') GROUP BY founder_id, kind"""
+
+
+@query(_FOUND)
 def profiles_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile references mined from each document's whole text, followed by planted ones."""
     n = F.col("doc_id")
@@ -35,7 +41,7 @@ def profiles_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     D.with_views(
         "signal",
         sql="""SELECT founder_id, n_signals, n_strong, round(least(0.95, 0.4 + 0.1 * n_signals + CASE WHEN n_strong > 0 THEN 0.2 ELSE 0.0 END), 2) AS discovery_confidence, CASE WHEN n_strong > 0 THEN 0.9 ELSE 0.7 END AS attribution_confidence, 'discovered' AS status FROM (
-        SELECT founder_id, count(DISTINCT signal_id % 40) AS n_signals, CASE WHEN founder_id % 3 = 0 THEN 1 ELSE 0 END AS n_strong FROM signal WHERE signal_id % 500 < 120 GROUP BY founder_id)""",
+        SELECT founder_id, count(DISTINCT signal_id % 40) AS n_signals, CASE WHEN founder_id % 3 = 0 THEN 1 ELSE 0 END AS n_strong FROM signal GROUP BY founder_id)""",
     )
 )
 def assembled_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +51,7 @@ def assembled_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.assembled(rows, strong)
 
 
-_MET = "SELECT p_partkey AS founder_id, CASE p_partkey % 6 WHEN 0 THEN 'hackTUM 2025' WHEN 1 THEN 'Acme Ventures' WHEN 2 THEN 'solo' ELSE p_name END AS display_name FROM part"
+_MET = "SELECT p_partkey AS founder_id, CASE p_partkey % 6 WHEN 0 THEN 'Buildathon 2025' WHEN 1 THEN 'Acme Ventures' WHEN 2 THEN 'solo' ELSE p_name END AS display_name FROM part"
 
 
 @query(f"SELECT CASE WHEN founder_id % 6 < 3 THEN 'not_a_person' ELSE 'no_evidence' END AS reason, count(*) AS n FROM ({_MET}) WHERE founder_id % 6 < 3 OR founder_id % 4 = 0 GROUP BY 1")
@@ -90,46 +96,6 @@ def orphaned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bare.select(F.lit("founder").alias("what"), F.col("founder_id").alias("id")).unionByName(loose.select(F.lit("signal").alias("what"), F.col("signal_id").alias("id")))
 
 
-_HITS = "SELECT o_custkey AS opportunity_id, CASE o_orderkey % 4 WHEN 0 THEN 'trends' WHEN 1 THEN 'sizing' WHEN 2 THEN 'competitors' ELSE 'comparables' END AS subgoal, CAST(o_orderkey AS INT) AS pos, 'https://www.m' || (o_orderkey % 300) || '.test/' AS url FROM orders"
-_ITEMS = """SELECT o_custkey AS opportunity_id, CASE o_orderkey % 3 WHEN 0 THEN 'sizing' WHEN 1 THEN 'competitors' ELSE 'comparables' END AS extractor, CASE o_orderkey % 3 WHEN 0 THEN 'market_size' WHEN 1 THEN 'competitor' ELSE 'comparable' END AS category,
-    CASE o_orderkey % 5 WHEN 0 THEN 'TAM' WHEN 1 THEN 'SOM' WHEN 2 THEN 'CAGR' ELSE 'users' END AS metric, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'v' END AS value, CASE WHEN o_orderkey % 11 = 0 THEN ' ' ELSE 'Rival ' || (o_orderkey % 4) END AS name, CASE WHEN o_orderkey % 7 = 0 THEN 'gap' ELSE 'cited' END AS basis, CAST(o_orderkey % 3 AS INT) AS c1, 50 AS c2 FROM orders"""
-_MARKET = f"""WITH h AS ({_HITS}), x AS (SELECT *, row_number() OVER (PARTITION BY opportunity_id, extractor ORDER BY goal, pos0) - 1 AS pos FROM (SELECT opportunity_id, CASE WHEN subgoal IN ('sizing', 'trends') THEN 'sizing' ELSE subgoal END AS extractor, CASE WHEN subgoal = 'trends' THEN 2 ELSE 1 END AS goal, pos AS pos0, url FROM h)),
-    i AS (SELECT *, CASE WHEN category = 'market_size' THEN metric || ': ' || value ELSE concat_ws(' - ', name, nullif(value, '')) END AS statement, category || ':' || lower(trim(CASE WHEN category = 'market_size' THEN metric ELSE name END)) AS dedup_key FROM ({_ITEMS}) WHERE CASE WHEN category = 'market_size' THEN basis <> 'gap' AND value <> '' ELSE trim(name) <> '' END),
-    c AS (SELECT i.opportunity_id, i.category, i.statement, i.dedup_key, x.url FROM i JOIN x ON x.opportunity_id = i.opportunity_id AND x.extractor = i.extractor AND x.pos IN (c1, c2)),
-    claims AS (SELECT opportunity_id, dedup_key, min(category) AS category, min(statement) AS statement, count(DISTINCT url) AS n_sources FROM c GROUP BY opportunity_id, dedup_key)"""
-
-
-def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _sql(spark, sf_dir, _ITEMS, "orders").withColumn("citations", F.array("c1", "c2"))
-    return M.claims(items, _sql(spark, sf_dir, _HITS, "orders"))[0]
-
-
-@query(f"{_MARKET} SELECT * FROM claims")
-def market_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims from extracted market items, with citations resolved against what each extractor saw."""
-    return _market(spark, sf_dir)
-
-
-@query(
-    f"""{_MARKET} SELECT opportunity_id, coalesce(string_agg(statement, '; ' ORDER BY CASE split_part(statement, ': ', 1) WHEN 'TAM' THEN 1 WHEN 'SAM' THEN 2 WHEN 'SOM' THEN 3 WHEN 'CAGR' THEN 4 ELSE 99 END, statement) FILTER (WHERE category = 'market_size'), '') AS sizing,
-    coalesce(string_agg(statement, '; ' ORDER BY statement) FILTER (WHERE category = 'competitor'), '') AS competitors, coalesce(string_agg(statement, '; ' ORDER BY statement) FILTER (WHERE category = 'comparable'), '') AS comparables, count(*) AS n_claims FROM claims GROUP BY opportunity_id"""
-)
-def market_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.analysis(_market(spark, sf_dir))
-
-
-@query(f"SELECT opportunity_id, string_agg(DISTINCT metric, ', ' ORDER BY metric) AS gaps, count(*) AS n_gaps FROM ({_ITEMS}) WHERE basis = 'gap' GROUP BY opportunity_id")
-def market_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.gaps(_sql(spark, sf_dir, _ITEMS, "orders"))
-
-
-@query(f"SELECT 'https://m' || k || '.test/' AS canonical_url, 'market' AS kind, opportunity_id, subgoal FROM (SELECT CAST(regexp_extract(url, 'm([0-9]+)', 1) AS INT) AS k, arg_min(opportunity_id, (opportunity_id, subgoal, pos)) AS opportunity_id, arg_min(subgoal, (opportunity_id, subgoal, pos)) AS subgoal FROM ({_HITS}) GROUP BY 1) WHERE k >= 100")
-def new_market_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits whose page is not stored yet, once each."""
-    known = spark.range(100).select(F.concat(F.lit("https://m"), F.col("id").cast("string"), F.lit(".test/")).alias("canonical_url"))
-    return M.new_signals(_sql(spark, sf_dir, _HITS, "orders"), known).select("canonical_url", "kind", "opportunity_id", "subgoal")
-
-
 _AXIS_ROWS = "SELECT o_orderkey AS opportunity_id, 'idea' AS axis, 'bear' AS verdict FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'founder', 'bull' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'market', 'neutral' FROM orders WHERE o_orderkey % 5 = 0"
 
 
@@ -166,25 +132,17 @@ def lookalike_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
     rows = D.table(spark, sf_dir, "customer")
     identities = rows.select(n.alias("founder_id"), F.lit("twitter").alias("kind"), F.lit("author").alias("value"))
-    urls = rows.select(n.alias("founder_id"), F.explode(F.when(n % 3 == 0, F.array(F.lit("https://catalyzex.com/author/a"))).when(n % 3 == 1, F.array(F.lit("https://catalyzex.com/author/a"), F.lit("https://x.com/Author"))).otherwise(F.array(F.lit("https://e.test/author")))).alias("url"))
+    urls = rows.select(n.alias("founder_id"), F.explode(F.when(n % 3 == 0, F.array(F.lit("https://paperindex.com/author/a"))).when(n % 3 == 1, F.array(F.lit("https://paperindex.com/author/a"), F.lit("https://x.com/Author"))).otherwise(F.array(F.lit("https://e.test/author")))).alias("url"))
     return R.lookalike_handles(identities, urls)
 
 
-@query("SELECT n_nationkey, r_before, r_after FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 0 THEN n_regionkey END AS r_before, CASE WHEN n_nationkey % 6 <> 0 THEN n_regionkey END AS r_after FROM nation) WHERE r_before IS DISTINCT FROM r_after")
-def location_sweep_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows a sweep changed, nulls included."""
-    n = D.table(spark, sf_dir, "nation")
-    before, after = (n.select("n_nationkey", F.when(F.col("n_nationkey") % k != 0, F.col("n_regionkey")).alias("r")) for k in (4, 6))
-    return R.changed(before, after, "n_nationkey", "r")
-
-
-@query("SELECT memo_id, count(*) FILTER (WHERE good > 0) AS anchored_sections, CAST(sum(good) AS BIGINT) AS citations, CAST(sum(bad) AS BIGINT) AS dropped, concat_ws(',', CASE WHEN coalesce(max(good) FILTER (WHERE section = 'team'), 0) = 0 THEN 'team' END, CASE WHEN coalesce(max(good) FILTER (WHERE section = 'market'), 0) = 0 THEN 'market' END) AS missing FROM (SELECT l_suppkey AS memo_id, CASE l_linenumber % 3 WHEN 0 THEN 'team' WHEN 1 THEN 'market' ELSE 'risks' END AS section, count(*) FILTER (WHERE l_orderkey % 3 = 0) AS good, count(*) FILTER (WHERE l_orderkey % 3 <> 0) AS bad FROM lineitem WHERE l_orderkey % 50 = l_suppkey % 50 GROUP BY 1, 2) GROUP BY memo_id")
+@query("SELECT memo_id, count(*) FILTER (WHERE good > 0) AS anchored_sections, CAST(sum(good) AS BIGINT) AS citations, CAST(sum(bad) AS BIGINT) AS dropped, concat_ws(',', CASE WHEN coalesce(max(good) FILTER (WHERE section = 'team'), 0) = 0 THEN 'team' END, CASE WHEN coalesce(max(good) FILTER (WHERE section = 'market'), 0) = 0 THEN 'market' END) AS missing FROM (SELECT l_suppkey AS memo_id, CASE l_linenumber % 3 WHEN 0 THEN 'team' WHEN 1 THEN 'market' ELSE 'risks' END AS section, count(*) FILTER (WHERE l_orderkey % 3 = 0) AS good, count(*) FILTER (WHERE l_orderkey % 3 <> 0) AS bad FROM lineitem GROUP BY 1, 2) GROUP BY memo_id")
 def memo_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memos' citations held against the claims there are."""
     from ..operators.screening import memo_anchors as anchors
 
     items = D.table(spark, sf_dir, "lineitem")
     section = F.when(F.col("l_linenumber") % 3 == 0, "team").when(F.col("l_linenumber") % 3 == 1, "market").otherwise("risks")
-    sections = items.groupBy(F.col("l_suppkey").alias("memo_id"), section.alias("section")).agg(F.collect_list("l_orderkey").alias("cited"))
+    sections = items.select(F.col("l_suppkey").alias("memo_id"), section.alias("section"), F.array("l_orderkey").alias("cited"))
     evidence = items.filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("claim_id"))
     return anchors(sections, evidence, ["team", "market"])

@@ -16,15 +16,19 @@ URL_KEY = r"""'https://' || regexp_replace(lower(regexp_extract(url, '^[^:/?#]*:
     || CASE WHEN rtrim(regexp_extract(url, '^[^:/?#]*://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract(url, '^[^:/?#]*://[^/?#]*([^?#]*)', 1), '/') END
     || coalesce('?' || nullif(list_aggregate(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda kv: kv <> '' AND split_part(kv, '=', 1) NOT IN
     ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid', 'gclid', 'ref', 'ref_src'))), 'string_agg', '&'), ''), '')"""
-_PAGES = r"SELECT page_id, url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, substr(html, 1, 1500) AS summary FROM pages"
+_PAGES = r"SELECT page_id, CASE page_id % 7 WHEN 1 THEN replace(url, '.example.com', '.github.com') WHEN 2 THEN replace(url, '.example.com', '.arxiv.org') WHEN 3 THEN 'https://news.ycombinator.com/item?id=' || page_id WHEN 4 THEN replace(url, '.example.com', '.devpost.com') ELSE url END AS url, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, html AS summary FROM pages"
 
 
 @query(
-    rf"""SELECT page_id, canonical_url, CASE WHEN words <> '' THEN sha256(words) END AS content_hash, 'web' AS source, 0.4 AS source_reliability FROM (
-    SELECT page_id, {URL_KEY} AS canonical_url, trim(regexp_replace(lower(title || ' ' || summary), '\s+', ' ', 'g')) AS words FROM ({_PAGES}))"""
+    rf"""SELECT page_id, canonical_url, CASE WHEN words <> '' THEN sha256(words) END AS content_hash, source, CAST(CASE source WHEN 'arxiv' THEN 0.9 WHEN 'github' THEN 0.85 WHEN 'devpost' THEN 0.7 WHEN 'hn' THEN 0.5 WHEN 'youtube' THEN 0.5 ELSE 0.4 END AS DOUBLE) AS source_reliability FROM (
+    SELECT page_id, canonical_url, words, CASE WHEN contains(canonical_url, 'arxiv.org') THEN 'arxiv' WHEN contains(canonical_url, 'github.com') THEN 'github' WHEN contains(canonical_url, 'news.ycombinator.com') THEN 'hn' WHEN contains(canonical_url, 'youtube.com') THEN 'youtube' WHEN contains(canonical_url, 'devpost.com') THEN 'devpost' ELSE 'web' END AS source FROM (
+    SELECT page_id, {URL_KEY} AS canonical_url, trim(regexp_replace(lower(title || ' ' || coalesce(summary, '')), '[\s\x0B\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g')) AS words FROM ({_PAGES})))"""
 )
 def page_signal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.signal_keys(R.landed(spark, sf_dir)).select("page_id", "canonical_url", "content_hash", "source", "source_reliability")
+    pages, k = R.landed(spark, sf_dir), F.col("page_id") % 7
+    moved = lambda host: F.replace("url", F.lit(".example.com"), F.lit(host))
+    url = F.when(k == 1, moved(".github.com")).when(k == 2, moved(".arxiv.org")).when(k == 3, F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("page_id").cast("string"))).when(k == 4, moved(".devpost.com")).otherwise(F.col("url"))
+    return I.signal_keys(pages.withColumn("url", url)).select("page_id", "canonical_url", "content_hash", "source", "source_reliability")
 
 
 def _respelled(spark: SparkSession, sf_dir: str) -> DataFrame:

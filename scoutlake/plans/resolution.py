@@ -56,18 +56,18 @@ def merged_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merges(_people(rows), _handles(rows))
 
 
-_MAPPED = "SELECT o_orderkey AS opportunity_id, o_custkey - o_custkey % 3 AS founder_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 7 END AS company_id, CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'F' THEN 'diligence' ELSE 'screened' END AS status, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 3 DAY END AS decided_at, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS sector FROM orders"
+_MAPPED = "SELECT o_orderkey AS opportunity_id, o_custkey - o_custkey % 3 AS founder_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 7 END AS company_id, CASE o_orderstatus WHEN 'O' THEN 'screening' WHEN 'F' THEN 'diligence' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'rejected' ELSE 'decided' END END AS status, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 3 DAY END AS decided_at, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS sector FROM orders"
 
 
 @query(
-    f"""SELECT founder_id, arg_min(opportunity_id, (created_at, opportunity_id)) AS opportunity_id, min(company_id) AS company_id, arg_max(status, (CASE status WHEN 'new' THEN 0 WHEN 'screened' THEN 1 ELSE 2 END, opportunity_id)) AS status, strftime(min(created_at), '%Y-%m-%d') AS created_on, strftime(min(decided_at), '%Y-%m-%d') AS decided_on,
+    f"""SELECT founder_id, arg_min(opportunity_id, (created_at, opportunity_id)) AS opportunity_id, min(company_id) AS company_id, arg_min(status, (CASE status WHEN 'screening' THEN 0 WHEN 'diligence' THEN -1 ELSE -2 END, created_at, opportunity_id)) AS status, strftime(min(created_at), '%Y-%m-%d') AS created_on, strftime(min(decided_at), '%Y-%m-%d') AS decided_on,
     arg_min(sector, (created_at, opportunity_id)) FILTER (WHERE sector IS NOT NULL) AS sector, count(*) AS n_folded FROM ({_MAPPED}) GROUP BY founder_id, coalesce(CAST(company_id AS VARCHAR), 'deal-' || opportunity_id)"""
 )
 def folded_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deals after every three founders became one."""
     orders = D.table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
-    status = F.when(F.col("o_orderstatus") == "O", "new").when(F.col("o_orderstatus") == "F", "diligence").otherwise("screened")
+    status = F.when(F.col("o_orderstatus") == "O", "screening").when(F.col("o_orderstatus") == "F", "diligence").when(key % 2 == 0, "rejected").otherwise("decided")
     date = F.col("o_orderdate").cast("timestamp")
     deals = orders.select(
         key.alias("opportunity_id"), F.col("o_custkey").alias("founder_id"), F.when(key % 11 != 0, key % 7).alias("company_id"), status.alias("status"), date.alias("created_at"), F.when(F.col("o_orderstatus") == "F", date + F.expr("interval 3 days")).alias("decided_at"), F.when(key % 5 != 0, F.col("o_orderpriority")).alias("sector")

@@ -71,13 +71,13 @@ def thesis_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     D.with_views(
         "opportunity",
-        sql="""SELECT opportunity_id, CASE WHEN opportunity_id % 4 = 0 AND opportunity_id % 3 = 0 THEN 'pursue' WHEN opportunity_id % 4 = 1 THEN 'passed' ELSE status END AS status, (opportunity_id % 4 = 0 AND opportunity_id % 3 <> 0) OR opportunity_id % 4 = 2 AS refused FROM opportunity""",
+        sql="""SELECT opportunity_id, CASE WHEN opportunity_id % 4 = 0 AND opportunity_id % 3 = 0 THEN 'decided' WHEN opportunity_id % 4 = 1 THEN 'rejected' WHEN opportunity_id % 8 = 2 THEN 'diligence' ELSE status END AS status, (opportunity_id % 4 = 0 AND opportunity_id % 3 <> 0) OR opportunity_id % 8 = 6 AS refused FROM opportunity""",
     )
 )
 def deal_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions applied: unknown words and pursuits without an axis are refused."""
     deals = D.opportunities(spark, sf_dir)
     d = F.col("opportunity_id") % 4
-    decisions = deals.filter(d != 3).select("opportunity_id", F.when(d == 0, "pursue").when(d == 1, "pass").otherwise("later").alias("decision"), D.as_of().alias("decided_at"))
+    decisions = deals.filter(d != 3).select("opportunity_id", F.when(d == 0, "pursue").when(d == 1, "pass").when(F.col("opportunity_id") % 8 == 2, "track").otherwise("later").alias("decision"), D.as_of().alias("decided_at"))
     axes = deals.filter("opportunity_id % 3 = 0").select("opportunity_id")
     return S.decided(deals, decisions, axes).select("opportunity_id", "status", "refused")

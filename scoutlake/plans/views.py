@@ -78,8 +78,8 @@ def founder_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     D.with_views(
         "founder", "signal", "claim", "trust",
         sql="""SELECT founder_id, display_name, coalesce(s.n, 0) AS n_signals, s.latest AS latest_signal, coalesce(c.n, 0) AS n_claims, c.best AS best_claim, c.best_trust AS best_trust FROM founder
-        LEFT JOIN (SELECT founder_id, least(count(*), 50) AS n, arg_max(signal_id, (ingested_at, -signal_id)) AS latest FROM signal GROUP BY founder_id) s USING (founder_id)
-        LEFT JOIN (SELECT founder_id, least(max(m), 50) AS n, max(claim_id) FILTER (WHERE k = 1) AS best, max(trust) FILTER (WHERE k = 1) AS best_trust FROM (SELECT *, row_number() OVER (PARTITION BY founder_id ORDER BY trust DESC NULLS LAST, claim_id) AS k, count(*) OVER (PARTITION BY founder_id) AS m
+        LEFT JOIN (SELECT founder_id, count(*) AS n, arg_max(signal_id, (ingested_at, -signal_id)) AS latest FROM signal GROUP BY founder_id) s USING (founder_id)
+        LEFT JOIN (SELECT founder_id, max(m) AS n, max(claim_id) FILTER (WHERE k = 1) AS best, max(trust) FILTER (WHERE k = 1) AS best_trust FROM (SELECT *, row_number() OVER (PARTITION BY founder_id ORDER BY trust DESC NULLS LAST, claim_id) AS k, count(*) OVER (PARTITION BY founder_id) AS m
         FROM claim LEFT JOIN trust USING (claim_id)) GROUP BY founder_id) c USING (founder_id)""",
     )
 )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 AS_OF = "2001-08-01 00:00:00"
 
 CATEGORY_OF_PRIORITY = {"1-URGENT": "research", "2-HIGH": "traction", "3-MEDIUM": "employment", "4-NOT SPECIFIED": "media", "5-LOW": "education"}
-STATUS_OF_ORDER = {"O": "new", "F": "diligence", "P": "screened"}
+STATUS_OF_ORDER = {"O": "screening", "F": "diligence", "P": "decided"}
 
 
 def as_of():
@@ -67,7 +67,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One deal for each order of a high price: its customer is the founder, its month the intake."""
     return table(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(
-        F.col("o_orderkey").alias("opportunity_id"), F.col("o_custkey").alias("founder_id"), (F.col("o_orderkey") % 97).alias("company_id"), _case(F.col("o_orderstatus"), STATUS_OF_ORDER, "new").alias("status"),
+        F.col("o_orderkey").alias("opportunity_id"), F.col("o_custkey").alias("founder_id"), (F.col("o_orderkey") % 97).alias("company_id"), _case(F.col("o_orderstatus"), STATUS_OF_ORDER, "screening").alias("status"),
         F.lower("o_orderpriority").alias("sector"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp") + F.expr("interval 9 days")).alias("decided_at"), F.col("o_totalprice").alias("size"),
     )
 
@@ -111,7 +111,7 @@ VIEWS = {
     "score_point": "SELECT o_custkey AS founder_id, round(o_totalprice / 10000, 0) AS score, o_orderdate AS created_at, o_orderkey AS point_id FROM orders",
     "signal": """SELECT event_id AS signal_id, CASE event_type WHEN 'click' THEN 'github' WHEN 'view' THEN 'arxiv' WHEN 'purchase' THEN 'crunchbase' WHEN 'signup' THEN 'hn' ELSE 'web' END AS source,
         CAST(event_id AS VARCHAR) AS external_id, event_type AS signal_type, user_id AS founder_id, ts AS ingested_at, CASE WHEN event_id % 5 <> 0 THEN ts END AS occurred_at, value, props AS raw FROM events""",
-    "opportunity": """SELECT o_orderkey AS opportunity_id, o_custkey AS founder_id, o_orderkey % 97 AS company_id, CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'F' THEN 'diligence' WHEN 'P' THEN 'screened' ELSE 'new' END AS status,
+    "opportunity": """SELECT o_orderkey AS opportunity_id, o_custkey AS founder_id, o_orderkey % 97 AS company_id, CASE o_orderstatus WHEN 'O' THEN 'screening' WHEN 'F' THEN 'diligence' WHEN 'P' THEN 'decided' ELSE 'screening' END AS status,
         lower(o_orderpriority) AS sector, o_orderdate AS created_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 9 DAY END AS decided_at, o_totalprice AS size FROM orders WHERE o_totalprice > 300000""",
     "mention": """SELECT p_partkey AS mention_id, p_name AS display_name, lower(replace(p_brand, '#', '-')) || '-' || p_size AS github, lower(p_type) AS company, CAST(p_size % 10 AS VARCHAR) AS city FROM part""",
 }

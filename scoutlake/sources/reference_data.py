@@ -29,3 +29,8 @@ def missing_rows(target: DataFrame, seed: DataFrame, key: str) -> DataFrame:
 def write_report(rows: DataFrame, path: str) -> None:
     """A report as JSON lines, replacing an earlier one at that path."""
     rows.write.mode("overwrite").json(path)
+
+
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A dimension after a replacement: the new rows alone, in the old one's columns."""
+    return new.select(old.columns)

@@ -4,14 +4,12 @@ import hashlib
 import os
 import re
 
-import duckdb
 import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
 from scoutlake.operators import ingest, views
 from scoutlake.sources import readers
-from test_oracles import normal
 
 SF = f"{DATA}/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -44,31 +42,6 @@ def test_page_hashes_against_brute_force(spark):
         assert got[p["page_id"]] == hashlib.sha256(words.encode()).hexdigest()
 
 
-CUTS = {
-    "memo_anchors": {" WHERE l_orderkey % 50 = l_suppkey % 50": ""},
-    "assembled_founders": {" WHERE signal_id % 500 < 120": ""},
-    "minted_claims": {" WHERE o_custkey % 10 < 7": ""},
-    "founder_country_by_school": {" WHERE o_orderkey % 40 < 25": ""},
-    "founder_details": {"least(count(*), 50)": "count(*)", "least(max(m), 50)": "max(m)"},
-    "audit_summary": {" WHERE o_orderkey % 10 = 0": ""},
-}
-
-
-@here
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_query_matches_its_sql_without_the_cut(spark, name):
-    sf, sql = SF.replace("sf0.001", "sf0.01"), entry.oracle_sql()[name]
-    for cut, whole in CUTS[name].items():
-        sql = sql.replace(cut, whole)
-    con = duckdb.connect()
-    con.execute("SET timezone = 'UTC'")
-    for t in "region nation customer supplier part orders lineitem events".split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    got, want = entry.queries()[name](spark, sf), con.execute(sql)
-    names = [d[0] for d in want.description]
-    assert normal(got.columns, [tuple(r) for r in got.collect()]) == normal(names, want.fetchall())
-
-
 def test_founders_with_many_children_lose_none(spark):
     founders = spark.createDataFrame([(1, "a"), (2, "b")], "founder_id long, display_name string")
     signals = spark.range(170).selectExpr("1L as founder_id", "id as signal_id", "timestamp_seconds(id div 2) as ingested_at", "'web' as source")
