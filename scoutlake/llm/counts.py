@@ -242,7 +242,7 @@ def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     trees = kept(planted(table(spark, sf_dir, "documents"), path)).withColumnRenamed("n_tokens", "n_tokens_before")
     one = edited(trees.withColumn("edits", first_edits()), path, ("n_tokens_before",))
-    one = one.withColumnsRenamed({"n_tokens": "n_tokens_after", "n_edits": "n_edits_first", "reencoded_chars": "reencoded_first"})
+    one = kept(one.withColumnsRenamed({"n_tokens": "n_tokens_after", "n_edits": "n_edits_first", "reencoded_chars": "reencoded_first"}).drop("leaves"))
     two = edited(one.withColumn("edits", later_edits()), path, ("n_tokens_before", "n_tokens_after", "n_edits_first", "reencoded_first"))
     n_edits, again = F.col("n_edits") + F.col("n_edits_first"), F.col("reencoded_chars") + F.col("reencoded_first")
     return two.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_tokens_after", F.col("n_tokens").alias("n_tokens_later"), F.length("text").cast("long").alias("n_chars_later"), n_edits.alias("n_edits"), again.alias("reencoded_chars"), "leaves")
