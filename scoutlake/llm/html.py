@@ -188,9 +188,10 @@ def main_text(page: str) -> str:
     threshold = min(max(x.max() * 0.1, min(x.mean(), x.std())) for x in (ratio, fused))
     content = (fused > 0) & (fused >= threshold)
     beside = {path[:-1] for (path, _), k in paths.items() if content[k]}  # headings and lists of the content are short
+    own = np.bincount(at, chars) / np.maximum(1, np.bincount(at, [len(t) for _, _, t, _ in found]))  # share outside links
     for (path, factor), k in paths.items():
         around = range(1, len(path)) if factor >= IN else (len(path) - 1, len(path) - 2)  # all of a named article
-        if fused[k] > 0 and path and path[-1] in PARTS and any(path[: max(i, 0)] in beside for i in around):
+        if fused[k] > 0 and path and path[-1] in PARTS and (factor >= IN or own[k] >= 0.5) and any(path[: max(i, 0)] in beside for i in around):
             content[k] = True
     return "\n".join(t for (_, _, t, _), k in zip(found, at) if content[k])
 
@@ -199,7 +200,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> (page_id, url, text, n_chars): the article's whole text of every page.
 
     Null html is empty, and a page without an article, or without text, has an empty text. The paths' ratios decide
-    on every page; what a page names as its article (article, main, a content class) weighs more. One narrow pass."""
+    on every page; what a page names as its article (article, main, a content class) weighs more. Repeated rows, of null
+    ids too, give repeated results; other columns are not read; an empty table gives an empty one. One narrow pass."""
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches):

@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def scored(docs: DataFrame, model: Trees, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text) -> (doc_id, held_out, score, predicted, *extra). Null text scores as empty. `extra` names columns
-    of the documents to carry along. One narrow pass; repeated rows give repeated results."""
+    of the documents to carry along; others are not read. One narrow pass; repeated rows give repeated results, an empty
+    table an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
     fields = [docs.schema["doc_id"], *(docs.schema[c] for c in extra)]
     source = "text" if "text" in extra else "_text"
