@@ -218,10 +218,9 @@ def profile_url(kind: Column, value: Column) -> Column:
     return F.when(value != "", F.concat(prefix, value))
 
 
-def name_ratio(a: Column, b: Column) -> Column:
-    """Normalised insert-delete similarity of two names, 0 to 100: twice the longest common subsequence over both lengths.
-
-    The table of the subsequence is kept one row at a time, as an array that each letter of `a` maps to the next."""
+def _common_by_rows(a: Column, b: Column) -> Column:
+    """The length of the longest common subsequence, from its table one row at a time: an array that each letter of `a`
+    maps to the next."""
     letters = F.filter(F.split(b, ""), lambda c: c != "")
     start = F.transform(letters, lambda c: F.lit(0))
 
@@ -238,5 +237,29 @@ def name_ratio(a: Column, b: Column) -> Column:
         return state["row"]
 
     table = F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), start, next_row)
+    return F.coalesce(F.try_element_at(table, F.lit(-1)), F.lit(0))
+
+
+def _common_by_bits(a: Column, b: Column) -> Column:
+    """The same for a `b` of up to 62 letters: its letters are the bits of a number, and each letter of `a` changes all of
+    them in one addition."""
+    letters = F.filter(F.split(b, ""), lambda c: c != "")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    every = bit(F.size(letters)) - 1
+
+    def places(x: Column) -> Column:
+        return F.aggregate(F.transform(letters, lambda c, i: F.when(c == x, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s.bitwiseOR(v))
+
+    def step(state: Column, m: Column) -> Column:
+        met = state.bitwiseAND(m)
+        return (state + met).bitwiseOR(state - met).bitwiseAND(every)
+
+    masks = F.transform(F.filter(F.split(a, ""), lambda c: c != ""), places)
+    return F.size(letters) - F.bit_count(F.aggregate(masks, every, step))
+
+
+def name_ratio(a: Column, b: Column) -> Column:
+    """Normalised insert-delete similarity of two names, 0 to 100: twice the longest common subsequence over both lengths."""
     total = F.length(a) + F.length(b)
-    return F.when(total == 0, 100.0).otherwise(200.0 * F.coalesce(F.try_element_at(table, F.lit(-1)), F.lit(0)) / total)
+    common = F.when(F.length(b) <= 62, _common_by_bits(a, b)).otherwise(_common_by_rows(a, b))
+    return F.when(total == 0, 100.0).otherwise(200.0 * common / total)

@@ -3,10 +3,11 @@
 Normalised vectors are projected on Gaussian directions, shifted and quantised; the WIDTH-wide cells of several projections
 together name a bucket in each of several tables. What is shuffled to buckets is an entry of three numbers: bucket, vector
 id and the signs of 64 further projections. Within a bucket, entries whose signs differ in more than SIGNS places can be no
-near duplicates; the others fall into groups. Groups of the same members in several tables become one, and only then do
-vectors travel, once to each group (in blocks, for large ones), to be compared by matrix products in double precision. A
-pair of several groups counts in the first table it shares, which both vectors can tell from their own codes, so pairs
-never have to be gathered. Groups give each vector's number of links and the links that keep them connected, not all pairs.
+near duplicates; the others fall into groups. Vectors whose signs hardly differ make clusters, over all tables. Only then do
+vectors travel: once to their cluster, and to the groups of several clusters (in blocks, for large ones), to be compared by
+matrix products in double precision. A pair of one cluster counts there; any other in the first table it shares, which both
+vectors can tell from their own codes, so pairs never have to be gathered. Groups give each vector's number of links and
+the links that keep them connected, not all pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MISS = 0.001
 CHANCE = 64
 #: Of 64 signs two vectors at COSINE differ in 6.5, unrelated ones in 32. More than 20 come up once in 300,000 pairs at COSINE.
 SIGNS = 20
+#: Two vectors whose signs differ in no more places belong to one cluster; unrelated ones never do (1 in 100 million).
+CLOSE = 10
 #: Vectors of a group that are compared in one matrix product; larger buckets are not searched by signs.
 BLOCK = 1024
 _TABLE_BITS = 10
@@ -118,43 +121,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _alike(bucket: np.ndarray, rep: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Entries of whole buckets, in order -> (set, table, rep) of those that could be near another one of their bucket.
-    Equal groups get the same set number in whatever table."""
-    p, q, at = [], [], np.arange(len(bucket) - 1)
+    """Entries of whole buckets, in order -> (set, table, rep, close) of those that could be near another one of their
+    bucket. Equal groups get the same set number in whatever table; `close` is the least id of a vector's close ones."""
+    p, q, close, at = [], [], [], np.arange(len(bucket) - 1)
     for d in range(1, len(bucket)):
         at = at[: np.searchsorted(at, len(bucket) - d)]
         at = at[bucket[at] == bucket[at + d]]
         if not len(at):
             break
-        near = at[np.bitwise_count((sign[at] ^ sign[at + d]).view(np.uint64)) <= SIGNS]
-        p.append(near)
-        q.append(near + d)
+        apart = np.bitwise_count((sign[at] ^ sign[at + d]).view(np.uint64))
+        near = apart <= SIGNS
+        p.append(at[near])
+        q.append(at[near] + d)
+        close.append(apart[near] <= CLOSE)
     if not p:
-        return (np.zeros(0, np.int64),) * 3
-    p, q = np.concatenate(p), np.concatenate(q)
+        return (np.zeros(0, np.int64),) * 4
+    p, q, close = np.concatenate(p), np.concatenate(q), np.concatenate(close)
     label = _least_linked(p, q, len(bucket))
+    least = rep[_least_linked(p[close], q[close], len(bucket))]  # entries of a bucket come in the order of their ids
     some = np.unique(np.concatenate([p, q]))
     number = np.zeros(len(bucket), np.int64)
     np.add.at(number, label[some], _mixed(rep[some]))
-    return number[label[some]], bucket[some] & ((1 << _TABLE_BITS) - 1), rep[some]
+    return number[label[some]], bucket[some] & ((1 << _TABLE_BITS) - 1), rep[some], least[some]
 
 
 def _grouped(entries: DataFrame) -> DataFrame:
-    """(bucket, rep, signs) -> (set, table, block, rep): groups of possible near duplicates. Buckets of more than BLOCK
+    """(bucket, rep, signs) -> (set, table, block, rep, close): groups of possible near duplicates. Buckets of more than BLOCK
     entries pass whole, with their entries numbered off in blocks (-1: no blocks)."""
 
     def run(batches):
         held = [np.zeros(0, np.int64)] * 3  # of the bucket that is not known to be whole
         large, count = None, 0
 
-        def out(number, table, block, rep):
-            return pa.RecordBatch.from_arrays([pa.array(number), pa.array(table.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(rep)], ["set", "table", "block", "rep"])
+        def out(number, table, block, rep, close):
+            return pa.RecordBatch.from_arrays([pa.array(number), pa.array(table.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(rep), pa.array(close)], ["set", "table", "block", "rep", "close"])
 
         def stretch(bucket, rep):
             nonlocal count
             block = (count + np.arange(len(bucket))) // BLOCK
             count += len(bucket)
-            return out(bucket, bucket & ((1 << _TABLE_BITS) - 1), block, rep)
+            return out(bucket, bucket & ((1 << _TABLE_BITS) - 1), block, rep, rep)
 
         def whole(bucket, rep, sign):
             """Of complete buckets: the small ones' groups, the large ones' entries."""
@@ -164,8 +170,8 @@ def _grouped(entries: DataFrame) -> DataFrame:
             for i, m in zip(first[n > BLOCK], n[n > BLOCK]):
                 count = 0
                 yield stretch(bucket[i : i + m], rep[i : i + m])
-            number, table, who = _alike(bucket[~big], rep[~big], sign[~big])
-            yield out(number, table, np.full(len(who), -1), who)
+            number, table, who, close = _alike(bucket[~big], rep[~big], sign[~big])
+            yield out(number, table, np.full(len(who), -1), who, close)
 
         for batch in batches:
             new = [batch.column(c).to_numpy() for c in ("bucket", "rep", "signs")]
@@ -190,11 +196,12 @@ def _grouped(entries: DataFrame) -> DataFrame:
         if len(held[0]):
             yield from whole(*held)
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(run, "set long, table int, block int, rep long")
+    return entries.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(run, "set long, table int, block int, rep long, close long")
 
 
-def _compare(x: np.ndarray, code, t: int, i1: int, copies: np.ndarray, rep: np.ndarray, out: list) -> None:
-    """The rows of a group's one block with each other (i1 = all), or those of its first i1 rows with the others."""
+def _compare(x: np.ndarray, code, t: int, i1: int, copies: np.ndarray, rep: np.ndarray, cluster: np.ndarray, out: list) -> None:
+    """The rows of a group's one block with each other (i1 = all), or those of its first i1 rows with the others. A group of
+    table t counts the pairs of different clusters that share no table before; a cluster (t = -1) counts all its pairs."""
     across = i1 < len(x)
     near = x[:i1] @ x[i1 if across else 0 :].T >= COSINE
     if not across:
@@ -203,10 +210,15 @@ def _compare(x: np.ndarray, code, t: int, i1: int, copies: np.ndarray, rep: np.n
     if not len(a):
         return
     b = b + (i1 if across else 0)
-    c = code(x) if t else None
+    if t >= 0:
+        other = cluster[a] != cluster[b]
+        a, b = a[other], b[other]
+        if not len(a):
+            return
+    c = code(x) if t > 0 else None
     for s in range(0, len(a), 1 << 18):
         p, q = a[s : s + (1 << 18)], b[s : s + (1 << 18)]
-        if t:
+        if t > 0:
             first = ~(c[p, :t] == c[q, :t]).any(1)
             p, q = p[first], q[first]
         links = np.bincount(p, copies[q], len(x)) + np.bincount(q, copies[p], len(x))
@@ -218,11 +230,12 @@ def _compare(x: np.ndarray, code, t: int, i1: int, copies: np.ndarray, rep: np.n
 
 
 def _linked(shipped: DataFrame, k: int, tables: int) -> DataFrame:
-    """(set, i, j, block, rep, table, copies, v) in groups of (set, i, j) -> (rep, links, least)."""
+    """(set, table, i, j, block, rep, cluster, copies, v) in groups of (set, table, i, j) -> (rep, links, least)."""
 
     def run(batches):
         code = lambda x: codes(x, k, tables)
-        names = ("set", "i", "j", "block", "rep", "table", "copies")
+        names = ("set", "table", "i", "j", "block", "rep", "cluster", "copies")
+        key = names[:4]
         open_rows: list = []  # pieces (columns, vectors) of the group that may go on
 
         def close(out):
@@ -233,7 +246,7 @@ def _linked(shipped: DataFrame, k: int, tables: int) -> DataFrame:
             within = rows["i"][0] == rows["j"][0]
             i1 = len(x) if within else int((rows["block"] == rows["i"][0]).sum())
             if within or 0 < i1 < len(x):
-                _compare(x[order], code, int(rows["table"][0]), i1, rows["copies"][order].astype(float), rows["rep"][order], out)
+                _compare(x[order], code, int(rows["table"][0]), i1, rows["copies"][order].astype(float), rows["rep"][order], rows["cluster"][order], out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -241,11 +254,11 @@ def _linked(shipped: DataFrame, k: int, tables: int) -> DataFrame:
             columns = {n: batch.column(n).to_numpy() for n in names}
             v = batch.column("v")
             ends, values = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(columns["set"]) != 0) | (np.diff(columns["i"]) != 0) | (np.diff(columns["j"]) != 0)) + 1
+            edges = np.flatnonzero(np.any([np.diff(columns[n]) != 0 for n in key], axis=0)) + 1
             out: list = []
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
                 piece = {n: c[a:b] for n, c in columns.items()}
-                if open_rows and any(open_rows[0][0][n][0] != piece[n][0] for n in ("set", "i", "j")):
+                if open_rows and any(open_rows[0][0][n][0] != piece[n][0] for n in key):
                     close(out)
                 open_rows.append((piece, values[ends[a] : ends[b]].reshape(b - a, -1)))
             yield _found(out)
@@ -279,15 +292,20 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     held = cut(directed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
     total = held.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
     k, tables = plan(total["n"])
-    members = _grouped(_entries(held, k, tables)).groupBy("set", "rep").agg(F.min("table").alias("table"), F.max("block").alias("block"))
+    members = _grouped(_entries(held, k, tables)).groupBy("set", "rep").agg(F.min("table").alias("table"), F.max("block").alias("block"), F.min("close").alias("close"))
     members = cut(members)
-    blocks = members.filter("block >= 0").groupBy("set").agg((F.max("block") + 1).alias("blocks"))
+    clusters = components(members.filter("close < rep").select(F.col("rep").alias("a"), F.col("close").alias("b")).distinct())
+    members = members.join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    mixed = members.groupBy("set").agg(F.min("cluster").alias("_a"), F.max("cluster").alias("_b"), (F.max("block") + 1).alias("blocks")).filter("_a < _b").select("set", "blocks")
+    groups = members.join(mixed, "set").select("set", "table", "blocks", "block", "rep", "cluster")
+    sizes = clusters.groupBy(F.col("component").alias("set")).agg(F.count("*").alias("n"))
+    own = clusters.select(F.col("component").alias("set"), F.col("node").alias("rep")).join(sizes, "set").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = own.select("set", F.lit(-1).alias("table"), "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), "rep", F.col("set").alias("cluster"))
     # block i meets every block j >= i: its rows go to the groups (i, j) and (j, i) in order
-    large = members.filter("block >= 0").join(blocks, "set").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "table")
-    small = members.filter("block < 0").select("set", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), "rep", "table")
-    shipped = large.unionByName(small).join(held.select("rep", "copies", "v"), "rep").repartition("set", "i", "j").sortWithinPartitions("set", "i", "j", "block", "rep")
-    found = cut(_linked(shipped.select("set", "i", "j", "block", "rep", "table", "copies", "v"), k, tables))
+    both = groups.unionByName(own).withColumn("block", F.greatest("block", F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    shipped = both.select("set", "table", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "cluster")
+    shipped = shipped.join(held.select("rep", "copies", "v"), "rep").repartition("set", "i", "j").sortWithinPartitions("set", "table", "i", "j", "block", "rep")
+    found = cut(_linked(shipped.select("set", "table", "i", "j", "block", "rep", "cluster", "copies", "v"), k, tables))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups_of = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     per_key = held.select("k1", "k2", "rep", "copies").join(counts, "rep", "left").join(groups_of.withColumnRenamed("node", "rep"), "rep", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from .graph import saved
 
 #: What makes a namesake decisive, the share a place of the preferred region needs to break a tie, and the
 #: letters an alias needs.
@@ -105,6 +106,7 @@ def resolved(mentions: DataFrame, keys: DataFrame, countries: DataFrame, preferr
     stated = asked.select("_id", F.posexplode(later).alias("pos", "part")).withColumn("country_key", F.trim(K.fold(F.col("part")))).join(names, "country_key").groupBy("_id").agg(F.max_by("code", "pos").alias("stated"))
     rows = asked.withColumn("country_key", F.trim(K.fold(F.col("head")))).join(stated, "_id", "left").join(names.withColumnRenamed("code", "head_code"), "country_key", "left")
     rows = rows.withColumn("country", F.coalesce("stated", "head_code")).withColumn("own_key", K.city_key(F.col("head")))
+    rows = saved(rows)  # read by what follows and by its lookups
     placeable = ~F.col("country_key").isin(NO_CITY) & F.col("own_key").isNotNull()
     first = _spelled(F.col("own_key"))
     second = _without_umlauts(first)
@@ -139,6 +141,7 @@ def resolved(mentions: DataFrame, keys: DataFrame, countries: DataFrame, preferr
     code = F.when(blank, None).when(place.isNotNull(), F.coalesce(F.nullif(place["countrycode"], F.lit("")), F.col("country"))).otherwise(country)
     out = rows.select(F.col("raw").alias("_raw"), F.col("hint").alias("_hint"), city.alias("city"), K.city_key(city).alias("city_key"), code.alias("country_code"), quality.alias("quality"), F.when(~blank, place["geonameid"]).alias("geonameid"))
     out = out.withColumn("place_key", F.coalesce(F.concat(F.lit("geonames:"), F.col("geonameid").cast("string")), F.col("city_key")))
+    out = saved(out)
     joined = mentions.join(out, F.col("raw").eqNullSafe(F.col("_raw")) & F.col("country_hint").eqNullSafe(F.col("_hint")))
     return joined.select("mention_id", "raw", "city", "city_key", "country_code", "quality", "geonameid", "place_key")
 

@@ -81,8 +81,9 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.unionByName(more.filter(K.name_ratio(F.col("i_name"), F.col("e_name")) >= SAME_NAME)).distinct()
 
 
-def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame, ex_artifacts: DataFrame) -> DataFrame:
-    """Pairs worth scoring: same or near compact name, or a shared handle or artifact. Equi-joins in place of all pairs."""
+def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame) -> DataFrame:
+    """Pairs worth scoring: same or near compact name, or a shared handle. Equi-joins in place of all pairs. A shared
+    artifact counts under the same name only, so it adds no pairs: a page that names many joins nobody."""
     by_name = incoming.select("i_id", F.col("i_name").alias("k")).filter("k <> ''").join(existing.select("e_id", F.col("e_name").alias("k")), "k").select("i_id", "e_id")
 
     near = near_names(incoming.select(F.col("i_name").alias("name")), existing.select(F.col("e_name").alias("name")))
@@ -91,7 +92,7 @@ def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame,
     def by(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
         return a.select(F.col("id").alias("i_id"), *key).join(b.select(F.col("id").alias("e_id"), *key), list(key)).select("i_id", "e_id")
 
-    return by_name.unionByName(by(in_handles, ex_handles, "kind", "value")).unionByName(by(in_artifacts, ex_artifacts, "url")).distinct()
+    return by_name.unionByName(by(in_handles, ex_handles, "kind", "value")).distinct()
 
 
 def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, all_existing: bool = False) -> DataFrame:
@@ -107,8 +108,9 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
     in_artifacts, ex_artifacts = in_artifacts if in_artifacts is not None else empty, ex_artifacts if ex_artifacts is not None else empty
     if not all_existing:  # one of those that score alike is enough to decide a mention
         e = _first_of_alike(e, "e_", ex_handles, ex_artifacts)
-    pairs = saved(candidates(i, e, in_handles, ex_handles, in_artifacts, ex_artifacts))
-    art = in_artifacts.select(F.col("id").alias("i_id"), "url").join(ex_artifacts.select(F.col("id").alias("e_id"), "url"), "url").groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
+    pairs = saved(candidates(i, e, in_handles, ex_handles))
+    met = pairs.join(in_artifacts.select(F.col("id").alias("i_id"), "url").distinct(), "i_id")
+    art = met.join(ex_artifacts.select(F.col("id").alias("e_id"), "url").distinct(), ["e_id", "url"]).groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
     rows = pairs.join(i, "i_id").join(e, "e_id").join(art, ["i_id", "e_id"], "left")
     rows = rows.join(_by_kind(in_handles).select(F.col("id").alias("i_id"), F.col("handles").alias("i_handles")), "i_id", "left").join(_by_kind(ex_handles).select(F.col("id").alias("e_id"), F.col("handles").alias("e_handles")), "e_id", "left")
     similarity = F.when(F.col("i_name") == F.col("e_name"), 100.0).otherwise(K.name_ratio(F.col("i_name"), F.col("e_name")))

@@ -98,8 +98,20 @@ def indexed_blocks(rows: DataFrame, key: str, order: list[str], text: Column, mo
 
 
 def chunked(rows: DataFrame, key: str, order: list[str], size: int = 12) -> DataFrame:
-    """Rows of each key with the number of the chunk they fall into."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("int"))
+    """Rows of each key with the number of the chunk they fall into; the first column of the order is a number.
+
+    A key may hold any share of the rows: its rows are numbered within blocks of neighbours, dealt by the order's quantiles,
+    and each block starts where the counts of the blocks before it end."""
+    wanted = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted(set(rows.approxQuantile(order[0], [i / wanted for i in range(1, wanted)], 1 / (2 * wanted))))
+    at = F.col(order[0]).cast("double")
+    block = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: e <= at)) if edges else F.lit(0)
+    dealt = rows.withColumn("_block", F.when(at.isNull(), -1).otherwise(block))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(key, "_block").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order))
+    out = dealt.withColumn("_at", within).join(starts.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")) & (dealt["_block"] == starts["_block"]))
+    return out.select(*rows.columns, F.floor((F.col("_start") + F.col("_at") - 1) / size).cast("int").alias("chunk"))
 
 
 def unseen(now: DataFrame, before: DataFrame, key: str) -> DataFrame:

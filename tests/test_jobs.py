@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoutlake.functions import scoring as S
 from scoutlake.operators import claims as C
-from scoutlake.operators import graph, ingest, merge, places, resolve, screening
+from scoutlake.operators import delivery, graph, ingest, merge, places, resolve, screening, views
 from scoutlake.sources import readers
 from scoutlake.streaming import signals as stream
 
@@ -102,10 +102,11 @@ def test_groups_of_a_long_chain(spark):
 
 
 def test_deals_fold(spark):
-    t = datetime(2026, 1, 1)
-    deals = spark.createDataFrame([(2, 1, 9, "new", t, None, None), (3, 1, 9, "pursue", datetime(2026, 2, 1), t, "ai"), (4, 1, None, "new", t, None, "x"), (5, 1, None, "new", t, None, "x")], "opportunity_id int, founder_id int, company_id int, status string, created_at timestamp, decided_at timestamp, sector string")
+    t, late = datetime(2026, 1, 1), datetime(2026, 2, 1)
+    rows = [(2, 1, 9, "screening", t, None, None), (3, 1, 9, "decided", late, t, "ai"), (4, 1, None, "screening", t, None, "x"), (5, 1, None, "screening", t, None, "x"), (6, 2, 9, "rejected", t, t, None), (7, 2, 9, "decided", late, late, None)]
+    deals = spark.createDataFrame(rows, "opportunity_id int, founder_id int, company_id int, status string, created_at timestamp, decided_at timestamp, sector string")
     got = {r["opportunity_id"]: (r["status"], r["sector"], r["n_folded"]) for r in merge.fold_deals(deals).collect()}
-    assert got == {2: ("pursue", "ai", 2), 4: ("new", "x", 1), 5: ("new", "x", 1)}
+    assert got == {2: ("decided", "ai", 2), 4: ("screening", "x", 1), 5: ("screening", "x", 1), 6: ("rejected", None, 2)}  # of two outcomes the earlier deal's stands
 
 
 def test_founder_axis_bands(spark):
@@ -132,11 +133,48 @@ def test_thesis(spark):
 
 
 def test_places(spark):
-    g = spark.createDataFrame([(1, "Zürich", "CH", 340000, ["Zurich", "Turicum"]), (2, "Springfield", "US", 100, []), (3, "Springfield", "US", 90, []), (4, "Munich", "DE", 1260000, ["München", "Monaco"])], "geonameid int, name string, countrycode string, population bigint, alternatenames array<string>")
-    m = spark.createDataFrame([(1, "ZURICH", None), (2, "Springfield", None), (3, "Munich, Germany", "FR"), (4, " ", None), (5, "Turicum", None), (6, "Atlantis", None)], "mention_id int, raw string, country_hint string")
-    got = {r["mention_id"]: (r["city"], r["quality"], r["place_key"]) for r in places.resolved(m, places.place_keys(g), ["CH", "DE"]).collect()}
-    assert got[1] == ("Zürich", "exact", "geonames:1") and got[2][1] == "unverified" and got[3][1] == "contradicted" and got[4] == (None, "unknown", None)
-    assert got[5][:2] == ("Zürich", "alias") and got[6] == (None, "unverified", "atlantis")
+    rows = [
+        (1, "Zürich", "CH", 340_000, ["Zurich", "Turicum"]), (2, "Springfield", "US", 100, []), (3, "Springfield", "US", 90, []), (4, "Munich", "DE", 1_260_000, ["München", "Monaco"]), (5, "Roma", "LS", 14_000, []),
+        (6, "Rome", "IT", 2_320_000, ["Roma"]), (7, "Lomé", "TG", 2_190_000, ["Rome"]), (8, "Singapore", "SG", 5_600_000, []), (9, "Cambridge", "GB", 130_000, []), (10, "Cambridge", "US", 118_000, []), (11, "Göttingen", "DE", 120_000, []),
+        (12, "Paris", "FR", 2_100_000, []), (13, "Paris", "US", 25_000, []), (14, "Linz", "AT", 200_000, []), (15, "Linz", "XX", 160_000, []), (16, "Vienna", "AT", 1_900_000, ["Wien"]),
+    ]
+    gazetteer = spark.createDataFrame(rows, "geonameid int, name string, countrycode string, population bigint, alternatenames array<string>")
+    countries = spark.createDataFrame([("Germany", "DE"), ("Singapore", "SG"), ("France", "FR"), ("Italy", "IT"), ("Lesotho", "LS"), ("Austria", "AT")], "name string, code string")
+    asked = {
+        "ZURICH": (None, "Zürich", "CH", "exact"), "Springfield": (None, None, None, None), "Munich, Bavaria, Germany": ("FR", "Munich", "DE", "exact"), "Turicum": (None, "Zürich", "CH", "alias"), "München": (None, "Munich", "DE", "alias"),
+        "Roma": (None, "Rome", "IT", "inferred"), "Roma, Lesotho": (None, "Roma", "LS", "exact"), "Rome": (None, "Rome", "IT", "exact"), "Singapore": (None, "Singapore", "SG", "exact"), "Deutschland": (None, None, "DE", "country_only"),
+        "Cambridge": (None, None, None, None), "Goettingen": (None, "Göttingen", "DE", "alias"), "Paris, Germany": (None, "Paris", None, "unverified"), "Linz": (None, "Linz", "AT", "prior"), "Wien": (None, "Vienna", "AT", "alias"),
+        "Atlantis, France": (None, "Atlantis", "FR", "unverified"), "TUM, Germany": (None, None, "DE", "unknown"), " ": (None, None, None, "unknown"), "home / remote": (None, None, None, "unknown"),
+    }
+    extra = [("Cambridge", "GB", "Cambridge", "GB", "exact"), ("Cambridge", "US", "Cambridge", "US", "exact"), ("Munich", "FR", "Munich", "DE", "exact"), ("Springfield", "US", "Springfield", None, "unverified"), (None, "DE", None, None, "unknown")]
+    want = {i: (raw, hint, city, code, quality) for i, (raw, (hint, city, code, quality)) in enumerate(asked.items())}
+    for k in ("Springfield", "Cambridge"):
+        i = list(asked).index(k)
+        want[i] = (k, None, k, None, "unverified")
+    want |= {100 + i: x for i, x in enumerate(extra)}
+    m = spark.createDataFrame([(i, raw, hint) for i, (raw, hint, *_) in want.items()] * 2, "mention_id int, raw string, country_hint string")
+    got = places.resolved(m, places.place_keys(gazetteer), countries, ["CH", "DE", "AT", "GB", "FR", "IT"]).collect()
+    assert len(got) == 2 * len(want)
+    # a namesake in the preferred region wins "Cambridge" without a hint
+    want[list(asked).index("Cambridge")] = ("Cambridge", None, "Cambridge", "GB", "prior")
+    for r in got:
+        raw, _, city, code, quality = want[r["mention_id"]]
+        assert (r["city"], r["country_code"], r["quality"]) == (city, code, quality), raw
+    assert {r["place_key"] for r in got if r["raw"] in ("ZURICH", "Turicum")} == {"geonames:1"} and {r["place_key"] for r in got if r["raw"] == "Atlantis, France"} == {"atlantis"}
+    assert places.resolved(m.limit(0), places.place_keys(gazetteer), countries, []).count() == 0
+
+
+def test_a_hot_key_is_chunked_in_order(spark):
+    rows = spark.range(1000).selectExpr("id", "if(id % 10 = 0, null, 'a') as k").repartition(7)
+    got = sorted((r["id"], r["chunk"]) for r in views.chunked(rows, "k", ["id"], 7).collect() if r["k"] == "a")
+    assert [c for _, c in got] == [i // 7 for i in range(900)]
+    assert views.chunked(rows, "k", ["id"], 7).count() == 1000 and views.chunked(rows.limit(0), "k", ["id"]).count() == 0
+
+
+def test_a_ledger_row_is_bounded_and_loses_nothing(spark):
+    edges = spark.range(25).selectExpr("1 as founder_id", "id % 23 as signal_id")
+    rows = delivery.trace_rows(edges, "step", 10).orderBy("part").collect()
+    assert [len(r["evidence"]) for r in rows] == [10, 10, 3] and sum((r["evidence"] for r in rows), []) == list(range(23))
 
 
 def test_keywords(spark):
@@ -162,8 +200,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<feed><entry><id> http://arxiv.org/abs/1 </id><title>A\n  title</title><summary>s  s</summary><published>2026</published><author><name>Ada L</name></author><author><name>Alan T</name></author></entry></feed>")
     row = readers.reader("arxiv")(spark, str(tmp_path / "feed.xml")).first()
     assert row["title"] == "A title" and row["content"].startswith("authors: Ada L, Alan T")
-    df = spark.createDataFrame([("see &lt;a href=&quot;https:&#x2F;&#x2F;armalo.ai&quot; rel=&quot;x&quot;&gt;armalo&lt;/a&gt; &amp; more",)], "x string")
-    assert df.select(readers.plain_text(F.col("x"))).first()[0] == "see https://armalo.ai & more"
+    df = spark.createDataFrame([("see &lt;a href=&quot;https:&#x2F;&#x2F;widgets.example&quot; rel=&quot;x&quot;&gt;widgets&lt;/a&gt; &amp; more",)], "x string")
+    assert df.select(readers.plain_text(F.col("x"))).first()[0] == "see https://widgets.example & more"
     decks = spark.createDataFrame([("d", "Acme", 1, "hi"), ("d", "Acme", 2, " "), ("e", "Void", 1, None)], "deck_id string, company string, page int, text string")
     assert sorted(r["external_id"] for r in readers.deck_pages(decks).collect()) == ["d#1", "d#2"]
 
