@@ -1,8 +1,8 @@
 """Near-duplicate embeddings (operator 3): Euclidean p-stable hashing with exact cosine checks.
 
 Normalised vectors are projected on Gaussian directions, shifted and quantised; the WIDTH-wide cells of several projections
-together name a bucket in each of several tables. What is shuffled to buckets is an entry of three numbers: bucket, vector
-id and the signs of 64 further projections. Within a bucket, entries whose signs differ in more than SIGNS places can be no
+together name a bucket in each of several tables. What is shuffled to buckets is an entry of four numbers: bucket, vector
+id and the signs of 128 further projections. Within a bucket, entries whose signs differ in more than SIGNS places can be no
 near duplicates; the others fall into groups. Vectors whose signs hardly differ make clusters, over all tables. Only then do
 vectors travel: once to their cluster, and to the groups of several clusters (in blocks, for large ones), to be compared by
 matrix products in double precision. A pair of one cluster counts there; any other in the first table it shares, which both
@@ -30,10 +30,10 @@ WIDTH, SEED = 2.0, 20
 MISS = 0.001
 #: Unrelated vectors that a bucket holds by chance: more vectors take more projections to a table, and so more tables.
 CHANCE = 64
-#: Of 64 signs two vectors at COSINE differ in 6.5, unrelated ones in 32. More than 20 come up once in 300,000 pairs at COSINE.
-SIGNS = 20
-#: Two vectors whose signs differ in no more places belong to one cluster; unrelated ones never do (1 in 100 million).
-CLOSE = 10
+#: Of 128 signs two vectors at COSINE differ in 13, unrelated ones in 64. More than 26 come up once in 10,000 pairs at COSINE.
+SIGNS = 26
+#: Two vectors whose signs differ in no more places belong to one cluster; unrelated ones never do.
+CLOSE = 20
 #: Vectors of a group that are compared in one matrix product; larger buckets are not searched by signs.
 BLOCK = 1024
 _TABLE_BITS = 10
@@ -62,7 +62,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 @functools.lru_cache(4)
 def _directions(size: int, k: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.normal(size=(size, tables * k)), rng.uniform(0, WIDTH, tables * k), rng.integers(1, 1 << 62, k) * 2 + 1, rng.normal(size=(size, 64))
+    return rng.normal(size=(size, tables * k)), rng.uniform(0, WIDTH, tables * k), rng.integers(1, 1 << 62, k) * 2 + 1, rng.normal(size=(size, 128))
 
 
 def codes(x: np.ndarray, k: int, tables: int) -> np.ndarray:
@@ -75,7 +75,7 @@ def codes(x: np.ndarray, k: int, tables: int) -> np.ndarray:
 
 def signs(x: np.ndarray, k: int, tables: int) -> np.ndarray:
     bits = x @ _directions(x.shape[1], k, tables)[3] >= 0
-    return np.packbits(bits, axis=1).view(np.int64).ravel()
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def _by_size(batch: pa.RecordBatch):
@@ -89,7 +89,7 @@ def _by_size(batch: pa.RecordBatch):
 
 
 def _entries(held: DataFrame, k: int, tables: int) -> DataFrame:
-    """(rep, v) -> (bucket, rep, signs), one row a table."""
+    """(rep, v) -> (bucket, rep, s1, s2), one row a table."""
 
     def run(batches):
         for batch in batches:
@@ -97,10 +97,10 @@ def _entries(held: DataFrame, k: int, tables: int) -> DataFrame:
             for at, v in _by_size(batch):
                 for s in range(0, len(at), 2048):
                     x, who = unit(v[s : s + 2048]), rep[at[s : s + 2048]]
-                    columns = codes(x, k, tables).ravel(), np.repeat(who, tables), np.repeat(signs(x, k, tables), tables)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["bucket", "rep", "signs"])
+                    columns = codes(x, k, tables).ravel(), *(np.repeat(c, tables) for c in (who, *signs(x, k, tables).T))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["bucket", "rep", "s1", "s2"])
 
-    return held.select("rep", "v").mapInArrow(run, "bucket long, rep long, signs long")
+    return held.select("rep", "v").mapInArrow(run, "bucket long, rep long, s1 long, s2 long")
 
 
 def _least_linked(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
@@ -120,7 +120,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return ((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _alike(bucket: np.ndarray, rep: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
+def _alike(bucket: np.ndarray, rep: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> tuple[np.ndarray, ...]:
     """Entries of whole buckets, in order -> (set, table, rep, close) of those that could be near another one of their
     bucket. Equal groups get the same set number in whatever table; `close` is the least id of a vector's close ones."""
     p, q, close, at = [], [], [], np.arange(len(bucket) - 1)
@@ -129,7 +129,7 @@ def _alike(bucket: np.ndarray, rep: np.ndarray, sign: np.ndarray) -> tuple[np.nd
         at = at[bucket[at] == bucket[at + d]]
         if not len(at):
             break
-        apart = np.bitwise_count((sign[at] ^ sign[at + d]).view(np.uint64))
+        apart = sum(np.bitwise_count((s[at] ^ s[at + d]).view(np.uint64)) for s in (s1, s2))
         near = apart <= SIGNS
         p.append(at[near])
         q.append(at[near] + d)
@@ -146,11 +146,11 @@ def _alike(bucket: np.ndarray, rep: np.ndarray, sign: np.ndarray) -> tuple[np.nd
 
 
 def _grouped(entries: DataFrame) -> DataFrame:
-    """(bucket, rep, signs) -> (set, table, block, rep, close): groups of possible near duplicates. Buckets of more than BLOCK
+    """(bucket, rep, s1, s2) -> (set, table, block, rep, close): groups of possible near duplicates. Buckets of more than BLOCK
     entries pass whole, with their entries numbered off in blocks (-1: no blocks)."""
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3  # of the bucket that is not known to be whole
+        held = [np.zeros(0, np.int64)] * 4  # of the bucket that is not known to be whole
         large, count = None, 0
 
         def out(number, table, block, rep, close):
@@ -162,7 +162,7 @@ def _grouped(entries: DataFrame) -> DataFrame:
             count += len(bucket)
             return out(bucket, bucket & ((1 << _TABLE_BITS) - 1), block, rep, rep)
 
-        def whole(bucket, rep, sign):
+        def whole(bucket, rep, s1, s2):
             """Of complete buckets: the small ones' groups, the large ones' entries."""
             nonlocal count
             _, first, n = np.unique(bucket, return_index=True, return_counts=True)
@@ -170,11 +170,11 @@ def _grouped(entries: DataFrame) -> DataFrame:
             for i, m in zip(first[n > BLOCK], n[n > BLOCK]):
                 count = 0
                 yield stretch(bucket[i : i + m], rep[i : i + m])
-            number, table, who, close = _alike(bucket[~big], rep[~big], sign[~big])
+            number, table, who, close = _alike(*(c[~big] for c in (bucket, rep, s1, s2)))
             yield out(number, table, np.full(len(who), -1), who, close)
 
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("bucket", "rep", "signs")]
+            new = [batch.column(c).to_numpy() for c in ("bucket", "rep", "s1", "s2")]
             if not len(new[0]):
                 continue
             if large is not None:  # the bucket that goes on from earlier batches
@@ -192,7 +192,7 @@ def _grouped(entries: DataFrame) -> DataFrame:
             if len(held[0]) > BLOCK:
                 large, count = held[0][0], 0
                 yield stretch(held[0], held[1])
-                held = [np.zeros(0, np.int64)] * 3
+                held = [np.zeros(0, np.int64)] * 4
         if len(held[0]):
             yield from whole(*held)
 
