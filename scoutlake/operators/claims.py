@@ -83,18 +83,24 @@ def mint(extracted: DataFrame, cited: DataFrame, taken: DataFrame) -> tuple[Data
 
     `extracted`: founder_id, claim_no, statement, category, impact, dedup_key, supporting, refuting (arrays of positions);
     `cited`: founder_id, pos, signal_id, weight, occurred_at; `taken`: founder_id, dedup_key already in use. Claims outside
-    the taxonomy, without a statement, or citing only positions that do not exist are dropped; the first claim of a founder
-    keeps a dedup key, later ones and taken ones get none."""
+    the taxonomy, without a statement, or without a supporting position that exists are dropped; a claim's date is its
+    latest support's. `attributes` (a map, if there is one) gains impact and date. The first claim of a founder keeps a
+    dedup key, later ones and taken ones get none."""
     valid = extracted.filter(F.col("category").isin(CATEGORIES) & (F.trim(F.coalesce("statement", F.lit(""))) != ""))
     positions = F.concat(F.transform(F.coalesce("supporting", F.array().cast("array<int>")), lambda p: F.struct(p.alias("pos"), F.lit("supports").alias("stance"))), F.transform(F.coalesce("refuting", F.array().cast("array<int>")), lambda p: F.struct(p.alias("pos"), F.lit("refutes").alias("stance"))))
     edges = valid.select("founder_id", "claim_no", F.explode(positions).alias("c")).select("founder_id", "claim_no", "c.pos", "c.stance").join(cited, ["founder_id", "pos"])
-    edges = edges.groupBy("founder_id", "claim_no", "signal_id").agg(F.when(F.bool_or(F.col("stance") == "refutes"), "refutes").otherwise("supports").alias("stance"), F.max("weight").alias("weight"), F.max("occurred_at").alias("occurred_at"))
-    dated = edges.groupBy("founder_id", "claim_no").agg(F.max("occurred_at").alias("occurred_at"), F.count("*").alias("n_evidence"))
+    support = edges.filter("stance = 'supports'").groupBy("founder_id", "claim_no").agg(F.max("occurred_at").alias("occurred_at"))
+    edges = edges.groupBy("founder_id", "claim_no", "signal_id").agg(F.when(F.bool_or(F.col("stance") == "refutes"), "refutes").otherwise("supports").alias("stance"), F.max("weight").alias("weight"))
+    dated = support.join(edges.groupBy("founder_id", "claim_no").agg(F.count("*").alias("n_evidence")), ["founder_id", "claim_no"])
     first = F.row_number().over(Window.partitionBy("founder_id", "dedup_key").orderBy("claim_no")) == 1
     claims = valid.join(dated, ["founder_id", "claim_no"]).withColumn("_first", first)
     claims = claims.join(taken.select("founder_id", "dedup_key").distinct().withColumn("_taken", F.lit(True)), ["founder_id", "dedup_key"], "left")
     claims = claims.withColumn("dedup_key", F.when(F.col("_first") & F.col("_taken").isNull(), F.col("dedup_key"))).drop("_first", "_taken", "supporting", "refuting")
-    return claims, edges.drop("occurred_at")
+    if "attributes" in claims.columns:
+        more = F.create_map(F.lit("impact"), F.col("impact").cast("string"), F.lit("occurred_at"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"))
+        own = F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("impact", "occurred_at"))
+        claims = claims.withColumn("attributes", F.map_concat(own, more))
+    return claims, edges.join(claims.select("founder_id", "claim_no"), ["founder_id", "claim_no"], "left_semi")
 
 
 def matched(extracted: DataFrame, existing: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -29,6 +29,14 @@ def upsert_new(batch: DataFrame, target: DataFrame, key: list[str], order: list[
     return first_of_each(batch, key, order).join(target.select(*key), key, "left_anti")
 
 
+def capped_hits(hits: DataFrame, most: int = 300, longest: int = 1500) -> DataFrame:
+    """(query_no, pos, subgoal, url, title, content) -> the first hit of each canonical URL in the order of queries, `most` of
+    a run at most and `longest` characters of content each: the features that bound what is read further."""
+    keyed = hits.withColumn("canonical_url", K.canonical_url(F.col("url"))).filter("coalesce(canonical_url, '') <> ''")
+    once = first_of_each(keyed, ["canonical_url"], ["query_no", "pos"])
+    return once.withColumn("content", F.substring(F.coalesce("content", F.lit("")), 1, longest)).orderBy("query_no", "pos").limit(most)
+
+
 def capped_per_group(rows: DataFrame, group: str, key: str, order: list[str], most: int) -> DataFrame:
     """The first hit of each key, then at most `most` of each group: the feature that bounds research hits per goal."""
     once = first_of_each(rows, [key], order)

@@ -110,3 +110,22 @@ def enriched_companies(known: DataFrame, mentions: DataFrame) -> DataFrame:
     new = mentions.groupBy("company_id").agg(*(F.min_by(c, F.when(some(c), F.col("mention_id"))).alias(f"_{c}") for c in fields))
     out = known.join(new, "company_id", "left")
     return out.select("company_id", *(F.coalesce(F.nullif(c, F.lit("")), f"_{c}").alias(c) for c in fields))
+
+
+def deduplicated_companies(companies: DataFrame, opportunities: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Companies once per name key, with deals and founder links on the survivor: (companies, opportunities, links).
+
+    `companies`: company_id, name, created_at; `opportunities`: opportunity_id, company_id, company_name; `links`: founder_id,
+    company_id, role, linked_at. A named deal without a company takes the one of its name, a new one where there is none."""
+    from ..functions import keys as K
+
+    keyed = companies.withColumn("name_key", K.company_key(F.col("name")))
+    used = opportunities.filter("company_id is not null").select("company_id").distinct().withColumn("_used", F.lit(True))
+    ranked = survivor_by_name(keyed.join(used, "company_id", "left").select("company_id", "name_key", F.coalesce("_used", F.lit(False)).alias("has_deal"), "created_at"))
+    kept = keyed.join(ranked.filter("company_id = survivor").select("company_id"), "company_id", "left_semi")
+    mapping = ranked.select(F.col("company_id").alias("id"), F.col("survivor").alias("canonical"))
+    deals = rekeyed(opportunities, mapping, "company_id")
+    loose = deals.filter("company_id is null and trim(coalesce(company_name, '')) <> ''").select("opportunity_id", K.company_key(F.col("company_name")).alias("name_key"))
+    found = resolved_companies(loose.select(F.col("opportunity_id").alias("mention_id"), "name_key", F.lit(None).cast("string").alias("domain")), kept.select("company_id", "name_key", F.lit(None).cast("string").alias("domain")))
+    deals = deals.join(found.select(F.col("mention_id").alias("opportunity_id"), F.col("company_id").alias("_found")), "opportunity_id", "left").withColumn("company_id", F.coalesce(F.col("company_id").cast("string"), "_found")).drop("_found")
+    return kept, deals, fold_company_links(rekeyed(links, mapping, "company_id"))

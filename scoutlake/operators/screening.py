@@ -144,3 +144,20 @@ def memo_view(memos: DataFrame) -> DataFrame:
     last = memos.groupBy("opportunity_id").agg(F.max_by(F.struct("memo_id", *fields), at).alias("m"))
     out = last.select("opportunity_id", "m.*")
     return out.withColumn("gaps", F.coalesce("gaps", F.array().cast("array<string>")))
+
+
+def memo_quality(points: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What a memo's points (memo_id, part `hypothesis` or `traction`, point_no, text, cited ARRAY) rest on, per memo:
+    hypotheses keep the citations that exist, a metric of traction without any goes, and what was dropped is a gap."""
+    cited = points.select("memo_id", "part", "point_no", F.explode_outer("cited").alias("claim_id"))
+    real = cited.join(evidence.select("claim_id").distinct().withColumn("_real", F.lit(True)), "claim_id", "left")
+    per = real.groupBy("memo_id", "part", "point_no").agg(F.count_if("_real").alias("good"), F.count_if(F.col("claim_id").isNotNull() & F.col("_real").isNull()).alias("bad"))
+    hypothesis, traction = F.col("part") == "hypothesis", F.col("part") == "traction"
+    sums = per.groupBy("memo_id").agg(
+        F.count_if(hypothesis).alias("n_hypotheses"), F.coalesce(F.sum(F.when(hypothesis, F.col("bad"))), F.lit(0)).alias("_dropped"), F.count_if(traction & (F.col("good") > 0)).alias("n_traction_metrics"), F.count_if(traction & (F.col("good") == 0)).alias("_metrics")
+    )
+    gaps = F.array_compact(F.array(
+        F.when(F.col("_dropped") > 0, F.format_string("dropped %d hypothesis citation(s) not in the evidence set", "_dropped")), F.when(F.col("_metrics") > 0, F.format_string("dropped %d traction metric(s) with no resolvable evidence", "_metrics")),
+        F.when(F.col("n_hypotheses") == 0, F.lit("required section missing: hypotheses")),
+    ))
+    return sums.select("memo_id", "n_hypotheses", "n_traction_metrics", ((F.col("_dropped") == 0) & (F.col("_metrics") == 0)).alias("all_citations_resolved"), (F.col("n_hypotheses") > 0).alias("required_sections_present"), F.array_join(gaps, "; ").alias("gaps"))

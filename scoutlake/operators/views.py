@@ -163,3 +163,22 @@ def thesis_lines(theses: DataFrame) -> DataFrame:
     fields = [c for c in theses.columns if c not in ("thesis_id", "is_default")]
     rows = theses.filter("is_default").orderBy("thesis_id").limit(1)
     return rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))).alias("f")).select("f.*").filter("coalesce(value, '') <> ''")
+
+
+def matching_deals(opportunities: DataFrame, needle: str) -> DataFrame:
+    """Deals that mention the needle in any of the fields a list or an inbox shows."""
+    return opportunities.filter(contains_any(needle, *(c for c in ("company_name", "idea", "sector", "geo", "status") if c in opportunities.columns)))
+
+
+def subject_coverage(subjects: DataFrame, founders: DataFrame, claims: DataFrame, cold_below: int = 5, bull_at: float = 40.0) -> tuple[DataFrame, DataFrame]:
+    """A fixed set of subjects (founder_id) against what is known of them: one row each, and the set's properties as
+    (property, holds): every subject known and with claims, one of them new, one of a high score, one contradicted.
+
+    `founders`: founder_id, founder_score; `claims`: founder_id, status."""
+    n = claims.groupBy("founder_id").agg(F.count("*").alias("n_claims"), F.bool_or(F.col("status") == "contradicted").alias("contradicted"))
+    rows = subjects.select("founder_id").join(founders.select("founder_id", "founder_score", F.lit(True).alias("known")), "founder_id", "left").join(n, "founder_id", "left")
+    rows = rows.select("founder_id", F.coalesce("known", F.lit(False)).alias("known"), "founder_score", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("contradicted", F.lit(False)).alias("contradicted"))
+    cold = (F.col("n_claims") < cold_below) & (F.col("n_claims") > 0)
+    holds = {"all_known": F.bool_and("known"), "all_have_claims": F.bool_and(F.col("n_claims") > 0), "has_cold_start": F.bool_or(cold), "has_bull": F.bool_or(F.coalesce(F.col("founder_score") >= bull_at, F.lit(False))), "has_contradiction": F.bool_or("contradicted")}
+    wide = rows.agg(*(c.alias(k) for k, c in holds.items()))
+    return rows, wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("property"), F.coalesce(k, F.lit(False)).alias("holds")) for k in holds))).alias("p")).select("p.*")

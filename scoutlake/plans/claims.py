@@ -96,9 +96,9 @@ _CITED = "SELECT founder_id, CAST(row_number() OVER (PARTITION BY founder_id ORD
     D.with_views(
         "claim", "signal",
         sql=f""", extracted AS ({_EXTRACTED}), cited AS ({_CITED}), valid AS (SELECT * FROM extracted WHERE category <> 'gossip' AND trim(statement) <> ''),
-        edges AS (SELECT DISTINCT founder_id, claim_no, signal_id FROM (SELECT founder_id, claim_no, p1 AS pos FROM valid UNION ALL SELECT founder_id, claim_no, p2 FROM valid) JOIN cited USING (founder_id, pos)),
-        kept AS (SELECT v.*, row_number() OVER (PARTITION BY founder_id, dedup_key ORDER BY claim_no) AS n FROM valid v WHERE EXISTS (SELECT 1 FROM edges e WHERE e.founder_id = v.founder_id AND e.claim_no = v.claim_no))
-        SELECT k.founder_id, k.claim_no, k.category, (SELECT strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') FROM edges e JOIN signal USING (signal_id) WHERE e.founder_id = k.founder_id AND e.claim_no = k.claim_no) AS occurred_at, CASE WHEN n = 1 AND k.dedup_key <> 'k3' THEN k.dedup_key END AS dedup_key, (SELECT count(*) FROM edges e WHERE e.founder_id = k.founder_id AND e.claim_no = k.claim_no) AS n_evidence FROM kept k""",
+        edges AS (SELECT founder_id, claim_no, signal_id, bool_or(sup) AS sup FROM (SELECT founder_id, claim_no, p1 AS pos, true AS sup FROM valid UNION ALL SELECT founder_id, claim_no, p2, false FROM valid) JOIN cited USING (founder_id, pos) GROUP BY founder_id, claim_no, signal_id),
+        kept AS (SELECT v.*, row_number() OVER (PARTITION BY founder_id, dedup_key ORDER BY claim_no) AS n FROM valid v WHERE EXISTS (SELECT 1 FROM edges e WHERE e.founder_id = v.founder_id AND e.claim_no = v.claim_no AND e.sup))
+        SELECT k.founder_id, k.claim_no, k.category, (SELECT strftime(max(occurred_at), '%Y-%m-%d %H:%M:%S') FROM edges e JOIN signal USING (signal_id) WHERE e.founder_id = k.founder_id AND e.claim_no = k.claim_no AND e.sup) AS occurred_at, CASE WHEN n = 1 AND k.dedup_key <> 'k3' THEN k.dedup_key END AS dedup_key, (SELECT count(*) FROM edges e WHERE e.founder_id = k.founder_id AND e.claim_no = k.claim_no) AS n_evidence FROM kept k""",
     )
 )
 def minted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

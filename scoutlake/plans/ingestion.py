@@ -86,14 +86,14 @@ def documents_by_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", K.content_hash(F.lit(None).cast("string"), F.col("text")).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).filter("n > 1")
 
 
-@query("SELECT l.doc_id, l.quality, d.lang, d.doc_id IS NOT NULL AS known FROM labels l LEFT JOIN documents d USING (doc_id)")
-def coverage_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed set of subjects against what is known of them."""
-    labels, docs = D.table(spark, sf_dir, "labels"), D.table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(True).alias("known"))
-    return labels.join(docs, "doc_id", "left").select("doc_id", "quality", "lang", F.coalesce("known", F.lit(False)).alias("known"))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def documents_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects without any annotation: an anti-join."""
     return D.table(spark, sf_dir, "documents").select("doc_id").join(D.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(f"SELECT canonical_url, page_id, length(html) AS n_chars FROM (SELECT canonical_url, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM (SELECT page_id, {URL_KEY} AS canonical_url, substr(html, 1, 1500) AS html FROM pages) GROUP BY canonical_url) ORDER BY page_id LIMIT 300")
+def capped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three hundred different pages of a run's hits, each with the excerpt that a reader gets."""
+    hits = D.table(spark, sf_dir, "pages").select(F.lit(0).alias("query_no"), F.col("page_id").alias("pos"), F.lit("kpi").alias("subgoal"), "url", F.lit("t").alias("title"), F.col("html").alias("content"))
+    return I.capped_hits(hits).select("canonical_url", F.col("pos").alias("page_id"), F.length("content").cast("long").alias("n_chars"))

@@ -297,3 +297,31 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger row of a run."""
     counts = {"signals": D.signals(spark, sf_dir), "founders": D.founders(spark, sf_dir), "claims": D.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0")}
     return V.run_metrics("discovery", counts, D.as_of()).drop("finished_at")
+
+
+@query(
+    """WITH c AS (SELECT l_suppkey AS memo_id, CASE WHEN l_linenumber <= 4 THEN 'hypothesis' ELSE 'traction' END AS part, l_linenumber AS point_no, count(*) FILTER (WHERE l_orderkey % 3 <> 1) AS good, count(*) FILTER (WHERE l_orderkey % 3 = 1) AS bad FROM lineitem WHERE l_suppkey % 2 = 0 OR l_linenumber > 4 GROUP BY 1, 2, 3),
+    s AS (SELECT memo_id, count(*) FILTER (WHERE part = 'hypothesis') AS h, CAST(coalesce(sum(bad) FILTER (WHERE part = 'hypothesis'), 0) AS BIGINT) AS d, count(*) FILTER (WHERE part = 'traction' AND good > 0) AS t, count(*) FILTER (WHERE part = 'traction' AND good = 0) AS m FROM c GROUP BY memo_id)
+    SELECT memo_id, h AS n_hypotheses, t AS n_traction_metrics, d = 0 AND m = 0 AS all_citations_resolved, h > 0 AS required_sections_present, concat_ws('; ', CASE WHEN d > 0 THEN 'dropped ' || d || ' hypothesis citation(s) not in the evidence set' END, CASE WHEN m > 0 THEN 'dropped ' || m || ' traction metric(s) with no resolvable evidence' END, CASE WHEN h = 0 THEN 'required section missing: hypotheses' END) AS gaps FROM s"""
+)
+def memo_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What memos' hypotheses and metrics rest on."""
+    items = D.table(spark, sf_dir, "lineitem")
+    used = items.filter("l_suppkey % 2 = 0 or l_linenumber > 4")  # memos of odd number have no hypotheses
+    points = used.select(F.col("l_suppkey").alias("memo_id"), F.when(F.col("l_linenumber") <= 4, "hypothesis").otherwise("traction").alias("part"), F.col("l_linenumber").alias("point_no"), F.array("l_orderkey").alias("cited"))
+    return S.memo_quality(points, items.filter("l_orderkey % 3 <> 1").select(F.col("l_orderkey").alias("claim_id")))
+
+
+@query(
+    """WITH c AS (SELECT s_suppkey AS company_id, 'firm ' || (s_suppkey % 30) AS k, s_suppkey AS created_at FROM supplier), d AS (SELECT o_orderkey AS opportunity_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 50 END AS company_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'firm ' || (o_orderkey % 33) END AS k FROM orders),
+    s AS (SELECT company_id, k, first_value(company_id) OVER (PARTITION BY k ORDER BY (company_id IN (SELECT company_id FROM d WHERE company_id IS NOT NULL)) DESC, created_at, company_id) AS survivor FROM c)
+    SELECT opportunity_id, CASE WHEN d.company_id IS NOT NULL THEN CAST(coalesce(s.survivor, d.company_id) AS VARCHAR) WHEN d.k IS NOT NULL THEN coalesce(CAST(n.survivor AS VARCHAR), 'new-' || substr(sha256(d.k), 1, 16)) END AS company_id FROM d LEFT JOIN s ON s.company_id = d.company_id LEFT JOIN (SELECT DISTINCT k, survivor FROM s) n ON n.k = d.k"""
+)
+def deals_of_deduplicated_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals after companies became one per name: repointed, and named ones given their company."""
+    k, o = F.col("s_suppkey"), F.col("o_orderkey")
+    companies = D.table(spark, sf_dir, "supplier").select(k.alias("company_id"), F.concat(F.lit("Firm "), (k % 30).cast("string"), F.when(k % 2 == 0, " GmbH").otherwise(", Inc.")).alias("name"), k.alias("created_at"))
+    orders = D.table(spark, sf_dir, "orders")
+    deals = orders.select(o.alias("opportunity_id"), F.when(o % 3 != 0, o % 50).alias("company_id"), F.when(o % 4 != 0, F.concat(F.lit("FIRM "), (o % 33).cast("string"))).alias("company_name"))
+    links = orders.select(F.col("o_custkey").alias("founder_id"), (o % 50).alias("company_id"), F.lit("founder").alias("role"), F.col("o_orderdate").alias("linked_at"))
+    return G.deduplicated_companies(companies, deals, links)[1].select("opportunity_id", "company_id")

@@ -132,3 +132,28 @@ def home_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(D.with_views("opportunity", sql="SELECT opportunity_id, status, sector FROM opportunity WHERE contains(sector, 'urg') OR contains(status, 'urg') OR contains('venture ' || company_id, 'urg')"))
+def matching_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals that a search in the list finds."""
+    deals = D.opportunities(spark, sf_dir).withColumn("company_name", F.concat(F.lit("Venture "), F.col("company_id").cast("string")))
+    return V.matching_deals(deals, " URG ").select("opportunity_id", "status", "sector")
+
+
+@query(
+    D.with_views(
+        "claim", "trust", "score",
+        sql=""", s AS (SELECT c_custkey AS founder_id FROM customer WHERE c_custkey < 40 UNION ALL SELECT -1), n AS (SELECT founder_id, count(*) AS n, bool_or(status = 'contradicted') AS c FROM claim LEFT JOIN trust USING (claim_id) GROUP BY founder_id),
+        r AS (SELECT s.founder_id, c_custkey IS NOT NULL AS known, founder_score, coalesce(n, 0) AS n, coalesce(c, false) AS c FROM s LEFT JOIN customer ON c_custkey = s.founder_id LEFT JOIN score USING (founder_id) LEFT JOIN n USING (founder_id))
+        SELECT 'all_known' AS property, bool_and(known) AS holds FROM r UNION ALL SELECT 'all_have_claims', bool_and(n > 0) FROM r UNION ALL SELECT 'has_cold_start', bool_or(n > 0 AND n < 5) FROM r UNION ALL SELECT 'has_bull', bool_or(coalesce(founder_score >= 40, false)) FROM r UNION ALL SELECT 'has_contradiction', bool_or(c) FROM r""",
+    )
+)
+def subject_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fixed set of subjects against what is known: which of its properties still hold. One of them is made up."""
+    from .claims import scores
+
+    subjects = D.founders(spark, sf_dir).filter("founder_id < 40").select("founder_id")
+    subjects = subjects.unionByName(subjects.limit(1).select(F.lit(-1).cast(subjects.schema["founder_id"].dataType).alias("founder_id")))
+    founders = D.founders(spark, sf_dir).select("founder_id").join(scores(spark, sf_dir).select("founder_id", "founder_score"), "founder_id", "left")
+    return V.subject_coverage(subjects, founders, _trusted(spark, sf_dir))[1]
