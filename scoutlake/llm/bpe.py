@@ -72,6 +72,7 @@ class Bpe:
         for token, i in self.special.items():
             self.token_bytes[i] = token.encode()
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.keep = CACHE_FRAGMENTS
         self._cuts()
         self._rank_table()
         self._forget()
@@ -182,7 +183,7 @@ class Bpe:
         yield from self._look_up(waiting)
 
     def _look_up(self, runs: list[list]) -> list[bytes]:
-        if len(self.seen) > CACHE_FRAGMENTS:
+        if len(self.seen) > self.keep:
             self._forget()
         look = self.seen.get
         found = [[*map(look, run)] for run in runs]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import SPACE, broadcast_vocabulary, load
+from .bpe import CACHE_FRAGMENTS, SPACE, broadcast_vocabulary, load
 from .common import shared_folder, table, text_or_empty
 
 #: Pre-tokens of a leaf, and the characters beyond which a leaf is split where it can be.
@@ -27,6 +27,8 @@ PRETOKENS, GROWN = 40, 4096
 _LEAF = re.compile(rf"(?:[{SPACE}]*+[^{SPACE}]++){{{PRETOKENS}}}(?=[{SPACE}])")
 _GAP = re.compile(rf"[^{SPACE}](?=[{SPACE}])|[。，、！？；：](?=[^\W\d_])")
 
+#: Fragments a worker keeps for edits: two batches of them in a row mean two workers to a task.
+KEEP = 150_000
 EDIT = "struct<at: long, removed: long, added: string>"
 
 
@@ -115,9 +117,9 @@ def _shared_out(parts: list[str], n: int) -> list[str]:
     return parts + [""] * (n - len(parts))
 
 
-def apply_edit(text: str, tree: Tree, at: int, removed: int, added: str, count) -> tuple[str, Tree, int]:
-    """The edited text, its tree (the same one, changed, unless it was dealt anew) and how many characters were encoded
-    again. `count` gives texts' token counts."""
+def touched(text: str, tree: Tree, at: int, removed: int, added: str) -> tuple[str, int, int, list[str]]:
+    """The edited text and what the edit touches: leaves i to j of the tree and the new leaves in their place, as many, or
+    more where one would have grown too long."""
     at = max(0, min(at, len(text)))
     stop = min(len(text), at + max(0, removed))
     sizes = tree.chars[0]
@@ -135,20 +137,23 @@ def apply_edit(text: str, tree: Tree, at: int, removed: int, added: str, count)
         begin -= sizes[i]
         if sizes[i]:
             break
-    region = text[begin:at] + added + text[stop:end]
-    text = text[:at] + added + text[stop:]
-    fresh = leaves_of(region)
+    fresh = leaves_of(text[begin:at] + added + text[stop:end])
     parts = _shared_out(fresh, j - i)
-    if max(map(len, parts)) > GROWN and len(fresh) > j - i:
-        chars = [*sizes[:i], *map(len, fresh), *sizes[j:]]
-        tokens = [*tree.tokens[0][:i], *count(fresh), *tree.tokens[0][j:]]
-        some = [k for k, n in enumerate(chars) if n] or [0]
-        return text, Tree([chars[k] for k in some], [tokens[k] for k in some]), len(region)
-    tree.replace(i, [*map(len, parts)], count(parts))
-    return text, tree, len(region)
+    return text[:at] + added + text[stop:], i, j, fresh if max(map(len, parts)) > GROWN and len(fresh) > j - i else parts
 
 
-def _counter(bpe):
+def settled(tree: Tree, i: int, j: int, chars: list[int], tokens: list[int]) -> Tree:
+    """The tree with these leaves for i to j: the same one with the sums above them changed, or one dealt anew for more."""
+    if len(chars) == j - i:
+        tree.replace(i, chars, tokens)
+        return tree
+    chars, tokens = ([*old[:i], *new, *old[j:]] for old, new in ((tree.chars[0], chars), (tree.tokens[0], tokens)))
+    some = [k for k, n in enumerate(chars) if n] or [0]
+    return Tree([chars[k] for k in some], [tokens[k] for k in some])
+
+
+def _counter(bpe, keep: int):
+    bpe.keep = keep
     return lambda texts: [len(x) // 4 for x in bpe.encode_many(texts)]
 
 
@@ -158,7 +163,7 @@ def planted(docs: DataFrame, path: str) -> DataFrame:
     spec = broadcast_vocabulary(docs.sparkSession, path)
 
     def run(batches):
-        count = _counter(load(path, spec))
+        count = _counter(load(path, spec), CACHE_FRAGMENTS)
         for batch in batches:
             leaves = [leaves_of(t) for t in batch.column("text").to_pylist()]
             counts = count([x for xs in leaves for x in xs])
@@ -193,17 +198,21 @@ def edited(trees: DataFrame, path: str, extra: tuple[str, ...] = ()) -> DataFram
     own = ["doc_id", *extra]
 
     def run(batches):
-        count = _counter(load(path, spec))
+        count = _counter(load(path, spec), KEEP)
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for text, kept, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "tree", "edits"))):
-                tree, again = Tree.load(kept), 0
-                for e in edits or ():
-                    if e is not None:
-                        text, tree, n = apply_edit(text, tree, e["at"] or 0, e["removed"] or 0, e["added"] or "", count)
-                        again += n
-                for column, x in zip(out, (text, tree.kept(), tree.total, len(edits or ()), again, len(tree.chars[0]))):
-                    column.append(x)
+            texts, edits = batch.column("text").to_pylist(), batch.column("edits").to_pylist()
+            trees, again = [*map(Tree.load, batch.column("tree").to_pylist())], [0] * len(texts)
+            for nth in range(max((len(e or ()) for e in edits), default=0)):  # the nth edits of all documents together
+                met = []
+                for d, es in enumerate(edits):
+                    if es and nth < len(es) and (e := es[nth]) is not None:
+                        texts[d], i, j, leaves = touched(texts[d], trees[d], e["at"] or 0, e["removed"] or 0, e["added"] or "")
+                        met.append((d, i, j, [*map(len, leaves)], leaves))
+                counts = iter(count([x for m in met for x in m[4]]))
+                for d, i, j, chars, leaves in met:
+                    trees[d] = settled(trees[d], i, j, chars, [next(counts) for _ in leaves])
+                    again[d] += sum(chars)
+            out = [texts, [t.kept() for t in trees], [t.total for t in trees], [len(e or ()) for e in edits], again, [len(t.chars[0]) for t in trees]]
             kinds = [pa.string(), pa.binary(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([*map(batch.column, own), *(pa.array(x, t) for x, t in zip(out, kinds))], [*own, *names])
 
@@ -242,7 +251,7 @@ def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     trees = kept(planted(table(spark, sf_dir, "documents"), path)).withColumnRenamed("n_tokens", "n_tokens_before")
     one = edited(trees.withColumn("edits", first_edits()), path, ("n_tokens_before",))
-    one = kept(one.withColumnsRenamed({"n_tokens": "n_tokens_after", "n_edits": "n_edits_first", "reencoded_chars": "reencoded_first"}).drop("leaves"))
+    one = one.withColumnsRenamed({"n_tokens": "n_tokens_after", "n_edits": "n_edits_first", "reencoded_chars": "reencoded_first"}).drop("leaves")
     two = edited(one.withColumn("edits", later_edits()), path, ("n_tokens_before", "n_tokens_after", "n_edits_first", "reencoded_first"))
     n_edits, again = F.col("n_edits") + F.col("n_edits_first"), F.col("reencoded_chars") + F.col("reencoded_first")
     return two.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_tokens_after", F.col("n_tokens").alias("n_tokens_later"), F.length("text").cast("long").alias("n_chars_later"), n_edits.alias("n_edits"), again.alias("reencoded_chars"), "leaves")
