@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +99,7 @@ def bag(text: str) -> Counter:
     return Counter(map(plain, text.split()))
 
 
-def train_bags(bags: list[Counter], labels: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, least: float = TELLING, seed: int = 7) -> Model:
+def train_bags(bags: Iterable[Counter], labels: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, least: float = TELLING, seed: int = 7) -> Model:
     """`train` on documents' words."""
     rng = np.random.default_rng(seed)
     vectors = np.zeros((BUCKETS, DIMENSIONS), np.float32)
@@ -153,13 +154,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
 
     def run(batches):
         for batch in batches:
-            bags = [sorted(bag(t).items()) for t in texts_of(batch)]
-            words, counts = ([[x[k] for x in b] for b in bags] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["label", "words", "counts"])
-
-    found = rows.mapInArrow(run, "label int, words array<string>, counts array<int>").collect()
-    found = sorted((r["words"], r["counts"], r["label"]) for r in found)  # the order rows arrive in changes nothing
-    return train_bags([Counter(dict(zip(w, n))) for w, n, _ in found], np.array([int(y > 0) for _, _, y in found]))
+            bags = [sorted(bag(t).items()) for t in texts_of(batch)]  # words hold no space
+            words, counts = [" ".join(w for w, _ in b) for b in bags], [np.array([n for _, n in b], "<i4").tobytes() for b in bags]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.string()), pa.array(counts, pa.binary())], ["label", "words", "counts"])
+
+    found = rows.mapInArrow(run, "label int, words string, counts binary").collect()
+    found = sorted((r["words"], bytes(r["counts"]), r["label"]) for r in found)  # the order rows arrive in changes nothing
+    bags = (Counter(dict(zip(w.split(" "), np.frombuffer(n, "<i4").tolist()))) for w, n, _ in found)
+    return train_bags(bags, np.array([int(y > 0) for _, _, y in found]))
 
 
 _SEEN: dict[str, dict[str, float]] = {}
