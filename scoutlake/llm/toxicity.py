@@ -6,7 +6,6 @@ softmax tells toxic from clean. Unseen spellings share n-grams, and so vectors,
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable
@@ -35,7 +34,7 @@ PADDING = 20
 CLEAN_COST = 4.0
 #: Standard errors by which an n-gram's shares of toxic and clean texts must differ.
 TELLING = 6.5
-#: Words whose scores a worker keeps; memory only, never results.
+#: Words whose scores a task keeps; memory only, never results.
 CACHE_WORDS = 300_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&-_|/\\"
 
@@ -164,28 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     return train_bags(bags, np.array([int(y > 0) for _, _, y in found]))
 
 
-_SEEN: dict[str, dict[str, float]] = {}
-
-
-def _seen(model: str) -> dict[str, float]:
-    """The worker's table of word scores of one model; another model's is dropped."""
-    if model not in _SEEN:
-        _SEEN.clear()
-        _SEEN[model] = {}
-    return _SEEN[model]
-
-
 def scored(docs: DataFrame, model: Model, extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text) -> (doc_id, held_out, score, predicted, *extra). Null text scores as empty, by the prior alone.
     `extra` names columns of the documents to carry along. One narrow pass; repeated rows give repeated results."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS vectors, whatever the corpus
     fields = [docs.schema["doc_id"], *(docs.schema[c] for c in extra)]
-    source, name = "text" if "text" in extra else "_text", uuid.uuid4().hex
+    source = "text" if "text" in extra else "_text"
 
     def run(batches):
-        model = shared.value
+        model, seen = shared.value, {}  # the table of words goes with the task
         for batch in batches:
-            seen, p = _seen(name), []
+            p = []
             for t in texts_of(batch, source):
                 if len(seen) > CACHE_WORDS:
                     seen.clear()
