@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from .graph import saved
 
 
 def signal_keys(rows: DataFrame, url: str = "url", title: str = "title", summary: str = "summary") -> DataFrame:
@@ -44,15 +45,49 @@ def capped_per_group(rows: DataFrame, group: str, key: str, order: list[str], mo
     return once.withColumn("rank", n).filter(F.col("rank") <= most)
 
 
-def materialised(payloads: DataFrame, signals: DataFrame) -> DataFrame:
-    """Each payload's signal: found by canonical URL, else by content hash, else to be made; a market signal that a
-    founder payload meets is promoted."""
+def _created(rows: DataFrame) -> DataFrame:
+    """(canonical_url, content_hash, at) -> those that make a signal when taken in the order `at`: a row makes one unless an
+    earlier row that made one has its URL or its content.
+
+    In rounds: a row that comes first both of its URL and of its content makes a signal, which settles all others of
+    either. Every round settles the first row of every group that is linked by URLs and contents, so the number of rounds
+    follows the longest chain of such links, not the number of rows."""
+    made, left = None, saved(rows)
+    while True:
+        of_url = left.groupBy("canonical_url").agg(F.min("at").alias("_u"))
+        of_content = left.filter("content_hash is not null").groupBy("content_hash").agg(F.min("at").alias("_h"))
+        first = left.join(of_url, "canonical_url").join(of_content, "content_hash", "left").filter((F.col("at") == F.col("_u")) & (F.col("_h").isNull() | (F.col("at") == F.col("_h"))))
+        now = saved(first.select("canonical_url", "content_hash", "at"))
+        made = now if made is None else made.unionByName(now)
+        left = saved(left.join(now.select("canonical_url"), "canonical_url", "left_anti").join(now.select("content_hash"), "content_hash", "left_anti"))
+        if left.isEmpty():
+            return made
+
+
+def materialised(payloads: DataFrame, signals: DataFrame, order: tuple[str, ...] = ("id", "pos")) -> DataFrame:
+    """Each payload's signal, as taking payloads one after another in `order` finds it: by canonical URL, stored or made by an
+    earlier payload, else by content hash, stored or made likewise, else it is made here. A market signal that a founder
+    payload meets is promoted.
+
+    Adds signal_id (null for a signal of this batch), signal_url (the signal's canonical URL), matched_by (`url`, `hash`, `new`,
+    or `batch_url` and `batch_hash` for one that an earlier payload made) and promoted. Payloads of null content are met by
+    URL only; several stored signals of one URL or content count as the least; ties of the order go by URL, then content."""
     by_url = signals.filter("canonical_url is not null").groupBy("canonical_url").agg(F.min("signal_id").alias("_by_url"))
     by_hash = signals.filter("content_hash is not null").groupBy("content_hash").agg(F.min("signal_id").alias("_by_hash"))
-    kinds = signals.select(F.col("signal_id"), F.col("kind").alias("_kind"))
-    out = payloads.join(by_url, "canonical_url", "left").join(by_hash, "content_hash", "left").withColumn("signal_id", F.coalesce("_by_url", "_by_hash"))
-    out = out.join(kinds, "signal_id", "left")
-    return out.withColumn("matched_by", F.when(F.col("_by_url").isNotNull(), "url").when(F.col("_by_hash").isNotNull(), "hash").otherwise("new")).withColumn("promoted", F.coalesce(F.col("_kind") == "market", F.lit(False))).drop("_by_url", "_by_hash", "_kind")
+    stored = signals.groupBy("signal_id").agg(F.any_value("kind").alias("_kind"), F.any_value("canonical_url").alias("_url"))
+    out = payloads.withColumn("at", F.struct(*order, "canonical_url", "content_hash")).join(by_url, "canonical_url", "left").join(by_hash, "content_hash", "left")
+    out = saved(out)
+    fresh = out.filter("_by_url is null and _by_hash is null").groupBy("canonical_url", "content_hash").agg(F.min("at").alias("at"))
+    made = saved(_created(fresh))
+    url = made.select("canonical_url", F.col("at").alias("_u"))
+    content = made.filter("content_hash is not null").select("content_hash", F.col("at").alias("_h"), F.col("canonical_url").alias("_made"))
+    out = out.join(url, "canonical_url", "left").join(content, "content_hash", "left")
+    before = lambda c: F.coalesce(F.col(c) <= F.col("at"), F.lit(False))
+    matched = F.when(F.col("_by_url").isNotNull(), "url").when(F.col("_u") == F.col("at"), "new").when(before("_u"), "batch_url").when(F.col("_by_hash").isNotNull(), "hash").when(before("_h"), "batch_hash")
+    out = out.withColumn("matched_by", matched)
+    out = out.withColumn("signal_id", F.when(F.col("matched_by") == "url", F.col("_by_url")).when(F.col("matched_by") == "hash", F.col("_by_hash"))).join(stored, "signal_id", "left")
+    out = out.withColumn("signal_url", F.when(F.col("signal_id").isNotNull(), F.col("_url")).when(F.col("matched_by") == "batch_hash", F.col("_made")).otherwise(F.col("canonical_url")))
+    return out.withColumn("promoted", F.coalesce(F.col("_kind") == "market", F.lit(False))).drop("_by_url", "_by_hash", "_kind", "_url", "_u", "_h", "_made", "at")
 
 
 def attributed(existing: DataFrame, incoming: DataFrame) -> DataFrame:

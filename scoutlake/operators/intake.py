@@ -65,16 +65,18 @@ def new_reviews(people: DataFrame, handles: DataFrame, placed: DataFrame, known:
     return once.join(known.select("fingerprint"), "fingerprint", "left_anti")
 
 
-def delivered(mentions: DataFrame, payloads: DataFrame, references: DataFrame, founders: DataFrame, held: DataFrame, signals: DataFrame, edges: DataFrame, reviews: DataFrame, as_of: Column) -> dict[str, DataFrame]:
+def delivered(mentions: DataFrame, payloads: DataFrame, references: DataFrame, founders: DataFrame, held: DataFrame, signals: DataFrame, edges: DataFrame, reviews: DataFrame, as_of: Column, placements: DataFrame | None = None) -> dict[str, DataFrame]:
     """A delivery against the stored tables; the frames to append or replace, by name.
 
     `mentions`: id, display_name, city, company, education, occupation, discovery_confidence; `payloads` and `references` as
     in `evidence_of`; `founders`: founder_id and the fields of a mention; `held`: founder_id, kind, value; `signals`:
     signal_id, canonical_url, content_hash, kind; `edges`: founder_id, signal_id, confidence, method, attributed_at;
-    `reviews`: fingerprint. Founder ids are strings.
+    `reviews`: fingerprint; `placements`: key, founder_id of earlier deliveries, where each mention went. Founder ids are strings.
 
-    Mentions that are no persons or come without evidence are refused and counted. Stored artifacts are met by URL, else by
-    content; new ones are stored once. Delivering the same again finds every artifact, edge and review in place."""
+    Mentions that are no persons or come without evidence are refused and counted. Artifacts are met by URL, else by content,
+    among stored ones and those that earlier mentions of the delivery (by id) bring; new ones are stored once. Delivering the
+    same again finds every artifact, edge and review in place, and every mention where it was: one that was attached
+    for review has shared its evidence since with others of its name, and its placement tells whose it is."""
     once, handles, rejects = evidence_of(payloads, references)
     rows = mentions.withColumn("founder_id", F.col("id"))
     people, refused = V.gated(rows, once.select(F.col("id").alias("founder_id")))
@@ -82,13 +84,17 @@ def delivered(mentions: DataFrame, payloads: DataFrame, references: DataFrame, f
     once = once.join(people.select("id"), "id", "left_semi")
     handles = saved(handles.join(people.select("id"), "id", "left_semi"))
     found = I.materialised(once, signals)
-    found = saved(found.withColumn("signal_id", F.coalesce(F.col("signal_id").cast("string"), F.concat(F.lit("url-"), F.substring(F.sha2("canonical_url", 256), 1, 24)))))
+    # the first of a mention's payloads for each signal counts
+    made = F.concat(F.lit("url-"), F.substring(F.sha2("signal_url", 256), 1, 24))
+    found = saved(I.first_of_each(found.withColumn("signal_id", F.coalesce(F.col("signal_id").cast("string"), made)), ["id", "signal_id"], ["pos", "canonical_url"]))
     fresh = I.first_of_each(found.filter("matched_by = 'new'").select("signal_id", "canonical_url", "content_hash", "source", "id", "pos"), ["signal_id"], ["id", "pos"])
     promoted = found.filter("promoted").select("signal_id").distinct()
-    artifacts = once.select("id", F.col("canonical_url").alias("url"))
+    artifacts = found.filter("signal_url is not null").select("id", F.col("signal_url").alias("url")).distinct()
     known = founders.withColumnRenamed("founder_id", "id")
     urls = edges.join(signals.select(F.col("signal_id"), F.col("canonical_url").alias("url")), "signal_id").select(F.col("founder_id").alias("id"), "url").filter("url is not null").distinct()
-    decisions = saved(R.resolved(people, known, handles, held.withColumnRenamed("founder_id", "id"), artifacts, urls))
+    keys = saved(R.mention_keys(people, handles, artifacts))
+    holders = None if placements is None else keys.join(placements, "key").select(F.col("id").alias("i_id"), F.col("founder_id").alias("e_id"))
+    decisions = saved(R.resolved(people, known, handles, held.withColumnRenamed("founder_id", "id"), artifacts, urls, holders))
     at = saved(placed(people, decisions, handles, artifacts))
     named = people.join(at, "id")
     made = I.first_of_each(named.filter("created").select("founder_id", "id", "display_name", "city", "company", "occupation", "education", "discovery_confidence"), ["founder_id"], ["id"])
@@ -101,7 +107,8 @@ def delivered(mentions: DataFrame, payloads: DataFrame, references: DataFrame, f
     attributed = I.attributed(edges.withColumn("signal_id", F.col("signal_id").cast("string")), links)
     trace = V.trace_rows(links, "sourcing")
     return {
-        "placed": at, "founders": made, "enriched": enriched, "handles": stored, "withheld": withheld, "signals": fresh, "promoted": promoted, "edges": attributed, "trace": trace,
+        "placed": at, "founders": made, "enriched": enriched, "handles": stored, "withheld": withheld, "signals": fresh, "promoted": promoted, "edges": attributed, "trace": trace, "found": found,
+        "placements": keys.join(at.select("id", "founder_id"), "id").groupBy("key").agg(F.min("founder_id").alias("founder_id")),
         "reviews": new_reviews(people, handles, at, reviews), "refused": refused, "rejects": rejects,
     }
 

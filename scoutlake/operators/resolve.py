@@ -139,10 +139,17 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
     return rows.select("i_id", "e_id", "similarity", score.alias("score"), reasons.alias("reasons"), conflicts.alias("conflicts"), named.alias("named"))
 
 
-def decided(incoming: DataFrame, pairs: DataFrame) -> DataFrame:
+def decided(incoming: DataFrame, pairs: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     """The action for each mention: merge, review or new; the best pair without conflict wins, ties go to the earliest
-    person, and a conflict decides only where nothing reaches the review level."""
-    clear = pairs.filter(F.size("conflicts") == 0).groupBy("i_id").agg(F.min_by(F.struct("e_id", "score", "reasons", "named"), F.struct(-F.col("score"), F.col("e_id"))).alias("best"))
+    person, and a conflict decides only where nothing reaches the review level.
+
+    holders: (i_id, e_id), who was given the same mention before. As long as the evidence it brought still makes them one,
+    it stays there, even if others hold the same by now."""
+    stays = F.lit(False)
+    if holders is not None:
+        pairs = pairs.join(holders.select("i_id", "e_id", F.lit(True).alias("_held")), ["i_id", "e_id"], "left")
+        stays = F.coalesce("_held", F.lit(False)) & (F.col("score") >= MERGE_AT)
+    clear = pairs.filter(F.size("conflicts") == 0).groupBy("i_id").agg(F.min_by(F.struct("e_id", "score", "reasons", "named"), F.struct(~stays, -F.col("score"), F.col("e_id"))).alias("best"))
     clash = pairs.filter(F.size("conflicts") > 0).groupBy("i_id").agg(F.min_by(F.struct("e_id", "conflicts"), F.col("e_id")).alias("clash"))
     rows = incoming.select(F.col("id").alias("i_id")).join(clear, "i_id", "left").join(clash, "i_id", "left")
     conflicted = (F.col("best").isNull() | (F.col("best.score") < REVIEW_AT)) & F.col("clash").isNotNull()
@@ -154,15 +161,16 @@ def decided(incoming: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select(F.col("i_id").alias("id"), "decision", score.alias("confidence"), matched.alias("matched_id"), method.alias("method"))
 
 
-def resolved(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None) -> DataFrame:
-    """The action for every mention. Mentions without handle or artifact that are alike are decided once."""
+def resolved(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, holders: DataFrame | None = None) -> DataFrame:
+    """The action for every mention. Mentions without handle or artifact that are alike are decided once. holders: as in
+    `decided`."""
     i = _people(incoming, "i_")
     empty = in_handles.select("id").limit(0)
     bare = _bare(i, "i_", in_handles, empty if in_artifacts is None else in_artifacts)
     first = bare.groupBy("i_alike").agg(F.min("i_id").alias("rep"))
     rep = i.select(F.col("i_id").alias("id"), "i_alike").join(bare.select(F.col("i_id").alias("id"), F.lit(True).alias("_bare")), "id", "left").join(first, "i_alike", "left").select("id", F.when(F.col("_bare"), F.col("rep")).otherwise(F.col("id")).alias("rep"))
     asked = incoming.join(rep.filter("id = rep").select("id"), "id", "left_semi")
-    out = decided(asked, scored(asked, existing, in_handles, ex_handles, in_artifacts, ex_artifacts))
+    out = decided(asked, scored(asked, existing, in_handles, ex_handles, in_artifacts, ex_artifacts), holders)
     return rep.join(out.withColumnRenamed("id", "rep"), "rep").drop("rep")
 
 
@@ -195,6 +203,19 @@ def review_fingerprint(people: DataFrame, handles: DataFrame) -> DataFrame:
     return people.join(wide, "id", "left").select("id", F.sha2(F.to_json(F.struct(K.person_name(F.col("display_name")).alias("name"), F.coalesce(K.city_key(F.col("city")), F.lit("")).alias("city"), K.comparison_text(F.col("company")).alias("company"), *(k.alias(n) for k, n in zip(kinds, K.STRONG_KINDS)))), 256).alias("fingerprint"))
 
 
+def mention_keys(people: DataFrame, handles: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(id, key): equal for mentions that say the same of the same evidence, so also for a mention that is delivered again. Sets of
+    handles and pages enter by their size and two sums of hashes, however large they are."""
+
+    def summed(rows: DataFrame, *columns: str) -> DataFrame:
+        rows = rows.select("id", *columns).distinct()
+        sums = (F.bit_xor(F.xxhash64(*(F.lit(seed), *columns))).cast("string") for seed in (1, 2))
+        return rows.groupBy("id").agg(F.concat_ws(",", F.count("*").cast("string"), *sums).alias("sum"))
+
+    rows = _people(people, "").select("id", "alike").join(summed(handles, "kind", "value").withColumnRenamed("sum", "h"), "id", "left").join(summed(artifacts, "url").withColumnRenamed("sum", "a"), "id", "left")
+    return rows.select("id", F.sha2(F.concat_ws("|", "alike", F.coalesce("h", F.lit("")), F.coalesce("a", F.lit(""))), 256).alias("key"))
+
+
 def first_claimant(handles: DataFrame, kind: str = "orcid") -> DataFrame:
     """Handles of a kind that only one person may hold: the earliest holder keeps it, later ones lose theirs."""
     w = Window.partitionBy("kind", F.lower("value")).orderBy("id")

@@ -71,14 +71,14 @@ def enriched_founders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, signal_id, matched_by, promoted FROM (SELECT d.doc_id, coalesce(u.signal_id, h.signal_id) AS signal_id, CASE WHEN u.signal_id IS NOT NULL THEN 'url' WHEN h.signal_id IS NOT NULL THEN 'hash' ELSE 'new' END AS matched_by, coalesce(coalesce(u.signal_id, h.signal_id) % 4 = 0, false) AS promoted
+    """SELECT doc_id, signal_id, matched_by, promoted FROM (SELECT d.doc_id, coalesce(u.signal_id, h.signal_id) AS signal_id, CASE WHEN u.signal_id IS NOT NULL THEN 'url' WHEN h.signal_id IS NOT NULL THEN 'hash' WHEN d.text IS NULL OR d.doc_id = min(CASE WHEN u.signal_id IS NULL THEN d.doc_id END) OVER (PARTITION BY d.text) THEN 'new' ELSE 'batch_hash' END AS matched_by, coalesce(coalesce(u.signal_id, h.signal_id) % 4 = 0, false) AS promoted
     FROM documents d LEFT JOIN (SELECT doc_id AS signal_id FROM documents WHERE doc_id % 3 = 0) u ON u.signal_id = d.doc_id LEFT JOIN (SELECT min(doc_id) AS signal_id, text FROM documents WHERE doc_id % 3 = 0 GROUP BY text) h ON h.text = d.text)"""
 )
 def materialised_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivered artifacts against stored ones: by URL, by content, or new."""
+    """Delivered artifacts against stored ones and each other: by URL, by content, or new."""
     docs = D.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://e.test/"), F.col("doc_id").cast("string")).alias("canonical_url"), F.sha2("text", 256).alias("content_hash"))
     stored = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("signal_id"), "canonical_url", "content_hash", F.when(F.col("doc_id") % 4 == 0, "market").otherwise("founder").alias("kind"))
-    return I.materialised(docs, stored).select("doc_id", "signal_id", "matched_by", "promoted")
+    return I.materialised(docs, stored, ("doc_id",)).select("doc_id", "signal_id", "matched_by", "promoted")
 
 
 @query("SELECT p_name AS name, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY p_name HAVING count(*) > 1")

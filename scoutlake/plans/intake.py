@@ -23,16 +23,22 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text.replace("VARCHAR", "STRING"), **{t: D.table(spark, sf_dir, t) for t in used})
 
 
-# Parts as mentions of people, a fifth of them in a delivery; every seventh of those is a firm, every fourth comes without
-# artifacts. Artifacts are pages, of which the stored ones have known founders and some are another page's content again.
-_MET = """SELECT p_partkey AS id, CASE WHEN p_partkey % 35 = 0 THEN 'Acme Ventures' ELSE p_name END AS display_name, CAST(p_size % 10 AS VARCHAR) AS city, lower(p_type) AS company, lower(p_brand) AS occupation,
-    lower(replace(p_brand, '#', '-')) || '-' || p_size AS github, CASE WHEN p_partkey % 50 = 10 THEN '0000-0002-1825-0097' WHEN p_partkey % 50 = 20 THEN '0000-0002-1825-0098' END AS orcid, CASE WHEN p_partkey % 30 = 5 THEN 'https://www.linkedin.com/posts/Note-' || p_size END AS linkedin,
-    round(0.4 + (p_partkey % 5) / 10.0, 2) AS discovery_confidence FROM part"""
-_PAYLOADS = "SELECT p_partkey AS id, 0 AS pos, 'https://e.test/p' || (p_partkey % 700) AS canonical_url, 'h' || (p_partkey % 650) AS content_hash FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 20 <> 0"
-_STORED = "SELECT p_partkey AS signal_id, 'https://e.test/p' || p_partkey AS canonical_url, 'h' || p_partkey AS content_hash, CASE WHEN p_partkey % 3 = 0 THEN 'market' ELSE 'founder' END AS kind FROM part WHERE p_partkey % 5 = 1 AND p_partkey < 500"
-
-
-def _delivery(spark: SparkSession, sf_dir: str, again: bool = False) -> dict[str, DataFrame]:
+# Parts as mentions of people, a fifth of them in a delivery. Of every six mentions one shares its handle with a known person of
+# its name, one's handle speaks against one, one is new (with another mention), one is known by its page, one by its name
+# only, and one has one of the few common names; every seventh is a firm, every fourth comes without artifacts. Pages that
+# the delivery brings share URLs by threes and contents by twos, so that their order decides what is stored.
+_OWN = "'An' || translate(substr(md5('f' || {k}), 1, 12), '0123456789', 'ghijklmnop') || ' Von' || translate(substr(md5('l' || {k}), 1, 14), '0123456789', 'ghijklmnop')"
+_MET = f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 35 = 0 THEN 'Acme Ventures' WHEN j % 6 = 2 AND p_partkey % 5 = 0 THEN {_OWN.format(k="(j - j % 12 + 5000000000)")} WHEN j % 6 IN (0, 1, 3, 4) AND p_partkey % 5 < 2 THEN {_OWN.format(k="j")} ELSE p_name END AS display_name,
+    CAST(p_size % 10 AS VARCHAR) AS city, lower(p_type) AS company, lower(p_brand) AS occupation,
+    CASE WHEN p_partkey % 5 > 1 OR j % 6 = 5 THEN lower(replace(p_brand, '#', '-')) || '-' || p_size WHEN j % 6 = 0 THEN 'same-' || j WHEN j % 6 = 1 THEN 'own-' || p_partkey WHEN j % 6 = 2 AND p_partkey % 5 = 0 THEN 'new-' || (j - j % 12) END AS github,
+    CASE WHEN p_partkey % 50 = 10 THEN '0000-0002-1825-0097' WHEN p_partkey % 50 = 20 THEN '0000-0002-1825-0098' END AS orcid, CASE WHEN p_partkey % 30 = 5 THEN 'https://www.linkedin.com/posts/Note-' || p_size END AS linkedin,
+    round(0.4 + (p_partkey % 5) / 10.0, 2) AS discovery_confidence FROM (SELECT *, CAST(floor(p_partkey / 5) AS BIGINT) AS j FROM part)"""
+_PAYLOADS = """SELECT p_partkey AS id, 0 AS pos, CASE WHEN p_partkey % 20 = 0 THEN NULL WHEN j % 6 = 3 THEN 'https://e.test/p' || (p_partkey + 1) ELSE 'https://e.test/p' || (5 * (j - j % 3)) END AS canonical_url,
+    CASE WHEN j % 6 = 3 THEN 'own' || j WHEN j % 6 = 4 AND j % 4 = 1 THEN 'h' || (p_partkey + 6) ELSE 'h' || (5 * (j + j % 2)) END AS content_hash FROM (SELECT *, CAST(floor(p_partkey / 5) AS BIGINT) AS j FROM part) WHERE p_partkey % 5 = 0"""
+_STORED = "SELECT p_partkey AS signal_id, 'https://e.test/p' || p_partkey AS canonical_url, 'h' || p_partkey AS content_hash, CASE WHEN p_partkey % 3 = 0 THEN 'market' ELSE 'founder' END AS kind FROM part WHERE p_partkey % 5 = 1"
+
+
+def _delivery(spark: SparkSession, sf_dir: str, again: bool = False) -> dict[str, DataFrame] | tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     met = sql(spark, sf_dir, _MET)
     none = F.array().cast("array<string>").alias("education")
     fields = ["display_name", "city", "company", "occupation", "discovery_confidence"]
@@ -52,24 +58,32 @@ def _delivery(spark: SparkSession, sf_dir: str, again: bool = False) -> dict[str
     prints = first["reviews"].select("fingerprint")
     signals = signals.withColumn("signal_id", F.col("signal_id").cast("string")).unionByName(first["signals"].select("signal_id", "canonical_url", "content_hash", F.lit("founder").alias("kind")))
     founders = founders.unionByName(first["founders"].select("founder_id", *fields, "education"))
-    return N.delivered(mentions, payloads, references, founders, held.unionByName(first["handles"]), signals, first["edges"], prints, now)
+    return first, N.delivered(mentions, payloads, references, founders, held.unionByName(first["handles"]), signals, first["edges"], prints, now, first["placements"])
 
 
-# Accepted mentions resolved against the others, then new ones of one identifying handle joined.
+# Accepted mentions; their pages taken one after another (URL, then content, of what is stored or was made before); mentions
+# resolved against the others; then new ones of one identifying handle joined.
 _ACCEPTED = f""", met AS ({_MET}), e AS (SELECT * FROM met WHERE id % 5 <> 0), payload AS ({_PAYLOADS}), stored AS ({_STORED}),
-    urls AS (SELECT DISTINCT id, canonical_url, content_hash FROM payload UNION ALL SELECT DISTINCT id, replace(lower(linkedin), 'www.', ''), NULL FROM met WHERE id % 5 = 0 AND linkedin IS NOT NULL),
-    i AS (SELECT * FROM met WHERE id % 5 = 0 AND id % 35 <> 0 AND id IN (SELECT id FROM urls)), void AS (SELECT github FROM e GROUP BY github HAVING count(DISTINCT display_name) > 1),
-    art AS (SELECT DISTINCT u.id AS i_id, s.signal_id AS e_id FROM urls u JOIN stored s ON s.canonical_url = u.canonical_url),
-    pairs AS (SELECT i.id AS i_id, e.id AS e_id, i.display_name = e.display_name AS named, i.github = e.github AND i.github NOT IN (SELECT github FROM void) AS shared, art.e_id IS NOT NULL AS page,
-        i.github <> e.github AND i.github NOT IN (SELECT github FROM void) AND e.github NOT IN (SELECT github FROM void) AS apart, CAST(i.city = e.city AS INT) + CAST(i.company = e.company AS INT) AS context
+    urls AS (SELECT id, pos, canonical_url, content_hash FROM payload WHERE canonical_url IS NOT NULL UNION ALL SELECT DISTINCT id, 1000000, replace(lower(linkedin), 'www.', ''), NULL FROM met WHERE id % 5 = 0 AND linkedin IS NOT NULL),
+    i AS (SELECT * FROM met WHERE id % 5 = 0 AND id % 35 <> 0 AND id IN (SELECT id FROM urls)), void AS (SELECT github FROM e WHERE github IS NOT NULL GROUP BY github HAVING count(DISTINCT display_name) > 1),
+    page AS (SELECT u.*, a.signal_id AS by_url, b.signal_id AS by_hash FROM urls u SEMI JOIN i USING (id) LEFT JOIN stored a ON a.canonical_url = u.canonical_url LEFT JOIN stored b ON b.content_hash = u.content_hash),
+    seq AS (SELECT *, row_number() OVER (ORDER BY id, pos, canonical_url) AS n FROM page WHERE by_url IS NULL AND by_hash IS NULL),
+    taken AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS hs, false AS made UNION ALL SELECT n, CASE WHEN made THEN list_append(us, canonical_url) ELSE us END, CASE WHEN made AND content_hash IS NOT NULL THEN list_append(hs, content_hash) ELSE hs END, made
+        FROM (SELECT s.n, us, hs, s.canonical_url, s.content_hash, NOT list_contains(us, s.canonical_url) AND NOT coalesce(list_contains(hs, s.content_hash), false) AS made FROM taken t JOIN seq s ON s.n = t.n + 1)),
+    made_page AS (SELECT s.* FROM seq s JOIN taken t USING (n) WHERE t.made),
+    met_page AS (SELECT p.id, p.pos, p.canonical_url, p.by_url, p.by_hash, c.canonical_url AS new_url, h.canonical_url AS new_hash, c.id = p.id AND c.pos = p.pos AS made FROM page p LEFT JOIN made_page c ON c.canonical_url = p.canonical_url AND (c.id, c.pos) <= (p.id, p.pos) LEFT JOIN made_page h ON h.content_hash = p.content_hash AND (h.id, h.pos) <= (p.id, p.pos)),
+    found AS (SELECT id, pos, canonical_url, CASE WHEN by_url IS NOT NULL THEN CAST(by_url AS VARCHAR) WHEN new_url IS NOT NULL THEN 'url-' || substr(sha256(new_url), 1, 24) WHEN by_hash IS NOT NULL THEN CAST(by_hash AS VARCHAR) ELSE 'url-' || substr(sha256(new_hash), 1, 24) END AS signal_id,
+        CASE WHEN by_url IS NOT NULL THEN 'url' WHEN made THEN 'new' WHEN new_url IS NOT NULL THEN 'batch_url' WHEN by_hash IS NOT NULL THEN 'hash' ELSE 'batch_hash' END AS matched_by FROM met_page),
+    art AS (SELECT DISTINCT f.id AS i_id, s.signal_id AS e_id FROM found f JOIN stored s ON CAST(s.signal_id AS VARCHAR) = f.signal_id),
+    pairs AS (SELECT i.id AS i_id, e.id AS e_id, i.display_name = e.display_name AS named, coalesce(i.github = e.github AND i.github NOT IN (SELECT github FROM void), false) AS shared, art.e_id IS NOT NULL AS page,
+        coalesce(i.github <> e.github AND i.github NOT IN (SELECT github FROM void) AND e.github NOT IN (SELECT github FROM void), false) AS apart, CAST(i.city = e.city AS INT) + CAST(i.company = e.company AS INT) AS context
         FROM i JOIN e ON true LEFT JOIN art ON art.i_id = i.id AND art.e_id = e.id WHERE i.display_name = e.display_name OR i.github = e.github OR art.e_id IS NOT NULL),
     s AS (SELECT *, (named AND apart AND NOT shared) OR (NOT named AND shared) AS clash, CASE WHEN named AND shared THEN 0.99 WHEN named AND page THEN 0.97 WHEN named AND context >= 2 THEN 0.89 WHEN named THEN 0.7 + 0.1 * context END AS score FROM pairs WHERE named OR shared),
     best AS (SELECT i_id, arg_min(e_id, (-score, CAST(e_id AS VARCHAR))) AS e_id, max(score) AS score, arg_min(shared, (-score, CAST(e_id AS VARCHAR))) AS shared FROM s WHERE NOT clash GROUP BY i_id), worst AS (SELECT i_id, min(CAST(e_id AS VARCHAR)) AS e_id FROM s WHERE clash GROUP BY i_id),
     dec AS (SELECT i.*, CASE WHEN best.score >= 0.9 AND best.shared THEN 'exact_key' WHEN best.score >= 0.9 THEN 'artifact' WHEN best.score IS NOT NULL THEN 'review' WHEN worst.e_id IS NOT NULL THEN 'conflict' ELSE 'new' END AS method, best.e_id AS best_id, worst.e_id AS worst_id FROM i LEFT JOIN best ON best.i_id = i.id LEFT JOIN worst ON worst.i_id = i.id),
     made AS (SELECT id, min(id) OVER (PARTITION BY github) AS canon FROM dec WHERE method = 'new' AND github NOT IN (SELECT github FROM dec WHERE method = 'new' GROUP BY github HAVING count(DISTINCT display_name) > 1)),
-    placed AS (SELECT dec.id, CASE WHEN method IN ('new', 'conflict') THEN 'new-' || substr(sha256(CAST(coalesce(made.canon, dec.id) AS VARCHAR)), 1, 16) ELSE CAST(best_id AS VARCHAR) END AS founder_id, method IN ('new', 'conflict') AS created, method IN ('review', 'conflict') AS flagged, method, CASE WHEN method = 'conflict' THEN CAST(worst_id AS VARCHAR) END AS counterpart_id, github, orcid FROM dec LEFT JOIN made ON made.id = dec.id),
-    found AS (SELECT u.id, u.canonical_url, coalesce(CAST(a.signal_id AS VARCHAR), CAST(b.signal_id AS VARCHAR)) AS signal_id FROM urls u JOIN i USING (id) LEFT JOIN stored a ON a.canonical_url = u.canonical_url LEFT JOIN stored b ON b.content_hash = u.content_hash)"""
-_WITH = "WITH one AS (SELECT 1)"
+    placed AS (SELECT dec.id, CASE WHEN method IN ('new', 'conflict') THEN 'new-' || substr(sha256(CAST(coalesce(made.canon, dec.id) AS VARCHAR)), 1, 16) ELSE CAST(best_id AS VARCHAR) END AS founder_id, method IN ('new', 'conflict') AS created, method IN ('review', 'conflict') AS flagged, method, CASE WHEN method = 'conflict' THEN CAST(worst_id AS VARCHAR) END AS counterpart_id, github, orcid FROM dec LEFT JOIN made ON made.id = dec.id)"""
+_WITH = "WITH RECURSIVE one AS (SELECT 1)"
 
 
 @query(f"{_WITH}{_ACCEPTED} SELECT id, founder_id, created, flagged, method, counterpart_id FROM placed")
@@ -78,7 +92,7 @@ def delivery_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delivery(spark, sf_dir)["placed"].select("id", "founder_id", "created", "flagged", "method", "counterpart_id")
 
 
-_HOLDS = "SELECT DISTINCT founder_id, 'github' AS kind, github AS value FROM placed UNION SELECT founder_id, 'orcid', orcid FROM (SELECT founder_id, orcid, row_number() OVER (PARTITION BY orcid ORDER BY id) AS n, first_value(founder_id) OVER (PARTITION BY orcid ORDER BY id) AS holder FROM placed WHERE orcid = '0000-0002-1825-0097') WHERE founder_id = holder"
+_HOLDS = "SELECT DISTINCT founder_id, 'github' AS kind, github AS value FROM placed WHERE github IS NOT NULL UNION SELECT founder_id, 'orcid', orcid FROM (SELECT founder_id, orcid, row_number() OVER (PARTITION BY orcid ORDER BY id) AS n, first_value(founder_id) OVER (PARTITION BY orcid ORDER BY id) AS holder FROM placed WHERE orcid = '0000-0002-1825-0097') WHERE founder_id = holder"
 
 
 @query(f"{_WITH}{_ACCEPTED}, holds AS ({_HOLDS}) SELECT h.founder_id, h.kind, h.value FROM holds h LEFT JOIN e ON CAST(e.id AS VARCHAR) = h.founder_id AND e.github = h.value WHERE e.id IS NULL")
@@ -87,14 +101,17 @@ def delivery_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delivery(spark, sf_dir)["handles"]
 
 
-@query(f"{_WITH}{_ACCEPTED} SELECT founder_id, signal_id, max(greatest(confidence, was)) AS confidence FROM (SELECT p.founder_id, coalesce(f.signal_id, 'url-' || substr(sha256(f.canonical_url), 1, 24)) AS signal_id, CASE WHEN contains(f.canonical_url, 'linkedin') THEN NULL ELSE 0.7 END AS confidence, NULL AS was FROM placed p JOIN found f USING (id) UNION ALL SELECT CAST(signal_id AS VARCHAR), CAST(signal_id AS VARCHAR), 0.6, NULL FROM stored) GROUP BY founder_id, signal_id")
+@query(
+    f"""{_WITH}{_ACCEPTED}, per AS (SELECT id, signal_id, arg_min(CASE WHEN contains(canonical_url, 'linkedin') THEN -1 ELSE 0.7 END, (pos, canonical_url)) AS confidence FROM found GROUP BY id, signal_id)
+    SELECT founder_id, signal_id, max(CASE WHEN confidence >= 0 THEN confidence END) AS confidence FROM (SELECT p.founder_id, f.signal_id, f.confidence FROM placed p JOIN per f USING (id) UNION ALL SELECT CAST(signal_id AS VARCHAR), CAST(signal_id AS VARCHAR), 0.6 FROM stored) GROUP BY founder_id, signal_id"""
+)
 def delivery_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribution edges after the delivery: new ones, and old ones whose confidence rose."""
     return _delivery(spark, sf_dir)["edges"].select("founder_id", "signal_id", "confidence")
 
 
 @query(
-    f"""{_WITH}{_ACCEPTED}, holds AS ({_HOLDS}) SELECT 'new_founders' AS metric, count(DISTINCT founder_id) AS n FROM placed WHERE created UNION ALL SELECT 'resolved_to_existing', count(*) FROM placed WHERE NOT created UNION ALL SELECT 'new_signals', count(DISTINCT canonical_url) FROM found WHERE signal_id IS NULL
+    f"""{_WITH}{_ACCEPTED}, holds AS ({_HOLDS}) SELECT 'new_founders' AS metric, count(DISTINCT founder_id) AS n FROM placed WHERE created UNION ALL SELECT 'resolved_to_existing', count(*) FROM placed WHERE NOT created UNION ALL SELECT 'new_signals', count(*) FROM made_page
     UNION ALL SELECT 'new_handles', count(*) FROM holds h LEFT JOIN e ON CAST(e.id AS VARCHAR) = h.founder_id AND e.github = h.value WHERE e.id IS NULL UNION ALL SELECT 'withheld', count(DISTINCT founder_id) - count(DISTINCT orcid) FROM placed WHERE orcid = '0000-0002-1825-0097'
     UNION ALL SELECT 'reviews', count(*) FROM (SELECT DISTINCT m.display_name, m.city, m.company, m.github, m.orcid = '0000-0002-1825-0097' FROM placed p JOIN met m USING (id) WHERE flagged)
     UNION ALL SELECT CASE WHEN id % 35 = 0 THEN 'dropped_not_a_person' ELSE 'dropped_no_evidence' END, count(*) FROM met WHERE id % 5 = 0 AND (id % 35 = 0 OR id NOT IN (SELECT id FROM urls)) GROUP BY 1
@@ -105,12 +122,21 @@ def delivery_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.summary(_delivery(spark, sf_dir))
 
 
-@query("SELECT 'founders' AS what, 0 AS n UNION ALL SELECT 'handles', 0 UNION ALL SELECT 'reviews', 0 UNION ALL SELECT 'signals', 0")
+@query(f"{_WITH}{_ACCEPTED} SELECT id, min(matched_by) AS matched_by, signal_id FROM found WHERE pos = 0 GROUP BY id, signal_id")
+def delivered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which signal each delivered page is: a stored one or one that an earlier page of the delivery made, by URL or by content,
+    else its own."""
+    return _delivery(spark, sf_dir)["found"].filter("pos = 0").select("id", "matched_by", "signal_id")
+
+
+@query("SELECT 'founders' AS what, 0 AS n UNION ALL SELECT 'moved', 0 UNION ALL SELECT 'handles', 0 UNION ALL SELECT 'reviews', 0 UNION ALL SELECT 'signals', 0")
 def delivery_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same delivery again on what it left: nothing is added."""
-    again = _delivery(spark, sf_dir, again=True)
+    """The same delivery again on what it left: nothing is added, and no mention changes its founder."""
+    first, again = _delivery(spark, sf_dir, again=True)
+    was = first["placed"].select("id", F.col("founder_id").alias("was"))
+    again["moved"] = again["placed"].join(was, "id", "full").filter(~F.col("founder_id").eqNullSafe(F.col("was")))
     out = None
-    for name in ("founders", "handles", "reviews", "signals"):
+    for name in ("founders", "moved", "handles", "reviews", "signals"):
         one = again[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
         out = one if out is None else out.unionByName(one)
     return out
