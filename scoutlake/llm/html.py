@@ -70,7 +70,8 @@ def _factor(tag: str, attributes: str, around: float) -> float:
         parts = {w for t in tokens for w in _WORDS.findall(t)}
         if tag not in ("html", "body", "article", "main"):
             if tokens & ASIDE_NAMES:
-                return 0.0
+                # beside a name of the article it says nothing: the text's own ratios decide
+                return around if tokens & ARTICLE_NAMES else 0.0
             if parts & ASIDE_NAMES and not tokens & ARTICLE_NAMES:  # main-nav, but no-sidebar too
                 return around * DOUBT
         named = named or bool(parts & ARTICLE_NAMES) and tag in ("div", "section", "td")

@@ -94,3 +94,13 @@ def test_pages_without_names_keep_their_text():
             same += whole == bare
             assert not set(whole.split("\n")) - set(bare.split("\n"))  # nothing of the article is lost
         assert same >= 0.8 * len(pages)
+
+
+def test_an_aside_word_beside_an_article_word_loses_no_text():
+    text = "The whole article stands here, in one long sentence of many words, and it goes on, as articles do, to its end."
+    for own in sorted(html.ARTICLE_NAMES):
+        for other in sorted(html.ASIDE_NAMES):
+            for names in (f"{own} {other}", f"{other} {own}"):
+                page = f'<html><body><article><h1>Title</h1><div class="{names}"><p>{text}</p><p>{text}</p></div></article><footer>All rights</footer></body></html>'
+                got = html.main_text(page)
+                assert got.count(text) == 2 and "rights" not in got, names
