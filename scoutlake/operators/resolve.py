@@ -81,13 +81,14 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
     return one.unionByName(more.filter(K.name_ratio(F.col("i_name"), F.col("e_name")) >= SAME_NAME)).distinct()
 
 
-def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame) -> DataFrame:
-    """Pairs worth scoring: same or near compact name, or a shared handle. Equi-joins in place of all pairs. A shared
-    artifact counts under the same name only, so it adds no pairs: a page that names many joins nobody."""
+def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, near: bool = True) -> DataFrame:
+    """Pairs worth scoring: same or (with `near`) near compact name, or a shared handle. Equi-joins in place of all pairs. A
+    shared artifact counts under the same name only, so it adds no pairs: a page that names many joins nobody."""
     by_name = incoming.select("i_id", F.col("i_name").alias("k")).filter("k <> ''").join(existing.select("e_id", F.col("e_name").alias("k")), "k").select("i_id", "e_id")
 
-    near = near_names(incoming.select(F.col("i_name").alias("name")), existing.select(F.col("e_name").alias("name")))
-    by_name = by_name.unionByName(incoming.select("i_id", "i_name").join(near, "i_name").join(existing.select("e_id", "e_name"), "e_name").select("i_id", "e_id"))
+    if near:
+        names = near_names(incoming.select(F.col("i_name").alias("name")), existing.select(F.col("e_name").alias("name")))
+        by_name = by_name.unionByName(incoming.select("i_id", "i_name").join(names, "i_name").join(existing.select("e_id", "e_name"), "e_name").select("i_id", "e_id"))
 
     def by(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
         return a.select(F.col("id").alias("i_id"), *key).join(b.select(F.col("id").alias("e_id"), *key), list(key)).select("i_id", "e_id")
@@ -95,7 +96,7 @@ def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame,
     return by_name.unionByName(by(in_handles, ex_handles, "kind", "value")).distinct()
 
 
-def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, all_existing: bool = False) -> DataFrame:
+def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, all_existing: bool = False, near: bool = True) -> DataFrame:
     """Every candidate pair with its score, reasons and conflicts.
 
     People: id, display_name, city, company, education; handles: id, kind, value (canonical); artifacts: id, url. Handles
@@ -108,7 +109,7 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
     in_artifacts, ex_artifacts = in_artifacts if in_artifacts is not None else empty, ex_artifacts if ex_artifacts is not None else empty
     if not all_existing:  # one of those that score alike is enough to decide a mention
         e = _first_of_alike(e, "e_", ex_handles, ex_artifacts)
-    pairs = saved(candidates(i, e, in_handles, ex_handles))
+    pairs = saved(candidates(i, e, in_handles, ex_handles, near))
     met = pairs.join(in_artifacts.select(F.col("id").alias("i_id"), "url").distinct(), "i_id")
     art = met.join(ex_artifacts.select(F.col("id").alias("e_id"), "url").distinct(), ["e_id", "url"]).groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
     rows = pairs.join(i, "i_id").join(e, "e_id").join(art, ["i_id", "e_id"], "left")
@@ -220,18 +221,3 @@ def first_claimant(handles: DataFrame, kind: str = "orcid") -> DataFrame:
     """Handles of a kind that only one person may hold: the earliest holder keeps it, later ones lose theirs."""
     w = Window.partitionBy("kind", F.lower("value")).orderBy("id")
     return handles.withColumn("_n", F.row_number().over(w)).filter((F.col("kind") != kind) | (F.col("_n") == 1)).drop("_n")
-
-
-def reconciled(people: DataFrame, handles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """People merged as far as it goes, and the pairs left for a human: (id, canonical) and (left_id, right_id, decision,
-    confidence, reasons, conflicts).
-
-    Merging is a fixpoint over groups, so one pass does what repeated merging of pairs would; afterwards every canonical
-    person is scored against those of the same name or a shared handle that come before them. `dry_run` is to ignore the
-    first result."""
-    merged = merges(people, handles)
-    keep = people.join(merged.filter("id <> canonical").select("id"), "id", "left_anti")
-    own = handles.join(merged, "id", "left").select(F.coalesce("canonical", "id").alias("id"), "kind", "value").distinct()
-    pairs = scored(keep, keep, own, own, all_existing=True).filter("i_id > e_id")
-    open_pairs = pairs.filter((F.size("conflicts") > 0) | ((F.col("score") >= REVIEW_AT) & (F.col("score") < MERGE_AT) & F.col("named")))
-    return merged, open_pairs.select(F.col("e_id").alias("left_id"), F.col("i_id").alias("right_id"), F.when(F.size("conflicts") > 0, "conflict").otherwise("review").alias("decision"), F.round("score", 3).alias("confidence"), F.array_join("reasons", ",").alias("reasons"), F.array_join("conflicts", ",").alias("conflicts"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import claims as C
+from ..operators import incremental as I
+from ..operators.graph import shared_folder
 from ..registry import query
 from ..sources import domain as D
+from ..streaming import signals as T
 
 
 def _trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,3 +120,30 @@ def minted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = extracted.select("founder_id", F.lit("k3").alias("dedup_key")).distinct()
     claims, _ = C.mint(extracted, cited, taken)
     return claims.select("founder_id", "claim_no", "category", F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss").alias("occurred_at"), "dedup_key", "n_evidence")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """All evidence as a stream of landed files, a third of the signals each time, the first third once more with the last,
+    and a first sight of every signal as weak support before; returns the folder of the state."""
+    folder = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    raw = D.raw_evidence(spark, sf_dir)
+    third = lambda k: raw.filter(F.pmod(F.xxhash64("signal_id"), F.lit(3)) == k)
+    first_sight = third(1).withColumns({"stance": F.lit("supports"), "reliability": F.lit(0.0)})
+    for k, rows in enumerate((third(0).unionByName(first_sight), third(1), third(2).unionByName(third(0)))):
+        rows.write.parquet(f"{folder}/landed/{k}")
+        stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", True).parquet(f"{folder}/landed")
+        T.run_once(stream, I.writer(f"{folder}/state", D.claims(spark, sf_dir), D.as_of()), f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/state"
+
+
+@query(D.with_views("score", sql="SELECT founder_id, founder_score, tech, execution, pedigree, influence, momentum, n_claims, n_verified FROM score"))
+def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Founder scores kept by a stream of evidence in three batches, with repeats and edges that turn into refutations: the
+    scores of one pass over all."""
+    return I.scores(spark, _streamed(spark, sf_dir))
+
+
+@query(D.with_views("trust", sql="SELECT claim_id, trust, support, refute, corroboration_n, refutation_n, external_verified, status FROM trust"))
+def incremental_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trust of claims as the same batches leave it."""
+    return I.claim_trusts(spark, _streamed(spark, sf_dir)).drop("founder_id")

@@ -8,20 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import delivery as V
 from ..operators import intake as N
+from ..operators import reconcile as C
 from ..operators import resolve as R
 from ..operators import views as W
 from ..registry import query
 from ..sources import domain as D
-
-
-def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A view in SQL over the driver's tables."""
-    used = [t for t in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split() if f"FROM {t}" in text or f"JOIN {t}" in text]
-    text = text.replace("{", "{{").replace("}", "}}")
-    for t in used:
-        text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-    return spark.sql(text.replace("VARCHAR", "STRING"), **{t: D.table(spark, sf_dir, t) for t in used})
-
+from ..sources.domain import sql
 
 # Parts as mentions of people, a fifth of them in a delivery. Of every six mentions one shares its handle with a known person of
 # its name, one's handle speaks against one, one is new (with another mention), one is known by its page, one by its name
@@ -159,16 +151,58 @@ def near_named_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resolved(met, known, handles, handles).select("id", "decision", "method", "matched_id", "confidence")
 
 
+_TWICE = f"SELECT id + 10000000 AS id, display_name, CASE WHEN id % 2 = 0 THEN city ELSE 'elsewhere' END AS city, CASE WHEN id % 4 < 2 THEN company ELSE 'other' END AS company FROM ({_NAMED}) WHERE id % 3 = 0"
+
+
 @query(
-    f"""SELECT a.id - 10000000 AS left_id, a.id AS right_id, 'review' AS decision, round(CASE WHEN (a.city = n.city) AND (a.company = n.company) THEN 0.89 ELSE least(0.89, 2.0 * length(a.display_name) / (length(a.display_name) + length(n.display_name)) * 0.7 + 0.1 * (CAST(a.city = n.city AS INT) + CAST(a.company = n.company AS INT))) END, 3) AS confidence
-    FROM ({_AGAIN}) a JOIN ({_NAMED}) n ON n.id = a.id - 10000000"""
+    f"""SELECT a.id - 10000000 AS left_id, a.id AS right_id, 'review' AS decision, round(CAST(CASE WHEN (a.city = n.city) AND (a.company = n.company) THEN 0.89 ELSE 0.7 + 0.1 * (CAST(a.city = n.city AS INT) + CAST(a.company = n.company AS INT)) END AS DOUBLE), 3) AS confidence
+    FROM ({_TWICE}) a JOIN ({_NAMED}) n ON n.id = a.id - 10000000"""
 )
 def open_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs a merge run leaves for a human, over everyone: near names without a handle that decides."""
+    """The pairs a merge run leaves for a human, over everyone: one name without a handle that decides. Near names (those of
+    people met again a letter short are here too) make no pair of the sweep."""
     none = F.array().cast("array<string>").alias("education")
-    people = sql(spark, sf_dir, _NAMED).unionByName(sql(spark, sf_dir, _AGAIN)).select("*", none)
+    short = sql(spark, sf_dir, _AGAIN).withColumn("id", F.col("id") + 10000000)
+    people = sql(spark, sf_dir, _NAMED).unionByName(sql(spark, sf_dir, _TWICE)).unionByName(short).select("*", none)
     handles = people.filter("id < 10000000 and id % 3 <> 0").select("id", F.lit("github").alias("kind"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("value"))
-    return R.reconciled(people, handles)[1].select("left_id", "right_id", "decision", "confidence")
+    return C.reconciled(people, handles)[1].select("left_id", "right_id", "decision", "confidence")
+
+
+# Every customer as three people of one name (of three, in the last case), with what they hold: rows of (person, kind, value).
+# 0: 1 and 2 share a handle, 2 and 3 a page, 1 and 3 disagree on ORCID; 1: a page joins 1 and 2 before a handle joins 3, who
+# disagrees with 1; 2: a chain of handles; 3: a page of 1 and 2, who disagree; 4: a page of all; 5: a handle of strangers.
+_TRIOS = f"SELECT n.id * 10 + m AS id, CASE WHEN n.id % 6 = 5 THEN display_name || substr('xyz', CAST(m AS INT), 1) || 'qqq' ELSE display_name END AS display_name, city, company FROM ({_NAMED}) n, (VALUES (1), (2), (3)) t(m)"
+_HOLD = """SELECT c_custkey * 10 + m AS id, kind, value || c_custkey AS value FROM customer JOIN (VALUES (0, 1, 'github', 'a'), (0, 2, 'github', 'a'), (0, 1, 'orcid', 'o'), (0, 3, 'orcid', 'p'), (0, 2, 'page', 'u'), (0, 3, 'page', 'u'),
+    (1, 1, 'twitter', 's'), (1, 2, 'github', 'b'), (1, 3, 'github', 'b'), (1, 3, 'twitter', 't'), (1, 1, 'page', 'u'), (1, 2, 'page', 'u'), (2, 1, 'github', 'c'), (2, 2, 'github', 'c'), (2, 2, 'linkedin', 'l'), (2, 3, 'linkedin', 'l'),
+    (3, 1, 'github', 'd'), (3, 2, 'github', 'e'), (3, 1, 'page', 'u'), (3, 2, 'page', 'u'), (4, 1, 'page', 'u'), (4, 2, 'page', 'u'), (4, 3, 'page', 'u'), (5, 1, 'github', 'f'), (5, 2, 'github', 'f'), (5, 3, 'github', 'f')) h(trio, m, kind, value) ON trio = c_custkey % 6"""
+# What the reference's loop over pairs leaves of each case.
+_OUTCOME = """(VALUES (0, 1, 2, 'merge', 0.99), (0, 1, 3, 'conflict', 0.0), (1, 1, 2, 'merge', 0.97), (1, 1, 3, 'merge', 0.99), (2, 1, 2, 'merge', 0.99), (2, 1, 3, 'merge', 0.99), (3, 1, 2, 'conflict', 0.0), (3, 1, 3, 'review', 0.89), (3, 2, 3, 'review', 0.89),
+    (4, 1, 2, 'merge', 0.97), (4, 1, 3, 'merge', 0.97)) o(trio, l, r, decision, confidence)"""
+
+
+def _trios(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    none = F.array().cast("array<string>").alias("education")
+    held = sql(spark, sf_dir, _HOLD)
+    return sql(spark, sf_dir, _TRIOS).select("*", none), held.filter("kind <> 'page'"), held.filter("kind = 'page'").select("id", F.col("value").alias("url"))
+
+
+@query(f"SELECT c_custkey * 10 + l AS left_id, c_custkey * 10 + r AS right_id, decision, CAST(confidence AS DOUBLE) AS confidence FROM customer JOIN {_OUTCOME} ON trio = c_custkey % 6")
+def reconciled_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge run over clusters of three with disagreements: merges in order, and what is left for a human."""
+    merged, pairs = C.reconciled(*_trios(spark, sf_dir))
+    confidence = F.when(F.col("by") == "handle", R.BY_HANDLE).otherwise(R.BY_ARTIFACT)
+    done = merged.filter("id <> canonical").select(F.col("canonical").alias("left_id"), F.col("id").alias("right_id"), F.lit("merge").alias("decision"), confidence.alias("confidence"))
+    return done.unionByName(pairs.select("left_id", "right_id", "decision", "confidence"))
+
+
+@query(
+    f"""WITH o AS (SELECT decision FROM customer JOIN {_OUTCOME} ON trio = c_custkey % 6), dry AS (SELECT decision FROM customer JOIN (VALUES (0, 'merge'), (0, 'merge'), (0, 'conflict'), (1, 'merge'), (1, 'merge'), (1, 'conflict'), (2, 'merge'), (2, 'merge'), (2, 'review'), (3, 'conflict'), (3, 'review'), (3, 'review'), (4, 'merge'), (4, 'merge'), (4, 'merge')) d(trio, decision) ON trio = c_custkey % 6)
+    SELECT run, metric, (SELECT count(*) FROM o WHERE run = 'run' AND decision || 's' = metric) + (SELECT count(*) FROM dry WHERE run = 'dry' AND decision || 's' = metric) AS n FROM (VALUES ('run'), ('dry')) r(run), (VALUES ('merges'), ('reviews'), ('conflicts')) m(metric)"""
+)
+def reconcile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a merge run and of a dry one, which lists pairs as they stand."""
+    real, dry = (C.report(*C.reconciled(*_trios(spark, sf_dir), dry_run=x)) for x in (False, True))
+    return real.select(F.lit("run").alias("run"), "*").unionByName(dry.select(F.lit("dry").alias("run"), "*"))
 
 
 @query("SELECT c_custkey AS founder_id, 'github' AS kind, CASE WHEN c_custkey % 3 = 0 THEN 'own' || c_custkey ELSE 'page' || c_nationkey END AS value FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0")

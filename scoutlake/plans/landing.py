@@ -131,7 +131,7 @@ def incremental_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge = s.agg(F.expr(f"percentile_approx(unix_micros(ingested_at), {(k + 1) / 3})").alias("p")).first()["p"]
         part = s.filter(F.unix_micros("ingested_at") <= edge)
         stream_path = f"{folder}/landed"
-        part.coalesce(1).write.mode("append").parquet(stream_path)
+        part.write.mode("append").parquet(stream_path)
         stream = spark.readStream.schema(s.schema).parquet(stream_path)
         write = S.claims_of_new_signals(f"{folder}/cursors", lambda rows: rows.select("founder_id", "signal_id", "path"), f"{folder}/table")
         S.run_once(stream, write, f"{folder}/checkpoint").awaitTermination()

@@ -15,7 +15,7 @@ from ..operators import views as W
 from ..registry import query
 from ..sources import domain as D
 from ..sources import reference_data as T
-from .intake import sql
+from ..sources.domain import sql
 
 # ---- market research ---------------------------------------------------------------------------------------------------------
 

@@ -131,3 +131,12 @@ def with_views(*names: str, sql: str) -> str:
     for name in names:
         add(name)
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order) + "\n" + sql
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A view in SQL over the driver's tables."""
+    used = [t for t in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split() if f"FROM {t}" in text or f"JOIN {t}" in text]
+    text = text.replace("{", "{{").replace("}", "}}")
+    for t in used:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+    return spark.sql(text.replace("VARCHAR", "STRING"), **{t: table(spark, sf_dir, t) for t in used})
