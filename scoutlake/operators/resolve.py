@@ -56,8 +56,8 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """Different compact names -> all pairs (i_name, e_name) of different ones whose ratio is SAME_NAME or more.
 
     Names of together S letters may differ by k = S (100 - SAME_NAME) / 100 letters put in or left out. One letter is an
-    equi-join of names with names less a letter. For more, the right name falls into k + 1 parts, of which k changes
-    leave one as it is, at most k places away: an equi-join of parts, whose pairs name_ratio verifies."""
+    equi-join of names with names less a letter. For more, names that share a part of the right one,
+    at most k places away, are an equi-join (`shared_parts`), whose pairs name_ratio verifies."""
     i, e = (x.select("name", F.length("name").alias("n")).filter("n >= 12").distinct() for x in (left, right))
 
     def less_one(rows: DataFrame) -> DataFrame:
@@ -67,18 +67,48 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
     one = less_one(i).join(e.select(F.col("name").alias("short")), "short").select(F.col("name").alias("i_name"), F.col("short").alias("e_name"))
     one = one.unionByName(less_one(e).join(i.select(F.col("name").alias("short")), "short").select(F.col("short").alias("i_name"), F.col("name").alias("e_name")))
 
-    def parts(rows: DataFrame, own: str, other: str) -> DataFrame:
+    more = shared_parts(i, e).filter("i_name <> e_name").distinct()
+    return one.unionByName(more.filter(K.name_ratio(F.col("i_name"), F.col("e_name")) >= SAME_NAME)).distinct()
+
+
+#: A part of a name that more names than this have in one place is hot.
+HOT_PART = 64
+
+
+def shared_parts(i: DataFrame, e: DataFrame, hot_above: int = HOT_PART) -> DataFrame:
+    """(name, n) of two sides -> (i_name, e_name), with repeats: all pairs that k letters put in or left out can explain, and
+    some others.
+
+    The right name falls into k + 1 parts, of which k changes leave one as it is. A name of which one of these is hot, say a
+    common first name, falls into 2k + 1 finer ones instead, of which k changes leave k + 1 as they are: it meets others on
+    its k + 1 rarest parts, which hot letters can cover only if they are most of the name. Both ways find every pair."""
+    key = ["i_n", "e_n", "fine", "j", "part"]
+
+    def parts(rows: DataFrame, own: str, other: str, fine: bool) -> DataFrame:
         """Each name with the lengths of names it can meet, and the bounds of the parts of the right one."""
         out = rows.withColumnRenamed("n", own).withColumn(other, F.explode(F.sequence(F.expr(f"{own} - {own} div 11"), F.expr(f"{own} + {own} div 11"))))
-        out = out.withColumn("k", F.expr(f"cast((i_n + e_n) * {100 - SAME_NAME} div 100 as int)")).filter("k >= 2 and abs(i_n - e_n) <= k").withColumn("j", F.explode(F.sequence(F.lit(0), "k")))
-        return out.withColumn("at", F.expr("cast(e_n * j div (k + 1) as int)")).withColumn("size", F.expr("cast(e_n * (j + 1) div (k + 1) as int) - at"))
-
-    key = ["i_n", "e_n", "j", "part"]
-    whole = parts(e, "e_n", "i_n").withColumn("part", F.expr("substring(name, at + 1, size)")).select(F.col("name").alias("e_name"), *key)
-    moved = parts(i, "i_n", "e_n").withColumn("at", F.explode(F.sequence(F.expr("greatest(0, at - k)"), F.expr("at + k")))).filter("at + size <= i_n")
-    moved = moved.withColumn("part", F.expr("substring(name, at + 1, size)")).select(F.col("name").alias("i_name"), *key).distinct()
-    more = moved.join(whole, key).select("i_name", "e_name").filter("i_name <> e_name").distinct()
-    return one.unionByName(more.filter(K.name_ratio(F.col("i_name"), F.col("e_name")) >= SAME_NAME)).distinct()
+        out = out.withColumn("k", F.expr(f"cast((i_n + e_n) * {100 - SAME_NAME} div 100 as int)")).filter("k >= 2 and abs(i_n - e_n) <= k")
+        out = out.withColumn("of", F.expr("2 * k + 1" if fine else "k + 1")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("fine", F.lit(fine))
+        return out.withColumn("at", F.expr("cast(e_n * j div of as int)")).withColumn("size", F.expr("cast(e_n * (j + 1) div of as int) - at"))
+
+    def whole(fine: bool) -> DataFrame:
+        return parts(e, "e_n", "i_n", fine).withColumn("part", F.expr("substring(name, at + 1, size)")).select(F.col("name").alias("e_name"), "k", *key)
+
+    def moved(rows: DataFrame) -> DataFrame:
+        at = rows.withColumn("at", F.explode(F.sequence(F.expr("greatest(0, at - k)"), F.expr("at + k")))).filter("at + size <= i_n")
+        return at.withColumn("part", F.expr("substring(name, at + 1, size)")).select(F.col("name").alias("i_name"), *key).distinct()
+
+    coarse = whole(False)
+    hot = coarse.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > hot_above).select(key)
+    crowded = coarse.join(hot, key, "left_semi").select("e_name", "i_n", "e_n").distinct()
+    finer = whole(True).join(crowded.select("e_name", "i_n"), ["e_name", "i_n"], "left_semi")
+    finer = finer.join(finer.groupBy(key).agg(F.count("*").alias("n")), key)
+    rarest = Window.partitionBy("e_name", "i_n").orderBy("n", "j")  # 2k + 1 rows each
+    finer = finer.withColumn("_r", F.row_number().over(rarest)).filter("_r <= k + 1")
+    kept = coarse.join(crowded.select("e_name", "i_n"), ["e_name", "i_n"], "left_anti").select("e_name", *key).unionByName(finer.select("e_name", *key))
+    lengths = crowded.select("i_n", "e_n").distinct()
+    tried = moved(parts(i, "i_n", "e_n", False)).unionByName(moved(parts(i, "i_n", "e_n", True).join(lengths, ["i_n", "e_n"], "left_semi")))
+    return tried.join(kept, key).select("i_name", "e_name")
 
 
 def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, near: bool = True) -> DataFrame:
