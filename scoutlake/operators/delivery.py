@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from .ingest import first_of_each
+from .ranks import ranked
 
 #: Fixed value: references to profiles within page text.
 PROFILE_IN_TEXT = r"(?i)https?://[^\s\"'<>)\]}]+|(?:www\.)?(?:github|linkedin|twitter|x)\.com/[^\s\"'<>)\]}]+"
@@ -89,8 +90,7 @@ def run_metrics(source: str, counts: dict[str, DataFrame], as_of: Column) -> Dat
 def trace_rows(edges: DataFrame, step: str, size: int = 1000) -> DataFrame:
     """A ledger row per founder: what the step did and on which evidence. Every row's evidence is complete: a founder with
     more ids than `size` has them in several numbered rows, so that none is unbounded."""
-    w = Window.partitionBy("founder_id").orderBy("signal_id")
-    numbered = edges.select("founder_id", "signal_id").distinct().withColumn("part", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    numbered = ranked(edges.select("founder_id", "signal_id").distinct(), ["founder_id"], ["signal_id"]).withColumn("part", F.floor((F.col("position") - 1) / size).cast("int"))
     per = numbered.groupBy("founder_id", "part").agg(F.sort_array(F.collect_list("signal_id")).alias("evidence"), F.count("*").alias("n"))
     return per.select("founder_id", "part", F.lit(step).alias("step"), F.to_json(F.struct("n")).alias("summary"), "evidence")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from .ingest import first_of_each
+from .ranks import ranked
 
 #: Which goals' hits each extractor sees, in order, and the order of sizing metrics.
 EXTRACTORS = {"sizing": ["sizing", "trend"], "competition": ["competition"], "comparables": ["comparables"], "kpi": ["kpi"]}
@@ -21,8 +22,8 @@ def extractor_hits(hits: DataFrame) -> DataFrame:
     rows = views[0]
     for v in views[1:]:
         rows = rows.unionByName(v)
-    w = Window.partitionBy("opportunity_id", "extractor").orderBy("_goal", "_pos")
-    return rows.withColumn("pos", F.row_number().over(w) - 1).drop("_goal", "_pos")
+    numbered = ranked(rows, ["opportunity_id", "extractor"], ["_goal", "_pos"], "pos")
+    return numbered.withColumn("pos", (F.col("pos") - 1).cast("int")).drop("_goal", "_pos")
 
 
 def new_signals(hits: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def contains_any(needle: str, *fields: str) -> Column:
     """Case-insensitive containment in any of the fields; an empty needle matches all."""
@@ -90,28 +92,15 @@ def opportunity_list(opportunities: DataFrame, founders: DataFrame, attributions
 
 def indexed_blocks(rows: DataFrame, key: str, order: list[str], text: Column, most: int | None = None) -> DataFrame:
     """Each group's rows as one text block, numbered from 0 as citations count them; `most` keeps the first ones."""
-    w = Window.partitionBy(key).orderBy(*order)
-    numbered = rows.withColumn("_pos", F.row_number().over(w) - 1).withColumn("_line", F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("] "), text))
+    numbered = ranked(rows, [key], order, "_pos").withColumn("_pos", F.col("_pos") - 1).withColumn("_line", F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("] "), text))
     if most is not None:
         numbered = numbered.filter(F.col("_pos") < most)
     return numbered.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"]), "\n").alias("block"), F.count("*").alias("n_lines"))
 
 
 def chunked(rows: DataFrame, key: str, order: list[str], size: int = 12) -> DataFrame:
-    """Rows of each key with the number of the chunk they fall into; the first column of the order is a number.
-
-    A key may hold any share of the rows: its rows are numbered within blocks of neighbours, dealt by the order's quantiles,
-    and each block starts where the counts of the blocks before it end."""
-    wanted = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(rows.approxQuantile(order[0], [i / wanted for i in range(1, wanted)], 1 / (2 * wanted))))
-    at = F.col(order[0]).cast("double")
-    block = F.size(F.filter(F.lit(edges).cast("array<double>"), lambda e: e <= at)) if edges else F.lit(0)
-    dealt = rows.withColumn("_block", F.when(at.isNull(), -1).otherwise(block))
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(key, "_block").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order))
-    out = dealt.withColumn("_at", within).join(starts.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")) & (dealt["_block"] == starts["_block"]))
-    return out.select(*rows.columns, F.floor((F.col("_start") + F.col("_at") - 1) / size).cast("int").alias("chunk"))
+    """Rows of each key with the number of the chunk they fall into; a key may hold any share of the rows."""
+    return ranked(rows, [key], order, "_at").select(*rows.columns, F.floor((F.col("_at") - 1) / size).cast("int").alias("chunk"))
 
 
 def unseen(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
@@ -124,21 +113,18 @@ def founder_pages(founders: DataFrame, identities: DataFrame, signals: DataFrame
     first row of a founder), signals in the order in which they happened (undated last) with the confidence and method of
     their attribution, claims by trust (unknown last) with the numbers of their evidence, and the score history.
 
-    Rows rather than one nested value: no founder is too large. `position` counts from 1 within founder and part."""
+    Rows rather than one nested value, numbered by ranges: no founder is too large for a task. `position` counts from 1 within founder and part."""
     none = F.lit(None).cast("double")
     first = identities.groupBy("founder_id").agg(F.min_by(F.struct("identity_id", "github", "linkedin", "twitter", "website"), "identity_id").alias("i"))
     kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("position"), F.concat_ws(":", F.lit(k), F.col(f"i.{k}")).alias("label"), F.col(f"i.{k}").alias("given")) for n, k in enumerate(("github", "twitter", "linkedin", "website"), 1)))).alias("k")
     own = first.select("founder_id", kinds).filter("k.given is not null").select("founder_id", F.lit("identity").alias("part"), "k.position", "k.label", none.alias("value"), F.lit(None).cast("timestamp").alias("at"))
     shown = edges.join(signals.select("signal_id", "source", "occurred_at"), "signal_id")
-    w = Window.partitionBy("founder_id").orderBy(F.asc_nulls_last("occurred_at"), "signal_id")
-    timeline = shown.withColumn("position", F.row_number().over(w)).select("founder_id", F.lit("signal").alias("part"), "position", F.concat_ws(":", F.col("signal_id").cast("string"), "source", "method").alias("label"), F.col("confidence").alias("value"), F.col("occurred_at").alias("at"))
+    timeline = ranked(shown, ["founder_id"], [F.asc_nulls_last("occurred_at"), "signal_id"]).select("founder_id", F.lit("signal").alias("part"), "position", F.concat_ws(":", F.col("signal_id").cast("string"), "source", "method").alias("label"), F.col("confidence").alias("value"), F.col("occurred_at").alias("at"))
     support = evidence.groupBy("claim_id").agg(F.count("*").alias("n"), F.count_if(F.col("stance") == "supports").alias("for"), F.count_if(F.col("stance") == "refutes").alias("against"))
-    w = Window.partitionBy("founder_id").orderBy(F.desc_nulls_last("trust"), "claim_id")
-    rated = claims.join(support, "claim_id", "left").withColumn("position", F.row_number().over(w))
+    rated = ranked(claims.join(support, "claim_id", "left"), ["founder_id"], [F.desc_nulls_last("trust"), "claim_id"])
     numbers = [F.coalesce(c, F.lit(0)).cast("string") for c in ("n", "for", "against")]
     believed = rated.select("founder_id", F.lit("claim").alias("part"), "position", F.concat_ws(":", F.col("claim_id").cast("string"), "status", *numbers).alias("label"), F.col("trust").alias("value"), "updated_at").withColumnRenamed("updated_at", "at")
-    w = Window.partitionBy("founder_id").orderBy("created_at", "point_id")
-    scores = history.withColumn("position", F.row_number().over(w)).select("founder_id", F.lit("score").alias("part"), "position", F.lit("").alias("label"), F.col("score").alias("value"), F.col("created_at").alias("at"))
+    scores = ranked(history, ["founder_id"], ["created_at", "point_id"]).select("founder_id", F.lit("score").alias("part"), "position", F.lit("").alias("label"), F.col("score").alias("value"), F.col("created_at").alias("at"))
     return own.unionByName(timeline).unionByName(believed).unionByName(scores).join(founders.select("founder_id"), "founder_id", "left_semi")
 
 
