@@ -78,6 +78,11 @@ def pending_founders(founders: DataFrame, attributions: DataFrame) -> DataFrame:
     return founders.join(latest, "founder_id").filter(F.col("last_claimed_at").isNull() | (F.col("latest") > F.col("last_claimed_at"))).select("founder_id", F.when(F.col("last_claimed_at").isNull(), "cold").otherwise("warm").alias("path"))
 
 
+def valid(extracted: DataFrame) -> DataFrame:
+    """Extracted claims of the taxonomy that say something."""
+    return extracted.filter(F.col("category").isin(CATEGORIES) & (F.trim(F.coalesce("statement", F.lit(""))) != ""))
+
+
 def mint(extracted: DataFrame, cited: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New claims and their evidence edges from extracted claims.
 
@@ -86,14 +91,14 @@ def mint(extracted: DataFrame, cited: DataFrame, taken: DataFrame) -> tuple[Data
     the taxonomy, without a statement, or without a supporting position that exists are dropped; a claim's date is its
     latest support's. `attributes` (a map, if there is one) gains impact and date. The first claim of a founder keeps a
     dedup key, later ones and taken ones get none."""
-    valid = extracted.filter(F.col("category").isin(CATEGORIES) & (F.trim(F.coalesce("statement", F.lit(""))) != ""))
+    rows = valid(extracted)
     positions = F.concat(F.transform(F.coalesce("supporting", F.array().cast("array<int>")), lambda p: F.struct(p.alias("pos"), F.lit("supports").alias("stance"))), F.transform(F.coalesce("refuting", F.array().cast("array<int>")), lambda p: F.struct(p.alias("pos"), F.lit("refutes").alias("stance"))))
-    edges = valid.select("founder_id", "claim_no", F.explode(positions).alias("c")).select("founder_id", "claim_no", "c.pos", "c.stance").join(cited, ["founder_id", "pos"])
+    edges = rows.select("founder_id", "claim_no", F.explode(positions).alias("c")).select("founder_id", "claim_no", "c.pos", "c.stance").join(cited, ["founder_id", "pos"])
     support = edges.filter("stance = 'supports'").groupBy("founder_id", "claim_no").agg(F.max("occurred_at").alias("occurred_at"))
     edges = edges.groupBy("founder_id", "claim_no", "signal_id").agg(F.when(F.bool_or(F.col("stance") == "refutes"), "refutes").otherwise("supports").alias("stance"), F.max("weight").alias("weight"))
     dated = support.join(edges.groupBy("founder_id", "claim_no").agg(F.count("*").alias("n_evidence")), ["founder_id", "claim_no"])
     first = F.row_number().over(Window.partitionBy("founder_id", "dedup_key").orderBy("claim_no")) == 1
-    claims = valid.join(dated, ["founder_id", "claim_no"]).withColumn("_first", first)
+    claims = rows.join(dated, ["founder_id", "claim_no"]).withColumn("_first", first)
     claims = claims.join(taken.select("founder_id", "dedup_key").distinct().withColumn("_taken", F.lit(True)), ["founder_id", "dedup_key"], "left")
     claims = claims.withColumn("dedup_key", F.when(F.col("_first") & F.col("_taken").isNull(), F.col("dedup_key"))).drop("_first", "_taken", "supporting", "refuting")
     if "attributes" in claims.columns:

@@ -42,7 +42,8 @@ def _log(spark: SparkSession, path: str, schema: str, before: int, buckets: list
 
 
 def _append(rows: DataFrame, path: str, batch: int) -> None:
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
+    # together by bucket, so that a batch makes few files; adaptive execution splits the bucket of a large founder
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
 
 
 def _edges(rows: DataFrame) -> DataFrame:

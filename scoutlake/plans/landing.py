@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
+from ..operators import warm as W
 from ..operators.graph import shared_folder
 from ..registry import query
 from ..sources import domain as D
@@ -137,3 +138,88 @@ def incremental_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         S.run_once(stream, write, f"{folder}/checkpoint").awaitTermination()
     done = spark.read.parquet(f"{folder}/table")
     return done.groupBy("founder_id").agg(F.count("*").alias("n_signals"), F.count_distinct("signal_id").alias("n_distinct"))
+
+
+_BATCH_EDGES = ("2024-01-11", "2024-01-21")
+_CATEGORY = ("research", "traction", "employment", "education", "media", "affiliation")
+
+
+def _extract(fresh: DataFrame) -> DataFrame:
+    """A claim from each fresh signal: some out of the taxonomy or blank, some keyed, some cited against by the signal before."""
+    k = F.col("signal_id")
+    category = F.when(k % 23 == 0, "gossip").otherwise(F.element_at(F.array(*map(F.lit, _CATEGORY)), (k % 6 + 1).cast("int")))
+    return fresh.select(
+        "founder_id", k.alias("claim_no"), F.when(k % 19 == 0, "  ").otherwise(F.concat(F.lit("claim "), k.cast("string"))).alias("statement"), category.alias("category"), F.lit(0.5).alias("impact"),
+        F.when(k % 4 != 0, F.concat(F.lit("k"), (k % 7).cast("string"))).alias("dedup_key"), F.array("pos").alias("supporting"), F.when(k % 5 == 0, F.array(F.col("pos") - 1)).alias("refuting"),
+    )
+
+
+def _warm_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All signals in three deliveries by time, each with the one before it once more; returns the folder of the state."""
+    folder = f"{shared_folder(spark)}/warm-{uuid.uuid4().hex}"
+    s = D.signals(spark, sf_dir).select("founder_id", "signal_id", "source", "ingested_at", "occurred_at", (0.3 + (F.col("signal_id") % 5) / 10).alias("weight"))
+    part = F.lit(0)
+    for edge in _BATCH_EDGES:
+        part = part + (F.col("ingested_at") >= F.lit(edge).cast("timestamp")).cast("int")
+    for k in range(len(_BATCH_EDGES) + 1):
+        s.filter(part.between(k - 1, k)).write.mode("append").parquet(f"{folder}/landed")
+        stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{folder}/landed")
+        S.run_once(stream, W.writer(f"{folder}/table", _extract, D.as_of()), f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/table"
+
+
+_WARM = """s AS (SELECT founder_id, signal_id, ingested_at, round(0.3 + (signal_id % 5) / 10.0, 1) AS weight, CASE WHEN ingested_at < TIMESTAMP '2024-01-11' THEN 0 WHEN ingested_at < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch FROM signal),
+    n AS (SELECT *, lag(signal_id) OVER w AS before, lag(weight) OVER w AS weight_before FROM s WINDOW w AS (PARTITION BY founder_id, batch ORDER BY ingested_at, signal_id)),
+    v AS (SELECT *, CASE WHEN signal_id % 4 <> 0 THEN 'k' || (signal_id % 7) END AS k FROM n WHERE signal_id % 23 <> 0 AND signal_id % 19 <> 0),
+    o AS (SELECT founder_id, k, min((batch, signal_id)) AS first FROM v WHERE k IS NOT NULL GROUP BY founder_id, k),
+    r AS (SELECT v.*, first, v.k IS NOT NULL AND v.batch > first[1] AS attach FROM v LEFT JOIN o ON v.founder_id = o.founder_id AND v.k = o.k),"""
+
+
+@query(
+    D.with_views(
+        "signal",
+        sql=f""", {_WARM}
+        e AS (SELECT CASE WHEN attach THEN first[2] ELSE signal_id END AS claim_id, signal_id, 'supports' AS stance, weight FROM r UNION ALL SELECT signal_id, before, 'refutes', weight_before FROM r WHERE NOT attach AND signal_id % 5 = 0 AND before IS NOT NULL),
+        t AS (SELECT claim_id, count(*) AS n_evidence, 1 - coalesce(product(1 - weight) FILTER (WHERE stance = 'supports'), 1) AS sup, 1 - coalesce(product(1 - weight) FILTER (WHERE stance = 'refutes'), 1) AS ref, coalesce(max(weight) FILTER (WHERE stance = 'refutes'), 0) AS strongest FROM e GROUP BY claim_id)
+        SELECT founder_id, claim_id, batch, CASE claim_id % 6 WHEN 0 THEN 'research' WHEN 1 THEN 'traction' WHEN 2 THEN 'employment' WHEN 3 THEN 'education' WHEN 4 THEN 'media' ELSE 'affiliation' END AS category, CASE WHEN first[2] = r.signal_id THEN k END AS dedup_key, n_evidence,
+        floor(sup * (1 - ref) * 10000 + 0.500001) / 10000 AS trust, CASE WHEN strongest >= 0.4 THEN 'contradicted' WHEN floor(sup * (1 - ref) * 10000 + 0.500001) / 10000 >= 0.7 THEN 'verified' ELSE 'unverified' END AS status FROM r JOIN t ON claim_id = signal_id WHERE NOT attach""",
+    )
+)
+def streamed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims minted, and joined by later evidence, as signals stream in, with trust as the last batch leaves it."""
+    c = W.claims(spark, _warm_folder(spark, sf_dir))
+    return c.select("founder_id", "claim_id", "batch", "category", "dedup_key", (F.col("corroboration_n") + F.col("refutation_n")).alias("n_evidence"), "trust", "status")
+
+
+@query(
+    D.with_views(
+        "signal",
+        sql=f""", {_WARM}
+        a AS (SELECT founder_id, batch, count(*) AS n_signals FROM s GROUP BY founder_id, batch), w AS (SELECT founder_id, batch, count(*) FILTER (WHERE NOT attach) AS minted, count(*) FILTER (WHERE attach) AS attached FROM r GROUP BY founder_id, batch),
+        f AS (SELECT founder_id, min(batch) AS b FROM r GROUP BY founder_id)
+        SELECT a.founder_id, a.batch, CASE WHEN a.batch > b THEN 'warm' ELSE 'cold' END AS mode, n_signals, coalesce(minted, 0) AS minted, coalesce(attached, 0) AS attached FROM a LEFT JOIN w USING (founder_id, batch) LEFT JOIN f ON a.founder_id = f.founder_id""",
+    )
+)
+def streamed_claim_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch of the same stream did for each founder it touched."""
+    return W.runs(spark, _warm_folder(spark, sf_dir)).select("founder_id", "batch", "mode", "n_signals", "minted", "attached")
+
+
+@query(D.with_views("signal", sql="SELECT source, external_id FROM signal"))
+def deduplicated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that delivers everything twice, kept once by state per key that a timer lets go."""
+    folder = f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    out = S.deduplicated(_stream(spark, sf_dir, 2), within="60 days").select("source", "external_id")
+    out.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/table")
+
+
+@query(D.with_views("signal", sql="SELECT source, strftime(date_trunc('day', ingested_at), '%Y-%m-%d') AS day, count(*) AS n FROM signal GROUP BY 1, 2"))
+def signals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of each source and day, counted as they stream in; the last update of a window counts."""
+    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    counts = S.counts_by_window(_stream(spark, sf_dir, 1), size="1 day", late="60 days")
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/table/batch={batch}")
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    updates = spark.read.schema("window struct<start: timestamp, end: timestamp>, source string, n long, batch long").parquet(f"{folder}/table")
+    return updates.groupBy("source", F.date_format("window.start", "yyyy-MM-dd").alias("day")).agg(F.max_by("n", "batch").alias("n"))
