@@ -97,6 +97,21 @@ def figures(claims: DataFrame, urls: DataFrame) -> DataFrame:
     return rows.select("opportunity_id", "claim_id", F.when(F.col("category") == "market", "kpi").otherwise("sizing").alias("section"), order.alias("rank"), "a.metric", "a.value", "a.basis", "a.confidence", "trust", "status", "url")
 
 
+def figures_of_any_shape(claims: DataFrame, urls: DataFrame) -> DataFrame:
+    """As `figures`, from attributes of any JSON shape: metric, value, basis and unit as text whatever their type, confidence
+    as a number, and all other fields as a map from name to JSON. Attributes that are no JSON object have none of these;
+    the claim stays. Of a repeated name none can be right: such text is no JSON here."""
+    rows = claims.filter(F.col("category").isin("market_size", "market")).withColumn("_v", F.try_parse_json("attributes"))
+    rows = rows.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT<"), F.col("_v"))).join(urls, "claim_id", "left")
+    text = lambda name: F.try_variant_get("_v", f"$.{name}", "string")
+    known = ("metric", "value", "basis", "unit", "confidence")
+    rest = F.map_filter(F.try_variant_get("_v", "$", "map<string, variant>"), lambda k, _: ~k.isin(*known))
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SIZING_ORDER)), F.upper(F.coalesce(text("metric"), F.lit("")))), F.lit(0)), F.lit(10)).cast("int")
+    section = F.when(F.col("category") == "market", "kpi").otherwise("sizing")
+    fields = [text(n).alias(n) for n in known[:-1]]
+    return rows.select("opportunity_id", "claim_id", section.alias("section"), order.alias("rank"), *fields, F.try_variant_get("_v", "$.confidence", "double").alias("confidence"), F.transform_values(rest, lambda _, v: F.to_json(v)).alias("more"), "trust", "status", "url")
+
+
 def _named(category: str, prefix: str, until: str) -> Column:
     own = F.when(F.startswith("statement", F.lit(prefix)), F.substring("statement", F.lit(len(prefix) + 1), F.length("statement"))).otherwise(F.col("statement"))
     return F.when(F.col("category") == category, F.split_part(own, F.lit(until), F.lit(1)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from . import ledger as L
 
 
 def backfilled_edges(signals: DataFrame, edges: DataFrame) -> DataFrame:
@@ -40,6 +41,26 @@ def canonical_identities(identities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("now is not null").select("founder_id", "kind", F.col("now").alias("value")).distinct(), counts
 
 
+def repaired_identities(identities: DataFrame, path: str) -> dict[str, int]:
+    """(identity_id, founder_id, kind, value) -> the canonical rows written to `path`, and how many of each kind were kept,
+    rewritten or cleared. The constraints of the new table are part of the writing pass: an ORCID on two rows, or a handle
+    on two rows of one founder, stops the job, and nothing is committed.
+
+    Rows that become one value count before they meet, so `Ada` and `ada` of one founder are two rows and refused."""
+    rows = identities.filter("value is not null").withColumn("now", K.parse_identity(F.col("kind"), F.col("value"))["value"])
+    outcome = F.when(F.col("now").isNull(), "cleared").when(F.col("now") != F.col("value"), "rewritten").otherwise("kept")
+    rows = rows.withColumn("outcome", outcome)
+    seen = L.Observation()
+    kinds = {f"{k}_{o}": F.count_if((F.col("kind") == k) & (F.col("outcome") == o)) for k in K.STRONG_KINDS for o in ("kept", "rewritten", "cleared")}
+    rows = rows.observe(seen, *(c.alias(name) for name, c in kinds.items())).filter("now is not null")
+    scope = F.when(F.col("kind") != "orcid", F.col("founder_id"))  # none: unique among all founders
+    met = rows.groupBy("kind", scope.alias("_scope"), F.lower("now").alias("_same")).agg(F.count("*").alias("_n"), F.min(F.struct("identity_id", "founder_id", "now")).alias("r"))
+    fault = F.concat(F.lit("one "), "kind", F.lit(" on "), F.col("_n").cast("string"), F.lit(" identity rows: "), "r.now")
+    checked = met.select("r.identity_id", "r.founder_id", "kind", F.when(F.col("_n") > 1, F.raise_error(fault)).otherwise(F.col("r.now")).alias("value"))
+    checked.write.parquet(path)
+    return {name: int(seen.get.get(name) or 0) for name in kinds}
+
+
 def lookalike_handles(identities: DataFrame, urls: DataFrame) -> DataFrame:
     """Handles that only another site's URL structure explains: some URL of the founder has them as a path segment on a
     host that merely contains the profile site's name, and none on the site itself."""

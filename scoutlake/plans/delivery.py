@@ -146,3 +146,22 @@ def memo_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = items.select(F.col("l_suppkey").alias("memo_id"), section.alias("section"), F.array("l_orderkey").alias("cited"))
     evidence = items.filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("claim_id"))
     return anchors(sections, evidence, ["team", "market"])
+
+
+@query(
+    """SELECT unnest(['github_kept', 'github_rewritten', 'github_cleared', 'twitter_rewritten']) AS metric, unnest([count(*) FILTER (WHERE c_custkey % 3 = 0), count(*) FILTER (WHERE c_custkey % 3 = 1), count(*) FILTER (WHERE c_custkey % 3 = 2), count(*)]) AS n FROM customer
+    UNION ALL SELECT 'stored', count(*) + count(*) FILTER (WHERE c_custkey % 3 < 2) FROM customer"""
+)
+def identity_repair_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gated identity repair does to a clean snapshot, and how many rows it stores."""
+    import uuid
+
+    from ..operators.graph import shared_folder
+
+    n = F.col("c_custkey")
+    github = F.when(n % 3 == 0, F.concat(F.lit("dev"), n.cast("string"))).when(n % 3 == 1, F.concat(F.lit("https://github.com/Dev"), n.cast("string"))).otherwise("https://github.com/orgs/a")
+    rows = D.table(spark, sf_dir, "customer").select(n.alias("founder_id"), F.explode(F.create_map(F.lit("github"), github, F.lit("twitter"), F.concat(F.lit("@Tw"), n.cast("string")))).alias("kind", "value"))
+    path = f"{shared_folder(spark)}/identities-{uuid.uuid4().hex}"
+    counts = R.repaired_identities(rows.withColumn("identity_id", F.col("founder_id")), path)
+    stored = spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit("stored").alias("metric"), "n")
+    return spark.createDataFrame([(k, v) for k, v in counts.items() if v], "metric string, n long").unionByName(stored)

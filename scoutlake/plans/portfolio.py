@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims as C
 from ..operators import delivery as V
+from ..operators import ledger as L
 from ..operators import market as M
 from ..operators import merge as G
 from ..operators import repairs as R
 from ..operators import screening as S
 from ..operators import views as W
+from ..operators.graph import shared_folder
 from ..registry import query
 from ..sources import domain as D
 from ..sources import reference_data as T
@@ -93,6 +97,22 @@ def market_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.figures(sql(spark, sf_dir, _FIGURES), urls).select("opportunity_id", "claim_id", "section", "rank", "metric", "value", "trust", "status", "url")
 
 
+_ANY_SHAPE = """SELECT o_orderkey AS claim_id, o_custkey AS opportunity_id, CASE o_orderkey % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'market_size' ELSE 'competition' END AS category, CASE o_orderkey % 5 WHEN 0 THEN '[1, 2]' WHEN 1 THEN 'no json' ELSE '{"metric": "' || CASE o_orderkey % 4 WHEN 0 THEN 'cagr' ELSE 'users' END || '", "value": ' || o_orderkey ||
+    ', "unit": "u' || (o_orderkey % 7) || '", "confidence": 0.5, "year": ' || (o_orderkey % 13) || ', "range": {"low": ' || (o_orderkey % 11) || ', "parts": [1, "x"]}}' END AS attributes, round(o_totalprice / 600000, 3) AS trust, 'unverified' AS status FROM orders"""
+
+
+@query(
+    f"""SELECT opportunity_id, claim_id, CASE category WHEN 'market' THEN 'kpi' ELSE 'sizing' END AS section, CASE WHEN ok AND claim_id % 4 = 0 THEN 4 ELSE 10 END AS rank, CASE WHEN ok THEN CASE claim_id % 4 WHEN 0 THEN 'cagr' ELSE 'users' END END AS metric, CASE WHEN ok THEN CAST(claim_id AS VARCHAR) END AS value, CASE WHEN ok THEN 'u' || (claim_id % 7) END AS unit,
+    CASE WHEN ok THEN 0.5 END AS confidence, CASE WHEN ok THEN 'range={{"low":' || (claim_id % 11) || ',"parts":[1,"x"]}};year=' || (claim_id % 13) END AS more FROM (SELECT *, claim_id % 5 > 1 AS ok FROM ({_ANY_SHAPE})) WHERE category <> 'competition'"""
+)
+def market_figures_of_any_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures out of attributes of any shape: units and fields nobody foresaw survive, what is no object keeps its claim."""
+    urls = M.first_urls(sql(spark, sf_dir, _CITES), sql(spark, sf_dir, _SITES))
+    rows = M.figures_of_any_shape(sql(spark, sf_dir, _ANY_SHAPE), urls)
+    more = F.array_join(F.transform(F.array_sort(F.map_entries("more")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return rows.select("opportunity_id", "claim_id", "section", "rank", "metric", "value", "unit", "confidence", more.alias("more"))
+
+
 @query(f"SELECT o_custkey AS founder_id, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls, count(DISTINCT url) AS n_urls FROM orders JOIN ({_CITES}) ON claim_id = o_orderkey AND stance = 'supports' JOIN ({_SITES}) USING (signal_id) WHERE url IS NOT NULL GROUP BY o_custkey")
 def founder_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The different pages that support each founder's claims."""
@@ -292,6 +312,30 @@ def trace_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("founder_id", "part", F.size("evidence").cast("long").alias("n"), F.array_min("evidence").alias("first_id"), F.array_max("evidence").alias("last_id"))
 
 
+_KINDS = ("sizing", "competition", "comparables", "kpi")
+
+
+@query(
+    D.with_views(
+        "founder", "signal",
+        sql=f"""SELECT 'discovery' AS source, unnest(['queries_run', 'raw_hits', 'candidates_extracted', 'new_founders', 'needs_review', 'new_signals']) AS metric, unnest([(SELECT count(*) FROM benchmark), (SELECT count(*) FROM ({_HITS})), (SELECT count(*) FROM part), (SELECT count(*) FROM founder), (SELECT count(*) FROM founder WHERE status = 'watchlist'), (SELECT count(*) FROM signal)]) AS n
+        UNION ALL SELECT 'market', unnest(['queries_run', 'hits', 'sizing_figures', 'competitors', 'comparables', 'kpi_benchmarks']), unnest([(SELECT count(*) FROM benchmark), (SELECT count(*) FROM ({_HITS})), {", ".join(f"(SELECT count(*) FROM ({_ITEMS}) WHERE extractor = '{k}')" for k in _KINDS)}])
+        UNION ALL SELECT 'claims', unnest(['founders_processed', 'cold_founders', 'new_signals', 'evidence_attached']), unnest([count(*), count(*) FILTER (WHERE founder_id % 4 = 0), CAST(sum(n_claims) AS BIGINT), CAST(sum(founder_id % 4) AS BIGINT)]) FROM (SELECT o_custkey AS founder_id, count(*) AS n_claims FROM orders GROUP BY o_custkey)""",
+    )
+)
+def run_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger rows of a discovery, a market and a claims run, a line for each count; all were taken while writing."""
+    folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    t = lambda name: D.table(spark, sf_dir, name)
+    hits = sql(spark, sf_dir, _HITS)
+    founders = D.founders(spark, sf_dir).withColumn("status", F.when(F.col("status") == "watchlist", "needs_review").otherwise(F.col("status")))
+    runs = t("orders").groupBy(F.col("o_custkey").alias("founder_id")).agg(F.count("*").alias("minted")).withColumns({"mode": F.when(F.col("founder_id") % 4 == 0, "cold").otherwise("warm"), "attached": F.col("founder_id") % 4})
+    rows = L.run(spark, "discovery", {"queries": t("benchmark"), "hits": hits, "candidates": t("part"), "founders": founders, "signals": D.signals(spark, sf_dir)}, L.discovery_counts(), f"{folder}/discovery")
+    rows = rows.unionByName(L.run(spark, "market", {"queries": t("benchmark"), "hits": hits, "items": sql(spark, sf_dir, _ITEMS)}, L.market_counts(), f"{folder}/market"))
+    rows = rows.unionByName(L.run(spark, "claims", {"runs": runs}, L.claims_counts(), f"{folder}/claims"))
+    return rows.filter("started_at <= finished_at").select("source", F.explode("counts").alias("metric", "n"))
+
+
 @query(D.with_views("signal", "founder", sql="SELECT 'discovery' AS source, (SELECT count(*) FROM signal) AS signals, (SELECT count(*) FROM founder) AS founders, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0) AS claims"))
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger row of a run."""

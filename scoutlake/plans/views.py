@@ -157,3 +157,19 @@ def subject_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     subjects = subjects.unionByName(subjects.limit(1).select(F.lit(-1).cast(subjects.schema["founder_id"].dataType).alias("founder_id")))
     founders = D.founders(spark, sf_dir).select("founder_id").join(scores(spark, sf_dir).select("founder_id", "founder_score"), "founder_id", "left")
     return V.subject_coverage(subjects, founders, _trusted(spark, sf_dir))[1]
+
+
+@query(D.with_views("founder", sql="""SELECT asked, position, founder_id FROM (SELECT founder_id, row_number() OVER (ORDER BY discovery_confidence DESC NULLS LAST, founder_id) AS position, count(*) OVER () AS total FROM founder)
+    JOIN (SELECT unnest([0, 3, 1000000000]) AS asked) ON (position - 1) // 10 = least(asked, (total - 1) // 10)"""))
+def founder_page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, fourth and last page of all founders, out of an index of pages."""
+    import uuid
+
+    from ..operators.graph import shared_folder
+    from ..operators.ranks import read_page, write_pages
+
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    write_pages(D.founders(spark, sf_dir).select("founder_id", "discovery_confidence"), [F.desc_nulls_last("discovery_confidence"), "founder_id"], path)
+    index = spark.read.parquet(path)
+    pages = [read_page(index, n).select(F.lit(n).alias("asked"), "position", "founder_id") for n in (0, 3, 10**9)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
