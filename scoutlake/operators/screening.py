@@ -34,6 +34,27 @@ def founder_axis(scores: DataFrame, claims: DataFrame, points: DataFrame) -> Dat
     return rows.select("founder_id", F.col("founder_score").alias("score"), verdict.alias("verdict"), trend.alias("trend"), confidence.alias("confidence"), F.array_join(gaps, "; ").alias("gaps"))
 
 
+def upserted_founder_axes(deals: DataFrame, existing: DataFrame, scores: DataFrame, claims: DataFrame, points: DataFrame, cites: DataFrame, signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The founder axis of each deal (opportunity_id, founder_id) computed and put in place of the one it had, and the
+    evidence it rests on.
+
+    `existing`: opportunity_id, axis, score, verdict, trend, confidence, gaps; axes of other kinds, and of deals that are not
+    among `deals`, stay as they are. The trend is of the founder's score history, not against the axis before. Evidence is
+    a row (opportunity_id, claim_id, trust, url) for each different page that supports a claim; a claim without one has a row
+    without a URL. `claims`: founder_id, claim_id, trust; `cites`: claim_id, signal_id, stance; `signals`: signal_id, url.
+    A deal of a founder whom `scores` lacks gets a neutral axis without score."""
+    people = deals.select("founder_id").distinct()
+    mine = people.join(scores.select("founder_id", "founder_score"), "founder_id", "left")
+    own = claims.join(people, "founder_id", "left_semi")
+    axis = founder_axis(mine, own, points.join(people, "founder_id", "left_semi"))
+    new = deals.select("opportunity_id", "founder_id").join(axis, "founder_id").select("opportunity_id", F.lit("founder").alias("axis"), "score", "verdict", "trend", "confidence", "gaps")
+    replaced = new.select("opportunity_id", "axis")
+    rows = existing.join(replaced, ["opportunity_id", "axis"], "left_anti").select(new.columns).unionByName(new)
+    pages = cites.filter("stance = 'supports'").join(signals.filter("url is not null").select("signal_id", "url"), "signal_id").select("claim_id", "url").distinct()
+    evidence = deals.select("opportunity_id", "founder_id").join(own.select("founder_id", "claim_id", "trust"), "founder_id").join(pages, "claim_id", "left").select("opportunity_id", "claim_id", "trust", "url")
+    return rows, evidence
+
+
 def trend(previous: Column, now: Column) -> Column:
     """The axes' trend: strictly beyond the deadband, stable without a previous score."""
     return F.when(previous.isNull() | now.isNull(), "stable").when(now - previous > DEADBAND, "improving").when(previous - now > DEADBAND, "declining").otherwise("stable")

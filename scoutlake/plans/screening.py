@@ -13,14 +13,16 @@ from .claims import scores
 
 _STEP = "SELECT founder_id, count(*) AS n_points, arg_max(coalesce(step, -1e9), (created_at, point_id)) AS step FROM (SELECT *, score - lag(score) OVER (PARTITION BY founder_id ORDER BY created_at, point_id) AS step FROM score_point) GROUP BY founder_id"
 
+_AXIS = f"""SELECT f.founder_id, founder_score AS score, CASE WHEN founder_score >= 40 THEN 'bull' WHEN founder_score < 15 AND coalesce(m.n, 0) >= 6 THEN 'bear' ELSE 'neutral' END AS verdict,
+        CASE WHEN coalesce(n_points, 0) < 2 THEN 'stable' WHEN step >= 1 THEN 'improving' WHEN step <= -1 THEN 'declining' ELSE 'stable' END AS trend, round(least(0.95, 1 - exp(-coalesce(mass, 0) / 5)), 2) AS confidence,
+        concat_ws('; ', CASE WHEN founder_score IS NULL THEN 'no score' END, CASE WHEN coalesce(m.n, 0) < 6 AND coalesce(m.n, 0) > 0 THEN 'cold start' END, CASE WHEN coalesce(n_points, 0) < 2 THEN 'no history' END) AS gaps
+        FROM (SELECT c_custkey AS founder_id FROM customer) f LEFT JOIN score USING (founder_id) LEFT JOIN (SELECT founder_id, count(*) AS n, sum(coalesce(trust, 0)) AS mass FROM claim LEFT JOIN trust USING (claim_id) GROUP BY founder_id) m USING (founder_id) LEFT JOIN ({_STEP}) USING (founder_id)"""
+
 
 @query(
     D.with_views(
         "score", "score_point",
-        sql=f"""SELECT f.founder_id, founder_score AS score, CASE WHEN founder_score >= 40 THEN 'bull' WHEN founder_score < 15 AND coalesce(m.n, 0) >= 6 THEN 'bear' ELSE 'neutral' END AS verdict,
-        CASE WHEN coalesce(n_points, 0) < 2 THEN 'stable' WHEN step >= 1 THEN 'improving' WHEN step <= -1 THEN 'declining' ELSE 'stable' END AS trend, round(least(0.95, 1 - exp(-coalesce(mass, 0) / 5)), 2) AS confidence,
-        concat_ws('; ', CASE WHEN founder_score IS NULL THEN 'no score' END, CASE WHEN coalesce(m.n, 0) < 6 AND coalesce(m.n, 0) > 0 THEN 'cold start' END, CASE WHEN coalesce(n_points, 0) < 2 THEN 'no history' END) AS gaps
-        FROM (SELECT c_custkey AS founder_id FROM customer) f LEFT JOIN score USING (founder_id) LEFT JOIN (SELECT founder_id, count(*) AS n, sum(coalesce(trust, 0)) AS mass FROM claim LEFT JOIN trust USING (claim_id) GROUP BY founder_id) m USING (founder_id) LEFT JOIN ({_STEP}) USING (founder_id)""",
+        sql=_AXIS,
     )
 )
 def founder_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +83,38 @@ def deal_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     decisions = deals.filter(d != 3).select("opportunity_id", F.when(d == 0, "pursue").when(d == 1, "pass").when(F.col("opportunity_id") % 8 == 2, "track").otherwise("later").alias("decision"), D.as_of().alias("decided_at"))
     axes = deals.filter("opportunity_id % 3 = 0").select("opportunity_id")
     return S.decided(deals, decisions, axes).select("opportunity_id", "status", "refused")
+
+
+def _founder_axes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every deal's founder axis put in place; a third of the deals had one before, all have a market axis."""
+    deals = D.opportunities(spark, sf_dir)
+    old = [deals.filter(cond).select("opportunity_id", F.lit(axis).alias("axis"), F.lit(1.5).alias("score"), F.lit("neutral").alias("verdict"), F.lit("improving").alias("trend"), F.lit(0.5).alias("confidence"), F.lit("").alias("gaps")) for axis, cond in (("founder", "opportunity_id % 3 = 0"), ("market", "true"))]
+    trust = C.trust(C.fold_evidence(D.raw_evidence(spark, sf_dir))).select("claim_id", "trust")
+    claims = D.claims(spark, sf_dir).select("founder_id", "claim_id").join(trust, "claim_id", "left")
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    signals = D.table(spark, sf_dir, "lineitem").select(k.alias("signal_id"), F.when(k % 4 != 0, F.concat(F.lit("https://e.test/"), (k % 30).cast("string"))).alias("url")).distinct()
+    return S.upserted_founder_axes(deals, old[0].unionByName(old[1]), scores(spark, sf_dir), claims, D.score_points(spark, sf_dir), D.raw_evidence(spark, sf_dir), signals)
+
+
+@query(
+    D.with_views(
+        "score", "score_point", "opportunity",
+        sql=f"""SELECT opportunity_id, 'founder' AS axis, score, verdict, trend, confidence, gaps FROM opportunity JOIN ({_AXIS}) USING (founder_id)
+        UNION ALL SELECT opportunity_id, 'market', 1.5, 'neutral', 'improving', 0.5, '' FROM opportunity""",
+    )
+)
+def founder_axes_of_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The axes of all deals after the founder axis was computed and upserted."""
+    return _founder_axes(spark, sf_dir)[0]
+
+
+@query(
+    D.with_views(
+        "trust", "claim", "opportunity",
+        sql="""SELECT opportunity_id, claim_id, trust, url FROM opportunity JOIN claim USING (founder_id) LEFT JOIN trust USING (claim_id)
+        LEFT JOIN (SELECT DISTINCT l_orderkey AS claim_id, 'https://e.test/' || ((l_orderkey * 10 + l_linenumber) % 30) AS url FROM lineitem WHERE l_returnflag <> 'R' AND (l_orderkey * 10 + l_linenumber) % 4 <> 0) USING (claim_id)""",
+    )
+)
+def founder_axis_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims and different pages that each deal's founder axis rests on."""
+    return _founder_axes(spark, sf_dir)[1]
