@@ -58,7 +58,7 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
     Names of together S letters may differ by k = S (100 - SAME_NAME) / 100 letters put in or left out. One letter is an
     equi-join of names with names less a letter. For more, names that share a part of the right one,
     at most k places away, are an equi-join (`shared_parts`), whose pairs name_ratio verifies."""
-    i, e = (x.select("name", F.length("name").alias("n")).filter("n >= 12").distinct() for x in (left, right))
+    i, e = (saved(x.select("name", F.length("name").alias("n")).filter("n >= 12").distinct()) for x in (left, right))
 
     def less_one(rows: DataFrame) -> DataFrame:
         cut = F.transform(F.sequence(F.lit(1), "n"), lambda at: F.concat(F.substring("name", F.lit(1), at - 1), F.substring("name", at + 1, F.col("n"))))
@@ -81,7 +81,8 @@ def shared_parts(i: DataFrame, e: DataFrame, hot_above: int = HOT_PART) -> DataF
 
     The right name falls into k + 1 parts, of which k changes leave one as it is. A name of which one of these is hot, say a
     common first name, falls into 2k + 1 finer ones instead, of which k changes leave k + 1 as they are: it meets others on
-    its k + 1 rarest parts, which hot letters can cover only if they are most of the name. Both ways find every pair."""
+    its k + 1 rarest parts, which hot letters can cover only if they are most of the name. Both ways find every pair.
+    Hot parts and the names that have one are saved: they are read several times, and most tables have none."""
     key = ["i_n", "e_n", "fine", "j", "part"]
 
     def parts(rows: DataFrame, own: str, other: str, fine: bool) -> DataFrame:
@@ -99,8 +100,10 @@ def shared_parts(i: DataFrame, e: DataFrame, hot_above: int = HOT_PART) -> DataF
         return at.withColumn("part", F.expr("substring(name, at + 1, size)")).select(F.col("name").alias("i_name"), *key).distinct()
 
     coarse = whole(False)
-    hot = coarse.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > hot_above).select(key)
-    crowded = coarse.join(hot, key, "left_semi").select("e_name", "i_n", "e_n").distinct()
+    hot = saved(coarse.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > hot_above).select(key))
+    if hot.isEmpty():  # nothing is finer than the rest: one join
+        return moved(parts(i, "i_n", "e_n", False)).join(coarse.select("e_name", *key), key).select("i_name", "e_name")
+    crowded = saved(coarse.join(hot, key, "left_semi").select("e_name", "i_n", "e_n").distinct())
     finer = whole(True).join(crowded.select("e_name", "i_n"), ["e_name", "i_n"], "left_semi")
     finer = finer.join(finer.groupBy(key).agg(F.count("*").alias("n")), key)
     rarest = Window.partitionBy("e_name", "i_n").orderBy("n", "j")  # 2k + 1 rows each
