@@ -78,6 +78,16 @@ def pending_founders(founders: DataFrame, attributions: DataFrame) -> DataFrame:
     return founders.join(latest, "founder_id").filter(F.col("last_claimed_at").isNull() | (F.col("latest") > F.col("last_claimed_at"))).select("founder_id", F.when(F.col("last_claimed_at").isNull(), "cold").otherwise("warm").alias("path"))
 
 
+def with_attributes(claims: DataFrame, cited: DataFrame) -> DataFrame:
+    """(claim_id, attributes MAP<STRING, STRING>, impact) and (claim_id, occurred_at) of what supports them -> the claims with
+    `impact` and `occurred_at`, the latest, among their attributes, in place of what an extractor called so. Null attributes are
+    none; a claim of undated evidence has the key with a null."""
+    latest = cited.groupBy("claim_id").agg(F.max("occurred_at").alias("_latest"))
+    own = F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("impact", "occurred_at"))
+    added = F.create_map(F.lit("impact"), F.col("impact").cast("string"), F.lit("occurred_at"), F.date_format("_latest", "yyyy-MM-dd'T'HH:mm:ss"))
+    return claims.join(latest, "claim_id", "left").withColumn("attributes", F.map_concat(own, added)).drop("_latest")
+
+
 def valid(extracted: DataFrame) -> DataFrame:
     """Extracted claims of the taxonomy that say something."""
     return extracted.filter(F.col("category").isin(CATEGORIES) & (F.trim(F.coalesce("statement", F.lit(""))) != ""))

@@ -97,17 +97,32 @@ def attributed(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.groupBy("founder_id", "signal_id").agg(F.max("confidence").alias("confidence"), F.max_by("method", best).alias("method"), F.min("attributed_at").alias("attributed_at"))
 
 
-def merged_urls(signals: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signals that became one under new keys: (survivors, old-to-survivor mapping, re-keyed edges).
+def merged_urls(signals: DataFrame, *edges: tuple[DataFrame, str]) -> tuple[DataFrame, ...]:
+    """Signals (signal_id, source, canonical_url, ingested_at) that became one under new keys: (survivors with `n`, how many each
+    stands for; mapping signal_id, survivor, n, at; then each of `edges`, given as a frame and its key, re-keyed).
 
-    The earliest ingested signal of (source, canonical_url) survives; its edges gain the others', the largest weight of
-    each pair. A mapping table, joined once to every child, takes the place of row updates."""
+    The earliest ingested signal of (source, canonical_url) survives. A mapping table, joined once to every child, takes the
+    place of row updates."""
     at = F.struct("ingested_at", "signal_id")
     groups = signals.groupBy("source", "canonical_url").agg(F.min_by("signal_id", at).alias("survivor"), F.count("*").alias("n"))
-    mapping = signals.join(groups, ["source", "canonical_url"]).select("signal_id", "survivor", "n")
-    moved = edges.join(mapping.select("signal_id", "survivor"), "signal_id").groupBy("claim_id", F.col("survivor").alias("signal_id")).agg(F.max("weight").alias("weight"))
+    mapping = signals.join(groups, ["source", "canonical_url"]).select("signal_id", "survivor", "n", at.alias("at"))
     survivors = signals.join(mapping.filter("signal_id = survivor").select("signal_id", "n"), "signal_id")
-    return survivors, mapping, moved
+    return survivors, mapping, *(moved_edges(e, mapping, key) for e, key in edges)
+
+
+def moved_edges(edges: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """Edges (key, signal_id, ...) on the survivors. Where a key has several by then, the survivor's own stays, else that of the
+    earliest signal that was merged: one edge whole, so a stance or method never goes with another edge's weight. Edges of
+    signals that the mapping lacks are dropped; repeated edges of one signal count by their values, least first."""
+    rest = [c for c in edges.columns if c not in (key, "signal_id")]
+    rows = edges.join(mapping.select("signal_id", "survivor", F.col("at").alias("_at")), "signal_id").drop("signal_id")
+    return first_of_each(rows.withColumnRenamed("survivor", "signal_id"), [key, "signal_id"], ["_at", *rest]).select(*edges.columns)
+
+
+def rekeyed(signals: DataFrame, new_url: Column) -> DataFrame:
+    """Signals under new canonical URLs; an external id that was the old URL follows it."""
+    follows = F.col("external_id").eqNullSafe(F.col("canonical_url"))
+    return signals.withColumn("external_id", F.when(follows, new_url).otherwise(F.col("external_id"))).withColumn("canonical_url", new_url)
 
 
 def keywords(text: Column, stop: list[str], most: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -10,6 +10,7 @@ from . import delivery as V
 from . import ingest as I
 from . import resolve as R
 from .graph import saved
+from .views import text_chunks
 
 #: Fixed value: the one kind of handle that only one person may hold.
 EXCLUSIVE = "orcid"
@@ -204,14 +205,17 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.groupBy("deck_id").agg(F.when(F.count_if(some) > 0, block).otherwise("(no deck text)").alias("block"), F.count_if(some).alias("n_pages"))
 
 
+def page_chunks(pages: DataFrame, size: int = 12) -> DataFrame:
+    """What `page_blocks` says in texts of `size` pages, (deck_id, chunk, block, n_pages): for decks of any length. Decks
+    without text have none."""
+    line = F.concat(F.lit("[deck p."), F.col("page").cast("string"), F.lit("]\n"), "text")
+    out = text_chunks(pages.filter("coalesce(text, '') <> ''"), "deck_id", ["page", "text"], line, size, "\n\n")
+    return out.withColumnRenamed("n_lines", "n_pages")
+
+
 def unmet(candidates: DataFrame, known: DataFrame, most: int = 35) -> DataFrame:
     """(name, pos) candidates whose folded name no known person has, the first of each name, at most `most` of a run: the
     feature that bounds what is looked into."""
     rows = candidates.withColumn("_name", K.comparison_text(F.col("name"))).filter("_name <> ''")
     once = I.first_of_each(rows, ["_name"], ["pos"])
     return once.join(known.select(K.comparison_text(F.col("display_name")).alias("_name")).distinct(), "_name", "left_anti").drop("_name").orderBy("pos").limit(most)
-
-
-def first_row(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .views import text_chunks
+
 # Bands and limits of the axes.
 BULL_AT, BEAR_BELOW, COLD_START, CONFIDENCE_CAP, CONFIDENCE_SCALE, DEADBAND = 40.0, 15.0, 6, 0.95, 5.0, 1.0
 VERDICTS = {"survives_as_is": "bull", "pivot_needed": "neutral", "fails": "bear"}
@@ -150,13 +152,22 @@ def screened(opportunities: DataFrame, existing: DataFrame, founder_axis: DataFr
     return upserted_axes(existing, new), opportunities.withColumn("status", F.lit("diligence"))
 
 
+def _claim_line() -> Column:
+    return F.concat(F.lit("["), F.col("claim_id").cast("string"), F.lit("] ("), "category", F.lit(", trust="), F.coalesce(F.col("trust").cast("string"), F.lit("None")), F.lit(") "), "statement")
+
+
 def claim_blocks(claims: DataFrame, key: str, label: str) -> DataFrame:
     """(key, claim_id, category, trust, statement) -> one text block per key for a reader, a line a claim in the order of ids."""
-    line = F.concat(F.lit("["), F.col("claim_id").cast("string"), F.lit("] ("), "category", F.lit(", trust="), F.coalesce(F.col("trust").cast("string"), F.lit("None")), F.lit(") "), "statement")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("claim_id", line.alias("line")))), lambda x: x["line"])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("claim_id", _claim_line().alias("line")))), lambda x: x["line"])
     return claims.groupBy(key).agg(F.concat(F.lit(f"## {label}\n"), F.array_join(lines, "\n")).alias("block"), F.count("*").alias("n_claims"))
 
 
+def claim_chunks(claims: DataFrame, key: str, label: str, size: int = 12) -> DataFrame:
+    """What `claim_blocks` says in texts of `size` claims, (key, chunk, block, n_claims): for keys of any size."""
+    out = text_chunks(claims, key, ["claim_id"], _claim_line(), size)
+    return out.select(key, "chunk", F.concat(F.lit(f"## {label}\n"), "block").alias("block"), F.col("n_lines").alias("n_claims"))
+
+
 def memo_view(memos: DataFrame) -> DataFrame:
     """(opportunity_id, generated_at, memo_id, recommendation, confidence, gaps, sections) -> each deal's latest memo as it is
     shown; no gaps are an empty list."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .ranks import ranked
 
@@ -103,6 +104,25 @@ def chunked(rows: DataFrame, key: str, order: list[str], size: int = 12) -> Data
     return ranked(rows, [key], order, "_at").select(*rows.columns, F.floor((F.col("_at") - 1) / size).cast("int").alias("chunk"))
 
 
+def text_chunks(rows: DataFrame, key: str, order: list[str], line: Column, size: int = 12, between: str = "\n") -> DataFrame:
+    """(key, chunk, block, n_lines): each key's lines in order as texts of `size` lines, numbered from 0. No text grows with its
+    key, and a key's chunks are made in as many tasks as its rows ask for."""
+    numbered = chunked(rows.withColumn("_line", line), key, order, size)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_line"))), lambda x: x["_line"])
+    return numbered.groupBy(key, "chunk").agg(F.array_join(lines, between).alias("block"), F.count("*").alias("n_lines"))
+
+
+def without_null_lists(rows: DataFrame) -> DataFrame:
+    """Rows in which every column of arrays that is null is an empty one instead."""
+    lists = {f.name: f.dataType for f in rows.schema.fields if isinstance(f.dataType, ArrayType)}
+    return rows.withColumns({c: F.coalesce(F.col(c), F.array().cast(kind)) for c, kind in lists.items()})
+
+
+def facets(rows: DataFrame, column: str) -> DataFrame:
+    """The values a column takes, nulls aside, with the numbers of their rows: what a filter offers."""
+    return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
 def unseen(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
     """Rows of the later snapshot that the earlier one lacks."""
     return now.join(before.select(key), key, "left_anti")

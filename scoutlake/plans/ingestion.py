@@ -45,8 +45,29 @@ _RESPELLED = "SELECT page_id, url FROM pages UNION ALL SELECT page_id + 10000000
 def signals_merged_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which signal survives where several spellings of one page were ingested."""
     rows = _respelled(spark, sf_dir).select(F.col("page_id").alias("signal_id"), K.canonical_url(F.col("url")).alias("canonical_url"), F.lit("web").alias("source"), F.col("page_id").alias("ingested_at"))
-    survivors, _, _ = I.merged_urls(rows, rows.select(F.lit(1).alias("claim_id"), "signal_id", F.lit(0.5).alias("weight")))
-    return survivors.select("canonical_url", F.col("signal_id").alias("survivor"), "n")
+    return I.merged_urls(rows)[0].select("canonical_url", F.col("signal_id").alias("survivor"), "n")
+
+
+# Every spelling is attributed and cited; every other one that was met again belongs to a founder and a claim that its page lacks.
+_EDGES = "SELECT page_id AS signal_id, page_id % 10000000 % 50 + CASE WHEN page_id >= 10000000 AND page_id % 2 = 0 THEN 1000 ELSE 0 END AS {key}, (page_id % 7) / 10.0 AS {value}, CASE WHEN (page_id + {shift}) % 3 = 0 THEN '{one}' ELSE '{other}' END AS {word} FROM ({rows})"
+_ATTRIBUTED = {"key": "founder_id", "value": "confidence", "word": "method", "shift": 0, "one": "research", "other": "legacy"}
+_CITED = {"key": "claim_id", "value": "weight", "word": "stance", "shift": 1, "one": "refutes", "other": "supports"}
+
+
+@query(
+    f"""WITH m AS (SELECT page_id AS signal_id, min(page_id) OVER (PARTITION BY url) AS survivor FROM (SELECT page_id, {URL_KEY} AS url FROM ({_RESPELLED}))),
+    e AS (SELECT 'founder' AS part, founder_id AS key_id, signal_id, CAST(confidence AS DOUBLE) AS value, method AS word FROM ({_EDGES.format(rows=_RESPELLED, **_ATTRIBUTED)}) UNION ALL SELECT 'claim', claim_id, signal_id, CAST(weight AS DOUBLE), stance FROM ({_EDGES.format(rows=_RESPELLED, **_CITED)}))
+    SELECT part, key_id, survivor AS signal_id, arg_min(value, e.signal_id) AS value, arg_min(word, e.signal_id) AS word FROM e JOIN m USING (signal_id) GROUP BY part, key_id, survivor"""
+)
+def edges_merged_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution and evidence on the surviving signals: what the survivor has stays, else the earliest merged edge, whole."""
+    rows = _respelled(spark, sf_dir)
+    rows.createOrReplaceTempView("respelled_pages")
+    founders, claims = (spark.sql(_EDGES.format(rows="SELECT * FROM respelled_pages", **x)).withColumn(x["value"], F.col(x["value"]).cast("double")) for x in (_ATTRIBUTED, _CITED))
+    signals = rows.select(F.col("page_id").alias("signal_id"), K.canonical_url(F.col("url")).alias("canonical_url"), F.lit("web").alias("source"), F.col("page_id").alias("ingested_at"))
+    _, _, attributed, cited = I.merged_urls(signals, (founders, "founder_id"), (claims, "claim_id"))
+    out = attributed.select(F.lit("founder").alias("part"), F.col("founder_id").alias("key_id"), "signal_id", F.col("confidence").alias("value"), F.col("method").alias("word"))
+    return out.unionByName(cited.select(F.lit("claim").alias("part"), F.col("claim_id").alias("key_id"), "signal_id", F.col("weight").alias("value"), F.col("stance").alias("word")))
 
 
 @query(D.with_views("signal", sql="SELECT source, external_id, signal_type FROM signal WHERE signal_id >= 5000"))

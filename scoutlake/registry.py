@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from .plans import audits, claims, delivery, ingestion, intake, keys, landing, places, portfolio, resolution, screening, views  # noqa: E402, F401
+from .plans import audits, claims, delivery, ingestion, intake, keys, landing, places, portfolio, resolution, screening, texts, views  # noqa: E402, F401
