@@ -12,6 +12,7 @@ from ..operators import warm as W
 from ..operators.graph import shared_folder
 from ..registry import query
 from ..sources import domain as D
+from ..sources import fetchers as X
 from ..sources import readers as R
 from ..streaming import signals as S
 
@@ -223,3 +224,28 @@ def signals_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     updates = spark.read.schema("window struct<start: timestamp, end: timestamp>, source string, n long, batch long").parquet(f"{folder}/table")
     return updates.groupBy("source", F.date_format("window.start", "yyyy-MM-dd").alias("day")).agg(F.max_by("n", "batch").alias("n"))
+
+
+def _titled(query: str, channel: str):
+    """A fetcher as a user writes it: as many hits as the query's length leaves by three, none for some."""
+    if len(query) % 7 == 0:
+        raise LookupError("refused")
+    for n in range(len(query) % 3):
+        yield {"title": query[:20], "url": f"https://e.test/{channel}/{n}", "content": "titled"}
+
+
+def _plain(query: str, channel: str):
+    return [{"title": channel, "url": "https://e.test/plain", "content": query[-5:]}]
+
+
+@query(
+    """WITH q AS (SELECT doc_id, text, length(text) AS n, 'c' || (doc_id % 3) AS channel, doc_id % 2 = 0 AS titled FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, channel, CAST(pos AS INT) AS pos, substr(text, 1, 20) AS title, 'https://e.test/' || channel || '/' || pos AS url, 'titled' AS content, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(range(n % 3)) AS pos FROM q WHERE titled AND n % 7 <> 0)
+    UNION ALL SELECT doc_id, channel, NULL, NULL, NULL, NULL, 'LookupError: refused' FROM q WHERE titled AND n % 7 = 0
+    UNION ALL SELECT doc_id, channel, 0, channel, 'https://e.test/plain', substr(text, greatest(n - 4, 1), 5), NULL FROM q WHERE NOT titled"""
+)
+def fetched_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a query to the fetcher it names, half of them to one that nobody has written: the default answers."""
+    k = F.col("doc_id")
+    queries = D.table(spark, sf_dir, "documents").select(k.alias("query_no"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("channel"), F.when(k % 2 == 0, "titled").otherwise("unwritten").alias("fetcher"), F.col("text").alias("query"))
+    return X.fetched(queries, {"titled": _titled, "plain": _plain}, "plain").withColumnRenamed("query_no", "doc_id")
