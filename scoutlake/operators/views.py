@@ -49,8 +49,8 @@ def sorted_page(rows: DataFrame, key: str, descending: bool, page: int, size: in
     return rows.orderBy(order, F.asc(tie)).offset(at * size).limit(size)
 
 
-def facets(rows: DataFrame, *columns: str) -> DataFrame:
-    """The values of each facet column with their counts."""
+def facet_counts(rows: DataFrame, *columns: str) -> DataFrame:
+    """(facet, value, n): the values of several facet columns, nulls aside, with their counts, in one pass."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))).alias("p")
     return rows.select(pairs).select("p.facet", "p.value").filter("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
 

@@ -48,7 +48,7 @@ def founder_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(D.with_views("founder", sql="SELECT 'status' AS facet, status AS value, count(*) AS n FROM founder GROUP BY status UNION ALL SELECT 'city', city, count(*) FROM founder WHERE city IS NOT NULL GROUP BY city"))
 def founder_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.facets(D.founders(spark, sf_dir), "status", "city")
+    return V.facet_counts(D.founders(spark, sf_dir), "status", "city")
 
 
 @query(D.with_views("founder", sql="SELECT founder_id, strftime(c, '%Y-%m-%d') AS last_checked_at FROM (SELECT founder_id, CASE WHEN founder_id % 50 <> 0 THEN DATE '2001-01-01' + CAST(founder_id % 90 AS INT) END AS c FROM founder) ORDER BY c ASC NULLS FIRST, founder_id LIMIT 25"))

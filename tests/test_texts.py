@@ -49,3 +49,9 @@ def test_attributes_and_lists(spark):
     lists = spark.createDataFrame([(None, None, None), ([1], ["a"], "x")], "a array<int>, b array<string>, c string")
     assert [tuple(r) for r in V.without_null_lists(lists).collect()] == [([], [], None), ([1], ["a"], "x")]
     assert {tuple(r) for r in V.facets(lists, "c").collect()} == {("x", 1)}
+
+
+def test_several_facets_at_once(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None), (None, 2), ("b", 1)], "status string, city int")
+    got = {tuple(r) for r in V.facet_counts(rows, "status", "city").collect()}
+    assert got == {("status", "a", 2), ("status", "b", 1), ("city", "1", 2), ("city", "2", 1)}
