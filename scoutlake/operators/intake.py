@@ -9,7 +9,7 @@ from ..functions import keys as K
 from . import delivery as V
 from . import ingest as I
 from . import resolve as R
-from .graph import saved
+from .graph import large, saved
 from .views import text_chunks
 
 #: Fixed value: the one kind of handle that only one person may hold.
@@ -78,6 +78,7 @@ def delivered(mentions: DataFrame, payloads: DataFrame, references: DataFrame, f
     among stored ones and those that earlier mentions of the delivery (by id) bring; new ones are stored once. Delivering the
     same again finds every artifact, edge and review in place, and every mention where it was: one that was attached
     for review has shared its evidence since with others of its name, and its placement tells whose it is."""
+    mentions, payloads, references, founders, held, signals, edges = map(large, (mentions, payloads, references, founders, held, signals, edges))
     once, handles, rejects = evidence_of(payloads, references)
     rows = mentions.withColumn("founder_id", F.col("id"))
     people, refused = V.gated(rows, once.select(F.col("id").alias("founder_id")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from .graph import groups, saved
+from .graph import groups, large, saved
 
 # Similarity gates and confidences of the resolution rules.
 SAME_NAME, MERGE_NAME = 96, 90
@@ -23,7 +23,7 @@ def shared_by_strangers(handles: DataFrame, names: DataFrame) -> DataFrame:
 
 def _people(people: DataFrame, prefix: str) -> DataFrame:
     """(id, display_name, city, company, education) with comparison keys, columns prefixed."""
-    keyed = people.select(
+    keyed = people.repartition("id").select(  # a small file is one split, and its names and texts are work
         "id", K.compact_name(F.col("display_name")).alias("name"), K.city_key(F.col("city")).alias("city"), F.nullif(K.comparison_text(F.col("company")), F.lit("")).alias("company"),
         F.transform(F.coalesce("education", F.array().cast("array<string>")), lambda s: K.comparison_text(s)).alias("education"),
     )
@@ -34,7 +34,7 @@ def _people(people: DataFrame, prefix: str) -> DataFrame:
 def _bare(people: DataFrame, prefix: str, handles: DataFrame, artifacts: DataFrame) -> DataFrame:
     """People without an identifying handle or an artifact: those of equal keys score alike against anyone."""
     for other in (handles, artifacts):
-        people = people.join(other.select(F.col("id").alias(f"{prefix}id")), f"{prefix}id", "left_anti")
+        people = large(people.join(other.select(F.col("id").alias(f"{prefix}id")), f"{prefix}id", "left_anti"))
     return people
 
 
@@ -49,7 +49,7 @@ def _first_of_alike(people: DataFrame, prefix: str, handles: DataFrame, artifact
 def _by_kind(handles: DataFrame) -> DataFrame:
     """(id, kind, value) -> one row per id with a map from kind to its values."""
     per = handles.groupBy("id", "kind").agg(F.collect_set("value").alias("values"))
-    return per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "values"))).alias("handles"))
+    return large(per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "values"))).alias("handles")))
 
 
 def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -135,13 +135,14 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
     People: id, display_name, city, company, education; handles: id, kind, value (canonical); artifacts: id, url. Handles
     that strangers share, over `population` (the existing people unless given), neither join nor conflict."""
     i, e = saved(_people(incoming, "i_")), saved(_people(existing, "e_"))  # each is read by several joins
+    in_handles, ex_handles = large(in_handles), large(ex_handles)
     names = existing.select("id", K.compact_name(F.col("display_name")).alias("name")) if population is None else population
     void = shared_by_strangers(ex_handles, names)
-    in_handles, ex_handles = (h.join(void, ["kind", "value"], "left_anti") for h in (in_handles, ex_handles))
+    in_handles, ex_handles = (large(h.join(void, ["kind", "value"], "left_anti")) for h in (in_handles, ex_handles))
     empty = in_handles.select("id", F.col("value").alias("url")).limit(0)
-    in_artifacts, ex_artifacts = in_artifacts if in_artifacts is not None else empty, ex_artifacts if ex_artifacts is not None else empty
+    in_artifacts, ex_artifacts = (large(empty if a is None else a) for a in (in_artifacts, ex_artifacts))
     if not all_existing:  # one of those that score alike is enough to decide a mention
-        e = _first_of_alike(e, "e_", ex_handles, ex_artifacts)
+        e = saved(_first_of_alike(e, "e_", ex_handles, ex_artifacts))
     pairs = saved(candidates(i, e, in_handles, ex_handles, near))
     met = pairs.join(in_artifacts.select(F.col("id").alias("i_id"), "url").distinct(), "i_id")
     art = met.join(ex_artifacts.select(F.col("id").alias("e_id"), "url").distinct(), ["e_id", "url"]).groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
@@ -181,11 +182,13 @@ def decided(incoming: DataFrame, pairs: DataFrame, holders: DataFrame | None = N
     it stays there, even if others hold the same by now."""
     stays = F.lit(False)
     if holders is not None:
-        pairs = pairs.join(holders.select("i_id", "e_id", F.lit(True).alias("_held")), ["i_id", "e_id"], "left")
+        pairs = large(pairs).join(holders.select("i_id", "e_id", F.lit(True).alias("_held")), ["i_id", "e_id"], "left")
         stays = F.coalesce("_held", F.lit(False)) & (F.col("score") >= MERGE_AT)
-    clear = pairs.filter(F.size("conflicts") == 0).groupBy("i_id").agg(F.min_by(F.struct("e_id", "score", "reasons", "named"), F.struct(~stays, -F.col("score"), F.col("e_id"))).alias("best"))
-    clash = pairs.filter(F.size("conflicts") > 0).groupBy("i_id").agg(F.min_by(F.struct("e_id", "conflicts"), F.col("e_id")).alias("clash"))
-    rows = incoming.select(F.col("id").alias("i_id")).join(clear, "i_id", "left").join(clash, "i_id", "left")
+    clean = F.size("conflicts") == 0  # null orders do not count
+    best = F.min_by(F.struct("e_id", "score", "reasons", "named"), F.when(clean, F.struct(~stays, -F.col("score"), F.col("e_id"))))
+    clash = F.min_by(F.struct("e_id", "conflicts"), F.when(~clean, F.col("e_id")))
+    per = large(pairs.groupBy("i_id").agg(best.alias("best"), clash.alias("clash")))
+    rows = incoming.select(F.col("id").alias("i_id")).join(per, "i_id", "left")
     conflicted = (F.col("best").isNull() | (F.col("best.score") < REVIEW_AT)) & F.col("clash").isNotNull()
     decision = F.when(conflicted, "review").when(F.col("best").isNull(), "new").when(F.col("best.score") >= MERGE_AT, "merge").when((F.col("best.score") >= REVIEW_AT) & F.col("best.named"), "review").otherwise("new")
     rows = rows.withColumn("decision", decision).withColumn("conflicted", conflicted)
@@ -198,12 +201,13 @@ def decided(incoming: DataFrame, pairs: DataFrame, holders: DataFrame | None = N
 def resolved(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, holders: DataFrame | None = None) -> DataFrame:
     """The action for every mention. Mentions without handle or artifact that are alike are decided once. holders: as in
     `decided`."""
-    i = _people(incoming, "i_")
+    i = saved(_people(incoming, "i_"))
     empty = in_handles.select("id").limit(0)
     bare = _bare(i, "i_", in_handles, empty if in_artifacts is None else in_artifacts)
+    bare = saved(bare)
     first = bare.groupBy("i_alike").agg(F.min("i_id").alias("rep"))
-    rep = i.select(F.col("i_id").alias("id"), "i_alike").join(bare.select(F.col("i_id").alias("id"), F.lit(True).alias("_bare")), "id", "left").join(first, "i_alike", "left").select("id", F.when(F.col("_bare"), F.col("rep")).otherwise(F.col("id")).alias("rep"))
-    asked = incoming.join(rep.filter("id = rep").select("id"), "id", "left_semi")
+    rep = saved(i.select(F.col("i_id").alias("id"), "i_alike").join(bare.select(F.col("i_id").alias("id"), F.lit(True).alias("_bare")), "id", "left").join(first, "i_alike", "left").select("id", F.when(F.col("_bare"), F.col("rep")).otherwise(F.col("id")).alias("rep")))
+    asked = large(incoming.join(rep.filter("id = rep").select("id"), "id", "left_semi"))
     out = decided(asked, scored(asked, existing, in_handles, ex_handles, in_artifacts, ex_artifacts), holders)
     return rep.join(out.withColumnRenamed("id", "rep"), "rep").drop("rep")
 
@@ -214,14 +218,14 @@ def merges(people: DataFrame, handles: DataFrame, artifacts: DataFrame | None =
 
     Everyone who shares a handle is hung on its least owner: a star per handle, not all pairs. For artifacts, rows of equal
     handles count as one and only different ones are compared."""
-    names = people.select("id", K.compact_name(F.col("display_name")).alias("name"))
+    names = large(people.select("id", K.compact_name(F.col("display_name")).alias("name")))
     void = shared_by_strangers(handles, names)
-    good = handles.join(void, ["kind", "value"], "left_anti")
+    good = large(large(handles).join(void, ["kind", "value"], "left_anti"))
     least = good.groupBy("kind", "value").agg(F.min("id").alias("left"), F.max("id").alias("_most")).filter("left <> _most").drop("_most")
     links = good.join(least, ["kind", "value"]).select("left", F.col("id").alias("right"))
     if artifacts is not None:
-        keyed = artifacts.join(names, "id").join(_by_kind(good), "id", "left").withColumn("sig", F.sha2(F.coalesce(F.to_json(F.array_sort(F.map_entries("handles"))), F.lit("")), 256))
-        one = keyed.groupBy("name", "url", "sig").agg(F.min("id").alias("rep"), F.any_value("handles").alias("handles"))
+        keyed = large(artifacts).join(names, "id").join(_by_kind(good), "id", "left").withColumn("sig", F.sha2(F.coalesce(F.to_json(F.array_sort(F.map_entries("handles"))), F.lit("")), 256))
+        one = large(keyed.groupBy("name", "url", "sig").agg(F.min("id").alias("rep"), F.any_value("handles").alias("handles")))
         links = links.unionByName(keyed.join(one.select("name", "url", "sig", "rep"), ["name", "url", "sig"]).select(F.col("rep").alias("left"), F.col("id").alias("right")))
         a, b = (one.select("name", "url", F.col("rep").alias(f"{s}_rep"), F.coalesce("handles", F.create_map().cast("map<string,array<string>>")).alias(f"{s}_h")) for s in ("a", "b"))
         against = F.exists(F.map_keys("a_h"), lambda k: F.map_contains_key("b_h", k) & ~F.arrays_overlap(F.element_at("a_h", k), F.coalesce(F.try_element_at("b_h", k), F.array().cast("array<string>"))))
@@ -244,7 +248,7 @@ def mention_keys(people: DataFrame, handles: DataFrame, artifacts: DataFrame) ->
     def summed(rows: DataFrame, *columns: str) -> DataFrame:
         rows = rows.select("id", *columns).distinct()
         sums = (F.bit_xor(F.xxhash64(*(F.lit(seed), *columns))).cast("string") for seed in (1, 2))
-        return rows.groupBy("id").agg(F.concat_ws(",", F.count("*").cast("string"), *sums).alias("sum"))
+        return large(rows.groupBy("id").agg(F.concat_ws(",", F.count("*").cast("string"), *sums).alias("sum")))
 
     rows = _people(people, "").select("id", "alike").join(summed(handles, "kind", "value").withColumnRenamed("sum", "h"), "id", "left").join(summed(artifacts, "url").withColumnRenamed("sum", "a"), "id", "left")
     return rows.select("id", F.sha2(F.concat_ws("|", "alike", F.coalesce("h", F.lit("")), F.coalesce("a", F.lit(""))), 256).alias("key"))

@@ -11,6 +11,7 @@ from ..operators import intake as N
 from ..operators import reconcile as C
 from ..operators import resolve as R
 from ..operators import views as W
+from ..operators.graph import saved
 from ..registry import query
 from ..sources import domain as D
 from ..sources.domain import sql
@@ -31,7 +32,7 @@ _STORED = "SELECT p_partkey AS signal_id, 'https://e.test/p' || p_partkey AS can
 
 
 def _delivery(spark: SparkSession, sf_dir: str, again: bool = False) -> dict[str, DataFrame] | tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    met = sql(spark, sf_dir, _MET)
+    met = saved(sql(spark, sf_dir, _MET).repartition("id"))  # read by mentions, founders, references and handles
     none = F.array().cast("array<string>").alias("education")
     fields = ["display_name", "city", "company", "occupation", "discovery_confidence"]
     mentions = met.filter("id % 5 = 0").select("id", *fields, none)
