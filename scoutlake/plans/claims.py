@@ -140,7 +140,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
 def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Founder scores kept by a stream of evidence in three batches, with repeats and edges that turn into refutations: the
     scores of one pass over all."""
-    return I.scores(spark, _streamed(spark, sf_dir))
+    return I.scores(spark, _streamed(spark, sf_dir), D.claims(spark, sf_dir), D.as_of())
 
 
 @query(D.with_views("trust", sql="SELECT claim_id, trust, support, refute, corroboration_n, refutation_n, external_verified, status FROM trust"))
