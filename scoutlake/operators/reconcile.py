@@ -165,12 +165,13 @@ def reconciled(people: DataFrame, handles: DataFrame, artifacts: DataFrame | Non
 
     With `dry_run` nobody is merged: there are no merges, and pairs that would be one by themselves are listed as `merge`.
     Of a group, the one that stays keeps its name, city, company and education; handles and artifacts are those of all."""
-    if artifacts is None:
-        artifacts = handles.select("id", F.col("value").alias("url")).limit(0)
-    merged = saved(merges(people, handles, artifacts))
+    people, handles = saved(people.repartition("id")), saved(handles)  # each is read several times
+    artifacts = handles.select("id", F.col("value").alias("url")).limit(0) if artifacts is None else saved(artifacts)
     if dry_run:
-        merged = merged.limit(0)
-    keep = people.join(merged.filter("id <> canonical").select("id"), "id", "left_anti")
+        merged = people.select("id", F.col("id").alias("canonical"), F.lit(0).alias("step"), F.lit(None).cast("string").alias("by")).limit(0)
+    else:
+        merged = saved(merges(people, handles, artifacts))
+    keep = saved(people.join(merged.filter("id <> canonical").select("id"), "id", "left_anti"))
     to = merged.select("id", "canonical")
     moved = lambda rows, *c: rows.join(to, "id", "left").select(F.coalesce("canonical", "id").alias("id"), *c).distinct()
     own, pages = saved(moved(handles, "kind", "value")), saved(moved(artifacts, "url"))

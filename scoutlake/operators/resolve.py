@@ -134,7 +134,8 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
 
     People: id, display_name, city, company, education; handles: id, kind, value (canonical); artifacts: id, url. Handles
     that strangers share, over `population` (the existing people unless given), neither join nor conflict."""
-    i, e = saved(_people(incoming, "i_")), saved(_people(existing, "e_"))  # each is read by several joins
+    i = saved(_people(incoming, "i_"))  # read by several joins
+    e = i.select(*(F.col(c).alias(f"e_{c[2:]}") for c in i.columns)) if existing is incoming else saved(_people(existing, "e_"))
     in_handles, ex_handles = large(in_handles), large(ex_handles)
     names = existing.select("id", K.compact_name(F.col("display_name")).alias("name")) if population is None else population
     void = shared_by_strangers(ex_handles, names)

@@ -87,3 +87,12 @@ def test_nobody(spark):
     people, handles, pages = (x.limit(0) for x in frames(spark, [[(set(), set())]]))
     merged, pairs = reconcile.reconciled(people, handles, pages)
     assert merged.count() == 0 and pairs.count() == 0
+
+
+def test_a_dry_run_merges_nothing_and_does_not_look_for_merges(spark, monkeypatch):
+    people = spark.createDataFrame([(k, "Ada Lovelace", "Bonn", "c", []) for k in (1, 2, 3)], "id long, display_name string, city string, company string, education array<string>")
+    handles = spark.createDataFrame([(1, "github", "a"), (2, "github", "a")], "id long, kind string, value string")
+    monkeypatch.setattr(reconcile, "merges", lambda *_: 1 / 0)
+    merged, pairs = reconcile.reconciled(people, handles, dry_run=True)
+    assert merged.columns == ["id", "canonical", "step", "by"] and merged.isEmpty()
+    assert {(r["left_id"], r["right_id"], r["decision"]) for r in pairs.collect()} == {(1, 2, "merge"), (1, 3, "review"), (2, 3, "review")}
