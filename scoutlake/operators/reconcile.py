@@ -175,7 +175,7 @@ def reconciled(people: DataFrame, handles: DataFrame, artifacts: DataFrame | Non
     to = merged.select("id", "canonical")
     moved = lambda rows, *c: rows.join(to, "id", "left").select(F.coalesce("canonical", "id").alias("id"), *c).distinct()
     own, pages = saved(moved(handles, "kind", "value")), saved(moved(artifacts, "url"))
-    pairs = R.scored(keep, keep, own, own, pages, pages, all_existing=True, near=False).filter("i_id > e_id")
+    pairs = R.scored(keep, keep, own, own, pages, pages, near=False).filter("i_id > e_id")
     return merged, _listed(pairs)
 
 

@@ -31,19 +31,17 @@ def _people(people: DataFrame, prefix: str) -> DataFrame:
     return keyed.select(*(F.col(c).alias(f"{prefix}{c}") for c in keyed.columns))
 
 
-def _bare(people: DataFrame, prefix: str, handles: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """People without an identifying handle or an artifact: those of equal keys score alike against anyone."""
-    for other in (handles, artifacts):
-        people = large(people.join(other.select(F.col("id").alias(f"{prefix}id")), f"{prefix}id", "left_anti"))
-    return people
+def _grouped(people: DataFrame, prefix: str, handles: DataFrame) -> DataFrame:
+    """People with their group: those of equal keys and kinds of handles. As long as a person shares no handle or artifact with
+    another, the other's score is the same for all of a group."""
+    kinds = handles.filter(F.col("kind").isin(*K.STRONG_KINDS)).groupBy(F.col("id").alias(f"{prefix}id")).agg(F.array_sort(F.collect_set("kind")).alias("_kinds"))
+    out = large(people).join(large(kinds), f"{prefix}id", "left")
+    return out.withColumn(f"{prefix}group", F.concat_ws(",", f"{prefix}alike", "_kinds")).drop("_kinds")
 
 
-def _first_of_alike(people: DataFrame, prefix: str, handles: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The people with one, the earliest, of each set of bare people that are alike. A common name then makes as many
-    pairs as it has different contexts, and not the square of its bearers."""
-    bare = _bare(people, prefix, handles, artifacts)
-    spare = bare.join(bare.groupBy(f"{prefix}alike").agg(F.min(f"{prefix}id").alias("_first")), f"{prefix}alike").filter(F.col(f"{prefix}id") != F.col("_first")).select(f"{prefix}id")
-    return people.join(spare, f"{prefix}id", "left_anti")
+def _first_of_group(people: DataFrame, prefix: str) -> DataFrame:
+    first = people.groupBy(f"{prefix}group").agg(F.min(f"{prefix}id").alias(f"{prefix}id")).select(f"{prefix}id")
+    return large(people.join(first, f"{prefix}id", "left_semi"))
 
 
 def _by_kind(handles: DataFrame) -> DataFrame:
@@ -114,40 +112,56 @@ def shared_parts(i: DataFrame, e: DataFrame, hot_above: int = HOT_PART) -> DataF
     return tried.join(kept, key).select("i_name", "e_name")
 
 
-def candidates(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, near: bool = True) -> DataFrame:
-    """Pairs worth scoring: same or (with `near`) near compact name, or a shared handle. Equi-joins in place of all pairs. A
-    shared artifact counts under the same name only, so it adds no pairs: a page that names many joins nobody."""
-    by_name = incoming.select("i_id", F.col("i_name").alias("k")).filter("k <> ''").join(existing.select("e_id", F.col("e_name").alias("k")), "k").select("i_id", "e_id")
+def _named_alike(incoming: DataFrame, existing: DataFrame, near: DataFrame | None) -> DataFrame:
+    """(i_id, e_id) of equal compact names or, with `near`, of those pairs of names."""
+    pairs = incoming.select("i_id", F.col("i_name").alias("k")).filter("k <> ''").join(existing.select("e_id", F.col("e_name").alias("k")), "k").select("i_id", "e_id")
+    if near is not None:
+        pairs = pairs.unionByName(incoming.select("i_id", "i_name").join(near, "i_name").join(existing.select("e_id", "e_name"), "e_name").select("i_id", "e_id"))
+    return pairs
 
-    if near:
-        names = near_names(incoming.select(F.col("i_name").alias("name")), existing.select(F.col("e_name").alias("name")))
-        by_name = by_name.unionByName(incoming.select("i_id", "i_name").join(names, "i_name").join(existing.select("e_id", "e_name"), "e_name").select("i_id", "e_id"))
 
-    def by(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
-        return a.select(F.col("id").alias("i_id"), *key).join(b.select(F.col("id").alias("e_id"), *key), list(key)).select("i_id", "e_id")
+def _of_one_handle(in_handles: DataFrame, ex_handles: DataFrame) -> DataFrame:
+    a, b = (h.select(F.col("id").alias(f"{side}_id"), "kind", "value") for h, side in ((in_handles, "i"), (ex_handles, "e")))
+    return a.join(b, ["kind", "value"]).select("i_id", "e_id")
 
-    return by_name.unionByName(by(in_handles, ex_handles, "kind", "value")).distinct()
 
+def _of_one_artifact(incoming: DataFrame, existing: DataFrame, near: DataFrame, in_artifacts: DataFrame, ex_artifacts: DataFrame) -> DataFrame:
+    """(i_id, e_id) of those that share an artifact under the same or a near name, of each group the earliest: a page that names
+    many joins nobody."""
+    a = in_artifacts.select(F.col("id").alias("i_id"), "url").distinct().join(incoming.select("i_id", "i_name").filter("i_name <> ''"), "i_id")
+    b = large(ex_artifacts.select(F.col("id").alias("e_id"), "url").join(existing.select("e_id", "e_name", "e_group"), "e_id").groupBy("url", "e_name", "e_group").agg(F.min("e_id").alias("e_id")))
+    same = a.withColumnRenamed("i_name", "e_name").join(b, ["url", "e_name"]).select("i_id", "e_id")
+    return same.unionByName(a.join(near, "i_name").join(b, ["url", "e_name"]).select("i_id", "e_id"))
 
-def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, all_existing: bool = False, near: bool = True) -> DataFrame:
-    """Every candidate pair with its score, reasons and conflicts.
+
+def _known_handles(existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, population: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Handles of both sides without those that strangers share."""
+    names = existing.select("id", K.compact_name(F.col("display_name")).alias("name")) if population is None else population
+    void = shared_by_strangers(large(ex_handles), names)
+    return tuple(large(large(h).join(void, ["kind", "value"], "left_anti")) for h in (in_handles, ex_handles))
+
+
+def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, near: bool = True) -> DataFrame:
+    """Every candidate pair with its score, reasons and conflicts: same or (with `near`) near compact name, or a shared handle.
 
     People: id, display_name, city, company, education; handles: id, kind, value (canonical); artifacts: id, url. Handles
     that strangers share, over `population` (the existing people unless given), neither join nor conflict."""
     i = saved(_people(incoming, "i_"))  # read by several joins
     e = i.select(*(F.col(c).alias(f"e_{c[2:]}") for c in i.columns)) if existing is incoming else saved(_people(existing, "e_"))
-    in_handles, ex_handles = large(in_handles), large(ex_handles)
-    names = existing.select("id", K.compact_name(F.col("display_name")).alias("name")) if population is None else population
-    void = shared_by_strangers(ex_handles, names)
-    in_handles, ex_handles = (large(h.join(void, ["kind", "value"], "left_anti")) for h in (in_handles, ex_handles))
-    empty = in_handles.select("id", F.col("value").alias("url")).limit(0)
-    in_artifacts, ex_artifacts = (large(empty if a is None else a) for a in (in_artifacts, ex_artifacts))
-    if not all_existing:  # one of those that score alike is enough to decide a mention
-        e = saved(_first_of_alike(e, "e_", ex_handles, ex_artifacts))
-    pairs = saved(candidates(i, e, in_handles, ex_handles, near))
-    met = pairs.join(in_artifacts.select(F.col("id").alias("i_id"), "url").distinct(), "i_id")
-    art = met.join(ex_artifacts.select(F.col("id").alias("e_id"), "url").distinct(), ["e_id", "url"]).groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts"))
-    rows = pairs.join(i, "i_id").join(e, "e_id").join(art, ["i_id", "e_id"], "left")
+    in_handles, ex_handles = _known_handles(existing, in_handles, ex_handles, population)
+    names = near_names(i.select(F.col("i_name").alias("name")), e.select(F.col("e_name").alias("name"))) if near else None
+    pairs = saved(_named_alike(i, e, names).unionByName(_of_one_handle(in_handles, ex_handles)).distinct())
+    return _scores(pairs, i, e, in_handles, ex_handles, in_artifacts, ex_artifacts)
+
+
+def _scores(pairs: DataFrame, i: DataFrame, e: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None) -> DataFrame:
+    """(i_id, e_id) pairs with their score, reasons and conflicts."""
+    if in_artifacts is None or ex_artifacts is None:
+        rows = pairs.join(i, "i_id").join(e, "e_id").withColumn("n_artifacts", F.lit(0))
+    else:
+        met = pairs.join(large(in_artifacts).select(F.col("id").alias("i_id"), "url").distinct(), "i_id")
+        art = large(met.join(large(ex_artifacts).select(F.col("id").alias("e_id"), "url").distinct(), ["e_id", "url"]).groupBy("i_id", "e_id").agg(F.count("*").alias("n_artifacts")))
+        rows = pairs.join(i, "i_id").join(e, "e_id").join(art, ["i_id", "e_id"], "left")
     rows = rows.join(_by_kind(in_handles).select(F.col("id").alias("i_id"), F.col("handles").alias("i_handles")), "i_id", "left").join(_by_kind(ex_handles).select(F.col("id").alias("e_id"), F.col("handles").alias("e_handles")), "e_id", "left")
     similarity = F.when(F.col("i_name") == F.col("e_name"), 100.0).otherwise(K.name_ratio(F.col("i_name"), F.col("e_name")))
     rows = rows.withColumn("similarity", similarity)
@@ -175,6 +189,14 @@ def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_h
     return rows.select("i_id", "e_id", "similarity", score.alias("score"), reasons.alias("reasons"), conflicts.alias("conflicts"), named.alias("named"))
 
 
+def _verdicts(pairs: DataFrame, stays: Column) -> DataFrame:
+    """(i_id, best, clash): of a mention's pairs the best without conflict and the earliest in conflict."""
+    clean = F.size("conflicts") == 0  # null orders do not count
+    best = F.min_by(F.struct("e_id", "score", "reasons", "named"), F.when(clean, F.struct(~stays, -F.col("score"), F.col("e_id"))))
+    clash = F.min_by(F.struct("e_id", "conflicts"), F.when(~clean, F.col("e_id")))
+    return large(pairs.groupBy("i_id").agg(best.alias("best"), clash.alias("clash")))
+
+
 def decided(incoming: DataFrame, pairs: DataFrame, holders: DataFrame | None = None) -> DataFrame:
     """The action for each mention: merge, review or new; the best pair without conflict wins, ties go to the earliest
     person, and a conflict decides only where nothing reaches the review level.
@@ -185,10 +207,7 @@ def decided(incoming: DataFrame, pairs: DataFrame, holders: DataFrame | None = N
     if holders is not None:
         pairs = large(pairs).join(holders.select("i_id", "e_id", F.lit(True).alias("_held")), ["i_id", "e_id"], "left")
         stays = F.coalesce("_held", F.lit(False)) & (F.col("score") >= MERGE_AT)
-    clean = F.size("conflicts") == 0  # null orders do not count
-    best = F.min_by(F.struct("e_id", "score", "reasons", "named"), F.when(clean, F.struct(~stays, -F.col("score"), F.col("e_id"))))
-    clash = F.min_by(F.struct("e_id", "conflicts"), F.when(~clean, F.col("e_id")))
-    per = large(pairs.groupBy("i_id").agg(best.alias("best"), clash.alias("clash")))
+    per = _verdicts(pairs, stays)
     rows = incoming.select(F.col("id").alias("i_id")).join(per, "i_id", "left")
     conflicted = (F.col("best").isNull() | (F.col("best.score") < REVIEW_AT)) & F.col("clash").isNotNull()
     decision = F.when(conflicted, "review").when(F.col("best").isNull(), "new").when(F.col("best.score") >= MERGE_AT, "merge").when((F.col("best.score") >= REVIEW_AT) & F.col("best.named"), "review").otherwise("new")
@@ -200,17 +219,32 @@ def decided(incoming: DataFrame, pairs: DataFrame, holders: DataFrame | None = N
 
 
 def resolved(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, holders: DataFrame | None = None) -> DataFrame:
-    """The action for every mention. Mentions without handle or artifact that are alike are decided once. holders: as in
-    `decided`."""
-    i = saved(_people(incoming, "i_"))
-    empty = in_handles.select("id").limit(0)
-    bare = _bare(i, "i_", in_handles, empty if in_artifacts is None else in_artifacts)
-    bare = saved(bare)
-    first = bare.groupBy("i_alike").agg(F.min("i_id").alias("rep"))
-    rep = saved(i.select(F.col("i_id").alias("id"), "i_alike").join(bare.select(F.col("i_id").alias("id"), F.lit(True).alias("_bare")), "id", "left").join(first, "i_alike", "left").select("id", F.when(F.col("_bare"), F.col("rep")).otherwise(F.col("id")).alias("rep")))
-    asked = large(incoming.join(rep.filter("id = rep").select("id"), "id", "left_semi"))
-    out = decided(asked, scored(asked, existing, in_handles, ex_handles, in_artifacts, ex_artifacts), holders)
-    return rep.join(out.withColumnRenamed("id", "rep"), "rep").drop("rep")
+    """The action for every mention. holders: as in `decided`.
+
+    A name alone is weighed once for each two groups (`_grouped`), by their earliest people, so that a common name makes as many
+    pairs as it has different contexts and not the square of its bearers. Pairs of one handle, of one artifact under one
+    name, and those that were placed before are weighed one by one. What such a pair knows more than its groups only adds to its
+    score, or takes away a conflict of one that then wins, so the better of both is what all pairs would give."""
+    in_handles, ex_handles = _known_handles(existing, in_handles, ex_handles)
+    i, e = saved(_grouped(_people(incoming, "i_"), "i_", in_handles)), saved(_grouped(_people(existing, "e_"), "e_", ex_handles))
+    near = saved(near_names(i.select(F.col("i_name").alias("name")), e.select(F.col("e_name").alias("name"))))
+    first_i, first_e = _first_of_group(i, "i_"), _first_of_group(e, "e_")
+    kinds = [h.select("id", "kind", F.lit(side).alias("value")) for h, side in ((in_handles, "incoming"), (ex_handles, "existing"))]  # no value in common
+    groups_met = _verdicts(_scores(saved(_named_alike(first_i, first_e, near)), first_i, first_e, *kinds), F.lit(False))
+    by_name = i.select("i_group", "i_id").join(large(first_i.select(F.col("i_id").alias("_first"), "i_group").join(groups_met.withColumnRenamed("i_id", "_first"), "_first")), "i_group")
+    none = F.array().cast("array<string>")
+    best = by_name.filter("best is not null").select("i_id", "best.e_id", "best.score", "best.reasons", none.alias("conflicts"), "best.named")
+    clash = by_name.filter("clash is not null").select("i_id", "clash.e_id", F.lit(0.0).alias("score"), none.alias("reasons"), "clash.conflicts", F.lit(True).alias("named"))
+    pairs = _of_one_handle(in_handles, ex_handles)
+    if in_artifacts is not None and ex_artifacts is not None:
+        pairs = pairs.unionByName(_of_one_artifact(i, e, near, large(in_artifacts), large(ex_artifacts)))
+    if holders is not None:
+        held = large(holders).select("i_id", "e_id").join(i.select("i_id", "i_name"), "i_id").join(e.select("e_id", "e_name"), "e_id")
+        same = F.when(F.col("i_name") == F.col("e_name"), F.col("i_name") != "").otherwise(K.name_ratio(F.col("i_name"), F.col("e_name")) >= SAME_NAME)
+        pairs = pairs.unionByName(held.filter(same).select("i_id", "e_id"))
+    own = _scores(saved(pairs.distinct()), i, e, in_handles, ex_handles, in_artifacts, ex_artifacts)
+    columns = best.columns
+    return decided(incoming, best.unionByName(clash).unionByName(own.select(*columns)), holders)
 
 
 def merges(people: DataFrame, handles: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
