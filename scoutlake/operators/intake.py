@@ -40,18 +40,18 @@ def evidence_of(payloads: DataFrame, references: DataFrame) -> tuple[DataFrame,
 def claimed(handles: DataFrame, held: DataFrame) -> DataFrame:
     """Handles of the exclusive kind that another founder holds already, or an earlier mention of the same batch takes:
     (founder_id, kind, value) rows that must not be stored."""
-    own = handles.filter(F.col("kind") == EXCLUSIVE).select("founder_id", "kind", F.lower("value").alias("value"), "mention_id")
+    own = large(handles.filter(F.col("kind") == EXCLUSIVE).select("founder_id", "kind", F.lower("value").alias("value"), "mention_id"))
     before = held.filter(F.col("kind") == EXCLUSIVE).groupBy("kind", F.lower("value").alias("value")).agg(F.min("founder_id").alias("holder"))
     first = own.groupBy("kind", "value").agg(F.min_by("founder_id", "mention_id").alias("first"))
     rows = own.join(before, ["kind", "value"], "left").join(first, ["kind", "value"])
-    return rows.filter(F.coalesce("holder", "first") != F.col("founder_id")).select("founder_id", "kind", "value").distinct()
+    return large(rows.filter(F.coalesce("holder", "first") != F.col("founder_id")).select("founder_id", "kind", "value").distinct())
 
 
 def placed(people: DataFrame, decisions: DataFrame, handles: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Each mention's founder. Merged and reviewed ones attach to the person they matched; new ones that identifying handles
     or artifacts make one person become one founder; one in conflict is kept apart, with its counterpart on record."""
     new = decisions.filter("decision = 'new'").select("id")
-    joined = R.merges(people.join(new, "id", "left_semi"), handles.join(new, "id", "left_semi"), artifacts.join(new, "id", "left_semi"))
+    joined = large(R.merges(people.join(new, "id", "left_semi"), handles.join(new, "id", "left_semi"), artifacts.join(new, "id", "left_semi")))
     rows = people.select("id").join(decisions, "id").join(joined, "id", "left")
     attach = F.col("decision").isin("merge", "review") & (F.col("method") != "conflict")
     founder = F.when(attach, F.col("matched_id").cast("string")).otherwise(fresh_id(F.coalesce("canonical", "id")))
@@ -63,7 +63,7 @@ def new_reviews(people: DataFrame, handles: DataFrame, placed: DataFrame, known:
     """A review for each unresolved mention (uncertain or in conflict), once per fingerprint and not if it is known."""
     prints = R.review_fingerprint(people, handles).join(placed.filter("flagged"), "id")
     once = I.first_of_each(prints.select("fingerprint", "id", "founder_id", "counterpart_id", "method"), ["fingerprint"], ["id"])
-    return once.join(known.select("fingerprint"), "fingerprint", "left_anti")
+    return once.join(large(known.select("fingerprint")), "fingerprint", "left_anti")
 
 
 def delivered(mentions: DataFrame, payloads: DataFrame, references: DataFrame, founders: DataFrame, held: DataFrame, signals: DataFrame, edges: DataFrame, reviews: DataFrame, as_of: Column, placements: DataFrame | None = None) -> dict[str, DataFrame]:
