@@ -48,6 +48,8 @@ def _delivery(spark: SparkSession, sf_dir: str, again: bool = False) -> dict[str
     first = N.delivered(mentions, payloads, references, founders, held, signals, edges, reviews, now)
     if not again:
         return first
+    # the state as stored tables: the next delivery reads each several times, and would plan and make it anew every time
+    first |= {name: saved(first[name]) for name in ("founders", "handles", "signals", "edges", "reviews", "placements")}
     prints = first["reviews"].select("fingerprint")
     signals = signals.withColumn("signal_id", F.col("signal_id").cast("string")).unionByName(first["signals"].select("signal_id", "canonical_url", "content_hash", F.lit("founder").alias("kind")))
     founders = founders.unionByName(first["founders"].select("founder_id", *fields, "education"))

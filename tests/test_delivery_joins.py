@@ -29,3 +29,17 @@ def test_known_reviews_are_left_out_without_a_broadcast(spark):
     again = intake.new_reviews(people, handles, placed, known)
     assert {r["id"] for r in again.collect()} == set(range(15, 40))
     assert not any("Broadcast" in line and "LeftAnti" in line for line in plan(again).splitlines())
+
+
+def test_a_second_delivery_reads_what_the_first_left_from_storage(spark, monkeypatch):
+    """Not planned and made anew at every read: the frames that it gets from the first are saved ones."""
+    from scoutlake.plans import intake as plans
+
+    columns = {
+        "founders": "cast(id as string) as founder_id, 'n' as display_name, 'c' as city, 'x' as company, 'o' as occupation, 0.5D as discovery_confidence, cast(array() as array<string>) as education",
+        "handles": "cast(id as string) as founder_id, 'github' as kind, 'v' as value", "signals": "cast(id as string) as signal_id, 'u' as canonical_url, 'h' as content_hash",
+        "edges": "cast(id as string) as founder_id, 's' as signal_id", "reviews": "cast(id as string) as fingerprint", "placements": "cast(id as string) as key, 'f' as founder_id",
+    }
+    monkeypatch.setattr(plans.N, "delivered", lambda *_: {k: spark.range(5).selectExpr(*c.split(", ")) for k, c in columns.items()})
+    first, _ = plans._delivery(spark, "/root/testdata/sf0.001", again=True)
+    assert all("Range (" not in plan(first[name]) and first[name].count() == 5 for name in columns)
