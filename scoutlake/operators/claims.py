@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from .graph import stored
 
 #: Fixed value: the claim categories.
 CATEGORIES = sorted(S.CATEGORY_WEIGHT)
@@ -103,10 +104,13 @@ def mint(extracted: DataFrame, cited: DataFrame, taken: DataFrame) -> tuple[Data
     dedup key, later ones and taken ones get none."""
     rows = valid(extracted)
     positions = F.concat(F.transform(F.coalesce("supporting", F.array().cast("array<int>")), lambda p: F.struct(p.alias("pos"), F.lit("supports").alias("stance"))), F.transform(F.coalesce("refuting", F.array().cast("array<int>")), lambda p: F.struct(p.alias("pos"), F.lit("refutes").alias("stance"))))
-    edges = rows.select("founder_id", "claim_no", F.explode(positions).alias("c")).select("founder_id", "claim_no", "c.pos", "c.stance").join(cited, ["founder_id", "pos"])
-    support = edges.filter("stance = 'supports'").groupBy("founder_id", "claim_no").agg(F.max("occurred_at").alias("occurred_at"))
-    edges = edges.groupBy("founder_id", "claim_no", "signal_id").agg(F.when(F.bool_or(F.col("stance") == "refutes"), "refutes").otherwise("supports").alias("stance"), F.max("weight").alias("weight"))
-    dated = support.join(edges.groupBy("founder_id", "claim_no").agg(F.count("*").alias("n_evidence")), ["founder_id", "claim_no"])
+    cites = rows.select("founder_id", "claim_no", F.explode(positions).alias("c")).select("founder_id", "claim_no", "c.pos", "c.stance").join(cited, ["founder_id", "pos"])
+    supports = F.col("stance") == "supports"
+    # one edge per claim and signal, which also says whether the signal supports the claim anywhere; claims and edges both come from it
+    found = stored(cites.groupBy("founder_id", "claim_no", "signal_id").agg(
+        F.when(F.bool_or(F.col("stance") == "refutes"), "refutes").otherwise("supports").alias("stance"), F.max("weight").alias("weight"), F.bool_or(supports).alias("_supports"), F.max(F.when(supports, F.col("occurred_at"))).alias("_at")
+    ))
+    dated = found.groupBy("founder_id", "claim_no").agg(F.max("_at").alias("occurred_at"), F.count("*").alias("n_evidence"), F.bool_or("_supports").alias("_supports")).filter("_supports").drop("_supports")
     first = F.row_number().over(Window.partitionBy("founder_id", "dedup_key").orderBy("claim_no")) == 1
     claims = rows.join(dated, ["founder_id", "claim_no"]).withColumn("_first", first)
     claims = claims.join(taken.select("founder_id", "dedup_key").distinct().withColumn("_taken", F.lit(True)), ["founder_id", "dedup_key"], "left")
@@ -115,17 +119,24 @@ def mint(extracted: DataFrame, cited: DataFrame, taken: DataFrame) -> tuple[Data
         more = F.create_map(F.lit("impact"), F.col("impact").cast("string"), F.lit("occurred_at"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss"))
         own = F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("impact", "occurred_at"))
         claims = claims.withColumn("attributes", F.map_concat(own, more))
-    return claims, edges.join(claims.select("founder_id", "claim_no"), ["founder_id", "claim_no"], "left_semi")
+    edges = found.drop("_supports", "_at").join(dated.select("founder_id", "claim_no"), ["founder_id", "claim_no"], "left_semi")
+    return claims, edges
 
 
-def matched(extracted: DataFrame, existing: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Where each extracted claim goes: to the claim of its dedup key, else to the one a reviewer's decision names within
-    the same founder and category, else to a new one."""
+def routed(extracted: DataFrame, existing: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Extracted claims with where each goes, `claim_id` and `action`: to the claim of its dedup key (`by_key`), else to the one a
+    reviewer's decision names within the same founder and category, else to a new one."""
     by_key = existing.filter("dedup_key is not null").select("founder_id", "dedup_key", F.col("claim_id").alias("by_key"))
     named = existing.select("founder_id", "category", F.col("claim_id").alias("by_decision"))
     decided = decisions.filter(F.col("action") == "match").select("founder_id", "claim_no", F.col("existing_claim_id").alias("by_decision"))
     out = extracted.join(by_key, ["founder_id", "dedup_key"], "left").join(decided, ["founder_id", "claim_no"], "left")
-    known = named.withColumn("_known", F.lit(True))
+    # only claims that a decision names are looked up; where there are no decisions, this falls away when the query is planned
+    known = named.join(decided.select("founder_id", "by_decision").distinct(), ["founder_id", "by_decision"], "left_semi").withColumn("_known", F.lit(True))
     out = out.join(known, ["founder_id", "category", "by_decision"], "left")
     target = F.coalesce("by_key", F.when(F.col("_known"), F.col("by_decision")))
-    return out.select("founder_id", "claim_no", target.alias("claim_id"), F.when(target.isNull(), "mint").otherwise("attach").alias("action"))
+    return out.select(*extracted.columns, "by_key", target.alias("claim_id"), F.when(target.isNull(), "mint").otherwise("attach").alias("action"))
+
+
+def matched(extracted: DataFrame, existing: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Where each extracted claim goes, as `routed` finds it."""
+    return routed(extracted, existing, decisions).select("founder_id", "claim_no", "claim_id", "action")

@@ -21,9 +21,8 @@ def ranked(rows: DataFrame, key: list[str], order: list[str | Column], name: str
     a range begins can have rows before it: these offsets are one row a range at most, and are broadcast. Ranges are taken from a sample, so what was dealt
     is saved before it is counted and numbered: a lost task cannot deal it anew. Equal sort keys stay in one range, in no
     defined order; end the order with an id to have it defined. Columns named _range, _from and _before may not occur."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = saved(rows.repartitionByRange(parts, *(F.asc(k) for k in key), *map(_key, order)).withColumn("_range", F.spark_partition_id()))
+    # as many ranges as adaptive execution finds the rows worth, at most spark.sql.shuffle.partitions
+    dealt = saved(rows.repartitionByRange(*(F.asc(k) for k in key), *map(_key, order)).withColumn("_range", F.spark_partition_id()))
     counts = dealt.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.sum("_n").over(earlier)).filter("_before > 0").select(*(F.col(k).alias(f"_key_{k}") for k in key), F.col("_range").alias("_from"), "_before")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import claims as C
 from . import incremental as I
-from .graph import saved
+from .graph import nothing, stored
 from .ranks import ranked
 
 _CLAIM = "founder_id long, claim_id long, category string, statement string, impact double, dedup_key string, occurred_at timestamp, batch long, bucket int"
@@ -41,17 +41,14 @@ def grown(extracted: DataFrame, fresh: DataFrame, existing: DataFrame, decisions
     existing_claim_id, stance) joins to a claim of its category, adds its supporting signals to that claim, for it or, if the
     decision says so, against it. Others are minted; `claim_no` is then the claim's id and has to be unique. Claims of one
     batch are held against those of earlier batches only."""
-    valid = C.valid(extracted)
-    routed = saved(C.matched(valid, existing, decisions))
-    joined = routed.filter("action = 'attach'")
+    routed = stored(C.routed(C.valid(extracted), existing, decisions))
     stance = decisions.groupBy("founder_id", "claim_no").agg(F.min("stance").alias("_said"))
-    by_key = existing.filter("dedup_key is not null").select("founder_id", "dedup_key", F.lit(True).alias("_by_key"))
-    old = valid.join(joined, ["founder_id", "claim_no"]).join(by_key, ["founder_id", "dedup_key"], "left").join(stance, ["founder_id", "claim_no"], "left")
-    against = F.when(F.col("_by_key").isNull() & (F.col("_said") == "refutes"), "refutes").otherwise("supports")
+    old = routed.filter("action = 'attach'").join(stance, ["founder_id", "claim_no"], "left")
+    against = F.when(F.col("by_key").isNull() & (F.col("_said") == "refutes"), "refutes").otherwise("supports")
     cites = old.select("founder_id", "claim_no", "claim_id", against.alias("stance"), F.explode("supporting").alias("pos"))
     added = cites.join(fresh.select("founder_id", "pos", "signal_id", "weight"), ["founder_id", "pos"]).select("founder_id", "claim_id", "signal_id", "stance", "weight")
     taken = existing.filter("dedup_key is not null").select("founder_id", "dedup_key")
-    claims, edges = C.mint(extracted.join(routed.filter("action = 'mint'").select("founder_id", "claim_no"), ["founder_id", "claim_no"], "left_semi"), fresh.select("founder_id", "pos", "signal_id", "weight", "occurred_at"), taken)
+    claims, edges = C.mint(routed.filter("action = 'mint'").select(*extracted.columns), fresh.select("founder_id", "pos", "signal_id", "weight", "occurred_at"), taken)
     made = claims.select("founder_id", F.col("claim_no").alias("claim_id"), "category", "statement", "impact", "dedup_key", "occurred_at")
     return made, edges.withColumnRenamed("claim_no", "claim_id").select(*added.columns).unionByName(added), routed.select("founder_id", "claim_no", "action")
 
@@ -65,20 +62,21 @@ def apply_batch(folder: str, batch: int, signals: DataFrame, extract: Callable[[
     bucket = F.pmod(F.xxhash64("founder_id"), F.lit(buckets)).cast("int").alias("bucket")
     touched = [r[0] for r in signals.filter("founder_id is not null").select(bucket).distinct().collect()]  # at most `buckets` numbers
     log = lambda name, schema: I._log(spark, f"{folder}/{name}", schema, batch, touched)
-    fresh = saved(fresh_signals(signals, log("cursors", _CURSOR)))
+    fresh = stored(fresh_signals(signals, log("cursors", _CURSOR)))
     people = fresh.select("founder_id").distinct()
-    existing = log("claims", _CLAIM).join(people, "founder_id", "left_semi").drop("batch", "bucket")
-    extracted = saved(extract(fresh))
-    none = spark.createDataFrame([], "founder_id long, claim_no long, action string, existing_claim_id long, stance string")
+    existing = log("claims", _CLAIM).drop("batch", "bucket")
+    # read by six steps; where there is none yet, the plans of these lose the joins with it
+    existing = existing.limit(0) if existing.isEmpty() else stored(existing.join(people, "founder_id", "left_semi"))
+    extracted = stored(extract(fresh))
+    none = nothing(spark, "founder_id long, claim_no long, action string, existing_claim_id long, stance string")
     made, edges, routed = grown(extracted, fresh, existing, none if decide is None else decide(extracted, existing))
-    made, edges = saved(made), saved(edges)
-    I._append(made.select("*", bucket), f"{folder}/claims", batch)
+    made = I._appended(made.select("*", bucket), f"{folder}/claims", batch).drop("bucket")
     raw = edges.join(fresh.select("founder_id", "signal_id", "source"), ["founder_id", "signal_id"]).select("claim_id", "signal_id", "stance", F.col("weight").alias("reliability"), F.lit(1.0).alias("confidence"), F.lit(1.0).alias("relevance"), "source")
     I.apply_batch(f"{folder}/state", batch, raw, existing.unionByName(made), as_of, buckets)
     went = routed.groupBy("founder_id").agg(F.count_if(F.col("action") == "mint").alias("minted"), F.count_if(F.col("action") == "attach").alias("attached"))
     mode = existing.select("founder_id").distinct().withColumn("mode", F.lit("warm"))
     runs = fresh.groupBy("founder_id").agg(F.count("*").alias("n_signals"), F.max("ingested_at").alias("last_claimed_at")).join(mode, "founder_id", "left").join(went, "founder_id", "left")
-    runs = saved(runs.select("founder_id", F.coalesce("mode", F.lit("cold")).alias("mode"), "n_signals", F.coalesce("minted", F.lit(0)).alias("minted"), F.coalesce("attached", F.lit(0)).alias("attached"), "last_claimed_at"))
+    runs = stored(runs.select("founder_id", F.coalesce("mode", F.lit("cold")).alias("mode"), "n_signals", F.coalesce("minted", F.lit(0)).alias("minted"), F.coalesce("attached", F.lit(0)).alias("attached"), "last_claimed_at"))
     I._append(runs.drop("last_claimed_at").select("*", bucket), f"{folder}/runs", batch)
     I._append(runs.select("founder_id", "last_claimed_at", bucket), f"{folder}/cursors", batch)
 
