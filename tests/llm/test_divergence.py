@@ -66,6 +66,16 @@ def test_whole_jobs(spark, block, monkeypatch):
     assert sorted(map(tuple, divergence.audited(df, 3, 5).collect())) == plain(rows, 3, 5)
 
 
+@pytest.mark.parametrize("step", [2048, 1])
+def test_words_that_no_source_of_a_block_has(spark, monkeypatch, step):
+    monkeypatch.setattr(divergence.pair_sums, "__defaults__", (2,))
+    monkeypatch.setattr(divergence, "STEP", step)
+    rows = [(f"own{'abcdefg'[s]} " * (s + 1) + f"mine{'abcdefg'[s]} common", lang, f"s{s}") for s in range(7) for lang in ("en", "de") for _ in range(3)]
+    rows += [("rare", "en", "silent"), (None, "none", "a"), ("rare", "none", "b"), ("", "none", "c")]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
+    assert sorted(map(tuple, divergence.audited(df, 3, 5).collect())) == plain(rows, 3, 5)
+
+
 def test_empty_table_and_one_source(spark):
     empty = spark.createDataFrame([], "text string, lang string, source string")
     assert divergence.audited(empty).count() == 0
