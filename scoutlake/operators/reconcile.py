@@ -159,9 +159,11 @@ def _listed(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("e_id").alias("left_id"), F.col("i_id").alias("right_id"), "decision", F.round("score", 3).alias("confidence"), F.array_join("reasons", ",").alias("reasons"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
-def reconciled(people: DataFrame, handles: DataFrame, artifacts: DataFrame | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+def reconciled(people: DataFrame, handles: DataFrame, artifacts: DataFrame | None = None, dry_run: bool = False, strangers: bool = False) -> tuple[DataFrame, DataFrame]:
     """(merges, open pairs): who becomes whom as in `merges`, and (left_id, right_id, decision, confidence, reasons,
     conflicts) for pairs of the same name or with a shared identifying handle that are left for a human, `review` or `conflict`.
+    With `strangers` also for near names that share a handle that identifies nobody, since strangers share it. Nobody is merged
+    for that; such a pair that shares an artifact too is listed as `merge`.
 
     With `dry_run` nobody is merged: there are no merges, and pairs that would be one by themselves are listed as `merge`.
     Of a group, the one that stays keeps its name, city, company and education; handles and artifacts are those of all."""
@@ -175,7 +177,9 @@ def reconciled(people: DataFrame, handles: DataFrame, artifacts: DataFrame | Non
     to = merged.select("id", "canonical")
     moved = lambda rows, *c: rows.join(to, "id", "left").select(F.coalesce("canonical", "id").alias("id"), *c).distinct()
     own, pages = saved(moved(handles, "kind", "value")), saved(moved(artifacts, "url"))
-    pairs = R.scored(keep, keep, own, own, pages, pages, near=False).filter("i_id > e_id")
+    pairs = R.scored(keep, keep, own, own, pages, pages, near=False, strangers=strangers).filter("i_id > e_id")
+    if strangers:
+        pairs = saved(pairs)  # the filter of `_listed` would compare near names anew for each of its terms
     return merged, _listed(pairs)
 
 

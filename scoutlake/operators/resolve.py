@@ -125,6 +125,35 @@ def _of_one_handle(in_handles: DataFrame, ex_handles: DataFrame) -> DataFrame:
     return a.join(b, ["kind", "value"]).select("i_id", "e_id")
 
 
+#: Names that hold one handle are compared one by one up to so many; above that by `near_names`.
+FEW_NAMES = 64
+
+
+def _near_of_one_handle(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, few: int = FEW_NAMES) -> DataFrame:
+    """(i_id, e_id) of near names that share a handle, also one that identifies nobody. Names are compared once a handle,
+    however many people of that name hold it."""
+    key = ["kind", "value"]
+
+    def held(people: DataFrame, handles: DataFrame, side: str) -> DataFrame:
+        rows = handles.filter(F.col("kind").isin(*K.STRONG_KINDS)).select(F.col("id").alias(f"{side}_id"), *key).distinct()
+        return saved(large(rows).join(people.select(f"{side}_id", f"{side}_name"), f"{side}_id"))
+
+    a, b = held(incoming, in_handles, "i"), held(existing, ex_handles, "e")
+    i, e = (x.select(*key, f"{side}_name").distinct() for x, side in ((a, "i"), (b, "e")))
+    names = i.withColumnRenamed("i_name", "name").unionByName(e.withColumnRenamed("e_name", "name")).distinct()
+    several = saved(names.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"))
+    i, e = (x.join(several, key) for x in (i, e))
+    pairs = i.filter(F.col("n") <= few).join(e.drop("n"), key).filter("i_name <> e_name")
+    changes = F.levenshtein("i_name", "e_name")  # no more than letters put in and left out, and a fraction of the ratio's work
+    pairs = pairs.filter(changes * 100 <= (F.length("i_name") + F.length("e_name")) * (100 - SAME_NAME)).filter(K.name_ratio(F.col("i_name"), F.col("e_name")) >= SAME_NAME).select(*key, "i_name", "e_name")
+    if not several.filter(F.col("n") > few).isEmpty():
+        i, e = (x.filter(F.col("n") > few).drop("n") for x in (i, e))
+        near = near_names(i.select(F.col("i_name").alias("name")), e.select(F.col("e_name").alias("name")))
+        pairs = pairs.unionByName(i.join(near, "i_name").join(e, [*key, "e_name"]).select(*key, "i_name", "e_name"))
+    pairs = large(pairs)
+    return a.join(pairs, [*key, "i_name"]).join(b, [*key, "e_name"]).select("i_id", "e_id")
+
+
 def _of_one_artifact(incoming: DataFrame, existing: DataFrame, near: DataFrame, in_artifacts: DataFrame, ex_artifacts: DataFrame) -> DataFrame:
     """(i_id, e_id) of those that share an artifact under the same or a near name, of each group the earliest: a page that names
     many joins nobody."""
@@ -141,16 +170,21 @@ def _known_handles(existing: DataFrame, in_handles: DataFrame, ex_handles: DataF
     return tuple(large(large(h).join(void, ["kind", "value"], "left_anti")) for h in (in_handles, ex_handles))
 
 
-def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, near: bool = True) -> DataFrame:
+def scored(incoming: DataFrame, existing: DataFrame, in_handles: DataFrame, ex_handles: DataFrame, in_artifacts: DataFrame | None = None, ex_artifacts: DataFrame | None = None, population: DataFrame | None = None, near: bool = True, strangers: bool = False) -> DataFrame:
     """Every candidate pair with its score, reasons and conflicts: same or (with `near`) near compact name, or a shared handle.
 
     People: id, display_name, city, company, education; handles: id, kind, value (canonical); artifacts: id, url. Handles
-    that strangers share, over `population` (the existing people unless given), neither join nor conflict."""
+    that strangers share, over `population` (the existing people unless given), neither join nor conflict; with `strangers`
+    they make a pair of near names, which is then scored without them."""
     i = saved(_people(incoming, "i_"))  # read by several joins
     e = i.select(*(F.col(c).alias(f"e_{c[2:]}") for c in i.columns)) if existing is incoming else saved(_people(existing, "e_"))
+    all_handles = in_handles, ex_handles
     in_handles, ex_handles = _known_handles(existing, in_handles, ex_handles, population)
     names = near_names(i.select(F.col("i_name").alias("name")), e.select(F.col("e_name").alias("name"))) if near else None
-    pairs = saved(_named_alike(i, e, names).unionByName(_of_one_handle(in_handles, ex_handles)).distinct())
+    pairs = _named_alike(i, e, names).unionByName(_of_one_handle(in_handles, ex_handles))
+    if strangers and not near:
+        pairs = pairs.unionByName(_near_of_one_handle(i, e, *all_handles))
+    pairs = saved(pairs.distinct())
     return _scores(pairs, i, e, in_handles, ex_handles, in_artifacts, ex_artifacts)
 
 

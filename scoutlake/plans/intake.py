@@ -159,16 +159,19 @@ _TWICE = f"SELECT id + 10000000 AS id, display_name, CASE WHEN id % 2 = 0 THEN c
 
 @query(
     f"""SELECT a.id - 10000000 AS left_id, a.id AS right_id, 'review' AS decision, round(CAST(CASE WHEN (a.city = n.city) AND (a.company = n.company) THEN 0.89 ELSE 0.7 + 0.1 * (CAST(a.city = n.city AS INT) + CAST(a.company = n.company AS INT)) END AS DOUBLE), 3) AS confidence
-    FROM ({_TWICE}) a JOIN ({_NAMED}) n ON n.id = a.id - 10000000"""
+    FROM ({_TWICE}) a JOIN ({_NAMED}) n ON n.id = a.id - 10000000
+    UNION ALL SELECT a.id - 10000000, a.id + 10000000, 'review', round(CASE WHEN (a.city = n.city) AND (a.company = n.company) THEN 0.89 ELSE least(0.89, 2.0 * length(a.display_name) / (length(a.display_name) + length(n.display_name)) * 0.7 + 0.1 * (CAST(a.city = n.city AS INT) + CAST(a.company = n.company AS INT))) END, 3)
+    FROM ({_AGAIN}) a JOIN ({_NAMED}) n ON n.id = a.id - 10000000"""
 )
 def open_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs a merge run leaves for a human, over everyone: one name without a handle that decides. Near names (those of
-    people met again a letter short are here too) make no pair of the sweep."""
+    """The pairs a merge run leaves for a human, over everyone: one name without a handle that decides, and near names that share
+    a handle. Those met again a letter short hold the handle of one namesake; with the other they make no pair of the sweep."""
     none = F.array().cast("array<string>").alias("education")
     short = sql(spark, sf_dir, _AGAIN).withColumn("id", F.col("id") + 10000000)
     people = sql(spark, sf_dir, _NAMED).unionByName(sql(spark, sf_dir, _TWICE)).unionByName(short).select("*", none)
-    handles = people.filter("id < 10000000 and id % 3 <> 0").select("id", F.lit("github").alias("kind"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("value"))
-    return C.reconciled(people, handles)[1].select("left_id", "right_id", "decision", "confidence")
+    value = F.concat(F.lit("h"), (F.col("id") % 10000000).cast("string")).alias("value")
+    handles = people.filter("id < 10000000 or id >= 20000000").select("id", F.lit("github").alias("kind"), value)
+    return C.reconciled(people, handles, strangers=True)[1].select("left_id", "right_id", "decision", "confidence")
 
 
 # Every customer as three people of one name (of three, in the last case), with what they hold: rows of (person, kind, value).

@@ -3,7 +3,9 @@
 import itertools
 import random
 
-from scoutlake.operators import reconcile
+import pytest
+
+from scoutlake.operators import reconcile, resolve
 
 
 def loop(people):
@@ -96,3 +98,50 @@ def test_a_dry_run_merges_nothing_and_does_not_look_for_merges(spark, monkeypatc
     merged, pairs = reconcile.reconciled(people, handles, dry_run=True)
     assert merged.columns == ["id", "canonical", "step", "by"] and merged.isEmpty()
     assert {(r["left_id"], r["right_id"], r["decision"]) for r in pairs.collect()} == {(1, 2, "merge"), (1, 3, "review"), (2, 3, "review")}
+
+
+def ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for k, y in enumerate(b):
+            row.append(before[k] + 1 if x == y else max(before[k + 1], row[k]))
+    return 200 * row[-1] / (len(a) + len(b))
+
+
+def swept(people):
+    """{id: (name, city, {(kind, value)})} -> {(left, right, decision, confidence)}: the reference's sweep over all pairs."""
+    owners = {}
+    for name, _, handles in people.values():
+        for h in handles:
+            owners.setdefault(h, set()).add(name)
+    out = set()
+    for left, right in itertools.combinations(sorted(people), 2):
+        (a, a_city, a_all), (b, b_city, b_all) = people[left], people[right]
+        if a != b and not a_all & b_all:
+            continue
+        a_held, b_held = ({h for h in hs if len(owners[h]) == 1} for hs in (a_all, b_all))
+        alike = ratio(a, b)
+        apart = {k for k, _ in a_held} & {k for k, _ in b_held} if alike >= 96 and not a_held & b_held else set()
+        if apart:
+            out.add((left, right, "conflict", 0.0))
+        elif a_held & b_held:
+            out.add((left, right, "merge", 0.99))
+        elif alike >= 96:
+            out.add((left, right, "review", round(min(0.89, alike / 100 * 0.7 + 0.1 * (a_city == b_city)), 3)))
+    return out
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_near_names_that_share_a_handle_are_pairs_of_the_sweep(spark, monkeypatch, few):
+    monkeypatch.setattr(resolve._near_of_one_handle, "__defaults__", (few,))
+    draw = random.Random(few)
+    names = ["annabelle lindstroemer", "annabelle lindstroeme", "annabella lindstroemer", "benedikt oppenheimer", "benedikt openheimer", "ada king"]
+    people = {k: (draw.choice(names), draw.choice(["bonn", "ulm"]), {(kind, f"{kind}{draw.randrange(9)}") for kind in ("github", "orcid") if draw.random() < 0.6}) for k in range(40)}
+    schema = "id long, display_name string, city string, company string, education array<string>"
+    frame = spark.createDataFrame([(k, name, city, None, None) for k, (name, city, _) in people.items()], schema)
+    handles = spark.createDataFrame([(k, *h) for k, (*_, held) in people.items() for h in held] + [(0, "github", None), (0, "website", "w"), (1, "website", "w")], "id long, kind string, value string")
+    _, pairs = reconcile.reconciled(frame, handles, dry_run=True, strangers=True)
+    want = swept(people)
+    assert any(people[left][0] != people[right][0] for left, right, *_ in want)
+    assert sorted(tuple(r)[:4] for r in pairs.collect()) == sorted(want)
